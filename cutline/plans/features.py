@@ -1,0 +1,33 @@
+"""The point-in-time feature frame, for every event in one job."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from cutline.functions import scalars as S
+from cutline.operators import form, peers
+
+
+def recent_qualifying(field: DataFrame, entries: DataFrame, qualifying: DataFrame, plan, n: int = 3) -> DataFrame:
+    """Mean of the last n qualifying positions: the entity's own, and its group's best.
+
+    The group is the one the entity last raced for before the event."""
+    measured = qualifying.select("event", "entity", "position").join(
+        entries.select("event", "entity", "grp", "ord"), ["event", "entity"])
+    own = form.trailing_mean(field, measured, "entity", "position", n, "own_mean_3", plan)
+    best = measured.where("position IS NOT NULL AND grp IS NOT NULL").groupBy("grp", "ord").agg(
+        F.min("position").alias("position"))
+    raced = entries.where(F.col("code") != S.WITHDRAWN).select("entity", "ord", F.col("grp").alias("_last_grp"))
+    placed = form.as_of(own, raced, "entity", ["_last_grp"], plan).withColumnRenamed("_last_grp", "grp")
+    out = form.trailing_mean(placed, best, "grp", "position", n, "group_mean_3", plan)
+    return out.drop("grp")
+
+
+def qualifying_frame(qualifying: DataFrame, plan) -> DataFrame:
+    """Position, gap to the event's best, gap to the best mate, last session reached."""
+    times = [S.duration_ms(F.col(c)) for c in ("q1", "q2", "q3")]
+    timed = qualifying.withColumn("best_ms", S.best_of(*times))
+    gaps = peers.gap_to_best(timed, ["event"], "best_ms", "gap_to_best")
+    mates = peers.gap_to_best_peer(gaps, ["event", "grp"], "best_ms", "entity", "gap_to_mate", plan)
+    return mates.select("event", "entity", F.col("position").alias("quali_position"), "gap_to_best", "gap_to_mate",
+                        F.col("q3").isNotNull().cast("int").alias("reached_last"))
