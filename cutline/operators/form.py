@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cutline.operators.spans import Spans, expanding, latest_before, numbered, trailing
+from cutline.operators.spans import Right, Spans, expanding, latest_before, numbered, trailing
 
 PlanSpans = Callable[[DataFrame, list[str], str], Spans]
 
@@ -39,7 +39,7 @@ FORM = ("finish_mean", "points_rate", "dnf_rate", "seen")
 def as_of(field: DataFrame, state: DataFrame, key: str, payload: Sequence[str], plan: PlanSpans,
           right_ties: Sequence[str] = ()) -> DataFrame:
     """The state of a key strictly before each field row's event."""
-    return latest_before(field, state, plan(state, [key], "ord"), payload, right_ties=right_ties)
+    return latest_before(field, [Right(state, tuple(payload), tuple(right_ties))], plan(state, [key], "ord"))
 
 
 def trailing_form(field: DataFrame, history: DataFrame, key: str, plan: PlanSpans,

@@ -241,52 +241,65 @@ def numbered(
     )
 
 
-def latest_before(
-    left: DataFrame, right: DataFrame, spans: Spans, payload: Sequence[str], strict: bool = True,
-    right_ties: Sequence[str] = (),
-) -> DataFrame:
-    """As-of join: the latest right row of the key with an ordering value below
+@dataclass(frozen=True)
+class Right:
+    """One right side of an as-of join: its payload columns, and integer columns
+    that order rows sharing an ordering value."""
+
+    df: DataFrame
+    payload: tuple[str, ...]
+    ties: tuple[str, ...] = ()
+
+
+def latest_before(left: DataFrame, rights: Sequence[Right], spans: Spans, strict: bool = True) -> DataFrame:
+    """As-of join: the latest row of each right side with an ordering value below
     (or, if not strict, up to) the left row's.
 
-    Both sides carry `spans.keys` and `spans.order`. One shuffle on the key: the
-    sides are interleaved in order and the last right row is read forward. The
-    payload travels as one struct, so a null inside it is kept as a null.
+    All sides carry `spans.keys` and `spans.order`. However many right sides there
+    are, it is one shuffle on the key: the sides are interleaved in order and the
+    last row of each is read forward. A payload travels as one struct, so a null
+    inside it stays a null instead of showing an older value.
     """
-    left_columns = left.columns
     side = 0 if strict else 1
-    ties = [F.col(t) for t in right_ties]
+    depth = max(len(r.ties) for r in rights)
     base = [*spans.keys, spans.order]
-    empty_left = F.struct(*[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left_columns])
-    right_struct = F.struct(*[F.col(c) for c in payload])
-    right_rows = right.where(reduce(lambda a, k: a & F.col(k).isNotNull(), spans.keys, F.lit(True)))
-    rights = right_rows.select(
-        *base, (F.lit(1 - side)).alias("_side"), empty_left.alias("_left"), right_struct.alias("_right"),
-        *[t.alias(f"_t{i}") for i, t in enumerate(ties)],
-    )
-    lefts = left.select(
-        *base, F.lit(side).alias("_side"), F.struct(*left_columns).alias("_left"),
-        F.lit(None).cast(rights.schema["_right"].dataType).alias("_right"),
-        *[F.lit(None).cast(rights.schema[f"_t{i}"].dataType).alias(f"_t{i}") for i in range(len(ties))],
-    )
-    order_by = [F.col(spans.order), F.col("_side"), *[F.col(f"_t{i}") for i in range(len(ties))]]
-    both = spans.tag(lefts.unionByName(rights))
+    left_type = left.select(F.struct(*left.columns).alias("_left")).schema["_left"].dataType
+    types = [r.df.select(F.struct(*r.payload).alias("_r")).schema["_r"].dataType for r in rights]
+
+    def interleaved(df: DataFrame, which: int | None, ties: tuple[str, ...]) -> DataFrame:
+        own = [F.struct(*rights[i].payload) if i == which else F.lit(None).cast(t) for i, t in enumerate(types)]
+        return df.select(
+            *base, F.lit(side if which is None else 1 - side).alias("_side"),
+            (F.struct(*left.columns) if which is None else F.lit(None).cast(left_type)).alias("_left"),
+            *[c.alias(f"_r{i}") for i, c in enumerate(own)],
+            *[(F.col(ties[i]).cast("bigint") if i < len(ties) else F.lit(None).cast("bigint")).alias(f"_t{i}")
+              for i in range(depth)],
+        )
+
+    both = interleaved(left, None, ())
+    for i, r in enumerate(rights):
+        keyed = r.df.where(reduce(lambda a, k: a & F.col(k).isNotNull(), spans.keys, F.lit(True)))
+        both = both.unionByName(interleaved(keyed, i, r.ties))
+    both = spans.tag(both)
+    order_by = [F.col(spans.order), F.col("_side"), *[F.col(f"_t{i}") for i in range(depth)]]
     window = Window.partitionBy(*spans.group).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_found", F.last("_right", ignorenulls=True).over(window))
+    names = [f"_r{i}" for i in range(len(rights))]
     is_left = F.col("_side") == side
+    found = both.select(*base, *([SPAN] if spans.cuts is not None else []), "_side", "_left",
+                        *[F.last(n, ignorenulls=True).over(window).alias(n) for n in names]).where(is_left)
     if spans.cuts is not None:
         last_in_span = (
             both.where(~is_left)
             .join(F.broadcast(spans.cuts.select(*spans.keys)), list(spans.keys), "left_semi")
             .groupBy(*spans.group)
-            .agg(F.max_by("_right", F.struct(*order_by)).alias("_last"))
+            .agg(*[F.max_by(n, F.when(F.col(n).isNotNull(), F.struct(*order_by))).alias(n) for n in names])
         )
         before = Window.partitionBy(*spans.keys).orderBy(SPAN).rowsBetween(Window.unboundedPreceding, -1)
-        carried = (
-            spans.every_span().join(last_in_span, spans.group, "left")
-            .select(*spans.group, F.last("_last", ignorenulls=True).over(before).alias("_carry"))
-        )
+        carried = spans.every_span().join(last_in_span, spans.group, "left").select(
+            *spans.group, *[F.last(n, ignorenulls=True).over(before).alias(f"_c{n}") for n in names])
         if spans.broadcast_cuts:
             carried = F.broadcast(carried)
-        found = found.where(is_left).join(carried, spans.group, "left").withColumn(
-            "_found", F.coalesce("_found", "_carry"))
-    return found.where(is_left).select("_left.*", *[F.col("_found")[c].alias(c) for c in payload])
+        found = found.join(carried, spans.group, "left")
+        for n in names:
+            found = found.withColumn(n, F.coalesce(n, f"_c{n}"))
+    return found.select("_left.*", *[F.col(n)[c].alias(c) for n, r in zip(names, rights) for c in r.payload])

@@ -11,10 +11,6 @@ from cutline.registry import ENTRIES, EVENTS, LAPS, QUALI, RAW, query, r6
 from cutline.sources.star import Star
 
 
-def entry_spans(star: Star, table: str = "lineitem"):
-    return lambda df, keys, order: star.spans(df, keys, order, table)
-
-
 FIELD = ("event", "entity", "grp", "ord")
 
 TRAILING = """
@@ -37,7 +33,7 @@ SELECT f.event, f.entity, {FORM_OUT} FROM entries f ASOF LEFT JOIN state t ON f.
 """)
 def trailing_form(star: Star) -> DataFrame:
     entries = star.entries()
-    return form_out(form.trailing_form(entries.select(*FIELD), entries, "entity", entry_spans(star)))
+    return form_out(form.trailing_form(entries.select(*FIELD), entries, "entity", star.planner()))
 
 
 @query("trailing_group_form", f"""
@@ -50,7 +46,7 @@ SELECT f.event, f.entity, {FORM_OUT} FROM entries f ASOF LEFT JOIN last_of t ON
 """)
 def trailing_group_form(star: Star) -> DataFrame:
     entries = star.entries()
-    return form_out(form.trailing_form(entries.select(*FIELD), entries, "grp", entry_spans(star)))
+    return form_out(form.trailing_form(entries.select(*FIELD), entries, "grp", star.planner()))
 
 
 LAST3 = f"""
@@ -72,7 +68,7 @@ def last3_means(star: Star) -> DataFrame:
     from cutline.plans.features import recent_qualifying
 
     entries = star.entries()
-    out = recent_qualifying(entries.select("event", "entity", "ord"), entries, star.qualifying(), entry_spans(star))
+    out = recent_qualifying(entries.select("event", "entity", "ord"), entries, star.qualifying(), star.planner())
     return out.select("event", "entity", r6("own_mean_3", "own_mean_3"), r6("group_mean_3", "group_mean_3"))
 
 
@@ -83,7 +79,7 @@ SELECT grp, ord, round(CASE WHEN count(*) OVER w >= 3 THEN regr_slope(y, x) OVER
 WINDOW w AS (PARTITION BY grp ORDER BY ord ROWS 4 PRECEDING)
 """)
 def trailing_slope(star: Star) -> DataFrame:
-    return form.trailing_trend(star.entries(), "grp", entry_spans(star)).select("grp", "ord", r6("trend", "trend"))
+    return form.trailing_trend(star.entries(), "grp", star.planner()).select("grp", "ord", r6("trend", "trend"))
 
 
 @query("venue_history", f"""
@@ -96,7 +92,7 @@ SELECT event, n AS prior_events, round(CASE WHEN k > 0 THEN m / k END, 6) AS pos
   round(CASE WHEN r > 0 THEN o / r END, 6) AS venue_dnf_rate FROM c
 """)
 def venue_history(star: Star) -> DataFrame:
-    out = form.venue_history(star.entries(), star.events(), entry_spans(star, "orders"))
+    out = form.venue_history(star.entries(), star.events(), star.planner("orders"))
     return out.select("event", "prior_events", r6("position_change", "position_change"),
                       r6("venue_dnf_rate", "venue_dnf_rate"))
 
@@ -160,7 +156,7 @@ FROM a ASOF LEFT JOIN sh ON a.entity = sh.entity AND a.ord > sh.ord
 """)
 def relative_form(star: Star) -> DataFrame:
     entries = star.entries()
-    plan = entry_spans(star)
+    plan = star.planner()
     against, shares = form.relative_form(entries, plan)
     field = entries.select("event", "entity", "ord")
     out = form.as_of(form.as_of(field, against, "entity", ["mate_gap"], plan), shares, "entity", ["points_share"], plan)
@@ -177,7 +173,7 @@ def qualifying_gaps(star: Star) -> DataFrame:
     from cutline.plans.features import qualifying_frame
 
     groups = star.table("supplier").select(F.col("s_suppkey").alias("entity"), F.col("s_nationkey").cast("bigint").alias("grp"))
-    return qualifying_frame(star.qualifying().join(groups, "entity"), entry_spans(star)).select(
+    return qualifying_frame(star.qualifying().join(groups, "entity"), star.planner()).select(
         "event", "entity", "quali_position", "gap_to_best", "gap_to_mate", "reached_last")
 
 
@@ -188,7 +184,7 @@ FROM laps JOIN m USING (event) GROUP BY event
 """)
 def median_ratio_flag(star: Star) -> DataFrame:
     laps = star.laps()
-    plan = entry_spans(star)
+    plan = star.planner()
     flagged = peers.ratio_flag(laps, ["event"], "lap_ms", 3.0, "suspended", plan)
     counts = flagged.groupBy("event").agg(F.count("*").alias("laps"), F.sum(F.col("suspended").cast("int")).alias("flagged"))
     return counts.join(peers.exact_median(laps, ["event"], "lap_ms", plan, "median_ms"), "event").select(
@@ -200,7 +196,7 @@ WITH {EVENTS}, {LAPS} SELECT venue, median(lap_ms) AS median_ms, count(*) AS lap
 """)
 def exact_median_by_venue(star: Star) -> DataFrame:
     laps = star.laps().join(star.events().select("event", "venue"), "event")
-    return peers.exact_median(laps, ["venue"], "lap_ms", entry_spans(star), "median_ms").join(
+    return peers.exact_median(laps, ["venue"], "lap_ms", star.planner(), "median_ms").join(
         laps.groupBy("venue").agg(F.count("*").alias("laps")), "venue")
 
 

@@ -45,7 +45,8 @@ EVENTS = """
 ev AS (
   SELECT o_orderkey AS event,
          CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) * 1000000000000 + o_orderkey AS ord,
-         CAST(year(o_orderdate) AS BIGINT) AS season, CAST(month(o_orderdate) AS BIGINT) AS round, o_orderpriority AS venue
+         CAST(year(o_orderdate) AS BIGINT) AS season, CAST(month(o_orderdate) AS BIGINT) AS round, o_orderpriority AS venue,
+         o_orderstatus = 'P' AS short
   FROM orders
 )"""
 ENTRIES = RAW + "," + EVENTS + """,

@@ -15,6 +15,7 @@ from cutline.functions import scalars as S
 from cutline.operators.spans import Spans, numbered, plan_spans
 
 ORD_SCALE = 1_000_000_000_000
+ERAS = [(1995, 1996, "first"), (1997, 1999, "second"), (2000, None, "third")]
 
 
 def day_number(date: Column) -> Column:
@@ -41,9 +42,13 @@ class Star:
             self._rows[name] = self.table(name).count()
         return self._rows[name]
 
-    def spans(self, df: DataFrame, keys: list[str], order: str, table: str = "lineitem") -> Spans:
-        """Spans of a frame that has at most as many rows as a source table."""
-        return plan_spans(df, keys, order, rows=self.rows(table))
+    def spans(self, df: DataFrame, keys: list[str], order: str, table: str = "lineitem", times: int = 1) -> Spans:
+        """Spans of a frame that has at most `times` the rows of a source table."""
+        return plan_spans(df, keys, order, rows=self.rows(table) * times)
+
+    def planner(self, table: str = "lineitem", times: int = 1):
+        """`spans` as a function of the frame, its keys and its ordering column."""
+        return lambda df, keys, order: self.spans(df, keys, order, table, times)
 
     def events(self) -> DataFrame:
         o = self.table("orders")
@@ -53,21 +58,24 @@ class Star:
             F.year("o_orderdate").cast("bigint").alias("season"),
             F.month("o_orderdate").cast("bigint").alias("round"),
             F.col("o_orderpriority").alias("venue"),
+            (F.col("o_orderstatus") == "P").alias("short"),
         )
 
     def raw_entries(self) -> DataFrame:
-        """One row per (event, entity): the best line where a supplier repeats."""
+        """One row per (event, entity): the best line where a supplier repeats.
+
+        Where no event is large, lines are shuffled once by event, and the ranking
+        of an event reuses that. A large event is first reduced by entity."""
         best = F.max(F.struct(
             F.col("l_extendedprice").alias("pace"), (-F.col("l_partkey")).alias("part"),
             (-F.col("l_linenumber")).alias("line"), F.col("l_quantity").alias("points"),
             F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"),
             F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"),
         ))
-        best_lines = (
-            self.table("lineitem")
-            .groupBy(F.col("l_orderkey").alias("event"), F.col("l_suppkey").alias("entity"))
-            .agg(best.alias("b"))
-        )
+        lines = self.table("lineitem")
+        if self.spans(lines, ["l_orderkey"], "l_extendedprice").cuts is None:
+            lines = lines.repartition("l_orderkey")
+        best_lines = lines.groupBy(F.col("l_orderkey").alias("event"), F.col("l_suppkey").alias("entity")).agg(best.alias("b"))
         retired = F.col("b.flag") == "R"
         return best_lines.select(
             "event", "entity", F.col("b.pace").alias("pace"), (-F.col("b.line")).cast("bigint").alias("line"),
@@ -90,22 +98,20 @@ class Star:
         groups = self.table("supplier").select(
             F.col("s_suppkey").alias("entity"), F.col("s_nationkey").cast("bigint").alias("grp"))
         return (
-            self.results().join(self.events(), "event").join(groups, "entity", "left")
+            self.results().join(self.events().drop("short"), "event").join(groups, "entity", "left")
             .withColumn("retired", S.is_retired(F.col("code")))
         )
 
     def qualifying(self) -> DataFrame:
         """Qualifying position and up to three session times per entry, as text."""
-        raw = self.raw_entries().select("event", "entity", "pace", "line")
-        spans = self.spans(raw, ["event"], "line")
-        ranked = numbered(raw, spans, "position", ties=[F.col("entity")])
         base = (F.lit(80000) + F.floor(F.col("pace") * 10) % 20000).cast("bigint")
+        raw = self.raw_entries().select(
+            "event", "entity", "line", clock_text(base + 500).alias("q1"), clock_text(base + 200).alias("q2"),
+            clock_text(base).alias("q3"))
+        ranked = numbered(raw, self.spans(raw, ["event"], "line"), "position", ties=[F.col("entity")])
         return ranked.select(
-            "event", "entity", "position",
-            clock_text(base + 500).alias("q1"),
-            F.when(F.col("position") <= 5, clock_text(base + 200)).alias("q2"),
-            F.when(F.col("position") <= 3, clock_text(base)).alias("q3"),
-        )
+            "event", "entity", "position", "q1", F.when(F.col("position") <= 5, F.col("q2")).alias("q2"),
+            F.when(F.col("position") <= 3, F.col("q3")).alias("q3"))
 
     def laps(self) -> DataFrame:
         """Practice laps of an event: its raw lines, one lap each."""
@@ -133,3 +139,17 @@ class Star:
             (k % 10 != 0).alias("accurate"), (k % 7 != 0).alias("green"),
             F.when(k % 4 == 0, "SOFT").when(k % 4 == 1, "MEDIUM").when(k % 4 == 2, "HARD").otherwise("WET").alias("compound"),
         )
+
+    def eras(self) -> DataFrame:
+        return self.spark.createDataFrame(ERAS, "first_season bigint, last_season bigint, era string")
+
+    def feature_tables(self):
+        from cutline.operators.dense import standings
+        from cutline.plans.features import EventTables
+
+        entries, plan = self.entries(), self.planner()
+        table_plan = self.planner(times=12)
+        return EventTables(
+            events=self.events(), entries=entries, qualifying=self.qualifying(), laps=self.laps(), eras=self.eras(),
+            entity_standings=standings(entries, "entity", table_plan), group_standings=standings(entries, "grp", table_plan),
+            plan=plan, plan_events=self.planner("orders"))
