@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cutline.operators.peers import with_totals
 from cutline.operators.spans import Right, Spans, expanding, latest_before, numbered, trailing
 
 PlanSpans = Callable[[DataFrame, list[str], str], Spans]
@@ -80,31 +81,27 @@ def trailing_trend(history: DataFrame, key: str, plan: PlanSpans, n: int = 5, na
     return recent.select(key, "ord", slope(F.col("_recent")).alias(name))
 
 
-def peer_means(entries: DataFrame, group: Sequence[str], value: str) -> DataFrame:
-    """Leave-one-out mean per group of two or more: (sum - x) / (n - 1).
-
-    The group's totals are aggregated map-side and joined back, so a large group
-    is never gathered in one task."""
+def peer_means(entries: DataFrame, group: Sequence[str], value: str, plan: PlanSpans) -> DataFrame:
+    """Leave-one-out mean per group of two or more: (sum - x) / (n - 1)."""
     known = entries.where(F.col(value).isNotNull())
     for g in group:
         known = known.where(F.col(g).isNotNull())
-    totals = known.groupBy(*group).agg(F.sum(value).alias("_sum"), F.count(value).alias("_n")).where("_n > 1")
-    return known.join(totals, list(group)).withColumn(
-        "mate_mean", (F.col("_sum") - F.col(value)) / (F.col("_n") - 1)).drop("_sum", "_n")
+    sized = with_totals(known, group, plan, _sum=F.sum(value), _n=F.count(value)).where("_n > 1")
+    return sized.withColumn("mate_mean", (F.col("_sum") - F.col(value)) / (F.col("_n") - 1)).drop("_sum", "_n")
 
 
 def relative_form(history: DataFrame, plan: PlanSpans, n: int = 5) -> tuple[DataFrame, DataFrame]:
     """Two states per entity: mean finish against its mates over the last n events
     where both sides finished, and its share of the group's points over the last n."""
     finished = history.where(~F.col("retired")).select("event", "entity", "grp", "ord", "finish")
-    pairs = peer_means(finished, ["event", "grp"], "finish").select(
+    pairs = peer_means(finished, ["event", "grp"], "finish", plan).select(
         "entity", "ord", (F.col("finish") - F.col("mate_mean")).alias("_gap"))
     against = trailing(pairs, plan(pairs, ["entity"], "ord"), n,
                        lambda w: {"mate_gap": F.avg("_gap").over(w.rowsBetween(-(n - 1), 0))}).drop("_gap")
 
     scored = history.select("event", "entity", "grp", "ord", F.coalesce("points", F.lit(0.0)).alias("points"))
-    totals = scored.where("grp IS NOT NULL").groupBy("event", "grp").agg(F.sum("points").alias("_team"))
-    joined = scored.join(totals, ["event", "grp"], "left").select("entity", "ord", "points", "_team")
+    totals = with_totals(scored, ["event", "grp"], plan, _team=F.sum("points"))
+    joined = totals.select("entity", "ord", "points", F.when(F.col("grp").isNotNull(), F.col("_team")).alias("_team"))
 
     def columns(w):
         frame = w.rowsBetween(-(n - 1), 0)

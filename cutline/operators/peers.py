@@ -5,21 +5,29 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cutline.operators.spans import Spans, expanding, numbered
 
 
-def with_totals(df: DataFrame, keys: Sequence[str], **aggregates: Column) -> DataFrame:
-    """Add aggregates of each row's group. The group is aggregated map-side and
-    joined back, so one large group never lands in a single window task."""
+def with_totals(df: DataFrame, keys: Sequence[str], plan, **aggregates: Column) -> DataFrame:
+    """Add aggregates of each row's group.
+
+    Where no group is large this is one window pass. A large group is aggregated
+    map-side and joined back instead, so it never lands in a single task."""
+    if plan(df.select(*keys, F.lit(0).alias("_zero")), list(keys), "_zero").cuts is None:
+        group = Window.partitionBy(*keys)
+        return df.select("*", *[c.over(group).alias(n) for n, c in aggregates.items()])
     totals = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggregates.items()])
     return df.join(totals, list(keys), "left")
 
 
-def gap_to_best(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """Distance to the group's smallest value; null where the value is null."""
-    return with_totals(df, keys, _best=F.min(value)).withColumn(name, F.col(value) - F.col("_best")).drop("_best")
+def gaps_to_best(df: DataFrame, keys: Sequence[str], gaps: dict[str, str], plan) -> DataFrame:
+    """Distance of each value column to the group's smallest; null where the value is null.
+    `gaps` maps a value column to the name of its gap."""
+    least = {f"_least_{v}": F.min(v) for v in gaps}
+    sized = with_totals(df, keys, plan, **least)
+    return sized.select(*df.columns, *[(F.col(v) - F.col(f"_least_{v}")).alias(n) for v, n in gaps.items()])
 
 
 def two_best(df: DataFrame, keys: Sequence[str], value: str, member: str, plan) -> DataFrame:
@@ -49,13 +57,13 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, plan, name: str
     the middle. `percentile` would hold a large group's values in one buffer."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
     running = expanding(counts, plan(counts, list(keys), "_v"), {"_before": ("sum", F.col("_c"))})
-    sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    sized = with_totals(running, keys, plan, _n=F.sum("_c"))
     low, high = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
 
     def holds(rank: Column) -> Column:
         return (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_c"))
 
-    return running.join(sizes, list(keys)).where(holds(low) | holds(high)).groupBy(*keys).agg(
+    return sized.where(holds(low) | holds(high)).groupBy(*keys).agg(
         ((F.min("_v") + F.max("_v")) / 2.0).alias(name))
 
 
@@ -72,26 +80,26 @@ def running_number(df: DataFrame, spans: Spans, condition: Column, name: str, ti
     return counted.withColumn(name, F.when(condition, F.col("_seen"))).drop("_seen")
 
 
-def rescale(df: DataFrame, keys: Sequence[str], p: str, places: int, name: str,
+def rescale(df: DataFrame, keys: Sequence[str], p: str, places: int, name: str, plan,
             low: float = 1e-6, high: float = 1 - 1e-6) -> DataFrame:
     """Scale a group's chances to fill min(places, n) places, then clip."""
-    sized = with_totals(df, keys, _sum=F.sum(p), _n=F.count("*"))
+    sized = with_totals(df, keys, plan, _sum=F.sum(p), _n=F.count("*"))
     filled = F.col(p) * F.least(F.lit(places), F.col("_n")) / F.col("_sum")
     return sized.withColumn(name, F.least(F.greatest(filled, F.lit(low)), F.lit(high))).drop("_sum", "_n")
 
 
-def normalise(df: DataFrame, keys: Sequence[str], p: str, name: str, floor: float = 1e-9) -> DataFrame:
+def normalise(df: DataFrame, keys: Sequence[str], p: str, name: str, plan, floor: float = 1e-9) -> DataFrame:
     """Floor and divide by the group's sum."""
     held = F.greatest(F.col(p), F.lit(floor))
-    return with_totals(df.withColumn("_held", held), keys, _sum=F.sum("_held")).withColumn(
+    return with_totals(df.withColumn("_held", held), keys, plan, _sum=F.sum("_held")).withColumn(
         name, F.col("_held") / F.col("_sum")).drop("_held", "_sum")
 
 
-def round_to_total(df: DataFrame, keys: Sequence[str], p: str, member: str, total: Column, name: str,
+def round_to_total(df: DataFrame, keys: Sequence[str], p: str, member: str, total: Column, name: str, plan,
                    places: int = 6) -> DataFrame:
     """Round a group's values and put what rounding lost on its largest one."""
     rounded = df.withColumn("_r", F.round(F.col(p), places))
-    sized = with_totals(rounded, keys, _sum=F.sum("_r"), _top=F.max_by(
+    sized = with_totals(rounded, keys, plan, _sum=F.sum("_r"), _top=F.max_by(
         F.col(member), F.struct(F.col("_r"), -F.col(member))))
     lost = F.round(total - F.col("_sum"), places)
     return sized.withColumn(

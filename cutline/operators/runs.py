@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from cutline.operators.peers import exact_median, gap_to_best
+from cutline.operators.peers import exact_median, gaps_to_best, with_totals
 
 ENTRY = ["event", "entity"]
 STINT = [*ENTRY, "session", "stint"]
@@ -17,37 +17,31 @@ def clean_laps(laps: DataFrame) -> DataFrame:
     return laps.where("coalesce(accurate, false) AND coalesce(green, false) AND lap_ms IS NOT NULL")
 
 
-def long_run_laps(clean: DataFrame, min_laps: int, stint: Sequence[str] = STINT) -> DataFrame:
+def long_run_laps(clean: DataFrame, min_laps: int, plan, stint: Sequence[str] = STINT) -> DataFrame:
     """The laps of stints with at least `min_laps` clean laps. A lap without a stint belongs to none."""
     known = clean.where("session IS NOT NULL AND stint IS NOT NULL")
-    long = known.groupBy(*stint).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_laps).drop("_n")
-    return known.join(long, list(stint), "left_semi")
+    return with_totals(known, stint, plan, _n=F.count("*")).where(F.col("_n") >= min_laps).drop("_n")
 
 
 def practice_frame(laps: DataFrame, plan, min_laps: int = 5,
                    softest_first: Sequence[str] = ("SOFT", "MEDIUM", "HARD")) -> DataFrame:
     """Per entry: laps run, gap of its best lap, long-run laps and pace gap, compounds
     run, and the long-run gap on the softest compound it ran."""
-    clean = clean_laps(laps)
-    counts = laps.groupBy(*ENTRY).agg(F.count("*").alias("practice_laps"))
-    best = clean.groupBy(*ENTRY).agg(F.min("lap_ms").alias("_best"))
-    long = long_run_laps(clean, min_laps)
+    rank = F.coalesce(*[F.when(F.col("compound") == c, i) for i, c in enumerate(softest_first)])
+    clean = clean_laps(laps).withColumn("_rank", rank)
+    is_clean = F.coalesce("accurate", F.lit(False)) & F.coalesce("green", F.lit(False)) & F.col("lap_ms").isNotNull()
+    counts = laps.withColumn("_rank", F.when(is_clean, rank)).groupBy(*ENTRY).agg(
+        F.count("*").alias("practice_laps"), F.min(F.when(is_clean, F.col("lap_ms"))).alias("_best"),
+        F.size(F.collect_set("_rank")).alias("_set"))
+    long = long_run_laps(clean, min_laps, plan)
     paced = exact_median(long, ENTRY, "lap_ms", plan, "_pace").join(
         long.groupBy(*ENTRY).agg(F.count("*").alias("practice_long_run_laps")), ENTRY)
-
-    rank = F.coalesce(*[F.when(F.col("compound") == c, i) for i, c in enumerate(softest_first)])
-    dry = clean.withColumn("_rank", rank).where("_rank IS NOT NULL")
-    # Which compounds were run is a few values per entry: a set, not a distinct count.
-    compounds = dry.groupBy(*ENTRY).agg(F.countDistinct("_rank").alias("practice_compounds"),
-                                        F.min("_rank").alias("_softest"))
-    on_softest = dry.join(compounds.select(*ENTRY, F.col("_softest").alias("_rank")), [*ENTRY, "_rank"], "left_semi")
-    soft = exact_median(long_run_laps(on_softest, min_laps), ENTRY, "lap_ms", plan, "_soft")
-
-    out = counts
-    for part in (best, paced, compounds.drop("_softest"), soft):
+    dry = with_totals(clean.where("_rank IS NOT NULL"), ENTRY, plan, _softest=F.min("_rank"))
+    soft = exact_median(long_run_laps(dry.where("_rank = _softest"), min_laps, plan), ENTRY, "lap_ms", plan, "_soft")
+    out = counts.withColumn("practice_compounds", F.nullif("_set", F.lit(0))).drop("_set")
+    for part in (paced, soft):
         out = out.join(part, ENTRY, "left")
-    for value, name in (("_best", "practice_best_gap_ms"), ("_pace", "practice_long_run_gap_ms"),
-                        ("_soft", "practice_softest_long_run_gap_ms")):
-        out = gap_to_best(out, ["event"], value, name)
+    out = gaps_to_best(out, ["event"], {"_best": "practice_best_gap_ms", "_pace": "practice_long_run_gap_ms",
+                                        "_soft": "practice_softest_long_run_gap_ms"}, plan)
     return out.withColumn("practice_long_run_laps", F.coalesce("practice_long_run_laps", F.lit(0))).drop(
         "_best", "_pace", "_soft")

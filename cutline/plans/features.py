@@ -123,8 +123,9 @@ def last_starters(t: EventTables) -> DataFrame:
 def practice_sessions(t: EventTables) -> DataFrame:
     """(event, session) read by the after-practice snapshot: the first practice alone
     in a short weekend, else all three."""
-    sessions = F.when(F.coalesce("short", F.lit(False)), F.array(F.lit(1))).otherwise(F.array(F.lit(1), F.lit(2), F.lit(3)))
-    return t.events.select("event", F.explode(sessions).cast("bigint").alias("session"))
+    first, all_three = (F.array(*[F.lit(s).cast("bigint") for s in which]) for which in ((1,), (1, 2, 3)))
+    sessions = F.when(F.coalesce("short", F.lit(False)), first).otherwise(all_three)
+    return t.events.select("event", F.explode(sessions).alias("session"))
 
 
 def practice_field(t: EventTables) -> DataFrame:
@@ -177,7 +178,7 @@ def qualifying_frame(qualifying: DataFrame, plan) -> DataFrame:
     """Position, gap to the event's best, gap to the best mate, last session reached."""
     times = [S.duration_ms(F.col(c)) for c in ("q1", "q2", "q3")]
     timed = qualifying.withColumn("best_ms", S.best_of(*times))
-    gaps = peers.gap_to_best(timed, ["event"], "best_ms", "gap_to_best")
+    gaps = peers.gaps_to_best(timed, ["event"], {"best_ms": "gap_to_best"}, plan)
     mates = peers.gap_to_best_peer(gaps, ["event", "grp"], "best_ms", "entity", "gap_to_mate", plan)
     return mates.select("event", "entity", F.col("position").alias("quali_position"), "gap_to_best", "gap_to_mate",
                         F.col("q3").isNotNull().cast("int").alias("reached_last"))

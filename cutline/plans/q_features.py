@@ -119,17 +119,19 @@ def era_context(star: Star) -> DataFrame:
 def frame_sql(snapshot: str) -> str:
     """The feature frame as one SELECT, from the same parts as the single queries."""
     if snapshot == P.POST:
-        fieldsrc = "field AS (SELECT e.event, e.entity, e.grp FROM quali q JOIN entries e USING (event, entity))"
+        fieldsrc = f"""{PREVIOUS}, field AS (SELECT e.event, e.entity, e.grp FROM quali q JOIN entries e USING (event, entity)
+  UNION ALL SELECT p.event, e.entity, e.grp FROM prev p JOIN entries e ON e.event = p.previous
+  WHERE e.code <> 'W' AND p.event NOT IN (SELECT event FROM quali))"""
         lapsrc = "laps"
     else:
         fieldsrc = f"{PREVIOUS}, field AS (SELECT p.event, e.entity, e.grp FROM prev p JOIN entries e ON e.event = p.previous WHERE e.code <> 'W')"
         lapsrc = "laps"
     weekend_ctes = f", {LAPS}, {practice_sql(lapsrc, 1)}" if snapshot == P.POST else ""
     weekend = """,
-  practice_laps, practice_best_gap_ms, practice_long_run_gap_ms, practice_long_run_laps, practice_compounds, practice_softest_long_run_gap_ms,
+  coalesce(practice_laps, 0) AS practice_laps, practice_best_gap_ms, practice_long_run_gap_ms, coalesce(practice_long_run_laps, 0) AS practice_long_run_laps, practice_compounds, practice_softest_long_run_gap_ms,
   qq.position AS quali_position, qq.best - min(qq.best) OVER (PARTITION BY f.event) AS quali_gap_to_best_ms,
   qq.best - (SELECT min(o.best) FROM qg o WHERE o.event = f.event AND o.grp = f.grp AND o.entity <> f.entity) AS quali_mate_gap_ms,
-  CAST(qq.q3 IS NOT NULL AS INTEGER) AS quali_reached_last""" if snapshot == P.POST else ""
+  CASE WHEN qq.event IS NOT NULL THEN CAST(qq.q3 IS NOT NULL AS INTEGER) END AS quali_reached_last""" if snapshot == P.POST else ""
     weekend_join = "LEFT JOIN prac USING (event, entity) LEFT JOIN qg qq USING (event, entity)" if snapshot == P.POST else ""
     names = P.features_for(snapshot)
     outer = ", ".join(f"round(CAST({n} AS DOUBLE), 6) AS {n}" for n in names)

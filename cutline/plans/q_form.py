@@ -136,7 +136,7 @@ WINDOW w AS (PARTITION BY event, grp) QUALIFY count(*) OVER w > 1
 """)
 def leave_one_out(star: Star) -> DataFrame:
     finished = star.entries().where("NOT retired").select("event", "entity", "grp", "finish")
-    return form.peer_means(finished, ["event", "grp"], "finish").select("event", "entity", r6("mate_mean", "mate_mean"))
+    return form.peer_means(finished, ["event", "grp"], "finish", star.planner()).select("event", "entity", r6("mate_mean", "mate_mean"))
 
 
 RELATIVE = """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +38,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     return folder
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame that several branches read into the shared folder and read it
+    back: later plans start from a scan that prunes columns, and a lost executor
+    re-reads files."""
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark).rstrip('/')}/cutline-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise once in the shared folder, so a lost executor re-reads files
     instead of recomputing the lineage."""

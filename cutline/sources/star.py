@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cutline.functions import scalars as S
+from cutline.session import stored
 from cutline.operators.spans import Spans, numbered, plan_spans
 
 ORD_SCALE = 1_000_000_000_000
@@ -144,12 +145,14 @@ class Star:
         return self.spark.createDataFrame(ERAS, "first_season bigint, last_season bigint, era string")
 
     def feature_tables(self):
+        """The event tables, each written once because every part of the frame reads them."""
         from cutline.operators.dense import standings
         from cutline.plans.features import EventTables
 
-        entries, plan = self.entries(), self.planner()
+        entries, plan = stored(self.entries(), "entries"), self.planner()
         table_plan = self.planner(times=12)
         return EventTables(
-            events=self.events(), entries=entries, qualifying=self.qualifying(), laps=self.laps(), eras=self.eras(),
-            entity_standings=standings(entries, "entity", table_plan), group_standings=standings(entries, "grp", table_plan),
+            events=self.events(), entries=entries, qualifying=stored(self.qualifying(), "qualifying"), laps=self.laps(),
+            eras=self.eras(), entity_standings=stored(standings(entries, "entity", table_plan), "entity-standings"),
+            group_standings=stored(standings(entries, "grp", table_plan), "group-standings"),
             plan=plan, plan_events=self.planner("orders"))
