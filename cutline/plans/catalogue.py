@@ -1,3 +1,3 @@
 """Every registered query. Importing this module registers them all."""
 
-from cutline.plans import q_features, q_form  # noqa: F401
+from cutline.plans import q_features, q_form, q_quality  # noqa: F401
