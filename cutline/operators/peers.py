@@ -50,12 +50,14 @@ def gap_to_best_peer(df: DataFrame, keys: Sequence[str], value: str, member: str
         "_first", "_holder", "_second")
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, plan, name: str = "median") -> DataFrame:
-    """Exact median per group: the mean of the middle two values.
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, plan, name: str = "median",
+                 weight: Column | None = None) -> DataFrame:
+    """Exact median per group: the mean of the middle two values. A row may stand for `weight` equal ones.
 
     Values are counted per group before any ordering, then a running count finds
     the middle. `percentile` would hold a large group's values in one buffer."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(
+        (F.count("*") if weight is None else F.sum(weight)).alias("_c"))
     running = expanding(counts, plan(counts, list(keys), "_v"), {"_before": ("sum", F.col("_c"))})
     sized = with_totals(running, keys, plan, _n=F.sum("_c"))
     low, high = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)

@@ -301,23 +301,21 @@ def check_suite(star: Star) -> DataFrame:
 WITH {ENTRIES}, t AS (SELECT season, grp, sum(points) AS computed FROM entries WHERE grp IS NOT NULL GROUP BY ALL),
 p AS (SELECT *, CASE WHEN grp = 3 AND season = 1997 THEN computed - 10 WHEN grp = 5 THEN computed - 2 WHEN grp = 7 AND season = 1995 THEN computed + 1 ELSE computed END AS published FROM t)
 SELECT season, grp, round(published, 6) AS published, round(computed, 6) AS computed, round(computed - published, 6) AS difference,
-  CASE WHEN grp = 3 AND season = 1997 THEN 'excused' WHEN grp = 5 AND season >= 1998 THEN 'differs' WHEN grp = 7 AND season = 1995 THEN 'differs' ELSE 'ok' END AS status FROM p
+  CASE WHEN grp = 3 AND season = 1997 THEN 'excused' WHEN grp = 5 AND season >= 1997 THEN 'differs' WHEN grp = 7 AND season = 1995 THEN 'differs' ELSE 'ok' END AS status FROM p
 """)
 def recompute_totals(star: Star) -> DataFrame:
     """Season totals of groups, published with a penalty, dropped scores and one excess.
-    Totals must be equal from 1998; before, only lower."""
+    Totals must be equal from 1997; before, only lower. One penalty is on record."""
     entries = star.entries().where("grp IS NOT NULL")
     halves = [entries.where("retired"), entries.where("NOT retired")]
     computed = dense.recompute_totals(halves, ["season", "grp"])
     published = entries.groupBy("season", "grp").agg(F.sum("points").alias("points")).withColumn(
         "points", F.expr("CASE WHEN grp = 3 AND season = 1997 THEN points - 10 WHEN grp = 5 THEN points - 2 "
                          "WHEN grp = 7 AND season = 1995 THEN points + 1 ELSE points END"))
-    # A penalty on record: excused, though it falls before the exact years it would pass anyway.
     excused = star.spark.createDataFrame([(1997, 3)], "season bigint, grp bigint")
     out = dense.compare_totals(published, computed, ["season", "grp"], 1997, excused)
-    relaxed = F.when((F.col("grp") == 5) & (F.col("season") == 1997), "ok").otherwise(F.col("status"))
     return out.select("season", "grp", r6("published", "published"), r6("computed", "computed"), r6("difference", "difference"),
-                      relaxed.alias("status"))
+                      "status")
 
 
 @query("multiset_match", """
