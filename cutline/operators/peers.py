@@ -86,7 +86,7 @@ def rescale(df: DataFrame, keys: Sequence[str], p: str, places: int, name: str,
             low: float = 1e-6, high: float = 1 - 1e-6) -> DataFrame:
     """Scale a group's chances to fill min(places, n) places, then clip."""
     sized = with_totals(df, keys, plan, _sum=F.sum(p), _n=F.count("*"))
-    filled = F.col(p) * F.least(F.lit(places), F.col("_n")) / F.col("_sum")
+    filled = F.coalesce(F.try_divide(F.col(p) * F.least(F.lit(places), F.col("_n")), F.col("_sum")), F.lit(0.0))
     return sized.withColumn(name, F.least(F.greatest(filled, F.lit(low)), F.lit(high))).drop("_sum", "_n")
 
 
@@ -94,7 +94,7 @@ def normalise(df: DataFrame, keys: Sequence[str], p: str, name: str, plan, floor
     """Floor and divide by the group's sum."""
     held = F.greatest(F.col(p), F.lit(floor))
     return with_totals(df.withColumn("_held", held), keys, plan, _sum=F.sum("_held")).withColumn(
-        name, F.col("_held") / F.col("_sum")).drop("_held", "_sum")
+        name, F.coalesce(F.try_divide("_held", "_sum"), F.lit(0.0))).drop("_held", "_sum")
 
 
 def round_to_total(df: DataFrame, keys: Sequence[str], p: str, member: str, total: Column, name: str, plan,

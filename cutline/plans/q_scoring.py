@@ -31,9 +31,9 @@ def score_sql(source: str, name: str, run: str = "") -> str:
     """Score rows (run, event, entity, p, won, podium) per event."""
     keys = f"{run}, event" if run else "event"
     return f"""
-{name}_r AS (SELECT *, rank() OVER (PARTITION BY {keys} ORDER BY p DESC) AS rk, count(*) OVER (PARTITION BY {keys}, p) AS ties, sum(p) OVER (PARTITION BY {keys}) AS tot FROM {source}),
-{name} AS (SELECT {keys}, -ln(greatest(coalesce(sum(CASE WHEN won = 1 THEN p / tot END), 0), 1e-9)) AS log_loss,
-  sum(pow(p / tot - won, 2)) + CASE WHEN sum(won) = 0 THEN 1 ELSE 0 END AS brier,
+{name}_r AS (SELECT *, rank() OVER (PARTITION BY {keys} ORDER BY p DESC) AS rk, count(*) OVER (PARTITION BY {keys}, p) AS ties, coalesce(p / nullif(sum(p) OVER (PARTITION BY {keys}), 0), 0) AS sh FROM {source}),
+{name} AS (SELECT {keys}, -ln(greatest(coalesce(sum(CASE WHEN won = 1 THEN sh END), 0), 1e-9)) AS log_loss,
+  sum(pow(sh - won, 2)) + CASE WHEN sum(won) = 0 THEN 1 ELSE 0 END AS brier,
   sum(least(greatest((2 - rk) / ties, 0.0), 1.0) * won) AS winner_hit, sum(least(greatest((4 - rk) / ties, 0.0), 1.0) * podium) AS podium_hits
   FROM {name}_r GROUP BY {keys})"""
 
