@@ -40,8 +40,12 @@ def score_events(preds: DataFrame, actual: DataFrame, plan, run: Sequence[str] =
     Ties are settled by expectation. A winner outside the field costs a full Brier point."""
     keys = [*run, "event"]
     fair = tie_fair(tie_fair(preds, keys, "p", 1, plan, "_top"), keys, "p", places, plan, "_place")
-    held = with_totals(fair, keys, plan, _sum=F.sum("p")).withColumn(
-        "p", F.coalesce(F.try_divide("p", "_sum"), F.lit(0.0)))  # a field given nothing at all keeps nothing
+    # A field given nothing at all keeps nothing, and has no favourites.
+    sized = with_totals(fair, keys, plan, _sum=F.sum("p"), _size=F.count("*"))
+    some = F.col("_sum") > 0
+    held = sized.withColumns({
+        "p": F.coalesce(F.try_divide("p", "_sum"), F.lit(0.0)), "_top": F.when(some, F.col("_top")).otherwise(0.0),
+        "_place": F.when(some | (F.col("_size") <= places), F.col("_place")).otherwise(0.0)})
     joined = held.join(actual.select("event", "entity", "won", "podium"), ["event", "entity"], "left")
     won, podium = F.coalesce("won", F.lit(0)), F.coalesce("podium", F.lit(0))
     scored = joined.groupBy(*keys).agg(

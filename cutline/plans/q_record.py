@@ -130,7 +130,7 @@ def ledger(star: Star) -> DataFrame:
     return out.select("event", *[r6(c, c) for c in evaluate.METRICS], "undefined", r6("baseline_log_loss", "baseline_log_loss"))
 
 
-@query("track_record", PUBLISHED + """ SELECT season, venue, count(*) AS events, count(*) - count(log_loss) AS undefined, count(*) FILTER (WHERE log_loss < baseline_log_loss) AS model_better,
+@query("track_record", PUBLISHED + """ SELECT season, venue, count(*) AS events, count(*) - count(log_loss) AS undefined, count(*) FILTER (WHERE log_loss < baseline_log_loss - 1e-9) AS model_better,
   round(CASE WHEN count(*) >= 4 THEN avg(log_loss) END, 6) AS mean_log_loss, round(CASE WHEN count(*) >= 4 THEN avg(baseline_log_loss) FILTER (WHERE log_loss IS NOT NULL) END, 6) AS baseline_log_loss
   FROM led JOIN ev USING (event) GROUP BY season, venue""")
 def track_record(star: Star) -> DataFrame:

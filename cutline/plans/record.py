@@ -100,7 +100,7 @@ def track_record(entries: DataFrame, series: Sequence[str], minimum: int = 4) ->
     out = entries.groupBy(*series).agg(
         F.count("*").alias("events"), F.count("log_loss").alias("defined"),
         F.avg("log_loss").alias("_mean"), F.avg(F.when(paired, F.col("baseline_log_loss"))).alias("_bar"),
-        F.count(F.when(paired & (F.col("log_loss") < F.col("baseline_log_loss")), 1)).alias("model_better"))
+        F.count(F.when(paired & (F.col("log_loss") < F.col("baseline_log_loss") - 1e-9), 1)).alias("model_better"))
     enough = F.col("events") >= minimum
     return out.select(*series, "events", (F.col("events") - F.col("defined")).alias("undefined"), "model_better",
                       F.when(enough, F.col("_mean")).alias("mean_log_loss"), F.when(enough, F.col("_bar")).alias("baseline_log_loss"))
