@@ -32,11 +32,11 @@ def score_sql(source: str, name: str, run: str = "") -> str:
     keys = f"{run}, event" if run else "event"
     return f"""
 {name}_r AS (SELECT *, rank() OVER (PARTITION BY {keys} ORDER BY p DESC) AS rk, count(*) OVER (PARTITION BY {keys}, p) AS ties, coalesce(p / nullif(sum(p) OVER (PARTITION BY {keys}), 0), 0) AS sh,
-  sum(p) OVER (PARTITION BY {keys}) > 0 AS some, count(*) OVER (PARTITION BY {keys}) AS size FROM {source}),
+  sum(p) OVER (PARTITION BY {keys}) > 0 AS given, count(*) OVER (PARTITION BY {keys}) AS size FROM {source}),
 {name} AS (SELECT {keys}, -ln(greatest(coalesce(sum(CASE WHEN won = 1 THEN sh END), 0), 1e-9)) AS log_loss,
   sum(pow(sh - won, 2)) + CASE WHEN sum(won) = 0 THEN 1 ELSE 0 END AS brier,
-  sum(CASE WHEN some THEN least(greatest((2 - rk) / ties, 0.0), 1.0) * won ELSE 0 END) AS winner_hit,
-  sum(CASE WHEN some OR size <= 3 THEN least(greatest((4 - rk) / ties, 0.0), 1.0) * podium ELSE 0 END) AS podium_hits
+  sum(CASE WHEN given THEN least(greatest((2 - rk) / ties, 0.0), 1.0) * won ELSE 0 END) AS winner_hit,
+  sum(CASE WHEN given OR size <= 3 THEN least(greatest((4 - rk) / ties, 0.0), 1.0) * podium ELSE 0 END) AS podium_hits
   FROM {name}_r GROUP BY {keys})"""
 
 
