@@ -20,17 +20,27 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
 
 
-def read_stream(spark: SparkSession, path: str, like: DataFrame, files_per_batch: int | None = None) -> DataFrame:
-    """Parquet files as a stream, with the schema of a batch read of them."""
+def read_stream(spark: SparkSession, folder: str, like: DataFrame, files: str | None = None,
+                files_per_batch: int | None = None) -> DataFrame:
+    """The Parquet files of a folder (those matching a pattern) as a stream, with the schema of
+    a batch read of them."""
     reader = spark.readStream.schema(like.schema)
+    if files:
+        reader = reader.option("pathGlobFilter", files)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path)
+    return reader.parquet(folder)
+
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def run_to_table(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all input there is, into Parquet, and read it back."""
+    """Run a stream over all input there is, into Parquet, and read it back. State is kept in
+    RocksDB, on disk, which custom processors need and large state wants."""
     spark = df.sparkSession
+    spark.conf.set(STATE_STORE, ROCKSDB)
     folder = work_folder(spark, name)
     q = df.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/out").option(
         "checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
@@ -39,35 +49,38 @@ def run_to_table(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
 
 
 # ----------------------------------------------------------- incremental upsert
-def upsert_changes(stream: DataFrame, current: DataFrame, keys: Sequence[str], columns: Sequence[str], name: str) -> tuple[str, str]:
+def latest_rows(base: DataFrame, deltas: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A table and the rows that replaced some of its own: the newest row per key."""
+    newest = deltas.groupBy(*keys).agg(F.max_by(F.struct(*base.columns), "batch_id").alias("_r")).select("_r.*")
+    return base.join(newest.select(*keys), list(keys), "left_anti").unionByName(newest)
+
+
+def upsert_changes(stream: DataFrame, current: DataFrame, keys: Sequence[str], columns: Sequence[str], name: str) -> tuple[DataFrame, DataFrame]:
     """Apply a stream of re-fetched rows to a table, logging every cell that changed.
 
-    Each batch reads the newest version, diffs the rows it brings against it and writes the
-    next version; a version is complete before anyone reads it, so a failed batch can be
-    repeated. Returns the folders of the versions and of the change log."""
+    A batch writes only the rows it brings; the table itself is not rewritten. Each batch has
+    its own folder, so a batch that is repeated after a failure replaces what it wrote.
+    Returns the table after the stream, and the change log."""
     spark = stream.sparkSession
     folder = work_folder(spark, name)
-    current.write.parquet(f"{folder}/table/version=-1")
+    delta_schema = current.limit(0).withColumn("batch_id", F.lit(0).cast("bigint")).schema
+    log_schema = ", ".join(f"`{k}` {dict(current.dtypes)[k]}" for k in keys) + ", `column` string, `left` string, `right` string, batch_id bigint"
+    current.limit(0).write.parquet(f"{folder}/delta/batch_id=-1")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        before = session.read.schema(current.schema).parquet(f"{folder}/table/version={batch_id - 1}")
-        latest = batch.dropDuplicates(list(keys)).persist()
-        cells = diff_cells(before, latest, keys, columns).withColumn("batch", F.lit(batch_id))
-        cells.write.mode("overwrite").parquet(f"{folder}/log/batch_id={batch_id}")
-        after = before.join(latest.select(*keys), list(keys), "left_anti").unionByName(latest.select(*current.columns))
-        after.write.mode("overwrite").parquet(f"{folder}/table/version={batch_id}")
+        latest = batch.select(*current.columns).dropDuplicates(list(keys)).persist()
+        earlier = session.read.schema(delta_schema).parquet(f"{folder}/delta").where(F.col("batch_id") < batch_id)
+        asked = latest.select(*keys)
+        before = latest_rows(current.join(asked, list(keys), "left_semi"), earlier.join(asked, list(keys), "left_semi"), keys)
+        diff_cells(before, latest, keys, columns).write.mode("overwrite").parquet(f"{folder}/log/batch_id={batch_id}")
+        latest.write.mode("overwrite").parquet(f"{folder}/delta/batch_id={batch_id}")
         latest.unpersist()
 
     q = stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     q.awaitTermination()
-    return f"{folder}/table", f"{folder}/log"
-
-
-def newest_version(spark: SparkSession, table: str) -> DataFrame:
-    versions = spark.read.parquet(table)
-    last = versions.agg(F.max("version")).first()[0]
-    return versions.where(F.col("version") == last).drop("version")
+    table = latest_rows(current, spark.read.schema(delta_schema).parquet(f"{folder}/delta"), keys)
+    return table, spark.read.schema(log_schema).parquet(f"{folder}/log")
 
 
 # ------------------------------------------------------------ provisional window
@@ -103,8 +116,8 @@ def session_counts(stream: DataFrame, key: str, time: str, gap: str, delay: str)
 
 
 def slow_laps(stream: DataFrame, time: str, value: str, window: str, ratio: float, delay: str, group: str) -> DataFrame:
-    """Per window and group: rows, and how many are at least `ratio` times the window's mean. Sums
-    of values and of squares are all the state there is."""
+    """Per window and group: rows, total, slowest, and whether the slowest is at least `ratio`
+    times the mean. Three numbers per window are all the state there is."""
     timed = stream.withWatermark(time, delay)
     return timed.groupBy(F.window(time, window).alias("w"), group).agg(
         F.count("*").alias("rows"), F.sum(value).alias("total"), F.max(value).alias("slowest")).select(
@@ -131,7 +144,7 @@ class PredictThenLearn(StatefulProcessor):
         self.counts = handle.getValueState("counts", "wins double, starts double")
         self.waiting = handle.getMapState("waiting", "at bigint, event bigint, entity bigint", "won double")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for batch in rows:
             for r in batch.itertuples(index=False):
                 at = int(pd.Timestamp(r.ts).value // 1_000_000)
@@ -139,8 +152,8 @@ class PredictThenLearn(StatefulProcessor):
                 self.handle.registerTimer(at + 1)
         return iter([])
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
-        limit = expired_timer_info.getExpiryTimeInMs()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        limit = expiredTimerInfo.getExpiryTimeInMs()
         wins, starts = self.counts.get() if self.counts.exists() else (0.0, 0.0)
         due = sorted((k, v[0]) for k, v in self.waiting.iterator() if k[0] < limit)
         out, i = [], 0
@@ -181,7 +194,7 @@ class RatingFold(StatefulProcessor):
         self.ratings = handle.getMapState("ratings", "entity bigint", "rating double")
         self.waiting = handle.getMapState("waiting", "at bigint, event bigint, entity bigint", "finish bigint, retired boolean")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for batch in rows:
             for r in batch.itertuples(index=False):
                 at = int(pd.Timestamp(r.ts).value // 1_000_000)
@@ -189,12 +202,12 @@ class RatingFold(StatefulProcessor):
                 self.handle.registerTimer(at + 1)
         return iter([])
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         import numpy as np
 
         from cutline.plans.rules import elo_update
 
-        limit = expired_timer_info.getExpiryTimeInMs()
+        limit = expiredTimerInfo.getExpiryTimeInMs()
         due = sorted((k, v) for k, v in self.waiting.iterator() if k[0] < limit)
         i, out = 0, []
         while i < len(due):
