@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator, Sequence
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -127,110 +128,123 @@ def slow_laps(stream: DataFrame, time: str, value: str, window: str, ratio: floa
 
 # ------------------------------------------------------------------ predict, then learn
 RATE_OUT = StructType([StructField("event", LongType()), StructField("entity", LongType()), StructField("slot", LongType()), StructField("p", DoubleType())])
+RATING_OUT = StructType([StructField("event", LongType()), StructField("entity", LongType()), StructField("rating", DoubleType())])
 
 
-class PredictThenLearn(StatefulProcessor):
-    """Rate of success per slot: each event is predicted from the counts before it, then counted.
+class EventOrder(StatefulProcessor):
+    """Rows of a key, taken in event-time order whatever order they arrive in.
 
-    Rows wait in state until the watermark passes their time, so they are taken in event
-    order whatever order they arrive in. Two counters per slot are kept for good; a waiting
-    row is removed once it is predicted."""
+    Rows wait in a list until the watermark passes their time. One timer stands for the
+    earliest of them; when it fires, everything due is taken at once, so a batch costs one
+    read and one write of the list."""
 
-    def __init__(self, alpha: float = 1.0, places: int = 20):
-        self.alpha, self.places = alpha, places
+    fields = ""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.counts = handle.getValueState("counts", "wins double, starts double")
-        self.waiting = handle.getMapState("waiting", "at bigint, event bigint, entity bigint", "won double")
+        self.waiting = handle.getListState("waiting", f"at bigint, event bigint, entity bigint, {self.fields}")
+
+    def values(self, row) -> tuple:
+        raise NotImplementedError
+
+    def take(self, key, due: list[tuple]) -> pd.DataFrame:
+        raise NotImplementedError
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            for r in batch.itertuples(index=False):
-                at = int(pd.Timestamp(r.ts).value // 1_000_000)
-                self.waiting.updateValue((at, int(r.event), int(r.entity)), (float(r.won),))
-                self.handle.registerTimer(at + 1)
+        new = [(int(pd.Timestamp(r.ts).value // 1_000_000), int(r.event), int(r.entity), *self.values(r))
+               for batch in rows for r in batch.itertuples(index=False)]
+        if new:
+            self.waiting.appendList(new)
+            self.handle.registerTimer(min(r[0] for r in new) + 1)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        limit = expiredTimerInfo.getExpiryTimeInMs()
-        wins, starts = self.counts.get() if self.counts.exists() else (0.0, 0.0)
-        due = sorted((k, v[0]) for k, v in self.waiting.iterator() if k[0] < limit)
-        out, i = [], 0
-        while i < len(due):
-            same = [d for d in due[i:] if d[0][0] == due[i][0][0]]
-            p = (wins + self.alpha) / (starts + self.alpha * self.places)
-            out += [(d[0][1], d[0][2], int(key[0]), p) for d in same]
-            wins, starts = wins + sum(d[1] for d in same), starts + len(same)
-            for d in same:
-                self.waiting.removeKey(d[0])
-            i += len(same)
-        self.counts.update((wins, starts))
-        if out:
-            yield pd.DataFrame(out, columns=["event", "entity", "slot", "p"])
+        passed = timerValues.getCurrentWatermarkInMs()
+        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        due, left = [r for r in held if r[0] < passed], [r for r in held if r[0] >= passed]
+        if due:
+            self.waiting.clear()
+            if left:
+                self.waiting.put(left)
+                self.handle.registerTimer(min(r[0] for r in left) + 1)
+            yield self.take(key, sorted(due))
 
     def close(self) -> None:
         pass
 
 
-def predict_then_learn(stream: DataFrame, slot: str, time: str, delay: str) -> DataFrame:
-    """`stream`: event, entity, slot, won and an event time that orders events strictly."""
-    rows = stream.select("event", "entity", F.col(slot).cast("bigint").alias("slot"), "won", F.col(time).alias("ts"))
-    return rows.withWatermark("ts", delay).groupBy("slot").transformWithStateInPandas(
-        PredictThenLearn(), RATE_OUT, outputMode="Append", timeMode="EventTime")
+def by_event(due: list[tuple]) -> Iterator[list[tuple]]:
+    """Runs of rows that share a time and an event."""
+    return (list(g) for _, g in groupby(due, key=lambda r: r[:2]))
 
 
-RATING_OUT = StructType([StructField("event", LongType()), StructField("entity", LongType()), StructField("rating", DoubleType())])
+class PredictThenLearn(EventOrder):
+    """Rate of success per slot: each event is predicted from the counts before it, then counted."""
+
+    fields = "won double"
+
+    def __init__(self, alpha: float = 1.0, places: int = 20):
+        self.alpha, self.places = alpha, places
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.counts = handle.getValueState("counts", "wins double, starts double")
+
+    def values(self, row) -> tuple:
+        return (float(row.won),)
+
+    def take(self, key, due: list[tuple]) -> pd.DataFrame:
+        wins, starts = self.counts.get() if self.counts.exists() else (0.0, 0.0)
+        out = []
+        for rows in by_event(due):
+            p = (wins + self.alpha) / (starts + self.alpha * self.places)
+            out += [(r[1], r[2], int(key[0]), p) for r in rows]
+            wins, starts = wins + sum(r[3] for r in rows), starts + len(rows)
+        self.counts.update((wins, starts))
+        return pd.DataFrame(out, columns=["event", "entity", "slot", "p"])
+
 
+class RatingFold(EventOrder):
+    """Ratings of one pool, updated event by event."""
 
-class RatingFold(StatefulProcessor):
-    """Ratings of one pool, updated event by event in event-time order."""
+    fields = "finish bigint, retired boolean"
 
     def __init__(self, k: float = 24.0, scale: float = 400.0, start: float = 1500.0):
         self.k, self.scale, self.start = k, scale, start
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+        super().init(handle)
         self.ratings = handle.getMapState("ratings", "entity bigint", "rating double")
-        self.waiting = handle.getMapState("waiting", "at bigint, event bigint, entity bigint", "finish bigint, retired boolean")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            for r in batch.itertuples(index=False):
-                at = int(pd.Timestamp(r.ts).value // 1_000_000)
-                self.waiting.updateValue((at, int(r.event), int(r.entity)), (int(r.finish), bool(r.retired)))
-                self.handle.registerTimer(at + 1)
-        return iter([])
+    def values(self, row) -> tuple:
+        return int(row.finish), bool(row.retired)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def take(self, key, due: list[tuple]) -> pd.DataFrame:
         import numpy as np
 
         from cutline.plans.rules import elo_update
 
-        limit = expiredTimerInfo.getExpiryTimeInMs()
-        due = sorted((k, v) for k, v in self.waiting.iterator() if k[0] < limit)
-        i, out = 0, []
-        while i < len(due):
-            event = due[i][0][1]
-            same = [d for d in due[i:] if d[0][1] == event and d[0][0] == due[i][0][0]]
-            ids = [d[0][2] for d in same]
-            rated = [self.ratings.getValue((e,))[0] if self.ratings.containsKey((e,)) else self.start for e in ids]
-            out += list(zip([event] * len(ids), ids, rated))
-            order = sorted((d[1][0], n) for n, d in enumerate(same) if not d[1][1])
-            new = elo_update(np.array([rated[n] for _, n in order]), self.k, self.scale)
-            for (_, n), value in zip(order, new):
-                self.ratings.updateValue((ids[n],), (float(value),))
-            for d in same:
-                self.waiting.removeKey(d[0])
-            i += len(same)
-        if out:
-            yield pd.DataFrame(out, columns=["event", "entity", "rating"])
+        touched = {r[2] for r in due}
+        now = {e: self.ratings.getValue((e,))[0] if self.ratings.containsKey((e,)) else self.start for e in touched}
+        out = []
+        for rows in by_event(due):
+            out += [(r[1], r[2], now[r[2]]) for r in rows]
+            order = [r[2] for r in sorted(rows, key=lambda r: r[3]) if not r[4]]
+            now.update(zip(order, map(float, elo_update(np.array([now[e] for e in order]), self.k, self.scale))))
+        for e in touched:
+            self.ratings.updateValue((e,), (now[e],))
+        return pd.DataFrame(out, columns=["event", "entity", "rating"])
 
-    def close(self) -> None:
-        pass
+
+def predict_then_learn(stream: DataFrame, slot: str, time: str, delay: str) -> DataFrame:
+    """`stream`: event, entity, slot, won and an event time that orders events strictly."""
+    rows = stream.select("event", "entity", F.col(slot).cast("bigint").alias("slot"), "won", F.col(time).alias("ts"))
+    return rows.withWatermark("ts", delay).groupBy("slot").transformWithStateInPandas(
+        PredictThenLearn(), RATE_OUT, outputMode="Append", timeMode="EventTime")
 
 
 def rating_stream(stream: DataFrame, pool: str, time: str, delay: str) -> DataFrame:
+    """`stream`: pool, event, entity, finish, retired and such an event time."""
     rows = stream.select(F.col(pool).alias("pool"), "event", "entity", "finish", "retired", F.col(time).alias("ts"))
     return rows.withWatermark("ts", delay).groupBy("pool").transformWithStateInPandas(
         RatingFold(), RATING_OUT, outputMode="Append", timeMode="EventTime")
