@@ -57,7 +57,7 @@ def resolve_entities(seen: DataFrame, entities: DataFrame, numbers: DataFrame, r
     """
     ref = F.nullif(F.trim("ref"), F.lit(""))
     ref = F.when(~F.lower(ref).isin("nan", "none"), ref)
-    given = seen.withColumn("ref", ref).withColumn("number", S.number(F.col("number")).cast("bigint"))
+    given = seen.withColumns({"ref": ref, "_given": F.col("number"), "number": S.number(F.col("number").cast("string")).cast("bigint")})
     by_ref = given.join(entities.select("ref", F.col("entity").alias("_by_ref")), "ref", "left")
     both = by_ref.join(unique_numbers(numbers, ["season", "number"], "entity"), ["season", "number"], "left")
     via = F.when(F.col("_by_ref").isNotNull(), "ref").when(F.col("_by_number").isNotNull(), "number")
@@ -81,7 +81,8 @@ def resolve_entities(seen: DataFrame, entities: DataFrame, numbers: DataFrame, r
                          "number not recorded for the entity that season")
     surname_note = F.when(F.col("entity").isNotNull() & F.col("surname").isNotNull() & (F.trim("surname") != "")
                           & (S.name_key(F.col("surname")) != S.name_key(F.col("entity_surname"))), "surname differs")
-    return out.select(*seen.columns, "entity", "via", "reason", F.coalesce("_raced", F.lit(False)).alias("is_entrant"),
+    shown = [F.col("_given").alias("number") if c == "number" else F.col(c) for c in seen.columns]
+    return out.select(*shown, "entity", "via", "reason", F.coalesce("_raced", F.lit(False)).alias("is_entrant"),
                       F.nullif(F.concat_ws("; ", number_note, surname_note), F.lit("")).alias("note"))
 
 

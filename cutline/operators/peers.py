@@ -58,7 +58,7 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, plan, name: str
     the middle. `percentile` would hold a large group's values in one buffer."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(
         (F.count("*") if weight is None else F.sum(weight)).alias("_c"))
-    running = expanding(counts, plan(counts, list(keys), "_v"), {"_before": ("sum", F.col("_c"))})
+    running = expanding(counts, plan(counts, list(keys), "_v"), {"_before": ("sum", F.col("_c"))}, order_by=[])
     sized = with_totals(running, keys, plan, _n=F.sum("_c"))
     low, high = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
 

@@ -129,9 +129,11 @@ def expanding(
 
     `aggregates` maps a new column to ("sum" | "min" | "max", expression). Rows
     with an equal ordering value see none of each other, unless `inclusive`: then
-    all of them are seen, or, with `order_by`, those up to the row itself.
-    An empty sum is 0.
+    all of them are seen, or, with `order_by`, those up to the row itself. Without
+    `order_by` the ordering column must be a whole number. An empty sum is 0.
     """
+    if order_by is None and dict(df.dtypes)[spans.order] not in ("bigint", "int", "smallint", "tinyint"):
+        raise ValueError(f"{spans.order} is not a whole number: give a total order by `order_by`")
     tagged = spans.tag(df)
     group = Window.partitionBy(*spans.group)
     if order_by is not None:

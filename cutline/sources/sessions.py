@@ -19,6 +19,7 @@ KEYS = ("season", "event", "session")
 
 def interval_ms(value: Column) -> Column:
     """A day-time interval in milliseconds, half away from zero."""
+    value = value.cast("interval day to second")
     return F.round(F.extract(F.lit("SECOND"), value).cast("double") * 1000 + F.extract(F.lit("MINUTE"), value) * 60_000
                    + F.extract(F.lit("HOUR"), value) * 3_600_000 + F.extract(F.lit("DAY"), value) * 86_400_000).cast("bigint")
 
