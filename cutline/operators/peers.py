@@ -30,24 +30,20 @@ def gaps_to_best(df: DataFrame, keys: Sequence[str], gaps: dict[str, str], plan)
     return sized.select(*df.columns, *[(F.col(v) - F.col(f"_least_{v}")).alias(n) for v, n in gaps.items()])
 
 
-def two_best(df: DataFrame, keys: Sequence[str], value: str, member: str, plan) -> DataFrame:
-    """Per group: its smallest value with the member holding it, and the next one."""
-    present = df.where(F.col(value).isNotNull() & reduce(lambda a, k: a & F.col(k).isNotNull(), keys, F.lit(True)))
-    ranked = numbered(present.select(*keys, value, member), plan(present, list(keys), value), "_rank",
-                      ties=[F.col(member)]).where("_rank <= 2")
-    return ranked.groupBy(*keys).agg(
-        F.min(F.when(F.col("_rank") == 1, F.col(value))).alias("_first"),
-        F.min(F.when(F.col("_rank") == 1, F.col(member))).alias("_holder"),
-        F.min(F.when(F.col("_rank") == 2, F.col(value))).alias("_second"),
-    )
-
-
 def gap_to_best_peer(df: DataFrame, keys: Sequence[str], value: str, member: str, name: str, plan) -> DataFrame:
-    """Distance to the best value among the other members of the group."""
-    best = two_best(df, keys, value, member, plan)
-    other = F.when(F.col(member) == F.col("_holder"), F.col("_second")).otherwise(F.col("_first"))
-    return df.join(best, list(keys), "left").withColumn(name, F.col(value) - other).drop(
-        "_first", "_holder", "_second")
+    """Distance to the best value among the other members of the group; null where the value
+    or a key is null, or nobody else has a value.
+
+    The best other is the group's smallest value, or the second smallest for whoever holds it,
+    so members are ranked and never paired."""
+    group = [*keys, "_timed"]
+    known = reduce(lambda a, k: a & F.col(k).isNotNull(), keys, F.col(value).isNotNull())
+    marked = df.withColumn("_timed", known)
+    ranked = numbered(marked, plan(marked, group, value), "_rank", ties=[F.col(member)])
+    sized = with_totals(ranked, group, plan, _first=F.min(F.when(F.col("_rank") == 1, F.col(value))),
+                        _second=F.min(F.when(F.col("_rank") == 2, F.col(value))))
+    other = F.when(F.col("_rank") == 1, F.col("_second")).otherwise(F.col("_first"))
+    return sized.select(*df.columns, F.when(F.col("_timed"), F.col(value) - other).alias(name))
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, plan, name: str = "median",

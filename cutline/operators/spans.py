@@ -219,15 +219,19 @@ def trailing(
 
 
 def numbered(
-    df: DataFrame, spans: Spans, name: str, ties: Sequence[Column] = (), kind: str = "row_number"
+    df: DataFrame, spans: Spans, name: str, ties: Sequence[Column] = (), kind: str = "row_number",
+    peers_name: str | None = None,
 ) -> DataFrame:
-    """Row number or rank per key. Rows of earlier spans are counted in."""
+    """Row number or rank per key, and on request how many rows share the ordering value.
+    Rows of earlier spans are counted in; equal values always share a span."""
     tagged = spans.tag(df)
     order_by = [F.col(spans.order), *(ties if kind == "row_number" else [])]
     window = Window.partitionBy(*spans.group).orderBy(*order_by)
     local = {"row_number": F.row_number, "rank": F.rank}[kind]().over(window)
+    peers = [] if peers_name is None else [
+        F.count("*").over(Window.partitionBy(*spans.group).orderBy(spans.order).rangeBetween(0, 0)).alias(peers_name)]
     if spans.cuts is None:
-        return tagged.withColumn(name, local.cast("bigint"))
+        return tagged.select("*", local.cast("bigint").alias(name), *peers)
     before = Window.partitionBy(*spans.keys).orderBy(SPAN).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         tagged.join(F.broadcast(spans.cuts.select(*spans.keys)), list(spans.keys), "left_semi")
@@ -237,9 +241,10 @@ def numbered(
     if spans.broadcast_cuts:
         offsets = F.broadcast(offsets)
     return (
-        tagged.withColumn("_local", local)
+        tagged.select("*", local.alias("_local"), *peers)
         .join(offsets, spans.group, "left")
-        .select(*df.columns, (F.col("_local") + F.coalesce("_offset", F.lit(0))).cast("bigint").alias(name))
+        .select(*df.columns, (F.col("_local") + F.coalesce("_offset", F.lit(0))).cast("bigint").alias(name),
+                *([peers_name] if peers_name else []))
     )
 
 

@@ -25,12 +25,12 @@ def overlap_credit(rank: Column, ties: Column, k: int) -> Column:
     return F.least(F.greatest((k + 1 - rank) / ties, F.lit(0.0)), F.lit(1.0))
 
 
-def tie_fair(df: DataFrame, keys: Sequence[str], p: str, k: int, plan, name: str = "credit") -> DataFrame:
-    """Add each row's share of the top k by probability, ties split evenly."""
+def tie_fair(df: DataFrame, keys: Sequence[str], p: str, plan, **credits: int) -> DataFrame:
+    """Add each row's share of the top k by probability, ties split evenly: one new column per
+    `name=k`, all read from one ranking."""
     down = df.withColumn("_down", -F.col(p))
-    ranked = numbered(down, plan(down, list(keys), "_down"), "_rank", kind="rank")
-    tied = with_totals(ranked, [*keys, p], plan, _ties=F.count("*"))
-    return tied.withColumn(name, overlap_credit(F.col("_rank"), F.col("_ties"), k)).drop("_down", "_rank", "_ties")
+    ranked = numbered(down, plan(down, list(keys), "_down"), "_rank", kind="rank", peers_name="_ties")
+    return ranked.select(*df.columns, *[overlap_credit(F.col("_rank"), F.col("_ties"), k).alias(n) for n, k in credits.items()])
 
 
 def score_events(preds: DataFrame, actual: DataFrame, plan, run: Sequence[str] = (), places: int = 3) -> DataFrame:
@@ -39,7 +39,7 @@ def score_events(preds: DataFrame, actual: DataFrame, plan, run: Sequence[str] =
     `preds`: run columns, event, entity, p. `actual`: event, entity, won, podium (0/1).
     Ties are settled by expectation. A winner outside the field costs a full Brier point."""
     keys = [*run, "event"]
-    fair = tie_fair(tie_fair(preds, keys, "p", 1, plan, "_top"), keys, "p", places, plan, "_place")
+    fair = tie_fair(preds, keys, "p", plan, _top=1, _place=places)
     # A field given nothing at all keeps nothing, and has no favourites.
     sized = with_totals(fair, keys, plan, _sum=F.sum("p"), _size=F.count("*"))
     some = F.col("_sum") > 0

@@ -111,7 +111,7 @@ FROM c GROUP BY event
 """)
 def tie_fair_topk(star: Star) -> DataFrame:
     df = star.results().withColumn("p", F.floor(F.col("points") / 10))
-    fair = evaluate.tie_fair(df, ["event"], "p", 2, star.planner())
+    fair = evaluate.tie_fair(df, ["event"], "p", star.planner(), credit=2)
     return fair.groupBy("event").agg(F.round(F.sum("credit"), 6).alias("expected_places"),
                                      F.round(F.sum(F.col("credit") * (F.col("points") > 25).cast("int")), 6).alias("expected_hits"))
 

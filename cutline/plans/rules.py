@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -73,17 +73,24 @@ def mate_rule(df: DataFrame, position: str, plan_events) -> DataFrame:
         "event", "ord", "grp", "entity_a", "entity_b", p.alias("p"), ahead.cast("int").alias("y"))
 
 
-def elo_update(ratings: np.ndarray, k: float, scale: float) -> np.ndarray:
+SMALL_FIELD = 40
+
+
+def elo_update(ratings: Sequence[float], k: float, scale: float) -> list[float]:
     """New ratings of classified finishers, best first: every pair is one comparison, all
     against the ratings before the event, with k shared over the comparisons."""
     n = len(ratings)
     if n < 2:
-        return ratings
-    change = np.zeros(n)
-    for i in range(n):  # one row of the comparison at a time keeps memory linear in the field
-        expected = 1.0 / (1.0 + 10.0 ** ((np.delete(ratings, i) - ratings[i]) / scale))
-        change[i] = (n - 1 - i) - expected.sum()
-    return ratings + k / (n - 1) * change
+        return list(ratings)
+    step = k / (n - 1)
+    if n <= SMALL_FIELD:
+        return [a + step * ((n - 1 - i) - sum(1.0 / (1.0 + 10.0 ** ((b - a) / scale)) for j, b in enumerate(ratings) if j != i))
+                for i, a in enumerate(ratings)]
+    all_of = np.asarray(ratings, dtype=float)
+    # A row of comparisons at a time: memory stays linear in the field. The half taken off is
+    # the comparison with oneself.
+    return [float(a + step * ((n - 1 - i) - ((1.0 / (1.0 + 10.0 ** ((all_of - a) / scale))).sum() - 0.5)))
+            for i, a in enumerate(all_of)]
 
 
 def elo(entries: DataFrame, pool: str, k: float = 24.0, scale: float = 400.0, start: float = 1500.0) -> DataFrame:
@@ -98,36 +105,32 @@ def elo(entries: DataFrame, pool: str, k: float = 24.0, scale: float = 400.0, st
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ratings: dict[int, float] = {}
-        current = None
-        held = None
+        current = held = None
 
-        def settle(g: pd.DataFrame) -> pd.DataFrame:
+        def settle(rows: list[tuple]) -> list[tuple]:
+            """Chances of one event, then its effect on the ratings. Rows come in finishing order."""
             nonlocal current, ratings
-            if g[pool].iloc[0] != current:
-                current, ratings = g[pool].iloc[0], {}
-            ids = g["entity"].tolist()
-            rated = np.array([ratings.get(i, start) for i in ids])
-            strength = 10.0 ** ((rated - rated.max()) / scale)
-            out = pd.DataFrame({"event": g["event"], "entity": ids, "rating": rated,
-                                "p": np.maximum(strength / strength.sum(), FLOOR)})
-            finished = ~g["retired"].to_numpy(dtype=bool)
-            order = np.argsort(g["finish"].to_numpy()[finished], kind="stable")
-            who = np.asarray(ids)[finished][order]
-            ratings.update(zip(who.tolist(), elo_update(rated[finished][order], k, scale).tolist()))
-            return out
-
+            if rows[0][0] != current:
+                current, ratings = rows[0][0], {}
+            rated = [ratings.get(r[3], start) for r in rows]
+            best = max(rated)
+            strength = [10.0 ** ((x - best) / scale) for x in rated]
+            total = sum(strength)
+            finished = [(r[3], x) for r, x in zip(rows, rated) if not r[5]]
+            ratings.update(zip([i for i, _ in finished], elo_update([x for _, x in finished], k, scale)))
+            return [(r[2], r[3], x, max(s / total, FLOOR)) for r, x, s in zip(rows, rated, strength)]
+
+        names = ["event", "entity", "rating", "p"]
         for batch in batches:
-            if held is not None:
-                batch = pd.concat([held, batch], ignore_index=True)
-            if batch.empty:
-                continue
-            # The last event may continue in the next batch.
-            last = batch["event"].iloc[-1]
-            held = batch[batch["event"] == last]
-            done = batch[batch["event"] != last]
-            if len(done):
-                yield pd.concat([settle(g) for _, g in done.groupby("event", sort=False)], ignore_index=True)
-        if held is not None and len(held):
-            yield settle(held)
+            out = []
+            for row in batch.itertuples(index=False, name=None):
+                # An event may continue in the next batch, so it is settled when the next begins.
+                if held and (held[0][0], held[0][2]) != (row[0], row[2]):
+                    out += settle(held)
+                    held = []
+                held = [*held, row] if held else [row]
+            yield pd.DataFrame(out, columns=names)
+        if held:
+            yield pd.DataFrame(settle(held), columns=names)
 
     return ordered.mapInPandas(fold, f"event {types['event']}, entity {types['entity']}, rating double, p double")

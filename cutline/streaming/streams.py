@@ -220,8 +220,6 @@ class RatingFold(EventOrder):
         return int(row.finish), bool(row.retired)
 
     def take(self, key, due: list[tuple]) -> pd.DataFrame:
-        import numpy as np
-
         from cutline.plans.rules import elo_update
 
         touched = {r[2] for r in due}
@@ -230,7 +228,7 @@ class RatingFold(EventOrder):
         for rows in by_event(due):
             out += [(r[1], r[2], now[r[2]]) for r in rows]
             order = [r[2] for r in sorted(rows, key=lambda r: r[3]) if not r[4]]
-            now.update(zip(order, map(float, elo_update(np.array([now[e] for e in order]), self.k, self.scale))))
+            now.update(zip(order, elo_update([now[e] for e in order], self.k, self.scale)))
         for e in touched:
             self.ratings.updateValue((e,), (now[e],))
         return pd.DataFrame(out, columns=["event", "entity", "rating"])
