@@ -2,36 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cutline.operators.spans import Spans, expanding, numbered, trailing
+from cutline.operators.spans import Spans, numbered, trailing
 
 
-def dense_cumulative(points: DataFrame, key: str, value: str, season: str = "season", round_: str = "round") -> DataFrame:
-    """Total of each key after every round of its season, carried through rounds it missed.
+def dense_cumulative(points: DataFrame, calendar: DataFrame, key: str, values: dict[str, Column]) -> DataFrame:
+    """Running totals of each key after every round of its season, carried through rounds it missed.
 
-    The rounds of a season are one small array joined to the season's keys and
-    exploded; the zeros meet the points in one aggregate, so there is no pivot and
-    no product of two tables."""
-    per_round = points.groupBy(season, key, round_).agg(F.sum(value).alias("_v"))
-    calendar = points.groupBy(season).agg(F.collect_set(round_).alias("_rounds"))
-    grid = points.select(season, key).distinct().join(calendar, season).select(
-        season, key, F.explode("_rounds").alias(round_), F.lit(0).alias("_v"))
-    cells = per_round.unionByName(grid).groupBy(season, key, round_).agg(F.sum("_v").alias("_v"))
+    `points`: season, round, the key and what `values` (name -> expression) read. `calendar`:
+    season, round. A key's rounds become one small map, which its season's rounds look up:
+    no pivot, and no product of keys and rounds to join back."""
+    per_round = points.groupBy("season", key, "round").agg(*[F.sum(c).alias(n) for n, c in values.items()])
+    per_key = per_round.groupBy("season", key).agg(
+        F.map_from_entries(F.collect_list(F.struct("round", F.struct(*values)))).alias("_held"))
+    rounds = calendar.groupBy("season").agg(F.collect_set("round").alias("_rounds"))
+    cells = per_key.join(rounds, "season").select("season", key, "_held", F.explode("_rounds").alias("round")).select(
+        "season", key, "round", F.try_element_at("_held", F.col("round")).alias("_v"))
     # A (season, key) has at most one row per round, so its window is small.
-    spans = Spans((season, key), round_)
-    return expanding(cells, spans, {"total": ("sum", F.col("_v"))}, inclusive=True).drop("_v")
+    running = Window.partitionBy("season", key).orderBy("round").rowsBetween(Window.unboundedPreceding, 0)
+    return cells.select("season", key, "round", *[
+        F.coalesce(F.sum(F.col("_v")[n]).over(running), F.lit(0)).alias(n) for n in values])
 
 
-def standings(entries: DataFrame, key: str, plan) -> DataFrame:
+def standings(entries: DataFrame, calendar: DataFrame, key: str, plan) -> DataFrame:
     """Points, wins and rank of every key after every round; ties share the better rank."""
-    points = dense_cumulative(entries.where(F.col(key).isNotNull()), key, "points").withColumnRenamed("total", "standing_points")
-    wins = dense_cumulative(
-        entries.where(F.col(key).isNotNull()).withColumn("_w", (F.col("code") == "1").cast("bigint")), key, "_w"
-    ).withColumnRenamed("total", "wins")
-    table = points.join(wins, ["season", "round", key]).withColumn("_down", -F.col("standing_points"))
-    ranked = numbered(table, plan(table, ["season", "round"], "_down"), "standing_position", kind="rank")
-    return ranked.drop("_down")
+    table = dense_cumulative(entries.where(F.col(key).isNotNull()), calendar, key, {
+        "standing_points": F.col("points"), "wins": (F.col("code") == "1").cast("bigint")})
+    down = table.withColumn("_down", -F.col("standing_points"))
+    return numbered(down, plan(down, ["season", "round"], "_down"), "standing_position", kind="rank").drop("_down")
 
 
 def previous_round(events: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from cutline.sources.star import ERAS, Star
 
 STANDINGS = """
 sp AS (SELECT season, round, {k}, sum(points) AS p, sum(CAST(code = '1' AS INTEGER)) AS w FROM entries WHERE {k} IS NOT NULL GROUP BY ALL),
-sg AS (SELECT * FROM (SELECT DISTINCT season, {k} FROM sp) JOIN (SELECT DISTINCT season, round FROM sp) USING (season)),
+sg AS (SELECT * FROM (SELECT DISTINCT season, {k} FROM sp) JOIN (SELECT DISTINCT season, round FROM ev) USING (season)),
 sc AS (SELECT season, round, {k}, sum(coalesce(p, 0)) OVER c AS standing_points, sum(coalesce(w, 0)) OVER c AS wins
   FROM sg LEFT JOIN sp USING (season, round, {k}) WINDOW c AS (PARTITION BY season, {k} ORDER BY round ROWS UNBOUNDED PRECEDING)),
 st AS (SELECT *, rank() OVER (PARTITION BY season, round ORDER BY standing_points DESC) AS standing_position FROM sc)"""
@@ -32,7 +32,7 @@ WITH {ENTRIES}, {standings_sql("entity", "e")}
 SELECT season, round, entity, round(standing_points, 6) AS standing_points, CAST(wins AS BIGINT) AS wins, standing_position FROM e_st
 """)
 def dense_cumulative(star: Star) -> DataFrame:
-    out = dense.standings(star.entries(), "entity", star.planner(times=12))
+    out = dense.standings(star.entries(), star.events(), "entity", star.planner(times=12))
     return out.select("season", "round", "entity", r6("standing_points", "standing_points"),
                       F.col("wins").cast("bigint").alias("wins"), "standing_position")
 
@@ -45,7 +45,7 @@ LEFT JOIN e_st s ON s.season = e.season AND s.round = pr.previous_round AND s.en
 """)
 def standing_before(star: Star) -> DataFrame:
     entries = star.entries()
-    table = dense.standings(entries, "entity", star.planner(times=12))
+    table = dense.standings(entries, star.events(), "entity", star.planner(times=12))
     out = dense.standing_before(entries.select("event", "entity", "season", "round"), table, star.events(), "entity")
     return out.select("event", "entity", "standing_position", r6("standing_points", "standing_points"))
 

@@ -65,8 +65,8 @@ preds AS (SELECT 'uniform' AS rule, event, entity, 1.0 / field AS p, won, podium
 
 def rule_predictions(star: Star) -> DataFrame:
     """The four closed-form rules on every event that can be scored, in one long frame."""
-    entries = star.entries()
-    table = dense.standings(entries, "entity", star.planner(times=12))
+    entries = stored(star.entries(), "entries")
+    table = dense.standings(entries, star.events(), "entity", star.planner(times=12))
     placed = dense.standing_before(entries, table, star.events(), "entity")
     placed = placed.join(star.qualifying().select("event", "entity", F.col("position").alias("quali_position")), ["event", "entity"], "left")
     plan, plan_events = star.planner(), star.planner("orders")

@@ -153,6 +153,6 @@ class Star:
         table_plan = self.planner(times=12)
         return EventTables(
             events=self.events(), entries=entries, qualifying=stored(self.qualifying(), "qualifying"), laps=self.laps(),
-            eras=self.eras(), entity_standings=stored(standings(entries, "entity", table_plan), "entity-standings"),
-            group_standings=stored(standings(entries, "grp", table_plan), "group-standings"),
+            eras=self.eras(), entity_standings=stored(standings(entries, self.events(), "entity", table_plan), "entity-standings"),
+            group_standings=stored(standings(entries, self.events(), "grp", table_plan), "group-standings"),
             plan=plan, plan_events=self.planner("orders"))

@@ -63,7 +63,7 @@ def test_practice_ignores_short_stints_and_takes_the_softest_run(spark, plan):
 
 def test_dense_totals_carry_through_missed_rounds(spark):
     df = spark.createDataFrame([(2000, 1, 7, 10.0), (2000, 3, 7, 5.0), (2000, 2, 8, 1.0)], "season bigint, round bigint, entity bigint, points double")
-    got = rows(dense.dense_cumulative(df, "entity", "points"), "entity", "round", "total")
+    got = rows(dense.dense_cumulative(df, df, "entity", {"total": F.col("points")}), "entity", "round", "total")
     assert got == [(7, 1, 10.0), (7, 2, 10.0), (7, 3, 15.0), (8, 1, 0.0), (8, 2, 1.0), (8, 3, 1.0)]
 
 
