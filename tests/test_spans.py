@@ -72,10 +72,10 @@ def test_as_of_split_equals_brute_force(spark):
     assert rows(got, "id", "x") == sorted(want, key=repr)
 
 
-def test_plain_plan_has_one_shuffle(spark):
+def test_plain_plan_has_one_shuffle(spark, capsys):
     df = hot(spark).where("key IS NOT NULL")
     spans = plan_spans(df, ["key"], "ord", rows=600)
     out = expanding(df, spans, {"s": ("sum", F.col("x"))}).withColumn(
         "m", F.avg("x").over(Window.partitionBy("key").orderBy("ord").rowsBetween(-2, 0)))
-    text = out._sc._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple")
-    assert text.count("Exchange hashpartitioning") == 1
+    out.explain()
+    assert capsys.readouterr().out.count("Exchange hashpartitioning") == 1
