@@ -14,15 +14,15 @@ def table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path.rstrip('/')}/{name}.parquet")
 
 
-def per_batch(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema: T.StructType) -> DataFrame:
-    """`function` turns a batch of rows into columns by name; a batch may give more or fewer rows than it has."""
+def per_batch(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema: T.StructType, rows: int = 2000) -> DataFrame:
+    """`function` turns some rows, at most `rows`, into columns by name; it may give more or fewer rows than it gets."""
     names = schema.fieldNames()
     arrow = pa.schema([(f.name, arrow_type(f.dataType)) for f in schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                columns = function(batch)
+        for whole in batches:
+            for start in range(0, whole.num_rows, rows):
+                columns = function(whole.slice(start, rows))
                 yield pa.RecordBatch.from_arrays(
                     [c if isinstance(c, pa.Array) else pa.array(c, arrow.field(n).type) for n, c in ((n, columns[n]) for n in names)], schema=arrow)
 

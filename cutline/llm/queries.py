@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from cutline.llm import quality_rules
+from cutline.llm import bpe, decontaminate, quality_rules, token_files
 from cutline.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +42,38 @@ def quality_rule_verdicts(spark: SparkSession, path: str) -> DataFrame:
 @register("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, path: str) -> DataFrame:
     return corpus_pipeline.run(spark, path)
+
+
+_WORDS = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@register("op3_decontamination", f"""
+WITH d AS (SELECT doc_id, coalesce({_WORDS.format('text')}, []) AS w FROM documents),
+i AS (SELECT item_id, {_WORDS.format('text')} AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[s:s + least(10, len(w)) - 1], ' ') AS g
+       FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM i WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT doc_id, s, n, array_to_string(w[s:s + n - 1], ' ') AS g
+       FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d JOIN sizes ON len(w) >= n)),
+hits AS (SELECT DISTINCT doc_id, s, n, item_id FROM dw JOIN iw USING (n, g)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hits) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS listed
+          FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)""")
+def decontamination(spark: SparkSession, path: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.contamination(table(spark, path, "documents"), table(spark, path, "benchmark")))
+
+
+@register("op7_byte_bpe")
+def byte_bpe(spark: SparkSession, path: str) -> DataFrame:
+    vocabulary = bpe.Vocabulary(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.digests(*(bpe.decode(x, vocabulary) for x in bpe.encode(table(spark, path, "documents"), vocabulary)))
+
+
+@register("op6_token_files")
+def token_file_rows(spark: SparkSession, path: str) -> DataFrame:
+    folder = token_files.new_folder(spark, "tokens")
+    token_files.write(table(spark, path, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_files.crc32(token_files.read(spark, folder))
