@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from cutline.llm import bpe, decontaminate, quality_rules, token_files
+from cutline.llm import bpe, decontaminate, near_duplicates, quality_rules, token_files
 from cutline.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,8 @@ def token_file_rows(spark: SparkSession, path: str) -> DataFrame:
     folder = token_files.new_folder(spark, "tokens")
     token_files.write(table(spark, path, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return token_files.crc32(token_files.read(spark, folder))
+
+
+@register("op1_near_duplicates")
+def near_duplicate_classes(spark: SparkSession, path: str) -> DataFrame:
+    return near_duplicates.classes(table(spark, path, "documents")).withColumnRenamed("id", "doc_id")
