@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from cutline.llm import bpe, decontaminate, near_duplicates, quality_rules, token_files
+from cutline.llm import bpe, decontaminate, near_duplicates, passages, quality_rules, token_files
 from cutline.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,8 @@ def token_file_rows(spark: SparkSession, path: str) -> DataFrame:
 @register("op1_near_duplicates")
 def near_duplicate_classes(spark: SparkSession, path: str) -> DataFrame:
     return near_duplicates.classes(table(spark, path, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@register("op2_repeated_passages")
+def repeated_passages(spark: SparkSession, path: str) -> DataFrame:
+    return passages.passages(table(spark, path, "documents")).withColumnRenamed("id", "doc_id")
