@@ -15,6 +15,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import Broadcast
@@ -59,11 +60,14 @@ def boundaries(text: str, pattern: regex.Pattern) -> list[int]:
 
 
 def _part_rows(ids: list, batch: pa.RecordBatch, part) -> dict:
-    offsets, flat = [0], []
-    for x in ids:
-        flat.extend(x)
-        offsets.append(len(flat))
-    return {"id": batch.column("id"), "key": batch.column("key"), "part": part, "ids": lists(flat, offsets, pa.int32())}
+    flat = np.concatenate([np.array(x, np.int32) for x in ids])
+    return {"id": batch.column("id"), "key": batch.column("key"), "part": part, "ids": lists(flat, np.cumsum([0, *map(len, ids)]), pa.int32())}
+
+
+def _id_lists(column: pa.ListArray) -> list[list[int]]:
+    """A list column as Python lists, by way of its flat values."""
+    flat, offsets = column.values.to_numpy(), column.offsets.to_numpy()
+    return [flat[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
 def _whole(docs: DataFrame, shared: Broadcast) -> DataFrame:
@@ -150,7 +154,7 @@ def decode(parts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> dict:
         texts, _, _ = _codec(shared)
-        return {n: batch.column(n) for n in _PART.fieldNames()} | {"bytes": [texts.decode_bytes(x) for x in batch.column("ids").to_pylist()]}
+        return {n: batch.column(n) for n in _PART.fieldNames()} | {"bytes": [texts.decode_bytes(x) for x in _id_lists(batch.column("ids"))]}
 
     return per_batch(parts, run, T.StructType([*_PART.fields, T.StructField("bytes", T.BinaryType())]), rows=512)
 
@@ -162,6 +166,7 @@ _DIGEST = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_
 def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Fold the parts of each text, which come in order; one text's digests are held at a time."""
     at, held = None, None
+    numbers: list[str] = []  # as text, up to the largest id so far
     out: list[tuple] = []
 
     def close() -> None:
@@ -174,12 +179,15 @@ def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
             some = batch.slice(start, 256)
-            for id_, key, part, ids, data in zip(*(some.column(n).to_pylist() for n in ("id", "key", "part", "ids", "bytes")), strict=True):
+            plain = (some.column(n).to_pylist() for n in ("id", "key", "part", "bytes"))
+            for id_, key, part, data, ids in zip(*plain, _id_lists(some.column("ids")), strict=True):
                 if at is None or at != (id_, key) or part == 0:
                     if at is not None:
                         close()
                     at, held = (id_, key), [0, hashlib.sha256(), hashlib.sha256()]
-                held[1].update((("," if held[0] and ids else "") + ",".join(map(str, ids))).encode())
+                if ids and max(ids) >= len(numbers):
+                    numbers.extend(map(str, range(len(numbers), max(ids) + 1)))
+                held[1].update((("," if held[0] and ids else "") + ",".join([numbers[x] for x in ids])).encode())
                 held[0] += len(ids)
                 held[2].update(data)
         yield batch_of(out)
