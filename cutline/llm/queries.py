@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from cutline.llm import bpe, decontaminate, near_duplicates, passages, quality_rules, token_files
-from cutline.llm.frames import table
+from cutline.llm import bpe, chat, decontaminate, near_duplicates, passages, quality_rules, token_files, warc
+from cutline.llm.frames import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -87,3 +87,36 @@ def near_duplicate_classes(spark: SparkSession, path: str) -> DataFrame:
 @register("op2_repeated_passages")
 def repeated_passages(spark: SparkSession, path: str) -> DataFrame:
     return passages.passages(table(spark, path, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@register("op5_warc_captures", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+f AS (SELECT page_id, strlen(html) AS n, sha256(html) AS digest, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to
+FROM f""")
+def warc_captures(spark: SparkSession, path: str) -> DataFrame:
+    folder = token_files.new_folder(spark, "warc")
+    warc.write(table(spark, path, "pages"), folder)
+    found = warc.captures(warc.read(spark, folder), payloads=False)
+    return found.select(F.col("metadata.page_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to_page").alias("refers_to"))
+
+
+_ESCAPED = "regexp_replace({}, '<(\\\\*)\\|', '<\\1\\\\|', 'g')"
+
+
+@register("op9_chat", f"""
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn)) AS loss_sha256,
+       CAST(sum(length('<|im_start|>') + length(role) + 1 + length({_ESCAPED.format('text')}) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id""")
+def chat_texts(spark: SparkSession, path: str) -> DataFrame:
+    odd = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, path, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    output = stored(chat.conversations(chat.chains(rows)), "conversations")
+    return chat.digests(output.withColumn("key", chat.conversation_of(F.col("leaf"))), "key").withColumnRenamed("key", "conv_id")
