@@ -18,6 +18,7 @@ import hashlib
 import os
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,12 +31,12 @@ from cutline.llm.frames import per_batch
 from cutline.session import checkpoint_root
 
 _LARGEST_VOCABULARY = 64 << 20
-_CACHE = 600_000  # strings whose ids a Python worker keeps
-_loaded: dict[str, Cache] = {}
+_CACHE = 400_000  # pre-tokens whose ids a Python worker keeps
+_loaded: dict[str, Encoder] = {}
 
-# Chunks of these characters are normalised by lower-casing alone; any other goes through the whole tokenizer.
-_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
-_PLAIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+# Texts of these characters are normalised by lower-casing alone; any other goes through the whole tokenizer.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ \\n]*")
+_PLAIN_PIECES = re.compile("[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^ \\na-zß-öø-ÿ0-9]+")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -46,49 +47,56 @@ def _byte_letters() -> dict[int, str]:
     return {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
 
-class Cache(dict):
-    """The ids of each space-free string as bytes of unsigned 32-bit numbers.
+class Pieces(dict):
+    """The ids of each pre-token as bytes of unsigned 32-bit numbers. Of what is no longer held here, the last half of the
+    cache is still at hand, so frequent pre-tokens are merged once."""
 
-    Holds for tokenizers that never join text across spaces and line ends. With `plain` the tokenizer lower-cases, splits
-    by the pieces above and then merges bytes; the merges of its distinct pieces are looked up once."""
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.model, self.letters, self.older = tokenizer.model, _byte_letters(), {}
+
+    def __missing__(self, piece: str) -> bytes:
+        value = self.older.get(piece)
+        if value is None:
+            word = piece if piece.isascii() else piece.translate(self.letters)
+            value = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+        if len(self) >= _CACHE // 2:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = value
+        return value
+
+
+class Encoder:
+    """Texts to ids, as bytes of unsigned 32-bit numbers, by the tokenizer's own merges.
+
+    A tokenizer that is `plain` lower-cases, splits by the pieces above and then merges bytes: its texts of common characters
+    are split here, and each distinct pre-token is merged once. All else is encoded by the whole tokenizer, string by string
+    between spaces and line ends if it is `plain`, else text by text."""
 
     def __init__(self, content: bytes):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_str(content.decode())
         self.plain = b"'s|'t|'re|'ve|'m|'ll|'d|[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+" in content and b'"type":"Lowercase"' in content
-        self.pieces: dict[str, bytes] = {}
-        self.letters = _byte_letters()
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= _CACHE:
-            self.clear()
-        if self.plain and _PLAIN.fullmatch(chunk) and "<|" not in chunk:
-            value = b"".join([self.piece(p) for p in _PLAIN_PIECES.findall(chunk.lower())])
-        else:
-            value = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, np.uint32).tobytes()
-        self[chunk] = value
-        return value
+        self.pieces = Pieces(self.tokenizer)
 
-    def piece(self, piece: str) -> bytes:
-        known = self.pieces.get(piece)
-        if known is None:
-            if len(self.pieces) >= _CACHE:
-                self.pieces.clear()
-            word = piece if piece.isascii() else piece.translate(self.letters)
-            known = self.pieces[piece] = np.array([t.id for t in self.tokenizer.model.tokenize(word)], np.uint32).tobytes()
-        return known
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        if not self.plain:
+            return self.whole(text)
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            return b"".join(map(self.pieces.__getitem__, _PLAIN_PIECES.findall(text.lower())))
+        return b"".join([self.encode(x) if _PLAIN.fullmatch(x) and "<|" not in x else self.whole(x) for x in text.replace("\n", " ").split(" ")])
 
 
-def _cache(shared: Broadcast) -> Cache:
+def _encoder(shared: Broadcast) -> Encoder:
     name, content = shared.value
     if name not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _loaded[name] = Cache(content)
+        _loaded[name] = Encoder(content)
     return _loaded[name]
 
 
@@ -103,10 +111,10 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, doc_id: str = "d
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def run(batch: pa.RecordBatch) -> dict:
-        cache, packer = _cache(shared), zstandard.ZstdCompressor(level=1)
+        encoder, packer = _encoder(shared), zstandard.ZstdCompressor(level=1)
         out, sizes = [], []
         for t in batch.column("text").to_pylist():
-            ids = np.frombuffer(cache.encode(t or "") + end, np.uint32)
+            ids = np.frombuffer(encoder.encode(t or "") + end, np.uint32)
             sizes.append(len(ids))
             out.append(packer.compress(_narrow(ids)))
         return {"id": batch.column("id"), "n": sizes, "ids": out}

@@ -24,11 +24,11 @@ def plain_ids(texts):
     return [library.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
 
 
-def test_cached_ids_are_those_of_the_library(texts):
-    cache = token_files.Cache(open(WORDS, "rb").read())
-    assert cache.plain
+def test_ids_are_those_of_the_library(texts):
+    encoder = token_files.Encoder(open(WORDS, "rb").read())
+    assert encoder.plain
     for text, ids in zip([*texts.values(), *ODD], plain_ids([*texts.values(), *ODD]), strict=True):
-        assert np.frombuffer(cache.encode(text or ""), np.uint32).tolist() == ids[:-1]
+        assert np.frombuffer(encoder.encode(text or ""), np.uint32).tolist() == ids[:-1]
 
 
 @given(st.lists(st.integers(0, 2**32 - 1)), st.lists(st.integers(0, 300)))
