@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ _LARGEST_VOCABULARY = 64 << 20
 _MARGIN = 8  # characters at a chunk's end on which a match may still depend
 _PART = T.StructType([T.StructField("id", T.LongType()), T.StructField("key", T.StringType()), T.StructField("part", T.LongType()),
                       T.StructField("ids", T.ArrayType(T.IntegerType()))])
-_loaded: dict[str, tuple] = {}
+_loaded: dict[str, _Codec] = {}
 
 
 class Vocabulary:
@@ -41,16 +42,36 @@ class Vocabulary:
         self.shared: Broadcast = spark.sparkContext.broadcast((hashlib.sha256(content).hexdigest() + pattern, content, pattern))
 
 
-def _codec(shared: Broadcast) -> tuple:
-    """Encoder of texts, encoder of single pre-tokens and the compiled pattern, once per Python worker."""
-    import tiktoken
+class _Codec:
+    """Built once per Python worker, each part when it is first needed: `texts` encodes whole texts, `single` one pre-token,
+    `pattern` finds pre-tokens."""
 
+    def __init__(self, content: bytes, pattern: str):
+        self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines())}
+        self.split = pattern
+
+    @cached_property
+    def texts(self):
+        return self._encoding(self.split)
+
+    @cached_property
+    def single(self):
+        return self._encoding(r"(?s:.+)")
+
+    @cached_property
+    def pattern(self):
+        return regex.compile(self.split)
+
+    def _encoding(self, pattern: str):
+        import tiktoken
+
+        return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
+
+
+def _codec(shared: Broadcast) -> _Codec:
     name, content, pattern = shared.value
     if name not in _loaded:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines())}
-        texts = tiktoken.Encoding("texts", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        single = tiktoken.Encoding("single", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
-        _loaded[name] = (texts, single, regex.compile(pattern))
+        _loaded[name] = _Codec(content, pattern)
     return _loaded[name]
 
 
@@ -72,7 +93,7 @@ def _id_lists(column: pa.ListArray) -> list[list[int]]:
 
 def _whole(docs: DataFrame, shared: Broadcast) -> DataFrame:
     def run(batch: pa.RecordBatch) -> dict:
-        texts, _, _ = _codec(shared)
+        texts = _codec(shared).texts
         return _part_rows([texts.encode_ordinary(t) if t else [] for t in batch.column("text").to_pylist()], batch, [0] * batch.num_rows)
 
     return per_batch(docs, run, _PART, rows=512)
@@ -84,7 +105,7 @@ def _cuts(chunks: DataFrame, shared: Broadcast, chunk: int, overlap: int) -> Dat
                            T.StructField("head", T.ArrayType(T.LongType())), T.StructField("tail", T.ArrayType(T.LongType()))])
 
     def run(batch: pa.RecordBatch) -> dict:
-        _, _, pattern = _codec(shared)
+        pattern = _codec(shared).pattern
         head, tail = [], []
         for no, text in zip(batch.column("no").to_pylist(), batch.column("text").to_pylist(), strict=True):
             found = boundaries(text, pattern)
@@ -113,7 +134,7 @@ def _pieces(long: DataFrame, cuts: DataFrame, shared: Broadcast) -> DataFrame:
             .repartition("id", "key", "part"))
 
     def run(batch: pa.RecordBatch) -> dict:
-        _, single, pattern = _codec(shared)
+        single, pattern = _codec(shared).single, _codec(shared).pattern
         known: dict[str, list[int]] = {}
         ids = []
         for text, size in zip(batch.column("text").to_pylist(), batch.column("size").to_pylist(), strict=True):
@@ -153,7 +174,7 @@ def decode(parts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     shared = vocabulary.shared
 
     def run(batch: pa.RecordBatch) -> dict:
-        texts, _, _ = _codec(shared)
+        texts = _codec(shared).texts
         return {n: batch.column(n) for n in _PART.fieldNames()} | {"bytes": [texts.decode_bytes(x) for x in _id_lists(batch.column("ids"))]}
 
     return per_batch(parts, run, T.StructType([*_PART.fields, T.StructField("bytes", T.BinaryType())]), rows=512)
@@ -163,43 +184,41 @@ _DIGEST = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_
                         T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
 
-def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fold the parts of each text, which come in order; one text's digests are held at a time."""
-    at, held = None, None
-    numbers: list[str] = []  # as text, up to the largest id so far
-    out: list[tuple] = []
-
-    def close() -> None:
-        copies = int(at[1].rpartition(":")[2] or 1)
-        out.extend([(at[0], held[0], held[1].hexdigest(), held[2].hexdigest())] * copies)
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))], names=_DIGEST.fieldNames())
-
-    for batch in batches:
-        for start in range(0, batch.num_rows, 256):
-            some = batch.slice(start, 256)
-            plain = (some.column(n).to_pylist() for n in ("id", "key", "part", "bytes"))
-            for id_, key, part, data, ids in zip(*plain, _id_lists(some.column("ids")), strict=True):
-                if at is None or at != (id_, key) or part == 0:
-                    if at is not None:
-                        close()
-                    at, held = (id_, key), [0, hashlib.sha256(), hashlib.sha256()]
-                if ids and max(ids) >= len(numbers):
-                    numbers.extend(map(str, range(len(numbers), max(ids) + 1)))
-                held[1].update((("," if held[0] and ids else "") + ",".join([numbers[x] for x in ids])).encode())
-                held[0] += len(ids)
-                held[2].update(data)
-        yield batch_of(out)
-        out.clear()
-    if at is not None:
-        close()
-        yield batch_of(out)
-
-
-def digests(whole: DataFrame, parts: DataFrame) -> DataFrame:
-    """doc_id, n_tokens and the digests of ids and decoded bytes, from decoded rows."""
-    return whole.mapInArrow(_digest_rows, _DIGEST).unionByName(
-        parts.repartition("id", "key").sortWithinPartitions("id", "key", "part").mapInArrow(_digest_rows, _DIGEST))
-
+def digests(whole: DataFrame, parts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """doc_id, n_tokens, the digest of the ids and that of the bytes they decode to, from the two frames of `encode`. The parts
+    of a text come in order and are folded one by one."""
+    shared = vocabulary.shared
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = _codec(shared).texts
+        numbers = [str(i) for i in range(texts.n_vocab)]
+        at, held = None, None
+        out: list[tuple] = []
+
+        def close() -> None:
+            copies = int(at[1].rpartition(":")[2] or 1)
+            out.extend([(at[0], held[0], held[1].hexdigest(), held[2].hexdigest())] * copies)
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))], names=_DIGEST.fieldNames())
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                some = batch.slice(start, 256)
+                plain = (some.column(n).to_pylist() for n in ("id", "key", "part"))
+                for id_, key, part, ids in zip(*plain, _id_lists(some.column("ids")), strict=True):
+                    if at is None or at != (id_, key) or part == 0:
+                        if at is not None:
+                            close()
+                        at, held = (id_, key), [0, hashlib.sha256(), hashlib.sha256()]
+                    held[1].update((("," if held[0] and ids else "") + ",".join([numbers[x] for x in ids])).encode())
+                    held[0] += len(ids)
+                    held[2].update(texts.decode_bytes(ids))
+            yield batch_of(out)
+            out.clear()
+        if at is not None:
+            close()
+            yield batch_of(out)
+
+    return whole.mapInArrow(run, _DIGEST).unionByName(
+        parts.repartition("id", "key").sortWithinPartitions("id", "key", "part").mapInArrow(run, _DIGEST))

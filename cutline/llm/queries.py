@@ -69,7 +69,7 @@ def decontamination(spark: SparkSession, path: str) -> DataFrame:
 @register("op7_byte_bpe")
 def byte_bpe(spark: SparkSession, path: str) -> DataFrame:
     vocabulary = bpe.Vocabulary(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    return bpe.digests(*(bpe.decode(x, vocabulary) for x in bpe.encode(table(spark, path, "documents"), vocabulary)))
+    return bpe.digests(*bpe.encode(table(spark, path, "documents"), vocabulary), vocabulary)
 
 
 @register("op6_token_files")

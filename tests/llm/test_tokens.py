@@ -75,5 +75,9 @@ def test_byte_bpe_equals_the_library_wherever_chunks_are_cut(spark, texts, encod
             (3002, "word " * 300), (3002, "word " * 300), (3002, "other " * 300), (None, "null id " * 80), (None, None)]
     docs = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, key string, part int").repartition(5)
     vocabulary = bpe.Vocabulary(spark, RANKS, public_tokenizers.PATTERN)
-    got = bpe.digests(*(bpe.decode(x, vocabulary) for x in bpe.encode(docs, vocabulary, chunk=chunk, overlap=overlap))).collect()
+    encoded = bpe.encode(docs, vocabulary, chunk=chunk, overlap=overlap)
+    got = bpe.digests(*encoded, vocabulary).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(repr((i, *bpe_digest(t, encoding))) for i, t in rows)
+    for frame in encoded:
+        for row in bpe.decode(frame, vocabulary).collect():
+            assert bytes(row["bytes"]) == encoding.decode_bytes(row["ids"])
