@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from cutline.llm import bpe, chat, decontaminate, near_duplicates, passages, quality_rules, token_files, warc
-from cutline.llm.frames import stored, table
+from cutline.llm import bpe, chat, decontaminate, near_duplicates, passages, quality_rules, rule_ensemble, token_files, toxicity, warc
+from cutline.llm.frames import remainder, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -120,3 +120,19 @@ def chat_texts(spark: SparkSession, path: str) -> DataFrame:
     rows = table(spark, path, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     output = stored(chat.conversations(chat.chains(rows)), "conversations")
     return chat.digests(output.withColumn("key", chat.conversation_of(F.col("leaf"))), "key").withColumnRenamed("key", "conv_id")
+
+
+def _scores(found: DataFrame, held_out) -> DataFrame:
+    return found.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@register("op4_toxicity")
+def toxicity_scores(spark: SparkSession, path: str) -> DataFrame:
+    held_out = remainder("id", 5) == 0
+    return _scores(toxicity.scored(table(spark, path, "documents"), table(spark, path, "labels"), ~held_out), held_out)
+
+
+@register("op10_quality_rules_ensemble")
+def quality_scores(spark: SparkSession, path: str) -> DataFrame:
+    held_out = remainder("id", 3) == 1
+    return _scores(rule_ensemble.scored(table(spark, path, "documents"), table(spark, path, "labels"), ~held_out), held_out)
