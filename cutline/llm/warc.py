@@ -13,7 +13,9 @@ the captures; a revisit whose response is missing keeps its declared digest and
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import operator
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -46,7 +48,15 @@ def planned(pages: DataFrame, page_id: str, url: str, payload: str, least: int)
     rows = (pages.select(F.col(page_id).cast("long").alias("page_id"), F.regexp_replace(F.regexp_replace(F.col(url).cast("string"), "\r", "%0D"), "\n", "%0A").alias("url"),
                          F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("payload"))
             .withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256)).withColumn("size", F.octet_length("payload").cast("long")))
-    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("page_id", "url", "digest").orderBy("size")))
+    # Rows equal in all three are told apart by a number; there are none as a rule, so that payloads are not dealt out for it.
+    same = ("page_id", "url", "digest")
+    twice = stored(rows.groupBy(*same).count().where("count > 1").select(*(F.col(c).alias(f"_{c}") for c in same)), "warc-twice")
+    if twice.isEmpty():
+        rows = rows.withColumn("copy", F.lit(1))
+    else:
+        match = functools.reduce(operator.and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in same))
+        rows = (rows.join(twice, match, "left_anti").withColumn("copy", F.lit(1))
+                .unionByName(rows.join(twice, match, "left_semi").withColumn("copy", F.row_number().over(Window.partitionBy(*same).orderBy("size")))))
     key = (F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.col("digest"), F.col("copy").cast("string"), F.coalesce("url", F.lit("")))
     rows = rows.withColumn("record_id", _uuid(*key))
     first = (rows.where(F.col("page_id").isNotNull() & (F.col("size") >= least)).groupBy("digest")
@@ -171,12 +181,13 @@ def captures(records: DataFrame, payloads: bool = True) -> DataFrame:
              .join(metadata.withColumnRenamed("concurrent_to", "record_id"), "record_id", "left"))
     origin = whole.where("type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("payload_bytes").alias("origin_bytes"),
                                                      F.col("payload_digest").alias("origin_digest"), F.col("metadata.page_id").alias("refers_to_page"))
-    again = F.col("type") == "revisit"
-    out = whole.join(origin, "refers_to", "left").select(
-        "record_id", F.col("type").alias("record_type"), "target_uri", "date", "refers_to", "refers_to_page",
-        F.when(again, F.col("origin_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-        F.when(again, F.coalesce("origin_digest", F.regexp_replace("declared_digest", "^sha256:", ""))).otherwise(F.col("payload_digest")).alias("payload_digest"),
-        F.struct(F.col("http_head").alias("head")).alias("response"), "request", "metadata")
+    nested = (F.struct(F.col("http_head").alias("head")).alias("response"), "request", "metadata")
+    own = whole.where("type = 'response'").select("record_id", F.col("type").alias("record_type"), "target_uri", "date", "refers_to", F.lit(None).cast("long").alias("refers_to_page"),
+                                                  "payload_bytes", "payload_digest", *nested)
+    again = whole.where("type = 'revisit'").join(origin, "refers_to", "left").select(
+        "record_id", F.col("type").alias("record_type"), "target_uri", "date", "refers_to", "refers_to_page", F.col("origin_bytes").alias("payload_bytes"),
+        F.coalesce("origin_digest", F.regexp_replace("declared_digest", "^sha256:", "")).alias("payload_digest"), *nested)
+    out = own.unionByName(again)
     if not payloads:
         return out
     bodies = records.where("type = 'response'").select(F.col("record_id").alias("body_of"), "payload")
