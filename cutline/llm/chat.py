@@ -54,9 +54,9 @@ def jumps(messages: DataFrame) -> list[DataFrame]:
     out, most = [level], max(1, messages.count()).bit_length()
     while len(out) <= most and not level.where("up is not null").isEmpty():
         far = level.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("top").alias("top2"), F.col("total").alias("total2"), F.col("steps").alias("steps2"))
-        level = stored(level.join(far, "up", "left").select("id", F.col("up2").alias("up"), F.coalesce("top2", "top").alias("top"),
-                                                           (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"),
-                                                           (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps")), "jumps")
+        higher = level.where("up is not null").join(far, "up").select("id", F.col("up2").alias("up"), F.col("top2").alias("top"), (F.col("total") + F.col("total2")).alias("total"),
+                                                                    (F.col("steps") + F.col("steps2")).alias("steps"))
+        level = stored(higher.unionByName(level.where("up is null")), "jumps")  # only messages still on their way are joined
         out.append(level)
     return out
 
