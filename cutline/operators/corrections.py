@@ -45,9 +45,23 @@ def matched(df: DataFrame, corrections: DataFrame, table: str, keys: Sequence[st
         F.coalesce(F.try_element_at("_cells", F.col("column")), F.lit("")).alias("found"), *names)
 
 
+def _emptied(value: Column) -> Column:
+    """What a new value sets; null where it empties the cell."""
+    return F.when(~F.trim(value).isin("", NULL_TOKEN), value)
+
+
+def _uncastable(df: DataFrame) -> Column:
+    """True where the new value is no value of its column's type."""
+    wrong = F.lit(False)
+    for name, kind in df.dtypes:
+        wrong = F.when(F.col("column") == name, F.col("new_value").try_cast(kind).isNull()).otherwise(wrong)
+    return _emptied(F.col("new_value")).isNotNull() & wrong
+
+
 def violations(df: DataFrame, corrections: DataFrame, table: str, keys: Sequence[str]) -> DataFrame:
     """Corrections that must be refused: wrong key shape, not exactly one row, unknown
-    column, or a value that is not the expected one (an empty or `*` expectation accepts any)."""
+    column, a value that is not the expected one (an empty or `*` expectation accepts any), or a
+    new value that the column's type can't hold."""
     m = matched(df, corrections, table, keys)
     open_guard = F.col("old_value").isin("", "*")
     problem = (
@@ -55,6 +69,7 @@ def violations(df: DataFrame, corrections: DataFrame, table: str, keys: Sequence
         .when(F.col("hits") != 1, "did not match exactly one row")
         .when(~F.coalesce("_known", F.lit(False)), "unknown column")
         .when(~open_guard & ~_same(F.col("found"), F.col("old_value")), "old value differs")
+        .when(_uncastable(df), "new value does not fit the column")
     )
     return m.withColumn("problem", problem).where("problem IS NOT NULL").select(*COLUMNS, "hits", "found", "problem")
 
@@ -69,7 +84,7 @@ def apply(df: DataFrame, corrections: DataFrame, table: str, keys: Sequence[str]
             raise ValueError(f"refusing corrections for {table}: {[(r['primary_key'], r['column'], r['problem']) for r in bad]}")
     log = matched(df, corrections, table, keys)
     names = [f"_k{i}" for i in range(len(keys))]
-    new = F.when(~F.trim("new_value").isin("", NULL_TOKEN), F.col("new_value"))
+    new = _emptied(F.col("new_value"))
     changes = log.groupBy(*names).agg(F.map_from_entries(F.collect_list(F.struct("column", new))).alias("_new"))
     tagged = df.select("*", *[F.col(k).cast("string").alias(n) for k, n in zip(keys, names)])
     joined = tagged.join(changes, names, "left")

@@ -45,28 +45,22 @@ def island_report(blocks: DataFrame, key: str, modern_from: int) -> DataFrame:
     per_key = blocks.groupBy(key).agg(
         F.count("*").alias("n_blocks"), F.array_sort(F.collect_list(F.struct("first_year", "last_year"))).alias("_b"),
         F.max("last_year").alias("_last")).where("n_blocks > 1")
-    gaps = F.transform(F.slice("_b", 2, 1_000_000), lambda b, i: b["first_year"] - F.get("_b", i)["last_year"])
+    gaps = F.transform(F.slice("_b", F.lit(2), F.greatest(F.size("_b") - 1, F.lit(0))), lambda b, i: b["first_year"] - F.get("_b", i)["last_year"])
     text = F.transform("_b", lambda b: F.concat_ws("-", b["first_year"].cast("string"), b["last_year"].cast("string")))
     return per_key.select(key, "n_blocks", F.array_join(text, "; ").alias("active_blocks"),
                           F.array_max(gaps).alias("largest_gap"), (F.col("_last") >= modern_from).alias("affects_modern"))
 
 
-SMALL_NUMBERING = 1_000_000
-
-
 def number_rows(df: DataFrame, order_by: Sequence[str], name: str, start: int = 1) -> DataFrame:
     """Consecutive numbers in a total order.
 
-    A small frame is numbered in one window. A large one is written range-partitioned
-    by the order; each file range is numbered by itself and shifted by the rows before it."""
-    if df.limit(SMALL_NUMBERING + 1).count() <= SMALL_NUMBERING:
-        return df.withColumn(name, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order_by)) + (start - 1)).cast("bigint"))
+    The frame is written range-partitioned by the order; each range is numbered by itself and shifted by the rows before it."""
     ranged = stored(df.repartitionByRange(*order_by).withColumn("_range", F.spark_partition_id()), "ranged")
     before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranged.groupBy("_range").count().select(
         "_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
     local = F.row_number().over(Window.partitionBy("_range").orderBy(*order_by))
-    return ranged.withColumn("_local", local).join(F.broadcast(offsets), "_range").withColumn(
+    return ranged.withColumn("_local", local).join(offsets, "_range").withColumn(
         name, (F.col("_local") + F.col("_offset") + (start - 1)).cast("bigint")).drop("_range", "_local", "_offset")
 
 

@@ -8,23 +8,29 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cutline.functions import scalars as S
 
-MAX_RANGE_ROWS = 100_000
+BUCKETS_PER_RANGE = 4
 
 
 def range_lookup(df: DataFrame, ranges: DataFrame, value: str, low: str, high: str, payload: Sequence[str]) -> DataFrame:
-    """Join each row to the range [low, high] holding its value; an open end has a null high.
+    """Join each row to every range [low, high] that holds its value, whole or not; an open end has a null high.
 
-    The range table is counted first. A small one is broadcast. Beyond that the
-    ranges are unrolled to one row per integer value they cover, which is an
-    ordinary equality join."""
+    The line is cut into equal buckets, about four for each range, and a range has a row for each bucket it touches: an
+    equality join on the bucket, checked by the bounds. Values beyond the last bound share one bucket, which open ranges
+    touch too."""
     columns = [low, high, *payload]
-    if ranges.count() <= MAX_RANGE_ROWS:
-        held = (F.col(value) >= F.col(low)) & (F.col(high).isNull() | (F.col(value) <= F.col(high)))
-        return df.join(F.broadcast(ranges.select(*columns)), held, "left").drop(low, high)
-    last = F.lit(df.agg(F.max(value)).first()[0])
-    unrolled = ranges.select(
-        F.explode(F.sequence(F.col(low), F.greatest(F.col(low), F.coalesce(F.col(high), last)))).alias(value), *payload)
-    return df.join(unrolled, value, "left")
+    held = ranges.select(*columns).where(F.col(low).isNotNull())
+    edge = held.agg(F.min(low).cast("double").alias("first"), F.max(F.coalesce(high, low)).cast("double").alias("last"), F.count("*").alias("n")).first()
+    first, last = edge["first"] or 0.0, edge["last"] or 0.0
+    width = (last - first) / (BUCKETS_PER_RANGE * max(1, edge["n"])) or 1.0
+    beyond = int((last - first) / width) + 1
+
+    def bucket(at: Column) -> Column:
+        return F.greatest(F.lit(-1), F.least(F.lit(beyond), F.floor((at.cast("double") - first) / width))).cast("bigint")
+
+    end = F.when(F.col(high).isNull(), F.lit(beyond).cast("bigint")).otherwise(bucket(F.col(high)))
+    spread = held.where(F.col(high).isNull() | (F.col(high) >= F.col(low))).select(F.explode(F.sequence(bucket(F.col(low)), end)).alias("_bucket"), *columns)
+    inside = (F.col("_of") == F.col("_bucket")) & (F.col(value) >= F.col(low)) & (F.col(high).isNull() | (F.col(value) <= F.col(high)))
+    return df.withColumn("_of", bucket(F.col(value))).join(spread, inside, "left").drop("_of", "_bucket", low, high)
 
 
 def match_counts(df: DataFrame, keys: Sequence[str], payload: str) -> DataFrame:

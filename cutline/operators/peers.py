@@ -13,13 +13,15 @@ from cutline.operators.spans import Spans, expanding, numbered
 def with_totals(df: DataFrame, keys: Sequence[str], plan, **aggregates: Column) -> DataFrame:
     """Add aggregates of each row's group.
 
-    Where no group is large this is one window pass. A large group is aggregated
-    map-side and joined back instead, so it never lands in a single task."""
+    Where no group is large this is one window pass. A large group is aggregated map-side and joined back instead, so it
+    never lands in a single task. Either way rows with a null key are a group like any other."""
     if plan(df.select(*keys, F.lit(0).alias("_zero")), list(keys), "_zero").cuts is None:
         group = Window.partitionBy(*keys)
         return df.select("*", *[c.over(group).alias(n) for n, c in aggregates.items()])
-    totals = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggregates.items()])
-    return df.join(totals, list(keys), "left")
+    names = {k: f"_of_{k}" for k in keys}
+    totals = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggregates.items()]).withColumnsRenamed(names)
+    same = reduce(lambda a, k: a & F.col(k).eqNullSafe(F.col(names[k])), keys, F.lit(True))
+    return df.join(totals, same, "left").drop(*names.values())
 
 
 def gaps_to_best(df: DataFrame, keys: Sequence[str], gaps: dict[str, str], plan) -> DataFrame:

@@ -45,6 +45,11 @@ class Spans:
     def _cut_side(self) -> DataFrame:
         return F.broadcast(self.cuts) if self.broadcast_cuts else self.cuts
 
+    def large_keys(self) -> DataFrame:
+        """The keys that are cut."""
+        keys = self.cuts.select(*self.keys)
+        return F.broadcast(keys) if self.broadcast_cuts else keys
+
     def tag(self, df: DataFrame) -> DataFrame:
         """Add the span number. Two-level cuts keep the search near the square
         root of their count."""
@@ -149,7 +154,7 @@ def expanding(
     with_local = tagged.select("*", *[c.alias(f"_l_{n}") for n, c in local.items()])
     before = Window.partitionBy(*spans.keys).orderBy(SPAN).rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        tagged.join(F.broadcast(spans.cuts.select(*spans.keys)), list(spans.keys), "left_semi")
+        tagged.join(spans.large_keys(), list(spans.keys), "left_semi")
         .groupBy(*spans.group)
         .agg(*[_MERGE[kind](expr).alias(n) for n, (kind, expr) in aggregates.items()])
         .select(*spans.group, *[
@@ -173,7 +178,7 @@ def _carry_in(tagged: DataFrame, spans: Spans, n: int, ties: Sequence[Column]) -
     columns = [c for c in tagged.columns if c != SPAN]
     backwards = [F.col(spans.order).desc(), *[t.desc() for t in ties]]
     tails = (
-        tagged.join(F.broadcast(spans.cuts.select(*spans.keys)), list(spans.keys), "left_semi")
+        tagged.join(spans.large_keys(), list(spans.keys), "left_semi")
         .withColumn("_back", F.row_number().over(Window.partitionBy(*spans.group).orderBy(*backwards)))
         .where(F.col("_back") <= n)
     )
@@ -234,7 +239,7 @@ def numbered(
         return tagged.select("*", local.cast("bigint").alias(name), *peers)
     before = Window.partitionBy(*spans.keys).orderBy(SPAN).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        tagged.join(F.broadcast(spans.cuts.select(*spans.keys)), list(spans.keys), "left_semi")
+        tagged.join(spans.large_keys(), list(spans.keys), "left_semi")
         .groupBy(*spans.group).count()
         .select(*spans.group, F.sum("count").over(before).alias("_offset"))
     )
@@ -297,7 +302,7 @@ def latest_before(left: DataFrame, rights: Sequence[Right], spans: Spans, strict
     if spans.cuts is not None:
         last_in_span = (
             both.where(~is_left)
-            .join(F.broadcast(spans.cuts.select(*spans.keys)), list(spans.keys), "left_semi")
+            .join(spans.large_keys(), list(spans.keys), "left_semi")
             .groupBy(*spans.group)
             .agg(*[F.max_by(n, F.when(F.col(n).isNotNull(), F.struct(*order_by))).alias(n) for n in names])
         )

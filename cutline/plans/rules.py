@@ -31,13 +31,20 @@ def uniform_rule(df: DataFrame) -> Column:
     return 1.0 / F.col("field")
 
 
+def _seen_by_place(df: DataFrame, position: str, plan, sums: dict) -> tuple[DataFrame, DataFrame]:
+    """The rows with their place as `_slot`, null where it is unknown, and the same rows with what earlier events had at that
+    place. Rows of unknown place are no group: they go past the window, with nothing seen."""
+    slot = df.withColumn("_slot", F.when(F.coalesce(F.col(position) > 0, F.lit(False)), F.col(position)))
+    placed = slot.where("_slot IS NOT NULL")
+    seen = expanding(placed, plan(placed, ["_slot"], "ord"), sums)
+    unplaced = slot.where("_slot IS NULL").select("*", *[F.lit(0).cast(dict(seen.dtypes)[n]).alias(n) for n in sums])
+    return slot, seen.unionByName(unplaced)
+
+
 def position_prior(df: DataFrame, position: str, plan, plan_events, alpha: float = 1.0, name: str = "p") -> DataFrame:
     """Chance to win from a position: (wins + a) / (starts + 20 a) over earlier events;
     a / (all starts + a) where the position is unknown. A whole event is excluded at once."""
-    known = F.coalesce(F.col(position) > 0, F.lit(False))
-    slot = df.withColumn("_slot", F.when(known, F.col(position)))
-    seen = expanding(slot, plan(slot.where("_slot IS NOT NULL"), ["_slot"], "ord"),
-                     {"_wins": ("sum", F.col("won")), "_starts": ("sum", F.lit(1))})
+    slot, seen = _seen_by_place(df, position, plan, {"_wins": ("sum", F.col("won")), "_starts": ("sum", F.lit(1))})
     totals = slot.groupBy("event", "ord").agg(F.count("_slot").alias("_c")).withColumn("_all", F.lit(0))
     before = expanding(totals, plan_events(totals, ["_all"], "ord"), {"_every": ("sum", F.col("_c"))})
     rate = F.when(F.col("_slot").isNotNull(), (F.col("_wins") + alpha) / (F.col("_starts") + alpha * PLACES)).otherwise(
@@ -48,10 +55,7 @@ def position_prior(df: DataFrame, position: str, plan, plan_events, alpha: float
 
 def position_rate(df: DataFrame, position: str, hit: Column, k: int, plan, name: str, alpha: float = 1.0) -> DataFrame:
     """Chance to finish in the top k from a position; k / 20 where it is unknown."""
-    known = F.coalesce(F.col(position) > 0, F.lit(False))
-    slot = df.withColumn("_slot", F.when(known, F.col(position)))
-    seen = expanding(slot, plan(slot.where("_slot IS NOT NULL"), ["_slot"], "ord"),
-                     {"_hits": ("sum", hit.cast("int")), "_seen": ("sum", F.lit(1))})
+    _, seen = _seen_by_place(df, position, plan, {"_hits": ("sum", hit.cast("int")), "_seen": ("sum", F.lit(1))})
     rate = (F.col("_hits") + alpha * k) / (F.col("_seen") + alpha * PLACES)
     return seen.withColumn(name, F.when(F.col("_slot").isNotNull(), rate).otherwise(k / PLACES)).drop("_slot", "_hits", "_seen")
 
@@ -73,24 +77,23 @@ def mate_rule(df: DataFrame, position: str, plan_events) -> DataFrame:
         "event", "ord", "grp", "entity_a", "entity_b", p.alias("p"), ahead.cast("int").alias("y"))
 
 
-SMALL_FIELD = 40
+_CELLS = 1 << 20
 
 
 def elo_update(ratings: Sequence[float], k: float, scale: float) -> list[float]:
     """New ratings of classified finishers, best first: every pair is one comparison, all
-    against the ratings before the event, with k shared over the comparisons."""
+    against the ratings before the event, with k shared over the comparisons.
+
+    Comparisons are taken some rows at a time, so memory stays linear in the field."""
     n = len(ratings)
     if n < 2:
         return list(ratings)
-    step = k / (n - 1)
-    if n <= SMALL_FIELD:
-        return [a + step * ((n - 1 - i) - sum(1.0 / (1.0 + 10.0 ** ((b - a) / scale)) for j, b in enumerate(ratings) if j != i))
-                for i, a in enumerate(ratings)]
-    all_of = np.asarray(ratings, dtype=float)
-    # A row of comparisons at a time: memory stays linear in the field. The half taken off is
-    # the comparison with oneself.
-    return [float(a + step * ((n - 1 - i) - ((1.0 / (1.0 + 10.0 ** ((all_of - a) / scale))).sum() - 0.5)))
-            for i, a in enumerate(all_of)]
+    held = np.asarray(ratings, dtype=float)
+    expected = np.empty(n)
+    rows = max(1, _CELLS // n)
+    for at in range(0, n, rows):
+        expected[at:at + rows] = (1.0 / (1.0 + 10.0 ** ((held[None, :] - held[at:at + rows, None]) / scale))).sum(axis=1) - 0.5  # less the one with oneself
+    return (held + k / (n - 1) * (n - 1 - np.arange(n) - expected)).tolist()
 
 
 def elo(entries: DataFrame, pool: str, k: float = 24.0, scale: float = 400.0, start: float = 1500.0) -> DataFrame:

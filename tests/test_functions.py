@@ -57,7 +57,8 @@ def test_bases(spark):
 
 
 def test_unescape_as_the_standard_library(spark):
-    texts = ["a &amp; b", "&amp;lt;", "&eacute;t&eacute;", "&#233;&#x1F600;", "AT&T; &unknown; &", "&copy;&middot;&nbsp;x"]
+    texts = ["a &amp; b", "&amp;lt;", "&eacute;t&eacute;", "&#233;&#x1F600;", "AT&T; &unknown; &", "&copy;&middot;&nbsp;x", "&notin; &notit &ampx &amp &lt&gt;", "&hellip;&star;&NotEqualTilde;", "&#128;&#129;&#0;&#xD800;&#x110000;&#99999999999;",
+             "&#65 &#x41z &#;&#x;", "&Aacute&aacute;", "&apos;&bigstar;", "&&amp;&"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(X.unescape(F.col("t"))).collect()] == [html.unescape(t) for t in texts]
 
@@ -85,6 +86,33 @@ def test_unnamed_note_leaves_the_event_unknown_unless_verified(spark):
     assert grid_of(spark, note, [(1, "GAM")]) == [("ALP", 1, False, "none"), ("BET", 2, False, "none"), ("GAM", 3, True, "note subject verified")]
 
 
+def test_a_note_is_read_to_its_end(spark):
+    long = "Alpha is fine. " + "x" * 700 + ". Beta will start from the pit lane."
+    assert grid_of(spark, long) == [("ALP", 1, False, "none"), ("BET", 2, True, "sentence"), ("GAM", 3, False, "none")]
+    pages = spark.createDataFrame([(1, "Note: to the end of the pit lane. "), (2, "Noted - nothing"), (3, None)], "page_id int, text string")
+    assert rows(X.notes(pages)) == [(1, "to the end of the pit lane.", ["to the end of the pit lane."]), (2, "", []), (3, "", [])]
+
+
+def test_grid_rows_of_any_field(spark):
+    names = [chr(65 + i // 26) + chr(65 + i % 26) + "X" for i in range(30)]
+    text = "Pos No " + " ".join(f"{i + 1} {i + 40} Jo van d'Or-{c.lower()} {c} 1:{i:02d}.0" for i, c in enumerate(names))
+    pages = spark.createDataFrame([(1, text), (2, "1 2 Ab CDE x 3 4 5 No NUM 6 7 WHO Ann ANN 1 2 Ab CDE"), (3, ""), (4, None)], "page_id int, text string")
+    got = X.grid_rows(pages)
+    assert rows(got.where("page_id = 1"), "grid", "number", "name", "code") == sorted(
+        ((i + 1, i + 40, f"Jo van d'Or-{c.lower()}", c) for i, c in enumerate(names)), key=repr)
+    assert rows(got.where("page_id > 1"), "page_id", "grid", "name", "code") == [(2, 1, "Ab", "CDE"), (2, 4, "No", "NUM"), (2, 6, "WHO Ann", "ANN")]
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    from types import SimpleNamespace
+
+    from cutline.session import checkpoint_root
+
+    context = SimpleNamespace(master="spark://host:7077", getConf=lambda: {}, getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_root(SimpleNamespace(sparkContext=context))
+
+
 def test_uniform_is_uniform_and_uncorrelated(spark):
     df = spark.range(400).crossJoin(spark.range(300).withColumnRenamed("id", "r"))
     p = df.select("id", "r", uniform(F.col("id"), F.col("r")).alias("u"), poisson_one(uniform(F.col("id"), F.col("r"))).alias("w")).toPandas()

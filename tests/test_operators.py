@@ -78,13 +78,18 @@ def test_islands_split_after_more_than_four_idle_years(spark):
         (117, "1959-1960; 2021-2022", 61, True), (6, "2000-2000; 2005-2005", 5, False)]
 
 
-def test_ids_are_kept_and_minted_in_order(spark, monkeypatch):
+def test_ids_are_kept_and_minted_in_order(spark):
     existing = spark.createDataFrame([("b", 4), ("z", 9)], "ref string, id bigint")
     refs = spark.createDataFrame([("c",), ("a",), ("b",), ("c",)], "ref string")
     want = [("a", 10, True), ("b", 4, False), ("c", 11, True), ("z", 9, False)]
     assert rows(identity.id_map(existing, refs), "ref", "id", "is_new") == want
-    monkeypatch.setattr(identity, "SMALL_NUMBERING", 0)
-    assert rows(identity.id_map(existing, refs), "ref", "id", "is_new") == want
+
+
+def test_rows_are_numbered_in_order_over_all_ranges(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("v"), (F.col("id") % 3).alias("w")).repartition(9)
+    got = rows(identity.number_rows(df, ["w", "v"], "n", 10), "n", "w", "v")
+    assert sorted(r[0] for r in got) == list(range(10, 5010)) and [r[1:] for r in sorted(got)] == sorted(r[1:] for r in got)
+    assert identity.number_rows(df.limit(0), ["v"], "n").count() == 0
 
 
 def table3(spark):
@@ -155,13 +160,35 @@ def test_unknown_stays_apart_from_false(spark):
                            ["flagged mid lap", "declared early", "attribution suspect"]).count() == 0
 
 
-def test_range_lookup_small_and_unrolled(spark, monkeypatch):
+def test_range_lookup(spark):
     eras = spark.createDataFrame([(1950, 1959, "a"), (1960, None, "b")], "f bigint, l bigint, era string")
     df = spark.createDataFrame([(1950,), (1959,), (1960,), (2024,), (1900,)], "season bigint")
     want = sorted([(1950, "a"), (1959, "a"), (1960, "b"), (2024, "b"), (1900, None)], key=repr)
     assert rows(lookup.range_lookup(df, eras, "season", "f", "l", ["era"]), "season", "era") == want
-    monkeypatch.setattr(lookup, "MAX_RANGE_ROWS", 0)
-    assert rows(lookup.range_lookup(df, eras, "season", "f", "l", ["era"]), "season", "era") == want
+    whole = spark.createDataFrame([(v / 4,) for v in range(-8, 120)] + [(None,), (1e12,), (-1e12,)], "v double")
+    spans = [(0.5, 2.25, "p"), (2.0, 9.0, "q"), (20.0, None, "r"), (4.0, 4.0, "s"), (8.0, 7.0, "never"), (None, 3.0, "no start")]
+    held = spark.createDataFrame(spans, "f double, l double, name string")
+    want = [(v, n) for (v,) in whole.collect() for n in ([n for f, l, n in spans if f is not None and v is not None and f <= v and (l is None or v <= l)] or [None])]
+    assert rows(lookup.range_lookup(whole, held, "v", "f", "l", ["name"]), "v", "name") == sorted(want, key=repr)
+    assert lookup.range_lookup(df, eras.limit(0), "season", "f", "l", ["era"]).where("era IS NULL").count() == 5
+
+
+def test_group_totals_are_the_same_however_large_the_groups(spark, plan):
+    df = spark.createDataFrame([(1, 1, 2.0), (1, 1, 3.0), (None, 1, 4.0), (None, 1, 5.0), (None, None, 6.0)], "a int, b int, x double")
+    small = peers.with_totals(df, ["a", "b"], plan, s=F.sum("x"), n=F.count("*"))
+
+    class Cut:
+        cuts = True
+
+    large = peers.with_totals(df, ["a", "b"], lambda *a: Cut, s=F.sum("x"), n=F.count("*"))
+    assert rows(small) == rows(large) == sorted([(1, 1, 2.0, 5.0, 2), (1, 1, 3.0, 5.0, 2), (None, 1, 4.0, 9.0, 2), (None, 1, 5.0, 9.0, 2), (None, None, 6.0, 6.0, 1)], key=repr)
+
+
+def test_a_new_value_must_fit_its_column(spark):
+    bad = correction(spark, ("1|10", "grid", "1", "abc"), ("1|11", "grid", "2", "\\N"), ("2|10", "nat", "y", "abc"))
+    assert rows(K.violations(table3(spark), bad, "t", ["raceId", "driverId"]), "primary_key", "problem") == [("1|10", "new value does not fit the column")]
+    with pytest.raises(ValueError, match="does not fit"):
+        K.apply(table3(spark), bad, "t", ["raceId", "driverId"])
 
 
 def test_profile(spark):
