@@ -154,3 +154,21 @@ def verify_fingerprints(recorded: DataFrame, current: DataFrame) -> DataFrame:
     state = F.when(F.col("n").isNull(), "missing").when(F.col("o").isNull(), "added").when(
         F.col("o") != F.col("n"), "changed").otherwise("same")
     return both.select("table", state.alias("state"))
+
+
+def attribute_conflicts(known: DataFrame, seen: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """(key, column, known, seen): attributes of matched entities that two sources state differently, compared as text. What a
+    source leaves out is no conflict."""
+    def cells(df: DataFrame, value: str) -> DataFrame:
+        text = df.where(F.col(key).isNotNull()).select(key, *[F.col(c).cast("string").alias(c) for c in columns])
+        return text.unpivot([key], list(columns), "column", value).where(F.col(value).isNotNull())
+
+    return cells(known, "known").join(cells(seen, "seen"), [key, "column"]).where("known <> seen")
+
+
+def value_status(known: DataFrame, seen: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, seen, known, status): each value of the second source as `same`, `conflict` or `new` to the first."""
+    held = known.where(F.col(key).isNotNull()).select(key, F.col(value).alias("known"), F.lit(True).alias("_held"))
+    status = F.when(F.col("_held").isNull(), "new").when(F.col("seen").eqNullSafe(F.col("known")), "same").otherwise("conflict")
+    return seen.where(F.col(key).isNotNull()).select(key, F.col(value).alias("seen")).join(held, key, "left").select(
+        key, "seen", "known", status.alias("status"))

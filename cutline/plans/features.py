@@ -29,30 +29,44 @@ class Feature:
     added: str = "original"
 
 
-def _features() -> tuple[Feature, ...]:
-    """Every column, its group, and the earliest snapshot that knows it."""
-    def group(name: str, snapshot: str, *columns: str, added: str = "original") -> list[Feature]:
-        return [Feature(c.rstrip("!"), name, snapshot, not c.endswith("!"), added) for c in columns]
-
-    return tuple(
-        group("Context", PRE, "round_index!", "seasons_into_era!", "venue_prior_events!", "venue_position_change",
-              "venue_dnf_rate")
-        + group("Entity form", PRE, "entity_events_started!", "entity_finish_mean_5", "entity_points_rate_5",
-                "entity_dnf_rate_10", "entity_standing_position", "entity_standing_points")
-        + group("Group form", PRE, "group_finish_mean_5", "group_points_rate_5", "group_dnf_rate_10",
-                "group_standing_position", "group_standing_points")
-        + group("Venue history", PRE, "entity_venue_events!", "entity_venue_finish_mean", "group_venue_events!",
-                "group_venue_finish_mean")
-        + group("Practice", POST, "practice_laps!", "practice_best_gap_ms", "practice_long_run_gap_ms",
-                "practice_long_run_laps!")
-        + group("Qualifying", POST, "quali_position!", "quali_gap_to_best_ms", "quali_mate_gap_ms", "quali_reached_last!")
-        + group("Relative form", PRE, "entity_vs_mate_finish_mean_5", "entity_points_share_5", "group_finish_trend_5")
-        + group("Compound", POST, "practice_compounds", "practice_softest_long_run_gap_ms")
-        + group("Recent qualifying", PRE, "entity_quali_mean_3", "group_quali_mean_3", added="recent")
-    )
-
-
-FEATURES = _features()
+# Every column, its group, and the earliest snapshot that knows it.
+FEATURES: tuple[Feature, ...] = (
+    Feature("round_index", "Context", PRE, nullable=False),
+    Feature("seasons_into_era", "Context", PRE, nullable=False),
+    Feature("venue_prior_events", "Context", PRE, nullable=False),
+    Feature("venue_position_change", "Context", PRE),
+    Feature("venue_dnf_rate", "Context", PRE),
+    Feature("entity_events_started", "Entity form", PRE, nullable=False),
+    Feature("entity_finish_mean_5", "Entity form", PRE),
+    Feature("entity_points_rate_5", "Entity form", PRE),
+    Feature("entity_dnf_rate_10", "Entity form", PRE),
+    Feature("entity_standing_position", "Entity form", PRE),
+    Feature("entity_standing_points", "Entity form", PRE),
+    Feature("group_finish_mean_5", "Group form", PRE),
+    Feature("group_points_rate_5", "Group form", PRE),
+    Feature("group_dnf_rate_10", "Group form", PRE),
+    Feature("group_standing_position", "Group form", PRE),
+    Feature("group_standing_points", "Group form", PRE),
+    Feature("entity_venue_events", "Venue history", PRE, nullable=False),
+    Feature("entity_venue_finish_mean", "Venue history", PRE),
+    Feature("group_venue_events", "Venue history", PRE, nullable=False),
+    Feature("group_venue_finish_mean", "Venue history", PRE),
+    Feature("practice_laps", "Practice", POST, nullable=False),
+    Feature("practice_best_gap_ms", "Practice", POST),
+    Feature("practice_long_run_gap_ms", "Practice", POST),
+    Feature("practice_long_run_laps", "Practice", POST, nullable=False),
+    Feature("quali_position", "Qualifying", POST, nullable=False),
+    Feature("quali_gap_to_best_ms", "Qualifying", POST),
+    Feature("quali_mate_gap_ms", "Qualifying", POST),
+    Feature("quali_reached_last", "Qualifying", POST, nullable=False),
+    Feature("entity_vs_mate_finish_mean_5", "Relative form", PRE),
+    Feature("entity_points_share_5", "Relative form", PRE),
+    Feature("group_finish_trend_5", "Relative form", PRE),
+    Feature("practice_compounds", "Compound", POST),
+    Feature("practice_softest_long_run_gap_ms", "Compound", POST),
+    Feature("entity_quali_mean_3", "Recent qualifying", PRE, added="recent"),
+    Feature("group_quali_mean_3", "Recent qualifying", PRE, added="recent"),
+)
 
 
 def features_for(snapshot: str, original_only: bool = False) -> tuple[str, ...]:
@@ -85,6 +99,7 @@ class EventTables:
     min_laps: int = 5
     first_compound_season: int | None = None
     unusable_laps: DataFrame | None = None
+    practices: Sequence[int] = (1, 2, 3)  # the sessions whose laps count as practice
     softest_first: Sequence[str] = field(default=("SOFT", "MEDIUM", "HARD"))
 
     def before(self, season: int) -> "EventTables":
@@ -266,7 +281,7 @@ def build(t: EventTables, snapshot: str = POST) -> DataFrame:
 
 def _practice(t: EventTables, field_rows: DataFrame, snapshot: str) -> DataFrame:
     """Practice pace; after practice it is measured within that snapshot's field and sessions."""
-    laps = t.laps.where("entity IS NOT NULL")
+    laps = t.laps.where(F.col("entity").isNotNull() & F.col("session").isin(*t.practices))
     if t.unusable_laps is not None:
         laps = laps.join(t.unusable_laps.select("event"), "event", "left_anti")
     if snapshot == PRACTICE:

@@ -3,50 +3,56 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from cutline.functions.scalars import NULL_TOKEN
 
 
-def _schema(**columns: str) -> T.StructType:
-    kinds = {"i": T.IntegerType(), "l": T.LongType(), "d": T.DoubleType(), "s": T.StringType(), "t": T.DateType()}
-    return T.StructType([T.StructField(name, kinds[kind]) for kind, names in columns.items() for name in names.split()])
-
-
-def _ordered(names: str, **columns: str) -> T.StructType:
-    typed = {f.name: f for f in _schema(**columns).fields}
-    return T.StructType([typed.get(n, T.StructField(n, T.StringType())) for n in names.split()])
-
-
-# The column order of every table of the dump; columns not listed with a type are text.
-SCHEMAS: dict[str, T.StructType] = {
-    "circuits": _ordered("circuitId circuitRef name location country lat lng alt url", i="circuitId", d="lat lng alt"),
-    "constructor_results": _ordered("constructorResultsId raceId constructorId points status",
-                                    i="constructorResultsId raceId constructorId", d="points"),
-    "constructor_standings": _ordered("constructorStandingsId raceId constructorId points position positionText wins",
-                                      i="constructorStandingsId raceId constructorId position wins", d="points"),
-    "constructors": _ordered("constructorId constructorRef name nationality url", i="constructorId"),
-    "driver_standings": _ordered("driverStandingsId raceId driverId points position positionText wins",
-                                 i="driverStandingsId raceId driverId position wins", d="points"),
-    "drivers": _ordered("driverId driverRef number code forename surname dob nationality url", i="driverId number", t="dob"),
-    "lap_times": _ordered("raceId driverId lap position time milliseconds", i="raceId driverId lap position", l="milliseconds"),
-    "pit_stops": _ordered("raceId driverId stop lap time duration milliseconds", i="raceId driverId stop lap", l="milliseconds"),
-    "qualifying": _ordered("qualifyId raceId driverId constructorId number position q1 q2 q3",
-                           i="qualifyId raceId driverId constructorId number position"),
-    "races": _ordered("raceId year round circuitId name date time url fp1_date fp1_time fp2_date fp2_time fp3_date fp3_time "
-                      "quali_date quali_time sprint_date sprint_time", i="raceId year round circuitId", t="date"),
-    "results": _ordered("resultId raceId driverId constructorId number grid position positionText positionOrder points laps "
-                        "time milliseconds fastestLap rank fastestLapTime fastestLapSpeed statusId",
-                        i="resultId raceId driverId constructorId number grid position positionOrder laps fastestLap rank statusId",
-                        l="milliseconds", d="points fastestLapSpeed"),
-    "seasons": _ordered("year url", i="year"),
-    "sprint_results": _ordered("resultId raceId driverId constructorId number grid position positionText positionOrder points laps "
-                               "time milliseconds fastestLap fastestLapTime statusId",
-                               i="resultId raceId driverId constructorId number grid position positionOrder laps fastestLap statusId",
-                               l="milliseconds", d="points"),
-    "status": _ordered("statusId status", i="statusId"),
+_TYPES = {"int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "string": T.StringType(), "date": T.DateType()}
+
+
+def schema(columns: str) -> T.StructType:
+    """The schema that a list of names and types describes."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (c.split() for c in columns.split(","))])
+
+
+# The columns of every table of the dump, in its order.
+COLUMNS: dict[str, str] = {
+    "circuits": (
+        "circuitId int, circuitRef string, name string, location string, country string, lat double, lng double, "
+        "alt double, url string"),
+    "constructor_results": "constructorResultsId int, raceId int, constructorId int, points double, status string",
+    "constructor_standings": (
+        "constructorStandingsId int, raceId int, constructorId int, points double, position int, positionText string, "
+        "wins int"),
+    "constructors": "constructorId int, constructorRef string, name string, nationality string, url string",
+    "driver_standings": "driverStandingsId int, raceId int, driverId int, points double, position int, positionText string, wins int",
+    "drivers": (
+        "driverId int, driverRef string, number int, code string, forename string, surname string, dob date, "
+        "nationality string, url string"),
+    "lap_times": "raceId int, driverId int, lap int, position int, time string, milliseconds bigint",
+    "pit_stops": "raceId int, driverId int, stop int, lap int, time string, duration string, milliseconds bigint",
+    "qualifying": (
+        "qualifyId int, raceId int, driverId int, constructorId int, number int, position int, q1 string, q2 string, "
+        "q3 string"),
+    "races": (
+        "raceId int, year int, round int, circuitId int, name string, date date, time string, url string, "
+        "fp1_date string, fp1_time string, fp2_date string, fp2_time string, fp3_date string, fp3_time string, "
+        "quali_date string, quali_time string, sprint_date string, sprint_time string"),
+    "results": (
+        "resultId int, raceId int, driverId int, constructorId int, number int, grid int, position int, "
+        "positionText string, positionOrder int, points double, laps int, time string, milliseconds bigint, "
+        "fastestLap int, rank int, fastestLapTime string, fastestLapSpeed double, statusId int"),
+    "seasons": "year int, url string",
+    "sprint_results": (
+        "resultId int, raceId int, driverId int, constructorId int, number int, grid int, position int, "
+        "positionText string, positionOrder int, points double, laps int, time string, milliseconds bigint, "
+        "fastestLap int, fastestLapTime string, statusId int"),
+    "status": "statusId int, status string",
 }
+SCHEMAS: dict[str, T.StructType] = {name: schema(columns) for name, columns in COLUMNS.items()}
 PRIMARY_KEYS: dict[str, tuple[str, ...]] = {
     "circuits": ("circuitId",), "constructor_results": ("constructorResultsId",),
     "constructor_standings": ("constructorStandingsId",), "constructors": ("constructorId",),
@@ -63,8 +69,8 @@ def foreign_keys() -> list[tuple[str, str, str]]:
     return [(t, c, parents[c]) for t, s in SCHEMAS.items() for c in s.names if c in parents and parents[c] != t]
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, empty_is_null: bool = False, extra: bool = False) -> DataFrame:
-    """A CSV file or folder with a header. The null token is the only null; an empty text
+def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType, empty_is_null: bool = False, extra: bool = False) -> DataFrame:
+    """CSV files of one header, or a folder of them. The null token is the only null; an empty text
     stays visible unless `empty_is_null`. With `extra`, columns beyond the schema are read as text."""
     text_schema = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
     reader = spark.read.option("header", True).option("nullValue", NULL_TOKEN).option("emptyValue", "").option("escape", '"')
@@ -97,12 +103,17 @@ def read_all(spark: SparkSession, folder: str, views: bool = True) -> dict[str,
 
 
 def read_seasons(spark: SparkSession, files: Sequence[str], schema: T.StructType) -> DataFrame:
-    """One table kept as a file per season; a column some seasons lack is null there."""
-    out = None
-    for f in files:
-        df = read_csv(spark, f, schema, empty_is_null=True, extra=True)
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    return out
+    """One table kept as a file per season; a column some seasons lack is null there.
+
+    Files with the same header are one read, so the plan grows with the different headers, not with the files."""
+    lines = spark.read.text(list(files)).select(F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("_at"))
+    groups: dict[str, list[str]] = {}
+    for r in lines.groupBy("file").agg(F.min_by("value", "_at").alias("header")).orderBy("file").collect():  # a row per file
+        groups.setdefault(r["header"], []).append(r["file"])
+    parts = [read_csv(spark, paths, schema, empty_is_null=True, extra=True) for paths in groups.values()]
+    if not parts:
+        return spark.createDataFrame([], schema)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def write_table(df: DataFrame, path: str, order_by: Sequence[str], season: str | None = None) -> None:

@@ -26,7 +26,7 @@ def test_declared_keys(spark):
 def test_seasons_with_different_columns(spark, tmp_path):
     (tmp_path / "2018.csv").write_text("raceId,lap\n1,5\n")
     (tmp_path / "2019.csv").write_text("raceId,lap,compound\n2,6,SOFT\n")
-    df = B.read_seasons(spark, [str(tmp_path / f"{y}.csv") for y in (2018, 2019)], B._schema(i="raceId lap"))
+    df = B.read_seasons(spark, [str(tmp_path / f"{y}.csv") for y in (2018, 2019)], B.schema("raceId int, lap int"))
     assert rows(df, "raceId", "lap", "compound") == [(1, 5, None), (2, 6, "SOFT")]
 
 
