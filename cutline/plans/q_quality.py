@@ -51,11 +51,13 @@ def table_diff(star: Star) -> DataFrame:
 
 
 @query("diff_examples", f"""
-WITH {SIDES}, cells AS (SELECT o_orderkey, 'o_orderstatus' AS "column", ls AS "left", rs AS "right" FROM bt WHERE ls <> rs)
-SELECT * FROM cells QUALIFY row_number() OVER (ORDER BY o_orderkey) <= 5
+WITH {SIDES}, cells AS (SELECT o_orderkey, 'o_orderstatus' AS "column", ls AS "left", rs AS "right" FROM bt WHERE ls <> rs
+  UNION ALL SELECT o_orderkey, 'o_totalprice', CAST(CAST(lp AS DECIMAL(18, 2)) AS VARCHAR), CAST(CAST(rp AS DECIMAL(18, 2)) AS VARCHAR) FROM bt WHERE lp <> rp)
+SELECT * FROM cells QUALIFY row_number() OVER (PARTITION BY "column" ORDER BY o_orderkey) <= 5
 """)
 def diff_examples(star: Star) -> DataFrame:
-    cells = diff.diff_cells(*two_sources(star), ["o_orderkey"], ["o_custkey", "o_orderstatus"])
+    sides = [side.withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(18,2)")) for side in two_sources(star)]
+    cells = diff.diff_cells(*sides, ["o_orderkey"], DIFF_COLUMNS)
     return diff.examples(cells, ["o_orderkey"]).drop("n")
 
 
@@ -180,50 +182,50 @@ def fingerprint(star: Star) -> DataFrame:
 
 
 @query("islands", f"""
-WITH {ENTRIES}, y AS (SELECT DISTINCT grp * 1000 + entity % 1000 AS key, ord // 1000000000000 // 14 AS yr FROM entries WHERE grp IS NOT NULL),
+WITH {ENTRIES}, y AS (SELECT DISTINCT entity AS key, ord // 1000000000000 // 14 AS yr FROM entries),
 s AS (SELECT *, CASE WHEN yr - lag(yr) OVER w > 4 OR lag(yr) OVER w IS NULL THEN 1 ELSE 0 END AS st FROM y WINDOW w AS (PARTITION BY key ORDER BY yr)),
 b AS (SELECT *, sum(st) OVER (PARTITION BY key ORDER BY yr) AS blk FROM s)
 SELECT key, key || '-' || min(yr) AS identity, min(yr) AS first_year, max(yr) AS last_year, count(*) AS active_years FROM b GROUP BY key, blk
 """)
 def islands(star: Star) -> DataFrame:
-    """Active fortnights per entity within its group; more than four idle ones break an identity."""
-    return identity.islands(_active(star), "key", "yr")
+    """Active fortnights per entity; more than four idle ones break an identity."""
+    rows = star.entries().select(F.col("entity").alias("key"), F.expr("ord div 1000000000000 div 14").alias("yr"))
+    return identity.islands(identity.active_years([rows], "key", "yr"), "key", "yr")
 
 
-def _active(star: Star) -> DataFrame:
-    rows = star.entries().where("grp IS NOT NULL").select(
-        (F.col("grp") * 1000 + F.col("entity") % 1000).alias("key"), F.expr("ord div 1000000000000 div 14").alias("yr"))
-    return identity.active_years([rows], "key", "yr")
-
-
-ISLAND_SQL = """
-y AS (SELECT DISTINCT {k} AS key, season AS yr FROM entries WHERE grid = 0 AND line >= 6 AND retired AND venue = '5-LOW' AND points > 30),
-s AS (SELECT *, CASE WHEN yr - lag(yr) OVER w > 1 OR lag(yr) OVER w IS NULL THEN 1 ELSE 0 END AS st FROM y WINDOW w AS (PARTITION BY key ORDER BY yr)),
+BLOCKS = """
+o AS (SELECT o_orderkey AS event, o_custkey AS key, CAST(year(o_orderdate) * 12 + month(o_orderdate) - 1 AS BIGINT) AS yr FROM orders),
+s AS (SELECT *, CASE WHEN yr - lag(yr) OVER w > 12 OR lag(yr) OVER w IS NULL THEN 1 ELSE 0 END AS st FROM (SELECT DISTINCT key, yr FROM o) WINDOW w AS (PARTITION BY key ORDER BY yr)),
 b AS (SELECT *, sum(st) OVER (PARTITION BY key ORDER BY yr) AS blk FROM s),
 bl AS (SELECT key, min(yr) AS f, max(yr) AS l FROM b GROUP BY key, blk)"""
 
 
-def _season_blocks(star: Star) -> DataFrame:
-    """Seasons in which an entity had a rare kind of entry; one idle season breaks a block."""
-    rare = star.entries().where("grid = 0 AND line >= 6 AND retired AND venue = '5-LOW' AND points > 30")
-    return identity.islands(identity.active_years([rare], "entity", "season"), "entity", "season", gap=1)
+def _active_months(star: Star) -> DataFrame:
+    """The months in which each customer ordered."""
+    month = (F.year("o_orderdate") * 12 + F.month("o_orderdate") - 1).cast("bigint")
+    return star.table("orders").select(F.col("o_orderkey").alias("event"), F.col("o_custkey").alias("entity"), month.alias("month"))
+
+
+def _blocks(star: Star) -> DataFrame:
+    """More than a year without an order breaks an identity."""
+    return identity.islands(identity.active_years([_active_months(star)], "entity", "month"), "entity", "month", gap=12)
 
 
 @query("island_report", f"""
-WITH {ENTRIES}, {ISLAND_SQL.format(k="entity")}, g AS (SELECT *, f - lag(l) OVER (PARTITION BY key ORDER BY f) AS gap FROM bl)
+WITH {BLOCKS}, g AS (SELECT *, f - lag(l) OVER (PARTITION BY key ORDER BY f) AS gap FROM bl)
 SELECT key AS entity, count(*) AS n_blocks, string_agg(f || '-' || l, '; ' ORDER BY f) AS active_blocks, max(gap) AS largest_gap,
-  max(l) >= 2000 AS affects_modern FROM g GROUP BY key HAVING count(*) > 1
+  max(l) >= 24000 AS affects_modern FROM g GROUP BY key HAVING count(*) > 1
 """)
 def island_report(star: Star) -> DataFrame:
-    return identity.island_report(_season_blocks(star), "entity", 2000)
+    return identity.island_report(_blocks(star), "entity", 24000)
 
 
 @query("assign_identity", f"""
-WITH {ENTRIES}, {ISLAND_SQL.format(k="entity")}
-SELECT e.event, e.entity, b.key || '-' || b.f AS identity FROM entries e LEFT JOIN bl b ON b.key = e.entity AND e.season BETWEEN b.f AND b.l
+WITH {BLOCKS}
+SELECT o.event, o.key AS entity, b.key || '-' || b.f AS identity FROM o LEFT JOIN bl b ON b.key = o.key AND o.yr BETWEEN b.f AND b.l
 """)
 def assign_identity(star: Star) -> DataFrame:
-    return identity.assign_identity(star.entries(), _season_blocks(star), "entity", "season").select("event", "entity", "identity")
+    return identity.assign_identity(_active_months(star), _blocks(star), "entity", "month").select("event", "entity", "identity")
 
 
 @query("id_map", """

@@ -130,7 +130,7 @@ def ledger(star: Star) -> DataFrame:
     return out.select("event", *[r6(c, c) for c in evaluate.METRICS], "undefined", r6("baseline_log_loss", "baseline_log_loss"))
 
 
-@query("track_record", PUBLISHED + """ SELECT season, venue, count(*) AS events, count(*) - count(log_loss) AS undefined, count(*) FILTER (WHERE log_loss < baseline_log_loss - 1e-9) AS model_better,
+@query("track_record", PUBLISHED + """ SELECT season, venue, count(*) AS events, count(*) - count(log_loss) AS undefined, count(*) FILTER (WHERE CAST(log_loss AS DECIMAL(18, 9)) < CAST(baseline_log_loss AS DECIMAL(18, 9))) AS model_better,
   round(CASE WHEN count(*) >= 4 THEN avg(log_loss) END, 6) AS mean_log_loss, round(CASE WHEN count(*) >= 4 THEN avg(baseline_log_loss) FILTER (WHERE log_loss IS NOT NULL) END, 6) AS baseline_log_loss
   FROM led JOIN ev USING (event) GROUP BY season, venue""")
 def track_record(star: Star) -> DataFrame:
@@ -190,12 +190,12 @@ def reference_integrity(star: Star) -> DataFrame:
 
 
 @query("preferred_snapshot", """
-WITH p AS (SELECT DISTINCT user_id AS event, CASE event_type WHEN 'signup' THEN 'post_qualifying' WHEN 'purchase' THEN 'post_practice' ELSE 'pre_weekend' END AS snapshot FROM events WHERE value > 100)
+WITH p AS (SELECT DISTINCT user_id AS event, CASE event_type WHEN 'signup' THEN 'post_qualifying' WHEN 'purchase' THEN 'post_practice' ELSE 'pre_weekend' END AS snapshot FROM events)
 SELECT event, arg_min(snapshot, CASE snapshot WHEN 'post_qualifying' THEN 0 WHEN 'post_practice' THEN 1 ELSE 2 END) AS snapshot FROM p GROUP BY event
 """)
 def preferred_snapshot(star: Star) -> DataFrame:
     kind = F.when(F.col("event_type") == "signup", P.POST).when(F.col("event_type") == "purchase", P.PRACTICE).otherwise(P.PRE)
-    return record.preferred_snapshot(star.table("events").where("value > 100").select(F.col("user_id").alias("event"), kind.alias("snapshot")))
+    return record.preferred_snapshot(star.table("events").select(F.col("user_id").alias("event"), kind.alias("snapshot")))
 
 
 @query("venue_facts", f"""

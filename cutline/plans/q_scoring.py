@@ -330,12 +330,12 @@ def class_history(star: Star) -> DataFrame:
 
 
 @query("class_scores", CLASS_SQL + """ SELECT event, round(avg(-ln(least(greatest([rv0, rv1, rv2][cls + 1], 1e-6), 1.0))), 6) AS log_loss,
-  round(avg(pow(rv0 - CAST(cls = 0 AS INTEGER), 2) + pow(rv1 - CAST(cls = 1 AS INTEGER), 2) + pow(rv2 - CAST(cls = 2 AS INTEGER), 2)) + 1e-10, 6) AS brier FROM sr JOIN rv USING (event) GROUP BY event""")
+  round(avg(pow(rv0 - CAST(cls = 0 AS INTEGER), 2) + pow(rv1 - CAST(cls = 1 AS INTEGER), 2) + pow(rv2 - CAST(cls = 2 AS INTEGER), 2)), 9) AS brier FROM sr JOIN rv USING (event) GROUP BY event""")
 def class_scores(star: Star) -> DataFrame:
     frame = classes.class_frame(class_rows(star), star.planner(), star.planner("orders"))
     out = evaluate.class_scores(frame, ["event"], [f"rule_venue_{k}" for k in range(3)], "cls")
-    # Some means end exactly in a five at the seventh place; the nudge settles them alike everywhere.
-    return out.select("event", r6("log_loss", "log_loss"), r6(F.col("brier") + 1e-10, "brier"))
+    # Some means end exactly in a five at the seventh place, so they are shown with nine.
+    return out.select("event", r6("log_loss", "log_loss"), F.round("brier", 9).alias("brier"))
 
 
 @query("elo")

@@ -97,10 +97,12 @@ def track_record(entries: DataFrame, series: Sequence[str], minimum: int = 4) ->
     """Per series, never pooled: mean log loss over the events that have one, the baseline's
     over the same events, how many were undefined; no means below `minimum` events."""
     paired = F.col("log_loss").isNotNull() & F.col("baseline_log_loss").isNotNull()
+    # Compared as decimals: a tie is a tie, whatever the last bits of two sums.
+    better = F.col("log_loss").cast("decimal(18,9)") < F.col("baseline_log_loss").cast("decimal(18,9)")
     out = entries.groupBy(*series).agg(
         F.count("*").alias("events"), F.count("log_loss").alias("defined"),
         F.avg("log_loss").alias("_mean"), F.avg(F.when(paired, F.col("baseline_log_loss"))).alias("_bar"),
-        F.count(F.when(paired & (F.col("log_loss") < F.col("baseline_log_loss") - 1e-9), 1)).alias("model_better"))
+        F.count(F.when(paired & better, 1)).alias("model_better"))
     enough = F.col("events") >= minimum
     return out.select(*series, "events", (F.col("events") - F.col("defined")).alias("undefined"), "model_better",
                       F.when(enough, F.col("_mean")).alias("mean_log_loss"), F.when(enough, F.col("_bar")).alias("baseline_log_loss"))

@@ -37,15 +37,28 @@ STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def run_to_table(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all input there is, into Parquet, and read it back. State is kept in
-    RocksDB, on disk, which custom processors need and large state wants."""
+def run_to_table(df: DataFrame, name: str, mode: str = "append", closing: tuple[str, DataFrame] | None = None) -> DataFrame:
+    """Run a stream over all input there is, into Parquet, and read it back. State is kept in RocksDB, on disk, which custom
+    processors need and large state wants; the session's own choice of state store is restored.
+
+    `closing`, a folder that the stream reads and rows to add to it at the end, ends the input: rows later than all others
+    move the watermark past them, so nothing stays open."""
     spark = df.sparkSession
-    spark.conf.set(STATE_STORE, ROCKSDB)
     folder = work_folder(spark, name)
-    q = df.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/out").option(
-        "checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
-    q.awaitTermination()
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        for last in (False, True) if closing else (True,):
+            if closing and last:
+                closing[1].write.mode("append").parquet(closing[0])
+            q = df.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/out").option(
+                "checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+            q.awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, before)
     return spark.read.schema(df.schema).parquet(f"{folder}/out")
 
 
@@ -59,8 +72,9 @@ def latest_rows(base: DataFrame, deltas: DataFrame, keys: Sequence[str]) -> Data
 def upsert_changes(stream: DataFrame, current: DataFrame, keys: Sequence[str], columns: Sequence[str], name: str) -> tuple[DataFrame, DataFrame]:
     """Apply a stream of re-fetched rows to a table, logging every cell that changed.
 
-    A batch writes only the rows it brings; the table itself is not rewritten. Each batch has
-    its own folder, so a batch that is repeated after a failure replaces what it wrote.
+    A batch writes only the rows it brings; the table itself is not rewritten. Of several rows of a key in one batch the
+    greatest by the columns, in their order, counts. Each batch has its own folder, so a batch that is repeated after a
+    failure replaces what it wrote.
     Returns the table after the stream, and the change log."""
     spark = stream.sparkSession
     folder = work_folder(spark, name)
@@ -70,13 +84,14 @@ def upsert_changes(stream: DataFrame, current: DataFrame, keys: Sequence[str], c
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        latest = batch.select(*current.columns).dropDuplicates(list(keys)).persist()
+        others = [c for c in current.columns if c not in keys]
+        one = batch.groupBy(*keys).agg(F.max(F.struct(*others)).alias("_r")).select(*keys, "_r.*").select(*current.columns)
+        one.write.mode("overwrite").parquet(f"{folder}/delta/batch_id={batch_id}")
+        latest = session.read.schema(current.schema).parquet(f"{folder}/delta/batch_id={batch_id}")
         earlier = session.read.schema(delta_schema).parquet(f"{folder}/delta").where(F.col("batch_id") < batch_id)
         asked = latest.select(*keys)
         before = latest_rows(current.join(asked, list(keys), "left_semi"), earlier.join(asked, list(keys), "left_semi"), keys)
         diff_cells(before, latest, keys, columns).write.mode("overwrite").parquet(f"{folder}/log/batch_id={batch_id}")
-        latest.write.mode("overwrite").parquet(f"{folder}/delta/batch_id={batch_id}")
-        latest.unpersist()
 
     q = stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     q.awaitTermination()
