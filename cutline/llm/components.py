@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from cutline.llm.frames import stored
+from cutline.llm.frames import few, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -14,19 +14,21 @@ def components(links: DataFrame) -> DataFrame:
     is two aggregations with map-side minima, whose results are joined back, so that no neighbourhood is ever gathered;
     rounds grow with the logarithm of the longest path. Each round is written to the shared folder. Loops, repeated links
     and links in both directions are fine; links with a null end are ignored."""
-    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-                   .where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("u") != F.col("v"))).distinct(), "links")
+    edges = few(stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+                       .where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("u") != F.col("v"))).distinct(), "links"))
     before = None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = stored(large, "large-star")
+        large = few(stored(large, "large-star"))
+        # The least neighbour of a vertex takes over its other neighbours; the vertex itself stays linked to it.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-                 .unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        edges = stored(small, "small-star")
+        taken = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")
+        small = large.join(least, "u").select(taken).select("e.*").where("u != v").distinct()
+        edges = few(stored(small, "small-star"))
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
-            return edges.select(F.col("u").alias("vertex"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("vertex"), F.col("v").alias("root")).distinct())
+            return edges.select(F.explode(F.array(F.struct(F.col("u").alias("vertex"), F.col("v").alias("root")),
+                                                  F.struct(F.col("v").alias("vertex"), F.col("v").alias("root")))).alias("e")).select("e.*").distinct()
         before = state

@@ -43,6 +43,11 @@ def lists(values, offsets, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 
+def few(df: DataFrame, rows: int = 250_000) -> DataFrame:
+    """A stored frame in no more partitions than its rows fill. Steps between frames of one partition need no exchange."""
+    return df.coalesce(-(-max(1, df.count()) // rows))
+
+
 def remainder(doc_id: Column | str, modulus: int) -> Column:
     """crc32 of an id written as text, modulo a number: which labelled rows are held out."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -55,4 +60,4 @@ def one_label(labels: DataFrame, column: str, doc_id: str = "doc_id") -> DataFra
             .groupBy(doc_id).agg(F.max(column).cast("int").alias(column)))
 
 
-__all__ = ["arrow_type", "lists", "one_label", "per_batch", "remainder", "stored", "table"]
+__all__ = ["arrow_type", "few", "lists", "one_label", "per_batch", "remainder", "stored", "table"]

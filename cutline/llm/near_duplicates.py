@@ -14,7 +14,7 @@ classes, further leaders are taken, four times as many each round, and compared
 no bucket has an uncompared pair of classes. Classes are the connected components.
 
 A text without words is near only to texts of the same bytes; a null text or a null id has no class (null). An id with
-several texts joins their classes. Texts of fewer than five words are one shingle. Repeated rows give repeated results."""
+several texts joins their classes, and is compared by the greatest of them. Texts of fewer than five words are one shingle. Repeated rows give repeated results."""
 
 from __future__ import annotations
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from cutline.llm.components import components
-from cutline.llm.frames import lists, per_batch, stored
+from cutline.llm.frames import few, lists, per_batch, stored
 from cutline.llm.words import Block, blocks, mix, shingles, signed, utf8
 
 _SEED = np.uint64(0x5851F42D4C957F2D)
@@ -164,18 +164,17 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     marked = stored(signed_texts(docs, size, bands, rows, weighted), "signatures")
     named = marked.where(F.col("digest").isNotNull() & F.col("id").isNotNull())
-    texts = stored(named.groupBy("digest").agg(F.min("id").alias("text_id")), "texts")
-    # One row of buckets for each different text. Ids that name several texts are joined at the end.
-    distinct = named.where(F.size("buckets") > 0).join(texts, (F.col("id") == F.col("text_id")) & (named["digest"] == texts["digest"]), "left_semi")
-    rows_ = distinct.select("id", "n", F.explode("buckets").alias("bucket")).distinct()
+    # Size and buckets depend on the words alone: each different text has them once.
+    texts = stored(named.groupBy("digest").agg(F.min("id").alias("text_id"), F.first("n").alias("n"), F.first("buckets").alias("buckets")), "texts")
+    rows_ = texts.select(F.col("text_id").alias("id"), "n", F.explode("buckets").alias("bucket"))
     shared = rows_.groupBy("bucket").agg(F.count("*").alias("met")).where("met > 1")
     hits = stored(rows_.join(shared, "bucket"), "buckets")
     central = hits.groupBy("id").agg(F.sum("met").alias("centre"))
-    hits = stored(hits.join(central, "id").select("bucket", "id", "n", "centre"), "members")
-    sets = stored(_sets(docs.join(hits.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), size), "shingles")
+    state = few(stored(hits.join(central, "id").select("bucket", "id", "n", "centre", F.col("id").alias("root")), "members"))
+    wanted = few(stored(state.select("id").distinct(), "candidates"))
+    sets = stored(_sets(docs.join(wanted, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")), size), "shingles")
 
-    links = named.join(texts, "digest").where("id != text_id").select(F.col("id").alias("a"), F.col("text_id").alias("b")).distinct()
-    found, compared, state, leaders, first = [], None, hits.withColumn("root", F.col("id")), 1, True
+    found, compared, leaders = _several_texts(named, texts), None, 1
     while True:
         best = F.struct("centre", F.xxhash64("id", "bucket").alias("tie"), F.col("id").alias("leader"), F.col("n").alias("leader_n"), F.col("root").alias("leader_root"))
         if leaders == 1:
@@ -183,35 +182,34 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
         else:
             order = Window.partitionBy("bucket").orderBy(F.desc("centre"), F.desc(F.xxhash64("id", "bucket")), "id")
             led = state.withColumn("place", F.row_number().over(order)).where(F.col("place") <= leaders).select("bucket", best.alias("best")).select("bucket", "best.*")
-        led = stored(led.select("bucket", "leader", "leader_n", "leader_root"), "leaders")
+        led = few(stored(led.select("bucket", "leader", "leader_n", "leader_root"), "leaders"))
         pairs = (state.join(led, "bucket").where((F.col("root") != F.col("leader_root"))
                                                  & (F.least("n", "leader_n") >= similarity * F.greatest("n", "leader_n") - 1e-9))
                  .select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct())
         if compared is not None:
-            seen = compared.unionByName(compared.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            seen = compared.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        compared = pairs if compared is None else stored(compared.unionByName(pairs), "compared")
-        near = stored(_near(pairs, sets, similarity), "near")
-        found.append(near)
-        roots = stored(components(_union(found)), "roots")
+        pairs = few(stored(pairs, "pairs"))
+        compared = pairs if compared is None else few(stored(compared.unionByName(pairs), "compared"))
+        near = few(stored(_near(pairs, sets, similarity), "near"))
+        found = near if found is None else few(stored(found.unionByName(near), "found"))
+        roots = few(stored(components(found), "roots"))
         # Leaders are done with; a bucket whose members are all of one class is done with.
-        rest = state.join(led.select("bucket", F.col("leader").alias("id")), ["bucket", "id"], "left_anti").drop("root")
-        rest = rest.join(roots.withColumnRenamed("vertex", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        rest = stored(rest, "rest")
+        rest = (state.drop("root").join(led.select("bucket", F.col("leader").alias("id")), ["bucket", "id"], "left_anti")
+                .join(roots.withColumnRenamed("vertex", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
+        rest = few(stored(rest, "rest"))
         mixed = rest.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
-        state = stored(rest.join(mixed, "bucket", "left_semi"), "mixed")
+        state = few(stored(rest.join(mixed, "bucket", "left_semi"), "mixed"))
         if state.isEmpty():
             break
-        leaders = 4 if first else leaders * 4
-        first = False
-    roots = stored(components(_union([*found, links])), "classes")
-    return (marked.join(texts, "digest", "left").join(roots, F.col("text_id") == F.col("vertex"), "left")
+        leaders *= 4
+    return (marked.join(texts.select("digest", "text_id"), "digest", "left").join(roots, F.col("text_id") == F.col("vertex"), "left")
             .select("id", F.when(F.col("id").isNotNull(), F.coalesce("root", "text_id")).alias("class_id")))
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return out
+def _several_texts(named: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """Links from ids that name several texts to the documents that stand for those texts; as a rule there are none."""
+    several = stored(named.groupBy("id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low < high").select("id"), "several-texts")
+    if several.isEmpty():
+        return None
+    return stored(named.join(several, "id", "left_semi").join(texts, "digest").select(F.col("id").alias("a"), F.col("text_id").alias("b")).distinct(), "own-links")
