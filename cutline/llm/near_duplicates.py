@@ -8,10 +8,11 @@ similarity. Darts are thrown up to a time at which about k(ln k + 3) have landed
 coordinate still empty, so the cost is that of reading the set once plus k log k.
 
 Texts with the same words are one text. Signatures are cut into bands; texts that agree in a whole band meet in a bucket. In
-a bucket nothing is paired with everything: members are compared with the leader, the member that meets most others. Equal
-shingle sets aside, a comparison is exact (intersection of the shingle sets). While a bucket still holds members of several
-classes, further leaders are taken, four times as many each round, and compared with members of other classes only, until
-no bucket has an uncompared pair of classes. Classes are the connected components.
+a bucket nothing is paired with everything: members are compared with the leader, the member that meets most others. A
+comparison is exact (intersection of the shingle sets). Where a bucket holds members of several classes beside its leader,
+those of different classes are compared with each other if they are few; else those that can still be similar
+meet again in smaller buckets, by the shingles that they do not share with the leader (`_still_possible`). No link between texts that met is lost, and a group of n copies takes about n
+comparisons. Classes are the connected components.
 
 A text without words is near only to texts of the same bytes; a null text or a null id has no class (null). An id with
 several texts joins their classes, and is compared by the greatest of them. Texts of fewer than five words are one shingle. Repeated rows give repeated results."""
@@ -22,7 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cutline.llm.components import components
 from cutline.llm.frames import few, lists, per_batch, stored
@@ -31,6 +32,8 @@ from cutline.llm.words import Block, blocks, mix, shingles, signed, utf8
 _SEED = np.uint64(0x5851F42D4C957F2D)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LATE = np.uint64(0x2545F4914F6CDD1D)
+_SLACK = 1e-9  # of a comparison of counts
+_FEW = 64  # members of a bucket that are compared with each other
 
 
 def signatures(elements: np.ndarray, weights: np.ndarray, owners: np.ndarray, sets: int, k: int) -> np.ndarray:
@@ -144,15 +147,46 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return per_batch(docs, run, schema)
 
 
-def _near(pairs: DataFrame, sets: DataFrame, similarity: float, salts: int = 32) -> DataFrame:
-    """Those pairs (a, b) whose shingle sets have at least the similarity. b may be in very many pairs: they are dealt
-    over `salts` copies of its set."""
-    left = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(salts))).join(sets.select(F.col("id").alias("a"), F.col("elements").alias("of_a")), "a")
-    right = (pairs.select("b", F.pmod(F.xxhash64("a"), F.lit(salts)).alias("salt")).distinct()
-             .join(sets.select(F.col("id").alias("b"), F.col("elements").alias("of_b")), "b"))
+def _beside(pairs: DataFrame, sets: DataFrame, salts: int = 32) -> DataFrame:
+    """Pairs (a, b) with their shingle sets. b may be in very many pairs: they are dealt over `salts` copies of its set."""
+    salt = F.pmod(F.xxhash64("a"), F.lit(salts)).alias("salt")
+    left = pairs.select("*", salt).join(sets.select(F.col("id").alias("a"), F.col("elements").alias("of_a")), "a")
+    right = pairs.select("b", salt).distinct().join(sets.select(F.col("id").alias("b"), F.col("elements").alias("of_b")), "b")
+    return left.join(right, ["b", "salt"])
+
+
+def _near(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs whose shingle sets have at least the similarity."""
     common = F.size(F.array_intersect("of_a", "of_b"))
-    return (left.join(right, ["b", "salt"]).withColumn("common", common)
-            .where(F.col("common") >= similarity * (F.size("of_a") + F.size("of_b") - F.col("common")) - 1e-9).select("a", "b"))
+    return (_beside(pairs, sets).withColumn("common", common)
+            .where(F.col("common") >= similarity * (F.size("of_a") + F.size("of_b") - F.col("common")) - _SLACK).select("a", "b"))
+
+
+def _still_possible(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Smaller buckets in which any two members of a bucket that are similar enough meet again, the leader left aside.
+
+    Let a member have `shared` shingles in common with the leader and others of its own. A similar member holds at least
+    similarity x size of its shingles. So either it needs `need` > 0 of the member's own shingles, and the two meet at one of
+    the first (own - need + 1) of them in a fixed order; or they may have none of those in common, and then the counts alone
+    must allow it: min(shared) / (own + own + max(shared)) >= similarity. Such pairs of counts are few, and their members meet
+    there. Everything else can't be similar, so nothing is lost; copies with independent changes no longer meet at all."""
+    pairs = rest.select(F.col("id").alias("a"), F.col("leader").alias("b"), "n", "centre", "root").distinct()
+    own = F.array_except("of_a", "of_b")
+    edits = (_beside(pairs, sets).select("a", "b", "n", "centre", "root", F.array_sort(own).alias("own")).withColumn("shared", F.col("n") - F.size("own"))
+             .withColumn("need", F.ceil(similarity * F.col("n") - F.col("shared") - _SLACK)))
+    edits = few(stored(edits.withColumn("first", F.expr("slice(own, 1, greatest(0, size(own) - greatest(1, CAST(need AS INT)) + 1))"))
+                       .select("a", "b", "n", "centre", "root", "first", "shared", F.size("own").alias("others"), "need"), "edits"))
+    kept = ("id", "n", "centre", "root")
+    meeting = (edits.select("a", "b", "n", "centre", "root", F.explode("first").alias("shingle"))
+               .select(F.xxhash64("b", "shingle").alias("bucket"), F.col("a").alias("id"), "n", "centre", "root"))
+    cells = edits.where("need <= 0").groupBy("b", "shared", "others").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    left, right = (cells.select("b", *[F.col(c).alias(f"{c}{i}") for c in ("shared", "others", "low", "high")]) for i in (1, 2))
+    allowed = ((F.struct("shared1", "others1") <= F.struct("shared2", "others2")) & (F.least("low1", "low2") < F.greatest("high1", "high2"))
+               & (F.least("shared1", "shared2") >= similarity * (F.col("others1") + F.col("others2") + F.greatest("shared1", "shared2")) - _SLACK))
+    both = left.join(right, "b").where(allowed).select("b", F.xxhash64("b", "shared1", "others1", "shared2", "others2").alias("bucket"), F.explode(F.array(
+        F.struct(F.col("shared1").alias("shared"), F.col("others1").alias("others")), F.struct(F.col("shared2").alias("shared"), F.col("others2").alias("others")))).alias("cell")).select("b", "bucket", "cell.*").distinct()
+    counted = edits.where("need <= 0").join(both, ["b", "shared", "others"]).select("bucket", F.col("a").alias("id"), "n", "centre", "root")
+    return meeting.unionByName(counted).select("bucket", *kept).distinct()
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, size: int = 5, bands: int = 24,
@@ -174,39 +208,49 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     wanted = few(stored(state.select("id").distinct(), "candidates"))
     sets = stored(_sets(docs.join(wanted, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")), size), "shingles")
 
-    found, compared, leaders = _several_texts(named, texts), None, 1
+    found, small = _several_texts(named, texts), None
     while True:
         best = F.struct("centre", F.xxhash64("id", "bucket").alias("tie"), F.col("id").alias("leader"), F.col("n").alias("leader_n"), F.col("root").alias("leader_root"))
-        if leaders == 1:
-            led = state.groupBy("bucket").agg(F.max(best).alias("best")).select("bucket", "best.*")
-        else:
-            order = Window.partitionBy("bucket").orderBy(F.desc("centre"), F.desc(F.xxhash64("id", "bucket")), "id")
-            led = state.withColumn("place", F.row_number().over(order)).where(F.col("place") <= leaders).select("bucket", best.alias("best")).select("bucket", "best.*")
-        led = few(stored(led.select("bucket", "leader", "leader_n", "leader_root"), "leaders"))
-        pairs = (state.join(led, "bucket").where((F.col("root") != F.col("leader_root"))
-                                                 & (F.least("n", "leader_n") >= similarity * F.greatest("n", "leader_n") - 1e-9))
-                 .select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct())
-        if compared is not None:
-            seen = compared.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = few(stored(pairs, "pairs"))
-        compared = pairs if compared is None else few(stored(compared.unionByName(pairs), "compared"))
-        near = few(stored(_near(pairs, sets, similarity), "near"))
+        led = few(stored(state.groupBy("bucket").agg(F.max(best).alias("best")).select("bucket", "best.leader", "best.leader_n", "best.leader_root"), "leaders"))
+        pairs = state.join(led, "bucket").where((F.col("root") != F.col("leader_root")) & _sizes_allow("n", "leader_n", similarity)).select(F.col("id").alias("a"), F.col("leader").alias("b"))
+        pairs = pairs if small is None else pairs.unionByName(small)
+        near = few(stored(_near(few(stored(pairs.distinct(), "pairs")), sets, similarity), "near"))
         found = near if found is None else few(stored(found.unionByName(near), "found"))
         roots = few(stored(components(found), "roots"))
-        # Leaders are done with; a bucket whose members are all of one class is done with.
-        rest = (state.drop("root").join(led.select("bucket", F.col("leader").alias("id")), ["bucket", "id"], "left_anti")
+        # The leader is done with, and so is a bucket whose other members are all of one class.
+        rest = (state.drop("root").join(led.select("bucket", "leader"), "bucket").where("id != leader")
                 .join(roots.withColumnRenamed("vertex", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
         rest = few(stored(rest, "rest"))
-        mixed = rest.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
-        state = few(stored(rest.join(mixed, "bucket", "left_semi"), "mixed"))
-        if state.isEmpty():
+        rest = few(stored(rest.join(_mixed(rest), "bucket"), "mixed"))
+        if rest.isEmpty() and small is None:
+            break
+        small = few(stored(_pairs_of_few(rest.where(F.col("members") <= _FEW), similarity), "small-buckets"))
+        state = _still_possible(rest.where(F.col("members") > _FEW), sets, similarity)
+        state = few(stored(state, "possible"))
+        state = few(stored(state.join(_mixed(state), "bucket", "left_semi"), "members"))
+        if state.isEmpty() and small.isEmpty():
             break
-        leaders *= 4
+        small = None if small.isEmpty() else small
     return (marked.join(texts.select("digest", "text_id"), "digest", "left").join(roots, F.col("text_id") == F.col("vertex"), "left")
             .select("id", F.when(F.col("id").isNotNull(), F.coalesce("root", "text_id")).alias("class_id")))
 
 
+def _mixed(members: DataFrame) -> DataFrame:
+    """Buckets with members of several classes, and how many members they have."""
+    return members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).where("low != high").select("bucket", "members")
+
+
+def _sizes_allow(a: str, b: str, similarity: float) -> Column:
+    return F.least(a, b) >= similarity * F.greatest(a, b) - _SLACK
+
+
+def _pairs_of_few(members: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of different classes inside buckets of at most _FEW members."""
+    left, right = (members.select("bucket", *[F.col(c).alias(f"{c}{i}") for c in ("id", "n", "root")]) for i in (1, 2))
+    return (left.join(right, "bucket").where((F.col("id1") < F.col("id2")) & (F.col("root1") != F.col("root2")) & _sizes_allow("n1", "n2", similarity))
+            .select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct())
+
+
 def _several_texts(named: DataFrame, texts: DataFrame) -> DataFrame | None:
     """Links from ids that name several texts to the documents that stand for those texts; as a rule there are none."""
     several = stored(named.groupBy("id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low < high").select("id"), "several-texts")
