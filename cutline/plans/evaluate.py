@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cutline.functions.chance import poisson_one, uniform
+from cutline.functions.chance import poisson_table
 from cutline.operators.peers import with_totals
 from cutline.operators.spans import numbered
 
@@ -88,15 +89,32 @@ def class_scores(df: DataFrame, keys: Sequence[str], chances: Sequence[str], y:
 
 
 def replicate_means(scores: DataFrame, run: Sequence[str], value: str, event: str, draws: int, seed: int) -> DataFrame:
-    """Mean of every bootstrap replicate. Each (event, replicate) draws its own weight from
-    a counter, so there is no join with a resample: one pass, and each task sends at most
-    `draws` partial sums per run through the shuffle."""
-    known = scores.where(F.col(value).isNotNull())
-    weighted = known.select(*run, value, F.col(event).alias("_e"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("replicate"))
-    w = poisson_one(uniform(F.col("_e"), F.col("replicate"), seed=seed))
-    sums = weighted.withColumn("_w", w).groupBy(*run, "replicate").agg(
-        F.sum("_w").alias("_n"), F.sum(F.col("_w") * F.col(value)).alias("_s"))
-    return sums.where("_n > 0").select(*run, "replicate", (F.col("_s") / F.col("_n")).alias("mean"))
+    """Mean of every bootstrap replicate. Each (event, replicate) draws its own weight from a counter, so there is no join
+    with a resample: one pass, some events by all replicates at a time, and each task sends at most `draws` partial sums per
+    run through the shuffle."""
+    known = scores.where(F.col(value).isNotNull() & F.col(event).isNotNull()).select(F.struct(*run, F.lit(0).alias("_")).alias("_run"), F.col(event).cast("bigint").alias("_e"), F.col(value).cast("double").alias("_v"))
+    names = {r: f"_run.{r}" for r in run}
+    keyed = known.select(F.to_json("_run").alias("_key"), "_e", "_v")
+
+    def sums(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        totals: dict[str, list] = {}
+        for batch in batches:
+            frame = batch.to_pandas()
+            for key, part in frame.groupby("_key"):
+                held = totals.setdefault(key, [np.zeros(draws), np.zeros(draws)])
+                for at in range(0, len(part), 256):
+                    some = part.iloc[at:at + 256]
+                    weights = poisson_table(some["_e"].to_numpy(), draws, seed)
+                    held[0] += weights.sum(axis=0)
+                    held[1] += some["_v"].to_numpy() @ weights
+        for key, (n, s) in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array([key] * draws), pa.array(np.arange(draws, dtype=np.int32)), pa.array(n), pa.array(s)], names=["_key", "replicate", "_n", "_s"])
+
+    added = keyed.mapInArrow(sums, "_key string, replicate int, _n double, _s double").groupBy("_key", "replicate").agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
+    back = F.from_json("_key", known.schema["_run"].dataType.simpleString()).alias("_run")
+    return added.where("_n > 0").select(back, "replicate", (F.col("_s") / F.col("_n")).alias("mean")).select(*[F.col(c).alias(r) for r, c in names.items()], "replicate", "mean")
 
 
 def bootstrap(scores: DataFrame, run: Sequence[str], value: str, event: str = "event", draws: int = 2000,

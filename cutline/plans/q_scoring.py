@@ -168,7 +168,7 @@ def calibration(star: Star) -> DataFrame:
                                                         r6("edge_lo", "edge_lo"), r6("ece", "ece"))
 
 
-DRAWS = 200
+DRAWS = 2000
 
 
 def bootstrap_sql(source: str, value: str, run: str) -> str:

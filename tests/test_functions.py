@@ -113,6 +113,16 @@ def test_a_cluster_must_name_a_shared_folder():
         checkpoint_root(SimpleNamespace(sparkContext=context))
 
 
+def test_replicate_weights_are_the_same_in_a_table(spark):
+    from cutline.functions.chance import poisson_table
+
+    events = [0, 1, 7, -3, 2**40 + 5, 2**62]
+    df = spark.createDataFrame([(e,) for e in events], "e bigint").crossJoin(spark.range(50).withColumnRenamed("id", "r"))
+    want = {(r["e"], r["r"]): r["w"] for r in df.select("e", "r", poisson_one(uniform(F.col("e"), F.col("r"), seed=11)).alias("w")).collect()}
+    got = poisson_table(np.array(events), 50, 11)
+    assert all(got[i, r] == want[e, r] for i, e in enumerate(events) for r in range(50))
+
+
 def test_uniform_is_uniform_and_uncorrelated(spark):
     df = spark.range(400).crossJoin(spark.range(300).withColumnRenamed("id", "r"))
     p = df.select("id", "r", uniform(F.col("id"), F.col("r")).alias("u"), poisson_one(uniform(F.col("id"), F.col("r"))).alias("w")).toPandas()
