@@ -324,3 +324,52 @@ def reviewed_stand_ins(star: Star) -> DataFrame:
     groups = star.spark.createDataFrame([("one", 1), ("two", 2), ("seven", 7)], "group_ref string, grp int")
     out, _ = Z.reviewed_groups(who, official, reviewed, groups)
     return out.select("number", "name", "grp", "source")
+
+
+@query("appended_once", """SELECT o_orderkey AS event, o_orderstatus AS status FROM orders""")
+def appended_once(star: Star) -> DataFrame:
+    """A table that grows by the rows it does not hold yet: overlapping parts are appended, and one a second time."""
+    rows = star.table("orders").select(F.col("o_orderkey").alias("event"), F.col("o_orderstatus").alias("status"))
+    path = f"{work_folder(star.spark, 'ledger')}/rows"
+    for part in (rows.where("event % 3 < 2"), rows.where("event % 3 > 0"), rows.where("event % 3 < 2")):
+        record.append_new(star.spark, part, path, ["event"])
+    return star.spark.read.parquet(path)
+
+
+def _session_rows(star: Star) -> DataFrame:
+    e = star.table("events")
+    return e.select(F.year("ts").alias("season"), F.dayofyear("ts").alias("event"), F.col("event_type").alias("session"),
+                    F.expr("make_dt_interval(0, 0, 0, CAST(event_id % 90000 AS DECIMAL(18, 6)) / 1000)").alias("Time"), F.col("value"), "user_id")
+
+
+@query("session_weather", """
+SELECT year(ts) AS season, dayofyear(ts) AS event, event_type AS session, event_id % 90000 AS time_ms, value AS "AirTemp", value > 50 AS "Rainfall" FROM events""")
+def session_weather(star: Star) -> DataFrame:
+    """Weather rows of sessions, their times in milliseconds."""
+    out = Z.weather_table(_session_rows(star).select("season", "event", "session", "Time", F.col("value").alias("AirTemp"), (F.col("value") > 50).alias("Rainfall")))
+    return out.withColumn("season", F.col("season").cast("bigint")).withColumn("event", F.col("event").cast("bigint"))
+
+
+@query("session_messages", """
+SELECT year(ts) AS season, dayofyear(ts) AS event, event_type AS session, CAST(user_id AS VARCHAR) AS "Message", user_id % 50 AS "Lap" FROM events""")
+def session_messages(star: Star) -> DataFrame:
+    rows = _session_rows(star).select("season", "event", "session", F.col("user_id").cast("string").alias("Message"), (F.col("user_id") % 50).alias("Lap"), "value")
+    out = Z.messages_table(rows)
+    return out.withColumn("season", F.col("season").cast("bigint")).withColumn("event", F.col("event").cast("bigint"))
+
+
+@query("kept_beside", f"""
+WITH {EVENTS} SELECT ev.event, season, round, 'short' AS field, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date, o_orderstatus AS time FROM ev JOIN orders ON o_orderkey = event WHERE short""")
+def kept_beside(star: Star) -> DataFrame:
+    """A field that the schema has no column for, kept beside it where it is present."""
+    o = star.table("orders").select(F.col("o_orderkey").alias("event"), F.when(F.col("o_orderstatus") == "P", F.to_date("o_orderdate").cast("string")).alias("date"), F.col("o_orderstatus").alias("time"))
+    return G.sidecar(star.events().join(o, "event"), "short", "date", "time")
+
+
+@query("group_points", f"""
+WITH {ENTRIES} SELECT event, grp, round(sum(points) + sum(CAST(line AS DOUBLE)), 6) AS points, true AS derived FROM entries GROUP BY event, grp""")
+def group_points(star: Star) -> DataFrame:
+    """Points of each group in an event, from two tables of results."""
+    e = _entries(star)
+    out = G.group_results(e.select("event", "grp", "points"), e.select("event", "grp", F.col("line").cast("double").alias("points")))
+    return out.withColumn("points", F.round("points", 6))

@@ -54,10 +54,14 @@ def marginals(df: DataFrame, distribution: str = "distribution") -> DataFrame:
 def distribution_summary(df: DataFrame, distribution: str = "distribution", low: float = 0.1, high: float = 0.9) -> DataFrame:
     """The likeliest position, and the first ones whose running chance reaches a low and a high mark."""
     d = F.col(distribution)
-    running = F.transform(F.sequence(F.lit(1), F.size(d)), lambda k: F.aggregate(F.slice(d, 1, k), F.lit(0.0), lambda a, x: a + x))
 
     def reaches(q: float) -> Column:
-        return F.least(F.size(F.filter(running, lambda c: c < q - 1e-9)) + 1, F.size(d))
+        """One pass: the running chance, and how many positions it has stayed below the mark."""
+        def step(s: Column, x: Column) -> Column:
+            total = s["total"] + x
+            return F.struct(total.alias("total"), (s["below"] + (total < q - 1e-9).cast("int")).alias("below"))
+
+        return F.aggregate(d, F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("below")), step, lambda s: F.least(s["below"] + 1, F.size(d)))
 
     return df.withColumns({"mode": F.array_position(d, F.array_max(d)).cast("int"), "low": reaches(low), "high": reaches(high)})
 
