@@ -99,41 +99,28 @@ def elo_update(ratings: Sequence[float], k: float, scale: float) -> list[float]:
 def elo(entries: DataFrame, pool: str, k: float = 24.0, scale: float = 400.0, start: float = 1500.0) -> DataFrame:
     """Chance to win by a rating per entity, updated after each event.
 
-    A rating is a fold: the events of a pool must be taken in order. Pools run in
-    parallel, and each is streamed through its task in sorted batches, so memory
-    holds the ratings and one event, never the pool."""
+    A rating is a fold: the events of a pool must be taken in order. Each event is one row, its entities in finishing order;
+    pools run in parallel, and each is streamed through its task in sorted batches, so memory holds the ratings and a batch of
+    events, never the pool."""
     types = dict(entries.dtypes)
-    columns = [pool, "ord", "event", "entity", "finish", "retired"]
-    ordered = entries.select(*columns).repartition(pool).sortWithinPartitions(pool, "ord", "event", "finish")
+    fields = entries.groupBy(pool, "ord", "event").agg(F.array_sort(F.collect_list(F.struct("finish", "entity", "retired"))).alias("_f"))
+    ordered = fields.select(pool, "ord", "event", F.transform("_f", lambda x: x["entity"]).alias("entities"), F.transform("_f", lambda x: x["retired"]).alias("retired")).repartition(
+        pool).sortWithinPartitions(pool, "ord", "event")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ratings: dict[int, float] = {}
-        current = held = None
-
-        def settle(rows: list[tuple]) -> list[tuple]:
-            """Chances of one event, then its effect on the ratings. Rows come in finishing order."""
-            nonlocal current, ratings
-            if rows[0][0] != current:
-                current, ratings = rows[0][0], {}
-            rated = [ratings.get(r[3], start) for r in rows]
-            best = max(rated)
-            strength = [10.0 ** ((x - best) / scale) for x in rated]
-            total = sum(strength)
-            finished = [(r[3], x) for r, x in zip(rows, rated) if not r[5]]
-            ratings.update(zip([i for i, _ in finished], elo_update([x for _, x in finished], k, scale)))
-            return [(r[2], r[3], x, max(s / total, FLOOR)) for r, x, s in zip(rows, rated, strength)]
-
-        names = ["event", "entity", "rating", "p"]
+        current = None
         for batch in batches:
             out = []
-            for row in batch.itertuples(index=False, name=None):
-                # An event may continue in the next batch, so it is settled when the next begins.
-                if held and (held[0][0], held[0][2]) != (row[0], row[2]):
-                    out += settle(held)
-                    held = []
-                held = [*held, row] if held else [row]
-            yield pd.DataFrame(out, columns=names)
-        if held:
-            yield pd.DataFrame(settle(held), columns=names)
+            for name, _, event, entities, retired in batch.itertuples(index=False, name=None):
+                if name != current:
+                    current, ratings = name, {}
+                rated = np.array([ratings.get(e, start) for e in entities])
+                strength = 10.0 ** ((rated - rated.max()) / scale)
+                chance = np.maximum(strength / strength.sum(), FLOOR)
+                out += zip([event] * len(entities), entities, rated.tolist(), chance.tolist(), strict=True)
+                finished = ~retired.astype(bool)
+                ratings.update(zip(entities[finished].tolist(), elo_update(rated[finished], k, scale), strict=True))
+            yield pd.DataFrame(out, columns=["event", "entity", "rating", "p"])
 
     return ordered.mapInPandas(fold, f"event {types['event']}, entity {types['entity']}, rating double, p double")
