@@ -8,6 +8,7 @@ from cutline.functions import scalars as S
 from cutline.operators import form, peers
 from cutline.operators.spans import expanding, numbered, trailing
 from cutline.registry import ENTRIES, EVENTS, LAPS, QUALI, RAW, query, r6
+from cutline.session import stored
 from cutline.sources.star import Star
 
 
@@ -32,7 +33,7 @@ WITH {ENTRIES}, state AS (SELECT entity, ord, {TRAILING} FROM entries WINDOW
 SELECT f.event, f.entity, {FORM_OUT} FROM entries f ASOF LEFT JOIN state t ON f.entity = t.entity AND f.ord > t.ord
 """)
 def trailing_form(star: Star) -> DataFrame:
-    entries = star.entries()
+    entries = stored(star.entries(), "entries")
     return form_out(form.trailing_form(entries.select(*FIELD), entries, "entity", star.planner()))
 
 
@@ -45,7 +46,7 @@ last_of AS (SELECT * FROM state QUALIFY row_number() OVER (PARTITION BY grp, ord
 SELECT f.event, f.entity, {FORM_OUT} FROM entries f ASOF LEFT JOIN last_of t ON f.grp = t.grp AND f.ord > t.ord
 """)
 def trailing_group_form(star: Star) -> DataFrame:
-    entries = star.entries()
+    entries = stored(star.entries(), "entries")
     return form_out(form.trailing_form(entries.select(*FIELD), entries, "grp", star.planner()))
 
 
@@ -67,7 +68,7 @@ FROM f2 ASOF LEFT JOIN team t ON f2.team = t.grp AND f2.ord > t.ord
 def last3_means(star: Star) -> DataFrame:
     from cutline.plans.features import recent_qualifying
 
-    entries = star.entries()
+    entries = stored(star.keep_raw().entries(), "entries")
     out = recent_qualifying(entries.select("event", "entity", "ord"), entries, star.qualifying(), star.planner())
     return out.select("event", "entity", r6("own_mean_3", "own_mean_3"), r6("group_mean_3", "group_mean_3"))
 

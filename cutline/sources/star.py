@@ -33,6 +33,7 @@ class Star:
     spark: SparkSession
     path: str
     _rows: dict[str, int] = field(default_factory=dict)
+    _raw: DataFrame | None = None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
@@ -86,9 +87,17 @@ class Star:
             F.when(retired & (F.col("b.status") == "O"), S.WITHDRAWN).when(retired, S.RETIRED).alias("_code"),
         )
 
+    def keep_raw(self) -> "Star":
+        """Write the raw entries once, for results and qualifying to read."""
+        self._raw = stored(self.raw_entries(), "raw-entries")
+        return self
+
+    def raw(self) -> DataFrame:
+        return self.raw_entries() if self._raw is None else self._raw
+
     def results(self) -> DataFrame:
         """Entries with their finishing order: finishers by pace, then the rest."""
-        raw = self.raw_entries().withColumn(
+        raw = self.raw().withColumn(
             "_key", F.when(F.col("out"), 1e9).otherwise(0.0) - F.col("pace"))
         spans = self.spans(raw, ["event"], "_key")
         ranked = numbered(raw, spans, "finish", ties=[F.col("entity")]).drop("_key")
@@ -106,7 +115,7 @@ class Star:
     def qualifying(self) -> DataFrame:
         """Qualifying position and up to three session times per entry, as text."""
         base = (F.lit(80000) + F.floor(F.col("pace") * 10) % 20000).cast("bigint")
-        raw = self.raw_entries().select(
+        raw = self.raw().select(
             "event", "entity", "line", clock_text(base + 500).alias("q1"), clock_text(base + 200).alias("q2"),
             clock_text(base).alias("q3"))
         ranked = numbered(raw, self.spans(raw, ["event"], "line"), "position", ties=[F.col("entity")])
@@ -149,7 +158,7 @@ class Star:
         from cutline.operators.dense import standings
         from cutline.plans.features import EventTables
 
-        entries, plan = stored(self.entries(), "entries"), self.planner()
+        entries, plan = stored(self.keep_raw().entries(), "entries"), self.planner()
         table_plan = self.planner(times=12)
         return EventTables(
             events=self.events(), entries=entries, qualifying=stored(self.qualifying(), "qualifying"), laps=self.laps(),
