@@ -9,7 +9,7 @@ from cutline.functions import text as X
 from cutline.operators import checks as C
 from cutline.operators import corrections as K
 from cutline.operators import diff, lookup
-from cutline.plans import record
+from cutline.plans import evaluate, record
 from cutline.registry import ENTRIES, EVENTS, query
 from cutline.session import stored
 from cutline.sources import pages as G
@@ -373,3 +373,43 @@ def group_points(star: Star) -> DataFrame:
     e = _entries(star)
     out = G.group_results(e.select("event", "grp", "points"), e.select("event", "grp", F.col("line").cast("double").alias("points")))
     return out.withColumn("points", F.round("points", 6))
+
+
+@query("repeated_predictions", """SELECT l_orderkey AS event, l_suppkey AS entity, count(*) AS rows FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""")
+def repeated_predictions(star: Star) -> DataFrame:
+    """Entities that an event's predictions name more than once."""
+    return evaluate.duplicated_entities(star.table("lineitem").select(F.col("l_orderkey").alias("event"), F.col("l_suppkey").alias("entity")))
+
+
+@query("partly_filled", """
+SELECT l_orderkey AS event, count(*) FILTER (WHERE l_returnflag = 'R') AS filled, count(*) AS rows FROM lineitem GROUP BY 1
+HAVING count(*) FILTER (WHERE l_returnflag = 'R') NOT IN (0, count(*))""")
+def partly_filled(star: Star) -> DataFrame:
+    """Events where an optional column is set for some entries only."""
+    rows = star.table("lineitem").select(F.col("l_orderkey").alias("event"), F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).alias("extra"))
+    return record.partly_filled(rows, ["event"], "extra")
+
+
+@query("widened_union", """
+SELECT s_suppkey AS id, s_name AS name, s_acctbal AS balance, CAST(NULL AS VARCHAR) AS segment, 'supplier' AS source FROM supplier
+UNION ALL SELECT c_custkey, c_name, NULL, c_mktsegment, 'customer' FROM customer""")
+def widened_union(star: Star) -> DataFrame:
+    """Two tables by name, each row with its source, and null where a source has no such column."""
+    s = star.table("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+    c = star.table("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    return B.widen_union([("supplier", s), ("customer", c)])
+
+
+@query("stand_in_identities", """
+WITH a AS (SELECT c_nationkey AS number, c_name AS name, c_mktsegment AS grp, c_custkey % 7 AS event, c_custkey % 50 AS who FROM customer)
+SELECT 'k' || who AS stand_in, max(name) AS name, string_agg(DISTINCT CAST(number AS VARCHAR), '|' ORDER BY CAST(number AS VARCHAR)) AS numbers,
+  string_agg(DISTINCT grp, '|' ORDER BY grp) AS groups, min(CASE WHEN number % 2 = 0 AND name = 'Customer#' || lpad(CAST(number AS VARCHAR), 9, '0') THEN number END) AS entity,
+  count(DISTINCT event) AS events FROM a GROUP BY who""")
+def stand_in_identities(star: Star) -> DataFrame:
+    """One row per stand-in: where it appeared, and the entity whose number and surname both match."""
+    a = star.table("customer").select(F.concat(F.lit("k"), F.col("c_custkey") % 50).alias("stand_in"), F.lit(2026).alias("season"), (F.col("c_custkey") % 7).alias("event"), F.lit("P1").alias("session"),
+                                      F.col("c_nationkey").alias("number"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("grp"))
+    n = star.table("nation").where("n_nationkey % 2 = 0")
+    numbers = n.select(F.lit(2026).alias("season"), F.col("n_nationkey").alias("number"), F.col("n_nationkey").alias("entity"))
+    surnames = n.select(F.col("n_nationkey").alias("entity"), F.format_string("Customer#%09d", "n_nationkey").alias("entity_surname"))
+    return Z.stand_in_identities(a, numbers, surnames).select("stand_in", "name", "numbers", "groups", "entity", "events")
