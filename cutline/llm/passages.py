@@ -201,12 +201,14 @@ def align(a: np.ndarray, b: np.ndarray, a0: int, a1: int, b0: int, b1: int, simi
 
 
 def _word_arrays(docs: DataFrame) -> DataFrame:
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("words", T.ArrayType(T.LongType()))])
+    """The words of each document as the upper halves of their hashes."""
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("words", T.ArrayType(T.IntegerType()))])
 
     def run(batch: pa.RecordBatch) -> dict:
         found = list(blocks(utf8(batch.column("text"))))
         sizes = np.concatenate([np.diff(b.offsets) for b in found])
-        return {"id": batch.column("id"), "words": lists(signed(np.concatenate([b.hashes for b in found])), np.concatenate([[0], np.cumsum(sizes)]), pa.int64())}
+        halves = (np.concatenate([b.hashes for b in found]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        return {"id": batch.column("id"), "words": lists(halves, np.concatenate([[0], np.cumsum(sizes)]), pa.int32())}
 
     return per_batch(docs, run, schema, rows=500)
 
