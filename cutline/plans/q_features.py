@@ -63,12 +63,16 @@ def field_pre_weekend(star: Star) -> DataFrame:
     return P.resolve_field(star.feature_tables(), P.PRE)
 
 
-@query("field_post_practice", f"""
-WITH {ENTRIES}, {LAPS},
+COMPOUND_FROM = 1998
+PRACTICE_FIELD = """
 ran AS (SELECT l.event, l.entity, max(l.session) > 1 AS later FROM laps l JOIN ev USING (event) WHERE NOT short OR session = 1 GROUP BY ALL),
 took AS (SELECT event, entity FROM ran QUALIFY later OR NOT bool_or(later) OVER (PARTITION BY event)),
-raced AS (SELECT entity, ord, grp FROM entries WHERE code <> 'W')
-SELECT t.event, t.entity, r.grp FROM (SELECT * FROM took JOIN ev USING (event)) t ASOF LEFT JOIN raced r ON r.entity = t.entity AND t.ord > r.ord
+starts AS (SELECT entity, ord, grp FROM entries WHERE code <> 'W')"""
+
+
+@query("field_post_practice", f"""
+WITH {ENTRIES}, {LAPS}, {PRACTICE_FIELD}
+SELECT t.event, t.entity, r.grp FROM (SELECT * FROM took JOIN ev USING (event)) t ASOF LEFT JOIN starts r ON r.entity = t.entity AND t.ord > r.ord
 """)
 def field_post_practice(star: Star) -> DataFrame:
     return P.resolve_field(star.feature_tables(), P.PRACTICE)
@@ -122,17 +126,23 @@ def frame_sql(snapshot: str) -> str:
         fieldsrc = f"""{PREVIOUS}, field AS (SELECT e.event, e.entity, e.grp FROM quali q JOIN entries e USING (event, entity)
   UNION ALL SELECT p.event, e.entity, e.grp FROM prev p JOIN entries e ON e.event = p.previous
   WHERE e.code <> 'W' AND p.event NOT IN (SELECT event FROM quali))"""
-        lapsrc = "laps"
+    elif snapshot == P.PRACTICE:
+        fieldsrc = f"""{LAPS}, {PRACTICE_FIELD}, field AS (SELECT t.event, t.entity, r.grp FROM (SELECT * FROM took JOIN ev USING (event)) t ASOF LEFT JOIN starts r ON r.entity = t.entity AND t.ord > r.ord),
+plaps AS (SELECT l.* FROM laps l JOIN ev USING (event) JOIN field USING (event, entity) WHERE (NOT short OR session = 1) AND event % 10 <> 0)"""
     else:
         fieldsrc = f"{PREVIOUS}, field AS (SELECT p.event, e.entity, e.grp FROM prev p JOIN entries e ON e.event = p.previous WHERE e.code <> 'W')"
-        lapsrc = "laps"
-    weekend_ctes = f", {LAPS}, {practice_sql(lapsrc, 1)}" if snapshot == P.POST else ""
+    weekend_ctes = {P.POST: f", {LAPS}, {practice_sql('laps', 1)}", P.PRACTICE: f", {practice_sql('plaps', 1)}"}.get(snapshot, "")
     weekend = """,
   coalesce(practice_laps, 0) AS practice_laps, practice_best_gap_ms, practice_long_run_gap_ms, coalesce(practice_long_run_laps, 0) AS practice_long_run_laps, practice_compounds, practice_softest_long_run_gap_ms,
   qq.position AS quali_position, qq.best - min(qq.best) OVER (PARTITION BY f.event) AS quali_gap_to_best_ms,
   qq.best - (SELECT min(o.best) FROM qg o WHERE o.event = f.event AND o.grp = f.grp AND o.entity <> f.entity) AS quali_mate_gap_ms,
   CASE WHEN qq.event IS NOT NULL THEN CAST(qq.q3 IS NOT NULL AS INTEGER) END AS quali_reached_last""" if snapshot == P.POST else ""
     weekend_join = "LEFT JOIN prac USING (event, entity) LEFT JOIN qg qq USING (event, entity)" if snapshot == P.POST else ""
+    if snapshot == P.PRACTICE:
+        weekend, weekend_join = f""",
+  coalesce(practice_laps, 0) AS practice_laps, practice_best_gap_ms, practice_long_run_gap_ms, coalesce(practice_long_run_laps, 0) AS practice_long_run_laps,
+  CASE WHEN f.season >= {COMPOUND_FROM} THEN practice_compounds END AS practice_compounds,
+  CASE WHEN f.season >= {COMPOUND_FROM} THEN practice_softest_long_run_gap_ms END AS practice_softest_long_run_gap_ms""", "LEFT JOIN prac ON prac.event = f.event AND prac.entity = f.entity"
     names = P.features_for(snapshot)
     outer = ", ".join(f"round(CAST({n} AS DOUBLE), 6) AS {n}" for n in names)
     return f"""
@@ -199,6 +209,16 @@ def feature_frame_pre_weekend(star: Star) -> DataFrame:
     return rounded(P.build(star.feature_tables(), P.PRE), P.PRE)
 
 
+@query("feature_frame_post_practice", frame_sql(P.PRACTICE))
+def feature_frame_post_practice(star: Star) -> DataFrame:
+    """The frame after practice; every tenth event's laps are unusable, and compounds are known from one season on."""
+    from dataclasses import replace
+
+    t = star.feature_tables()
+    t = replace(t, min_laps=1, first_compound_season=COMPOUND_FROM, unusable_laps=t.events.where("event % 10 = 0"))
+    return rounded(P.build(t, P.PRACTICE), P.PRACTICE)
+
+
 @query("training_frame", f"""
 WITH {ENTRIES}
 SELECT event, entity, finish AS finish_order, CAST(code = '1' AS INTEGER) AS win, CAST(finish <= 3 AND NOT retired AS INTEGER) AS podium,
