@@ -300,11 +300,11 @@ def training_frame(features: DataFrame, entries: DataFrame) -> DataFrame:
     return features.join(outcome, ["event", "entity"])
 
 
-def leakage_audit(t: EventTables, snapshot: str, cut: int) -> DataFrame:
-    """Cells that change when everything from season `cut` on is removed. Must be empty."""
+def leakage_audit(t: EventTables, snapshot: str, cut: int, builder: Callable = build) -> DataFrame:
+    """Cells that change when everything from season `cut` on is removed. Must be empty, for any builder of the frame."""
     earlier = t.events.where(F.col("season") < cut).select("event")
-    full = build(t, snapshot).join(earlier, "event", "left_semi")
-    truncated = build(t.before(cut), snapshot)
+    full = builder(t, snapshot).join(earlier, "event", "left_semi")
+    truncated = builder(t.before(cut), snapshot)
     names = features_for(snapshot)
 
     def long(df: DataFrame, value: str) -> DataFrame:

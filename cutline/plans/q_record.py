@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from cutline.functions import scalars as S
 from cutline.operators.spans import numbered
 from cutline.plans import evaluate, features as P, record, simulate
+from cutline.plans.q_features import PREVIOUS
 from cutline.plans.q_scoring import DIST, distributions, score_sql
 from cutline.registry import ENTRIES, EVENTS, QUALI, query, r6
 from cutline.session import stored
@@ -245,7 +246,22 @@ def event_windows(star: Star) -> DataFrame:
                                        F.date_format(text, "yyyy-MM-dd HH:mm:ss").alias("starts_text"))
 
 
-@query("leakage_audit", "SELECT 0 AS event, 0 AS entity, '' AS feature, 0.0 AS \"full\", 0.0 AS truncated WHERE false")
+@query("leakage_audit", "SELECT '' AS snapshot, 0 AS event, 0 AS entity, '' AS feature, 0.0 AS \"full\", 0.0 AS truncated WHERE false")
 def leakage_audit(star: Star) -> DataFrame:
-    """Cells of the pre-weekend frame that change when later seasons are removed: none."""
-    return P.leakage_audit(star.feature_tables(), P.PRE, 1999)
+    """Cells of the frames of all snapshots that change when later seasons are removed, for several seasons: none."""
+    t, out = star.feature_tables(), None
+    for snapshot, cut in ((P.PRE, 1997), (P.PRE, 1999), (P.PRACTICE, 1999), (P.POST, 1998)):
+        found = P.leakage_audit(t, snapshot, cut).select(F.lit(snapshot).alias("snapshot"), "event", "entity", "feature", "full", "truncated")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query("leakage_found", f"""
+WITH {ENTRIES}, {PREVIOUS}
+SELECT 'round_index' AS feature, count(*) AS cells FROM prev p JOIN entries e ON e.event = p.previous JOIN ev ON ev.event = p.event WHERE e.code <> 'W' AND ev.season < 1999""")
+def leakage_found(star: Star) -> DataFrame:
+    """The converse: a frame that adds the number of all entries, later ones too, to one of its columns is caught in every row."""
+    def poisoned(t, snapshot: str) -> DataFrame:
+        return P.build(t, snapshot).withColumn("round_index", F.col("round_index") + t.entries.count())
+
+    return P.leakage_audit(star.feature_tables(), P.PRE, 1999, poisoned).groupBy("feature").agg(F.count("*").alias("cells"))

@@ -9,7 +9,7 @@ from oracle import compare, duck
 
 PATH = "/root/testdata/sf0.001"
 # Built from many jobs; the driver compares them at a larger size.
-SLOW = {"feature_frame_pre_weekend", "leakage_audit"}
+SLOW = {"feature_frame_pre_weekend", "feature_frame_post_practice", "leakage_audit", "leakage_found"}
 SQL = entry.oracle_sql()
 NAMES = sorted(n for n in SQL if os.environ.get("CUTLINE_ALL") or n not in SLOW)
 
