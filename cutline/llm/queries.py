@@ -33,10 +33,36 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-@register("op8_quality_rules")
+_RULE_VALUES = {
+    "symbols": "n_symbols / nullif(word_chars, 0)", "punctuation": "n_punctuation / nullif(word_chars, 0)", "capitals": "n_upper / nullif(word_chars, 0)",
+    "repeats": "n_repeat_words / nullif(n_words, 0)", "lines": "n_dup_lines / nullif(n_lines, 0)", "length": "(word_chars / nullif(n_words, 0)) / 40"}
+
+
+@register("op8_quality_rules", f"""
+WITH w AS (SELECT doc_id, lang, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w FROM (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents)),
+win AS (SELECT doc_id, s, array_to_string(w[s:s + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS s FROM w WHERE len(w) >= 3)),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([s, s + 1, s + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1) GROUP BY doc_id),
+li AS (SELECT doc_id, count(*) AS n, count(DISTINCT line) AS u FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+m AS (SELECT doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(li.n - li.u, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+  coalesce(li.n, 0) AS n_lines, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(t, '[^!-/:-@\\[-`{{-~]', '', 'g')) AS n_punctuation
+  FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN li USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+v AS ({" UNION ALL ".join(f"SELECT doc_id, lang, base_failed, '{r}' AS rule, CAST(ceil(least(1.0, coalesce({x}, 0.0)) * 200) AS INTEGER) AS step FROM b" for r, x in _RULE_VALUES.items())}),
+k AS (SELECT lang, rule, step, count(*) FILTER (y = 1) AS good, count(*) FILTER (y = 0) AS bad
+  FROM v JOIN (SELECT doc_id, max(quality) AS y FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id) WHERE NOT base_failed GROUP BY ALL),
+c AS (SELECT k.lang, k.rule, cut, sum(good) AS n, coalesce(sum(good) FILTER (step > cut), 0) AS lost, coalesce(sum(bad) FILTER (step > cut), 0) AS caught
+  FROM k, range(200) t(cut) GROUP BY ALL),
+p AS (SELECT *, n > 0 AND lost <= 0.05 / 6 * n AND
+  CASE WHEN lost >= n THEN 1.0 ELSE list_sum(list_transform(range(0, CAST(least(lost, 0.05 / 6 * n) AS BIGINT) + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.05 / 6) + (n - i) * ln(1 - 0.05 / 6)))) END
+  <= 0.05 / (6 * (SELECT count(*) FROM (SELECT DISTINCT lang FROM k))) AS ok FROM c),
+q AS (SELECT lang, rule, cut FROM (SELECT *, bool_and(ok) OVER (PARTITION BY lang, rule ORDER BY cut DESC ROWS UNBOUNDED PRECEDING) AS certified FROM p)
+  WHERE certified AND caught - 20 * lost > 0 QUALIFY row_number() OVER (PARTITION BY lang, rule ORDER BY caught - 20 * lost DESC, cut DESC) = 1),
+r AS (SELECT doc_id, bool_or(v.step > q.cut) AS broken FROM v JOIN q ON q.rule = v.rule AND q.lang IS NOT DISTINCT FROM v.lang GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(broken, false) AS kept FROM b LEFT JOIN r USING (doc_id)""")
 def quality_rule_verdicts(spark: SparkSession, path: str) -> DataFrame:
     found = quality_rules.judged(table(spark, path, "documents"), table(spark, path, "labels"))
-    return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "broken")
+    return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 @register("pipeline", corpus_pipeline.ORACLE_SQL)
