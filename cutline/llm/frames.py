@@ -48,6 +48,37 @@ def few(df: DataFrame, rows: int = 250_000) -> DataFrame:
     return df.coalesce(-(-max(1, df.count()) // rows))
 
 
+_BITS = 1 << 24
+
+
+def marked(df: DataFrame, ids: DataFrame, column: str, id_column: str) -> DataFrame:
+    """The rows with `_may`: false where the id is certainly not among `ids`, true where it is, and for few others.
+
+    A bitmap of fixed size (at most 262,144 rows of 64 bits, 4 MB) is broadcast, so rows that need not meet the ids are never
+    dealt out; where ids are so many that it fills up, it only stops helping."""
+    def place(name: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(name).cast("long")), F.lit(_BITS))
+
+    words = (ids.where(F.col(id_column).isNotNull()).select(place(id_column).alias("_p"))
+             .groupBy(F.shiftright("_p", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(_p % 64 AS INT))")).alias("_bits")))
+    held = df.withColumn("_p", place(column)).withColumn("_w", F.shiftright("_p", 6)).join(F.broadcast(words), F.col("_w") == F.col("_word"), "left")
+    hit = F.expr("shiftrightunsigned(_bits, CAST(_p % 64 AS INT)) & 1") == 1
+    return held.withColumn("_may", F.coalesce(hit, F.lit(False)) & F.col(column).isNotNull()).drop("_p", "_w", "_word", "_bits")
+
+
+def among(df: DataFrame, ids: DataFrame, column: str, id_column: str) -> DataFrame:
+    """Rows whose id is among `ids`; only those that may be are dealt out."""
+    right = ids.select(F.col(id_column).cast("long").alias("_id")).distinct()
+    return marked(df, ids, column, id_column).where("_may").drop("_may").join(right, F.col(column).cast("long") == F.col("_id"), "left_semi")
+
+
+def not_among(df: DataFrame, ids: DataFrame, column: str, id_column: str) -> DataFrame:
+    """The other rows, those with a null id included."""
+    right = ids.select(F.col(id_column).cast("long").alias("_id")).distinct()
+    rows = marked(df, ids, column, id_column)
+    return rows.where("NOT _may").drop("_may").unionByName(rows.where("_may").drop("_may").join(right, F.col(column).cast("long") == F.col("_id"), "left_anti"))
+
+
 def remainder(doc_id: Column | str, modulus: int) -> Column:
     """crc32 of an id written as text, modulo a number: which labelled rows are held out."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -60,4 +91,4 @@ def one_label(labels: DataFrame, column: str, doc_id: str = "doc_id") -> DataFra
             .groupBy(doc_id).agg(F.max(column).cast("int").alias(column)))
 
 
-__all__ = ["arrow_type", "few", "lists", "one_label", "per_batch", "remainder", "stored", "table"]
+__all__ = ["among", "arrow_type", "few", "lists", "marked", "not_among", "one_label", "per_batch", "remainder", "stored", "table"]

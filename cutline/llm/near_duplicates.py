@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cutline.llm.components import components
-from cutline.llm.frames import few, lists, per_batch, stored
+from cutline.llm.frames import among, few, lists, per_batch, stored
 from cutline.llm.words import Block, blocks, mix, shingles, signed, utf8
 
 _SEED = np.uint64(0x5851F42D4C957F2D)
@@ -206,17 +206,17 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     central = hits.groupBy("id").agg(F.sum("met").alias("centre"))
     state = few(stored(hits.join(central, "id").select("bucket", "id", "n", "centre", F.col("id").alias("root")), "members"))
     wanted = few(stored(state.select("id").distinct(), "candidates"))
-    sets = stored(_sets(docs.join(wanted, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")), size), "shingles")
+    sets = stored(_sets(among(docs, wanted, "id", "id").groupBy("id").agg(F.max("text").alias("text")), size), "shingles")
 
-    found, small = _several_texts(named, texts), None
+    roots, links, small = None, _several_texts(named, texts), None
     while True:
         best = F.struct("centre", F.xxhash64("id", "bucket").alias("tie"), F.col("id").alias("leader"), F.col("n").alias("leader_n"), F.col("root").alias("leader_root"))
         led = few(stored(state.groupBy("bucket").agg(F.max(best).alias("best")).select("bucket", "best.leader", "best.leader_n", "best.leader_root"), "leaders"))
         pairs = state.join(led, "bucket").where((F.col("root") != F.col("leader_root")) & _sizes_allow("n", "leader_n", similarity)).select(F.col("id").alias("a"), F.col("leader").alias("b"))
         pairs = pairs if small is None else pairs.unionByName(small)
         near = few(stored(_near(few(stored(pairs.distinct(), "pairs")), sets, similarity), "near"))
-        found = near if found is None else few(stored(found.unionByName(near), "found"))
-        roots = few(stored(components(found), "roots"))
+        roots = few(stored(_joined(roots, near if links is None else near.unionByName(links)), "roots"))
+        links = None
         # The leader is done with, and so is a bucket whose other members are all of one class.
         rest = (state.drop("root").join(led.select("bucket", "leader"), "bucket").where("id != leader")
                 .join(roots.withColumnRenamed("vertex", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
@@ -240,6 +240,18 @@ def _mixed(members: DataFrame) -> DataFrame:
     return members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).where("low != high").select("bucket", "members")
 
 
+def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Classes so far (vertex, root) with the classes of new links joined: only links between different classes are followed."""
+    if roots is None:
+        return components(links)
+    for side in ("a", "b"):
+        of = roots.select(F.col("vertex").alias(side), F.col("root").alias("_root"))
+        links = links.join(of, side, "left").withColumn(side, F.coalesce("_root", side)).drop("_root")
+    new = few(stored(components(stored(links.where("a <> b"), "class-links")), "joined-classes"))
+    every = roots.unionByName(new.select("vertex", F.col("vertex").alias("root"))).groupBy("vertex").agg(F.min("root").alias("root"))
+    return every.join(new.select(F.col("vertex").alias("root"), F.col("root").alias("_root")), "root", "left").select("vertex", F.coalesce("_root", "root").alias("root"))
+
+
 def _sizes_allow(a: str, b: str, similarity: float) -> Column:
     return F.least(a, b) >= similarity * F.greatest(a, b) - _SLACK
 

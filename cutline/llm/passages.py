@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from cutline.llm.frames import lists, per_batch, stored
+from cutline.llm.frames import among, lists, marked, per_batch, stored
 from cutline.llm.words import Block, blocks, shingles, signed, utf8
 
 _LONGEST = 1024  # words of a fragment that are aligned at once
@@ -216,7 +216,7 @@ def _word_arrays(docs: DataFrame) -> DataFrame:
 def aligned(found: DataFrame, docs: DataFrame, margin: int, similarity: float, shortest: int, salts: int = 32) -> DataFrame:
     """The stretches, extended, that are similar enough and not too short, with their similarity."""
     named = found.select("id").unionByName(found.select(F.col("of").alias("id"))).distinct()
-    words = stored(_word_arrays(docs.join(named, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))), "word-arrays")
+    words = stored(_word_arrays(among(docs, stored(named, "named"), "id", "id").groupBy("id").agg(F.max("text").alias("text"))), "word-arrays")
     low, there_low = F.greatest(F.lit(0).cast("long"), F.col("start") - margin), F.greatest(F.lit(0).cast("long"), F.col("there") - margin)
     left = (found.join(words, "id").withColumn("low", low)
             .withColumn("a", F.slice("words", (F.col("low") + 1).cast("int"), (F.col("end") - F.col("low") + margin).cast("int"))).drop("words")
@@ -266,19 +266,18 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
 def without(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with their passages cut out of the text, from a passage's first word to the next word behind it."""
     cuts = found.groupBy(F.col("id").alias("_of")).agg(F.array_sort(F.collect_list(F.struct(F.col("start"), F.col("end")))).alias("_cuts"))
-    joined = docs.join(cuts, docs[doc_id].cast("long") == F.col("_of"), "left").drop("_of")
-
     @F.pandas_udf(T.StringType())
     def cut(texts, starts, ends):
         import pandas as pd
 
         return pd.Series([remove(t, s, e) for t, s, e in zip(texts, starts, ends, strict=True)], dtype=object)
 
-    # Only documents with passages go through Python.
-    left = joined.where(F.col("_cuts").isNull()).drop("_cuts")
-    changed = (joined.where(F.col("_cuts").isNotNull())
-               .withColumn(text, cut(F.col(text), F.transform("_cuts", lambda c: c["start"]), F.transform("_cuts", lambda c: c["end"]))).drop("_cuts"))
-    return left.unionByName(changed)
+    # Only documents that may have passages are dealt out, and only those that have go through Python.
+    rows = marked(docs, found, doc_id, "id")
+    joined = rows.where("_may").drop("_may").join(cuts, F.col(doc_id).cast("long") == F.col("_of"), "left").drop("_of")
+    changed = cut(F.col(text), F.transform("_cuts", lambda c: c["start"]), F.transform("_cuts", lambda c: c["end"]))
+    left = rows.where("NOT _may").drop("_may").unionByName(joined.where(F.col("_cuts").isNull()).drop("_cuts"))
+    return left.unionByName(joined.where(F.col("_cuts").isNotNull()).withColumn(text, changed).drop("_cuts"))
 
 
 def remove(text: str | None, starts, ends) -> str | None:
