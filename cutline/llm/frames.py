@@ -7,7 +7,22 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from cutline.session import stored
+from cutline import session
+
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame to the shared folder and read it back. Texts go to Python in batches of at most BATCH_ROWS meanwhile, so
+    that a task holds few of them; the session's own setting is restored."""
+    conf = df.sparkSession.conf
+    before = conf.get(_BATCH_ROWS)
+    conf.set(_BATCH_ROWS, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        return session.stored(df, name)
+    finally:
+        conf.set(_BATCH_ROWS, before)
 
 
 def table(spark: SparkSession, path: str, name: str) -> DataFrame:
