@@ -5,9 +5,11 @@ stretches of k + window - 1 words share a seed. A seed's earliest document (by i
 matched with the anchor's first place, never with all others, so matches are as many as seeds. Matches of one pair of
 documents on one diagonal make a fragment. Fragments are chained: a chain follows both documents forward and pays for the
 words it skips on either side; the best predecessor of each fragment is found in a Fenwick tree over the anchor's places.
-Chains, cut where they skip much, are aligned: ends are extended while words are equal, and the words in common (a longest
-common subsequence) must be at least `similarity` of the longer side. Aligned stretches of a document, whatever their anchors,
-are joined where they touch; those of at least `least` words are its repeated passages.
+Chains, cut where they skip much, and each fragment of such a chain are aligned: ends are extended while words are equal, and
+the words in common (a longest common subsequence) must be at least `similarity` of the longer side. The parts of a stretch are
+judged by themselves as well: those whose equal words outweigh the words skipped between them, along the fragment's diagonal and
+along the common subsequence, so that an equal run is kept whatever stands near it. Aligned stretches of a document, whatever
+their anchors, are joined where they touch; those of at least `least` words are its repeated passages.
 
 Words are lower-cased runs of letters and digits. Null texts and null ids have no passages; shorter documents than `least`
 words have none. Repeats inside one document don't count. If one id has several rows, the one with the greatest text counts.
@@ -130,20 +132,26 @@ def _stretches(rows: np.ndarray, k: int) -> np.ndarray:
     group = np.flatnonzero(np.concatenate([[True], (np.diff(fragments[:, :2], axis=0) != 0).any(axis=1)]))
     size = np.diff(np.append(group, len(fragments)))
     out = [fragments[group[size == 1]]]
+
+    def alone(f: np.ndarray, merged: set[int]) -> list[np.ndarray]:
+        """Fragments of a stretch of several are aligned by themselves too: each lies on a diagonal of its own."""
+        return [f[sorted(merged)]] if len(merged) > 1 else []
+
     for g, n in zip(group[size > 1], size[size > 1], strict=True):
         f = fragments[g:g + n]
         for chain in chains(f[:, 2], f[:, 3], f[:, 4], f[:, 5], f[:, 3] - f[:, 2] + k, _PRICE):
-            run = f[chain[0]].copy()
+            run, merged = f[chain[0]].copy(), {chain[0]}
             for i in chain[1:]:
                 near = f[i, 2] - run[3] <= _SKIP and f[i, 4] - run[5] <= _SKIP
                 if near and f[i, 3] - run[2] <= _LONGEST:
                     run[3], run[5] = f[i, 3], f[i, 5]
+                    merged.add(i)
                 else:
                     if near:  # cut for its length only: it ends where the next begins
                         run[3], run[5] = f[i, 2], f[i, 4]
-                    out.append(run[None])
-                    run = f[i].copy()
-            out.append(run[None])
+                    out += [run[None], *alone(f, merged)]
+                    run, merged = f[i].copy(), {i}
+            out += [run[None], *alone(f, merged)]
     found = np.concatenate(out)
     return np.stack([found[:, 0], found[:, 1], found[:, 2], found[:, 3] + k, found[:, 4], found[:, 5] + k], axis=1)
 
@@ -200,6 +208,76 @@ def align(a: np.ndarray, b: np.ndarray, a0: int, a1: int, b0: int, b1: int, simi
     return a0, a1, b0, b1, common_words(p, q)
 
 
+def common_places(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a longest common subsequence are in `a` and in `b`."""
+    at: dict[int, int] = {}
+    for i, w in enumerate(b.tolist()):
+        at[w] = at.get(w, 0) | 1 << i
+    full = (1 << len(b)) - 1
+    rows = [full]
+    for w in a.tolist():
+        row = rows[-1]
+        hit = row & at.get(w, 0)
+        rows.append((row + hit | row - hit) & full)
+    x, y, found = len(a), len(b), []
+    while x and y:
+        if rows[x] >> y - 1 & 1:
+            y -= 1
+        else:
+            x -= 1
+            if rows[x] >> y - 1 & 1:  # not yet counted without this word
+                y -= 1
+                found.append((x, y))
+    places = np.array(found[::-1], np.int64).reshape(-1, 2)
+    return places[:, 0], places[:, 1]
+
+
+def segments(x: np.ndarray, y: np.ndarray, similarity: float) -> list[tuple[int, int, int, int, int]]:
+    """The maximal scoring parts of an alignment of the words at `x` with those at `y`, both ascending: (x0, x1, y0, y1, words in
+    common). A pair of words earns 1 - similarity, a skipped word of the longer side costs the similarity, so that a part's
+    score is above 0 only if its share is enough, and every equal run lies whole in one part (Ruzzo and Tompa)."""
+    if not len(x):
+        return []
+    skipped = np.maximum(np.diff(x), np.diff(y)) - 1
+    cut = np.flatnonzero(skipped > 0)
+    first, last = np.append(0, cut + 1), np.append(cut, len(x) - 1)
+    total, parts, tie = 0.0, [], 1e-9
+    for f, n, price in zip(first.tolist(), last.tolist(), [0.0, *(similarity * skipped[cut]).tolist()], strict=True):
+        low = total - price
+        total = low + (1 - similarity) * (n - f + 1)
+        while True:
+            before = len(parts) - 1
+            while before >= 0 and parts[before][2] > low + tie:
+                before -= 1
+            if before < 0 or parts[before][3] > total + tie:
+                break
+            f, _, low, _ = parts[before]
+            del parts[before:]
+        parts.append((f, n, low, total))
+    return [(int(x[f]), int(x[n]) + 1, int(y[f]), int(y[n]) + 1, n - f + 1) for f, n, _, _ in parts]
+
+
+def parts_of(a: np.ndarray, b: np.ndarray, a0: int, a1: int, b0: int, b1: int, similarity: float, shortest: int) -> list[tuple[int, int, int, int, float]]:
+    """The similar enough parts of a stretch, not too short, with their similarity: the whole of it if it is, or what is
+    similar along its diagonals and along a longest common subsequence."""
+    a0, a1, b0, b1, same = align(a, b, a0, a1, b0, b1, similarity)
+    found = [(a0, a1, b0, b1, same)]
+    if same < similarity * max(a1 - a0, b1 - b0):
+        for d in {b0 - a0, b1 - a1}:
+            low, high = max(a0, b0 - d), min(a1, b1 - d)
+            x = low + np.flatnonzero(a[low:high] == b[low + d:high + d])
+            found += segments(x, x + d, similarity)
+        x, y = common_places(a[a0:a1], b[b0:b1])
+        found += segments(a0 + x, b0 + y, similarity)
+    out, reached = [], -1
+    for x0, x1, y0, y1, same in sorted(found, key=lambda p: (p[0], -p[1])):
+        share = same / max(x1 - x0, y1 - y0)
+        if share >= similarity and x1 - x0 >= shortest and x1 > reached:  # else it lies in one that is kept
+            reached = x1
+            out.append((x0, x1, y0, y1, share))
+    return out
+
+
 def _word_arrays(docs: DataFrame) -> DataFrame:
     """The words of each document as the upper halves of their hashes."""
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("words", T.ArrayType(T.IntegerType()))])
@@ -214,7 +292,7 @@ def _word_arrays(docs: DataFrame) -> DataFrame:
 
 
 def aligned(found: DataFrame, docs: DataFrame, margin: int, similarity: float, shortest: int, salts: int = 32) -> DataFrame:
-    """The stretches, extended, that are similar enough and not too short, with their similarity."""
+    """The parts of the stretches, extended, that are similar enough and not too short, with their similarity."""
     named = found.select("id").unionByName(found.select(F.col("of").alias("id"))).distinct()
     words = stored(_word_arrays(among(docs, stored(named, "named"), "id", "id").groupBy("id").agg(F.max("text").alias("text"))), "word-arrays")
     low, there_low = F.greatest(F.lit(0).cast("long"), F.col("start") - margin), F.greatest(F.lit(0).cast("long"), F.col("there") - margin)
@@ -238,9 +316,7 @@ def aligned(found: DataFrame, docs: DataFrame, margin: int, similarity: float, s
         for i in range(batch.num_rows):
             a, b = (n[s][0][n[s][1][i]:n[s][1][i + 1]] for s in "ab")
             base, there = n["low"][i], n["there_low"][i]
-            a0, a1, b0, b1, same = align(a, b, n["start"][i] - base, n["end"][i] - base, n["there"][i] - there, n["there_end"][i] - there, similarity)
-            share = same / max(a1 - a0, b1 - b0)
-            if share >= similarity and a1 - a0 >= shortest:
+            for a0, a1, b0, b1, share in parts_of(a, b, n["start"][i] - base, n["end"][i] - base, n["there"][i] - there, n["there_end"][i] - there, similarity, shortest):
                 out.append((n["id"][i], n["of"][i], a0 + base, a1 + base, b0 + there, b1 + there, share))
         return {name: [row[i] for row in out] for i, name in enumerate(schema.fieldNames())}
 

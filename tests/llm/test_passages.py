@@ -75,6 +75,38 @@ def test_planted_passages_are_found_and_clean_documents_are_not(spark):
             assert rest[i] == t
 
 
+def covered(spark, texts):
+    """The words of each document that lie in a passage, from lists of words by id."""
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string").repartition(4)
+    got = {i: set() for i in texts}
+    for r in passages.passages(docs).collect():
+        got[r["id"]].update(range(r["start"], r["end"]))
+    return got
+
+
+def test_equal_runs_are_kept_whatever_stands_between_them(spark):
+    rng = random.Random(8)
+    texts, want = {}, {}
+    for n, (first, gap, second, there) in enumerate([*((60, g, 60, g) for g in range(1, 65)), (60, 25, 20, 25), (60, 40, 60, 33), (60, 12, 60, 40), (50, 30, 9, 30)]):
+        one, two = prose(rng, first), prose(rng, second)
+        texts[2 * n] = prose(rng, 40) + one + prose(rng, there) + two + prose(rng, 40)
+        texts[2 * n + 1] = prose(rng, 30) + one + prose(rng, gap) + two + prose(rng, 30)
+        want[2 * n + 1] = {*range(30, 30 + first), *(range(30 + first + gap, 30 + first + gap + second) if second >= 50 else ())}
+    got = covered(spark, texts)
+    assert {i for i, w in want.items() if not w <= got[i]} == set()
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 5), max_size=40), st.lists(st.integers(0, 5), max_size=40))
+def test_parts_of_an_alignment(a, b):
+    a, b = np.array(a, np.int32), np.array(b, np.int32)
+    x, y = passages.common_places(a, b)
+    assert len(x) == passages.common_words(a, b) and (a[x] == b[y]).all() and (np.diff(x) > 0).all() and (np.diff(y) > 0).all()
+    parts = passages.segments(x, y, 0.8)
+    assert all(same >= 0.8 * max(x1 - x0, y1 - y0) for x0, x1, y0, y1, same in parts)
+    assert all(any(x0 <= i < x1 for x0, x1, *_ in parts) for i in x.tolist())
+
+
 def test_no_rows_and_no_repeats(spark):
     schema = "doc_id long, text string"
     assert passages.passages(spark.createDataFrame([], schema)).count() == 0
