@@ -1,14 +1,15 @@
 """Passages that repeat across documents, also with small changes: collinear chaining of shared k-mers.
 
-Each document gives seeds: of every `window` consecutive runs of `k` words the one with the least hash, so that any two equal
-stretches of k + window - 1 words share a seed. A seed's earliest document (by id) is its anchor; every later occurrence is
+Each document gives seeds: every run of `short` words, as a passage of 50 words or more that is 80 % equal always has 4 equal
+words on end; and of every `window` consecutive runs of `k` words the one with the least hash, since short runs of a long equal
+stretch may all be found earlier elsewhere, each in another document. A seed's earliest document (by id) is its anchor; every later occurrence is
 matched with the anchor's first place, never with all others, so matches are as many as seeds. Matches of one pair of
 documents on one diagonal make a fragment. Fragments are chained: a chain follows both documents forward and pays for the
 words it skips on either side; the best predecessor of each fragment is found in a Fenwick tree over the anchor's places.
 Chains, cut where they skip much, and each fragment of such a chain are aligned: ends are extended while words are equal, and
 the words in common (a longest common subsequence) must be at least `similarity` of the longer side. The parts of a stretch are
 judged by themselves as well: those whose equal words outweigh the words skipped between them, along the fragment's diagonal and
-along the common subsequence, so that an equal run is kept whatever stands near it. Aligned stretches of a document, whatever
+along the common subsequence, and past changed words at their ends, so that an equal run is kept whatever stands near it. Aligned stretches of a document, whatever
 their anchors, are joined where they touch; those of at least `least` words are its repeated passages.
 
 Words are lower-cased runs of letters and digits. Null texts and null ids have no passages; shorter documents than `least`
@@ -49,12 +50,13 @@ def seeds_of(block: Block, k: int, window: int, least: int) -> tuple[np.ndarray,
     return owner[place], place - block.offsets[owner[place]], found[place]
 
 
-def seeds(docs: DataFrame, k: int, window: int, least: int) -> DataFrame:
+def seeds(docs: DataFrame, kinds: list[tuple[int, int]], least: int) -> DataFrame:
+    """The seeds of each kind, (words of a run, window); a window of 1 takes every run."""
     schema = T.StructType([T.StructField("seed", T.LongType()), T.StructField("id", T.LongType()), T.StructField("at", T.IntegerType())])
 
     def run(batch: pa.RecordBatch) -> dict:
         ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
-        found = [(b.first, *seeds_of(b, k, window, least)) for b in blocks(utf8(batch.column("text")))]
+        found = [(b.first, *seeds_of(b, k, window, least)) for b in blocks(utf8(batch.column("text"))) for k, window in kinds]
         return {"seed": signed(np.concatenate([f[3] for f in found])), "id": ids[np.concatenate([f[0] + f[1] for f in found])],
                 "at": np.concatenate([f[2] for f in found]).astype(np.int32)}
 
@@ -258,17 +260,33 @@ def segments(x: np.ndarray, y: np.ndarray, similarity: float) -> list[tuple[int,
 
 
 def parts_of(a: np.ndarray, b: np.ndarray, a0: int, a1: int, b0: int, b1: int, similarity: float, shortest: int) -> list[tuple[int, int, int, int, float]]:
-    """The similar enough parts of a stretch, not too short, with their similarity: the whole of it if it is, or what is
-    similar along its diagonals and along a longest common subsequence."""
+    """The similar enough parts near a stretch, not too short, with their similarity: the whole of it if it is, what is similar
+    along its diagonals, and the best of these together with what can be aligned before and behind it."""
+    there = set(b.tolist())
+    if sum(w in there for w in a.tolist()) < similarity * shortest:  # no part of that length can be similar enough
+        return []
     a0, a1, b0, b1, same = align(a, b, a0, a1, b0, b1, similarity)
-    found = [(a0, a1, b0, b1, same)]
-    if same < similarity * max(a1 - a0, b1 - b0):
-        for d in {b0 - a0, b1 - a1}:
-            low, high = max(a0, b0 - d), min(a1, b1 - d)
-            x = low + np.flatnonzero(a[low:high] == b[low + d:high + d])
-            found += segments(x, x + d, similarity)
-        x, y = common_places(a[a0:a1], b[b0:b1])
-        found += segments(a0 + x, b0 + y, similarity)
+    found = []
+    for d in {b0 - a0, b1 - a1}:
+        low, high = max(0, -d), min(len(a), len(b) - d)
+        x = low + np.flatnonzero(a[low:high] == b[low + d:high + d])
+        found += segments(x, x + d, similarity)
+    if same >= similarity * max(a1 - a0, b1 - b0):
+        found.append((a0, a1, b0, b1, same))
+    if found:
+        x0, x1, y0, y1, _ = max(found, key=lambda p: p[4])
+        ends = (0, x0, 0, y0), (x0, x1, y0, y1), (x1, len(a), y1, len(b))
+    else:
+        ends = ((0, len(a), 0, len(b)),)
+    path = []
+    for x0, x1, y0, y1 in ends:
+        p, q = a[x0:x1], b[y0:y1]
+        if len(p) == len(q) and (p == q).all():
+            x = y = np.arange(len(p))
+        else:
+            x, y = common_places(p, q)
+        path.append((x0 + x, y0 + y))
+    found += segments(np.concatenate([x for x, _ in path]), np.concatenate([y for _, y in path]), similarity)
     out, reached = [], -1
     for x0, x1, y0, y1, same in sorted(found, key=lambda p: (p[0], -p[1])):
         share = same / max(x1 - x0, y1 - y0)
@@ -324,11 +342,12 @@ def aligned(found: DataFrame, docs: DataFrame, margin: int, similarity: float, s
 
 
 def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 50, similarity: float = 0.8, k: int = 8,
-             window: int = 16, shortest: int = 12, gap: int = 3) -> DataFrame:
+             window: int = 16, shortest: int = 12, gap: int = 3, short: int = 4) -> DataFrame:
     """One row per repeated passage: id, start and end (words), the ids of earlier documents that hold parts of it
     (`sources`), and the least similarity of its parts."""
     docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    chained = stored(stretches(matches(stored(seeds(docs, k, window, least), "seeds")), k), "stretches")
+    # Seeds are as many as words: they are found twice, as they take more room than the texts.
+    chained = stored(stretches(matches(seeds(docs, [(k, window), (short, 1)], least)), min(k, short)), "stretches")
     parts = aligned(chained, docs, k + window, similarity, shortest)
     before = Window.partitionBy("id").orderBy("start", "end")
     reached = F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1))

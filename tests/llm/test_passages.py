@@ -96,6 +96,20 @@ def test_equal_runs_are_kept_whatever_stands_between_them(spark):
     assert {i for i, w in want.items() if not w <= got[i]} == set()
 
 
+def test_passages_with_changed_words_are_found(spark):
+    rng = random.Random(9)
+    texts, cases = {}, []
+    for size, changes in [(60, [15, 45]), (60, [15, 30, 45]), (70, range(15, 70, 15)), *((100, range(s, 100, s)) for s in range(5, 13))] * 6:
+        n, passage = 2 * len(cases), prose(rng, size)
+        edited = [f"changed{n}" if i in set(changes) else w for i, w in enumerate(passage)]
+        texts[n] = prose(rng, 50) + passage + prose(rng, 50)
+        texts[n + 1] = prose(rng, 40) + edited + prose(rng, 40)
+        cases.append((n + 1, size))
+    got = covered(spark, texts)
+    assert [c for c in cases if len(got[c[0]] & set(range(40, 40 + c[1]))) < c[1] - 4] == []
+    assert all(min(w) >= 30 and max(w) < 50 + s for (i, s) in cases if (w := got[i]))
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 5), max_size=40), st.lists(st.integers(0, 5), max_size=40))
 def test_parts_of_an_alignment(a, b):
