@@ -6,8 +6,9 @@ shingles at fixed places. First the shingles of all windows are counted over all
 in the documents. Each match fixes where the window would begin; the length bound drops windows longer than the document,
 the positional bound those that would begin before or end after it. What is left is compared word for word.
 
-The windows go to the executors in blocks of at most `block` windows, a fixed size, whatever the number of items; the
-documents pass all blocks in one stage, without a shuffle. Nothing is gathered per item or per document group.
+The windows go to the executors in blocks of at most `block` windows, a fixed size, whatever the number of items; one block
+passes all documents without a shuffle. Of several, the hits of each but the last are written before the next is sent, and meet
+the documents by id and digest of the text. The items are read one by one on the driver, which holds two blocks at most.
 
 A null or wordless text has no words and no hits; an item without words has no windows. An item with a null id marks words
 but is not listed. Repeated items count once, repeated documents are rows of their own; other columns are ignored."""
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from cutline.llm.frames import lists, per_batch
+from cutline.llm.frames import lists, per_batch, stored
 from cutline.llm.words import Block, blocks, shingles, signed, utf8, words_of
 
 _FOUND = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_words", T.LongType()),
@@ -170,8 +171,9 @@ def _occurrences(block: Block, found: Windows, index: dict, length: int) -> tupl
     return pairs[:, 0], pairs[:, 1]
 
 
-def _marks(df: DataFrame, shared: Broadcast, length: int, carried: bool, last: bool) -> DataFrame:
-    """Add one block's hits to those that the rows already carry."""
+def _marks(df: DataFrame, shared: Broadcast, length: int) -> DataFrame:
+    """One block's hits in each row; a column `key`, if there is one, is kept."""
+    keyed = "key" in df.columns
 
     def run(batch: pa.RecordBatch) -> dict:
         found, index = shared.value
@@ -179,27 +181,39 @@ def _marks(df: DataFrame, shared: Broadcast, length: int, carried: bool, last: b
         starts: list[np.ndarray] = []
         ends: list[np.ndarray] = []
         items: list[list[int]] = []
-        before = [batch.column(c).to_pylist() for c in ("starts", "ends", "items")] if carried else None
         for block in blocks(utf8(batch.column("text"))):
             n_words[block.first:block.first + len(block)] = np.diff(block.offsets)
             s, w = _occurrences(block, found, index, length)
             edge = np.searchsorted(s, block.offsets)
             for i in range(len(block)):
                 a, b, base = edge[i], edge[i + 1], block.offsets[i]
-                places, tops, named = s[a:b] - base, s[a:b] - base + found.lengths[w[a:b]], {x for v in w[a:b] for x in found.items[v]}
-                if before:
-                    r = block.first + i
-                    places, tops = np.concatenate([places, before[0][r]]).astype(np.int64), np.concatenate([tops, before[1][r]]).astype(np.int64)
-                    named |= set(before[2][r])
-                p, e = union(places, tops)
+                p, e = union(s[a:b] - base, s[a:b] - base + found.lengths[w[a:b]])
                 starts.append(p)
                 ends.append(e)
-                items.append(sorted(named))
-        out = {"id": batch.column("id"), "n_words": n_words, "items": items}
-        out |= {n: lists(np.concatenate(x), np.cumsum([0] + [len(y) for y in x]), pa.int64()) for n, x in (("starts", starts), ("ends", ends))}
-        return out if last else out | {"text": batch.column("text")}
+                items.append(sorted({x for v in w[a:b] for x in found.items[v]}))
+        out = {"id": batch.column("id"), "n_words": n_words, "items": items} | _spans(starts, ends)
+        return out | {"key": batch.column("key")} if keyed else out
 
-    return per_batch(df, run, _FOUND if last else T.StructType([*_FOUND.fields, T.StructField("text", T.StringType())]))
+    return per_batch(df, run, T.StructType([*_FOUND.fields, T.StructField("key", T.StringType())]) if keyed else _FOUND)
+
+
+def _spans(starts: list[np.ndarray], ends: list[np.ndarray]) -> dict:
+    return {n: lists(np.concatenate(x), np.cumsum([0] + [len(y) for y in x]), pa.int64()) for n, x in (("starts", starts), ("ends", ends))}
+
+
+def _merged(marks: DataFrame, hits: DataFrame) -> DataFrame:
+    """The rows with the hits of other blocks added; rows of one id and text have the same hits."""
+    other = hits.groupBy(F.col("id").alias("_id"), F.col("key").alias("_key")).agg(
+        F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))).alias("more"), F.flatten(F.collect_list("items")).alias("more_items"))
+    both = marks.join(other, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left").select(
+        "id", "n_words", *[F.concat(n, F.coalesce(F.col(f"more.{n}"), F.array().cast("array<bigint>"))).alias(n) for n in ("starts", "ends")],
+        F.array_sort(F.array_union("items", F.coalesce("more_items", F.array().cast("array<bigint>")))).alias("items"))
+
+    def run(batch: pa.RecordBatch) -> dict:
+        joined = [union(np.array(s, np.int64), np.array(e, np.int64)) for s, e in zip(batch.column("starts").to_pylist(), batch.column("ends").to_pylist(), strict=True)]
+        return {n: batch.column(n) for n in ("id", "n_words", "items")} | _spans([s for s, _ in joined], [e for _, e in joined])
+
+    return per_batch(both, run, _FOUND)
 
 
 def union(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,18 +231,32 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     """One row per document: id, n_words, spans (start and end words of joined hits), n_hit and items (sorted ids)."""
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    passes = []
-    for found in item_windows(items, item_id, item_text, window, block):
+    none = Windows([], np.zeros((0, window), np.uint64), np.zeros(0, np.int64), [])
+    rest = item_windows(items, item_id, item_text, window, block)
+    found, following = next(rest, none), next(rest, None)
+    if following is not None:  # several blocks: the hits of a row meet by its id and text
+        docs = docs.withColumn("key", F.sha2(F.col("text").cast("binary"), 256))
+    hits = None
+    while True:
         keys: dict[int, list[np.ndarray]] = {}
         for k, _, rows in _window_shingles(found, shingle):
             keys.setdefault(k, []).append(rows.ravel())
-        counts = _count(docs, spark.sparkContext.broadcast({k: Lookup(np.concatenate(v)) for k, v in keys.items()}))
-        passes.append(spark.sparkContext.broadcast((found, _prefixes(found, counts, shingle, threshold))))
-    if not passes:
-        passes = [spark.sparkContext.broadcast((Windows([], np.zeros((0, window), np.uint64), np.zeros(0, np.int64), []), {"prefix": {}, "needed": np.zeros(0, np.int64)}))]
-    out = docs
-    for n, shared in enumerate(passes):
-        out = _marks(out, shared, shingle, n > 0, n == len(passes) - 1)
+        counts = {}
+        if keys:
+            lookups = spark.sparkContext.broadcast({k: Lookup(np.concatenate(v)) for k, v in keys.items()})
+            counts = _count(docs, lookups)
+            lookups.destroy()
+        shared = spark.sparkContext.broadcast((found, _prefixes(found, counts, shingle, threshold)))
+        out = _marks(docs, shared, shingle)
+        if following is None:
+            break
+        # The hits of all blocks but the last are written, and their broadcasts end with them.
+        part = stored(out.where(F.size("starts") > 0).dropDuplicates(["id", "key"]), "block-hits")
+        shared.destroy()
+        hits = part if hits is None else hits.unionByName(part)
+        found, following = following, next(rest, None)
+    if hits is not None:
+        out = _merged(out, hits)
     spans = F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end"))
     return out.select("id", "n_words", spans.alias("spans"),
                       F.aggregate(spans, F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"]).alias("n_hit"), "items")

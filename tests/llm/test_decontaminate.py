@@ -47,3 +47,27 @@ def test_empty_tables(spark):
     items = spark.createDataFrame([(1, "a")], "item_id long, text string")
     assert decontaminate.digest(decontaminate.contamination(docs, items.limit(0))).first()["contaminated"] is False
     assert decontaminate.contamination(docs.limit(0), items).count() == 0
+
+
+def test_a_block_is_released_before_the_next(spark, monkeypatch):
+    context, kind, alive, most = type(spark.sparkContext), decontaminate.Broadcast, set(), 0
+    broadcast, destroy = context.broadcast, kind.destroy
+
+    def send(self, value):
+        nonlocal most
+        sent = broadcast(self, value)
+        alive.add(id(sent.value))
+        most = max(most, len(alive))
+        return sent
+
+    def end(self, *args):
+        alive.discard(id(self.value))
+        destroy(self, *args)
+
+    monkeypatch.setattr(context, "broadcast", send)
+    monkeypatch.setattr(kind, "destroy", end)
+    items = spark.createDataFrame([(i, f"a{i} b{i} c{i} d{i}") for i in range(8)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a1 b1 c1 d1 a5 b5 c5 d5"), (2, "a b")], "doc_id long, text string")
+    found = {r["id"]: r for r in decontaminate.contamination(docs, items, window=4, block=3).collect()}
+    assert found[1]["items"] == [1, 5] and found[1]["n_hit"] == 8 and found[2]["items"] == []
+    assert most == 1 and len(alive) == 1
