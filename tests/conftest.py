@@ -20,8 +20,3 @@ def plan():
     from cutline.operators.spans import Spans
 
     return lambda df, keys, order: Spans(tuple(keys), order)
-
-
-def rows(df, *columns):
-    out = df.select(*columns) if columns else df
-    return sorted((tuple(r) for r in out.collect()), key=repr)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from cutline.functions import scalars as S, text as X
 from cutline.functions.chance import poisson_one, uniform
 

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from cutline.operators import checks as C, corrections as K, dense, diff, flags, form, identity, lookup, peers, profile, runs
 
 CORRECTIONS = "table string, primary_key string, column string, old_value string, new_value string, reason string, evidence_type string, evidence_source string"

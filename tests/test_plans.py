@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from cutline.plans import classes, evaluate, models, record, rules, simulate
 
 

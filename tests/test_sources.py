@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from cutline.sources import pages as G, sessions as Z, tables as B
 
 

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import Window, functions as F
 
-from conftest import rows
+from helpers import rows
 from cutline.operators.spans import Right, Spans, expanding, latest_before, numbered, plan_spans, trailing
 
 
