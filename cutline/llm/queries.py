@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from cutline.llm import bpe, chat, decontaminate, near_duplicates, passages, quality_rules, rule_ensemble, token_files, toxicity, warc
+from cutline.llm import bpe, chat, decontaminate, near_duplicates, passages, pieces, quality_rules, rule_ensemble, token_files, toxicity, warc
 from cutline.llm.frames import remainder, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,3 +162,9 @@ def toxicity_scores(spark: SparkSession, path: str) -> DataFrame:
 def quality_scores(spark: SparkSession, path: str) -> DataFrame:
     held_out = remainder("id", 3) == 1
     return _scores(rule_ensemble.scored(table(spark, path, "documents"), table(spark, path, "labels"), ~held_out), held_out)
+
+
+@register("op12_sentence_pieces")
+def sentence_pieces(spark: SparkSession, path: str) -> DataFrame:
+    model = pieces.Model(spark, public_tokenizers.path("piece_bpe_32k.model"))
+    return pieces.digests(pieces.encode(table(spark, path, "documents"), model, end=True), model)
