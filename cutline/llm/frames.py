@@ -13,12 +13,12 @@ _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 1000
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back. Texts go to Python in batches of at most BATCH_ROWS meanwhile, so
+def stored(df: DataFrame, name: str, rows: int = BATCH_ROWS) -> DataFrame:
+    """Write a frame to the shared folder and read it back. Texts go to Python in batches of at most `rows` meanwhile, so
     that a task holds few of them; the session's own setting is restored."""
     conf = df.sparkSession.conf
     before = conf.get(_BATCH_ROWS)
-    conf.set(_BATCH_ROWS, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    conf.set(_BATCH_ROWS, str(min(rows, int(before)) if int(before) > 0 else rows))
     try:
         return session.stored(df, name)
     finally:

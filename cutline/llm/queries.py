@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from cutline.llm import bpe, chat, decontaminate, near_duplicates, passages, pieces, quality_rules, rule_ensemble, token_files, toxicity, warc
+from cutline.llm import bpe, chat, decontaminate, hard_negatives, near_duplicates, passages, pieces, quality_rules, rule_ensemble, token_files, toxicity, warc
 from cutline.llm.frames import remainder, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,3 +168,21 @@ def quality_scores(spark: SparkSession, path: str) -> DataFrame:
 def sentence_pieces(spark: SparkSession, path: str) -> DataFrame:
     model = pieces.Model(spark, public_tokenizers.path("piece_bpe_32k.model"))
     return pieces.digests(pieces.encode(table(spark, path, "documents"), model, end=True), model)
+
+
+@register("op11_hard_negatives", """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = v.label AS same, v.vec_id,
+  CAST(coalesce(list_sum(list_transform(list_zip(a.e, v.e), lambda z: coalesce(z[1] * z[2], 0))), 0) AS BIGINT) AS score
+  FROM v a JOIN v ON v.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5""")
+def hard_negative_rows(spark: SparkSession, path: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(table(spark, path, "embeddings"), F.col("id") % 100 == 0, label)
