@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from cutline.llm import bpe, chat, decontaminate, hard_negatives, near_duplicates, passages, pieces, quality_rules, rule_ensemble, token_files, toxicity, warc
+from cutline.llm import bpe, chat, decontaminate, hard_negatives, near_duplicates, passages, pieces, quality_rules, rule_ensemble, spelling, token_files, toxicity, warc
 from cutline.llm.frames import remainder, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,3 +186,8 @@ QUALIFY rank <= 5""")
 def hard_negative_rows(spark: SparkSession, path: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mined(table(spark, path, "embeddings"), F.col("id") % 100 == 0, label)
+
+
+@register("op13_spelling_variants")
+def spelling_variants(spark: SparkSession, path: str) -> DataFrame:
+    return spelling.variants(table(spark, path, "documents"), slip=spelling.one_in(199))
