@@ -19,18 +19,19 @@ import codecs
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from cutline.llm.frames import arrow_type, lists
+from cutline.llm.frames import lists
 from cutline.llm.words import utf8
 
 _LARGEST_MODEL = 64 << 20
-_CACHE = 300_000  # words whose pieces a Python worker keeps
+_CACHE = 300_000  # words whose pieces a Python worker keeps, about
+_TOGETHER = 2048  # words merged at once
 _LONGEST_KEPT = 64  # characters of a word that is kept
 _BATCH_BYTES = 1 << 20
 _SPACE = "▁"
@@ -119,6 +120,44 @@ class CharacterMap:
                 at = start + taken
 
 
+class Seen(dict):
+    """The packed ids of words. Of what is no longer held here, the last half of the cache is still at hand, so frequent words are
+    merged once."""
+
+    def __init__(self, packed: Callable[[str], bytes]):
+        super().__init__()
+        self.packed, self.older = packed, {}
+
+    def make_room(self, n: int) -> None:
+        if len(self) + n > _CACHE // 2:
+            self.older = dict(self)
+            self.clear()
+
+    def __missing__(self, word: str) -> bytes:
+        value = self.older.get(word)
+        if value is None:
+            value = self.packed(word)
+        if len(word) <= _LONGEST_KEPT:
+            self[word] = value
+        return value
+
+
+def _packed(ids: list[tuple[int, int]]) -> bytes:
+    return np.array([i | n << 24 for i, n in ids], np.uint32).tobytes()
+
+
+class Numbers(dict):
+    """The packed ids of each piece; a character that is none is its bytes, the last of which stands for it, or unknown."""
+
+    def __init__(self, known: dict[str, bytes], of_byte: dict[int, int], unknown: int):
+        super().__init__(known)
+        self.of_byte, self.unknown = of_byte, unknown
+
+    def __missing__(self, piece: str) -> bytes:
+        data = piece.encode()
+        return _packed([(self.of_byte[b], n == len(data)) for n, b in enumerate(data, 1)] if self.of_byte else [(self.unknown, len(piece))])
+
+
 class Codec:
     """A model as tables. Built once per Python worker."""
 
@@ -134,6 +173,9 @@ class Codec:
         self.types = [p.type for p in model.pieces]
         self.ids = {p.piece: (i, p.score) for i, p in enumerate(model.pieces) if p.type not in (_UNKNOWN, _CONTROL, _BYTE)}
         self.unused = {p.piece for p in model.pieces if p.type == _UNUSED}
+        scores = sorted({score for _, score in self.ids.values()}, reverse=True)
+        ranks = {score: rank for rank, score in enumerate(scores)}
+        self.order, self.last = {p: ranks[score] for p, (_, score) in self.ids.items()}, len(scores)
         self.unknown = self.types.index(_UNKNOWN)
         self.bytes = {int(p.piece[1:-1], 16): i for i, p in enumerate(model.pieces) if p.type == _BYTE} if model.trainer_spec.byte_fallback else {}
         self.of_byte = {i: b for b, i in self.bytes.items()}
@@ -141,8 +183,17 @@ class Codec:
         self.end = next((i for i, p in enumerate(self.pieces) if p == model.trainer_spec.eos_piece), -1)
         self.by_words = not any(_SPACE in p.lstrip(_SPACE) for p in self.ids)
         self.is_byte = np.array([t == _BYTE for t in self.types])
-        self.kept: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.numbers = Numbers({p: _packed([(i, len(p))]) for p, (i, _) in self.ids.items()}, self.bytes, self.unknown)
+        self.seen = Seen(self.packed)
+        self.number_of = np.array([i | min(len(p), 255) << 24 for i, p in enumerate(self.pieces)], np.uint32)
+        self.symbol_of = np.full(0x110000, -1, np.int32)
+        for piece, (i, _) in self.ids.items():
+            if len(piece) == 1:
+                self.symbol_of[ord(piece)] = i
+        # Every way to put a piece together from two, by both ids: its rank and its id.
+        pairs = sorted((self.ids[p[:k]][0] * len(self.pieces) + self.ids[p[k:]][0], self.order[p], i)
+                       for p, (i, _) in self.ids.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids)
+        self.pair, self.pair_rank, self.pair_piece = (np.array([x[k] for x in pairs] or [-1], kind) for k, kind in enumerate((np.int64, np.int32, np.int32)))
 
     # Normalisation
 
@@ -150,7 +201,7 @@ class Codec:
         """The normalised text, and for each of its characters and the end the byte of the text where what it stands for begins;
         None if only spaces were replaced and one put in front."""
         if not text:
-            return "", np.zeros(1, np.int64)
+            return "", np.zeros(1, np.int32)
         if self.map.starts is None and not self.trimmed:
             text = text.replace(" ", _SPACE) if self.escaped else text
             return (_SPACE if self.escaped else " ") * self.prefix + text, None
@@ -158,7 +209,7 @@ class Codec:
         for new, taken in self.map.replaced(text):
             if taken > 0:  # copied: a character at a time
                 out.append(new)
-                lengths.append(np.ones(taken, np.int64))
+                lengths.append(np.ones(taken, np.int32))
             else:  # the first character of an entry's replacement stands for all of it, and those behind it begin there too
                 out.append(new)
                 lengths.append((new, -taken))
@@ -166,7 +217,7 @@ class Codec:
         edges = _edges(text)
         for some in lengths:
             if isinstance(some, tuple):
-                begins.append(np.full(len(some[0]), edges[at]))
+                begins.append(np.full(len(some[0]), edges[at], np.int32))
                 at += some[1]
             else:
                 begins.append(edges[at:at + len(some)])
@@ -191,20 +242,31 @@ class Codec:
     # Encoding
 
     def merged(self, word: str) -> list[str]:
-        """Merge the best-scored pair of neighbours until none is a piece."""
+        """Merge the best-scored pair of neighbours, the leftmost of equals, until none is a piece."""
+        if self.unused or len(word) > _LONGEST_KEPT:
+            return self._merged_long(word)
+        part, none, order = list(word), self.last, self.order.get
+        ranks = [order(a + b, none) for a, b in zip(part, part[1:])]
+        while ranks and (best := min(ranks)) < none:
+            i = ranks.index(best)
+            part[i] += part.pop(i + 1)
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = order(part[i] + part[i + 1], none)
+            if i:
+                ranks[i - 1] = order(part[i - 1] + part[i], none)
+        return part
+
+    def _merged_long(self, word: str) -> list[str]:
+        """The same with a queue of pairs, for unbroken runs of any length; pieces that are not to be used are taken apart again."""
         part, n = list(word), len(word)
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        after[-1:] = [-1]
-        queue: list[tuple[float, int, int, str]] = []
+        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        queue: list[tuple[int, int, int, str]] = []
         splits: dict[str, tuple[str, str]] = {}
 
         def offer(i: int, j: int) -> None:
-            if i < 0 or j < 0:
-                return
-            both = part[i] + part[j]
-            found = self.ids.get(both)
-            if found is not None:
-                heapq.heappush(queue, (-found[1], i, j, both))
+            if i >= 0 and j >= 0 and (rank := self.order.get(both := part[i] + part[j])) is not None:
+                heapq.heappush(queue, (rank, i, j, both))
                 if both in self.unused:
                     splits[both] = part[i], part[j]
 
@@ -212,7 +274,7 @@ class Codec:
             offer(i, i + 1)
         while queue:
             _, i, j, both = heapq.heappop(queue)
-            if not part[i] or not part[j] or part[i] + part[j] != both or after[i] != j:
+            if not part[i] or not part[j] or after[i] != j or part[i] + part[j] != both:
                 continue
             part[i], part[j] = both, ""
             after[i] = after[j]
@@ -224,52 +286,75 @@ class Codec:
         def whole(p: str) -> list[str]:
             return [x for half in splits[p] for x in whole(half)] if p in splits else [p]
 
-        return [x for p in part if p for x in whole(p)] if splits else [p for p in part if p]
+        return [x for p in part if p for x in whole(p)]
+
+    def _neighbours(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and id of the piece that two pieces make; the rank is the last where there is none."""
+        key = a.astype(np.int64) * len(self.pieces) + b
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        return np.where((self.pair[at] == key) & (a >= 0) & (b >= 0), self.pair_rank[at], np.int32(self.last)), self.pair_piece[at]
+
+    def learn(self, words: set[str]) -> None:
+        """Merge many words at once, one merge a word and step, and keep them. What is rare here (very long runs, characters that
+        are no piece, models with pieces that are not to be used) is left to `merged`."""
+        order = sorted((w for w in words if len(w) <= _LONGEST_KEPT), key=len) if not self.unused else []
+        for start in range(0, len(order), _TOGETHER):
+            some = order[start:start + _TOGETHER]
+            n = np.array([len(w) for w in some])
+            width = int(n[-1])
+            inside = np.arange(width) < n[:, None]
+            piece = np.full((len(some), width), -1, np.int32)
+            piece[inside] = self.symbol_of[np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32)]
+            which = np.flatnonzero(((piece >= 0) | ~inside).all(axis=1))
+            piece, n = piece[which], n[which]
+            rank, into = self._neighbours(piece[:, :-1], piece[:, 1:])
+            while len(which):
+                j = rank.argmin(axis=1) if width > 1 else np.zeros(len(which), np.int64)
+                live = rank[np.arange(len(which)), j] < self.last if width > 1 else np.zeros(len(which), bool)
+                for row, k, size in zip(self.number_of[piece[~live]], which[~live].tolist(), n[~live].tolist(), strict=True):
+                    self.seen[some[k]] = row[:size].tobytes()
+                which, n, j, piece, rank, into = which[live], n[live] - 1, j[live], piece[live], rank[live], into[live]
+                every, column = np.arange(len(which)), np.arange(width)
+                piece[every, j] = into[every, j]
+                piece = piece[column != j[:, None] + 1].reshape(len(which), width - 1)
+                stay = column[:-1] != j[:, None]
+                rank, into = rank[stay].reshape(len(which), width - 2) if width > 1 else rank, into[stay].reshape(len(which), width - 2) if width > 1 else into
+                width -= 1
+                for rows, left in ((np.flatnonzero(j < width - 1), 0), (np.flatnonzero(j > 0), 1)):
+                    at = j[rows] - left
+                    rank[rows, at], into[rows, at] = self._neighbours(piece[rows, at], piece[rows, at + 1])
 
     def packed(self, word: str) -> bytes:
         """The ids of a word with how many characters each takes above them, as unsigned 32-bit numbers."""
-        out = []
-        for piece in self.merged(word):
-            found = self.ids.get(piece)
-            if found is not None:
-                out.append(found[0] | len(piece) << 24)
-            elif self.bytes:
-                data = piece.encode()
-                out += [self.bytes[b] | (n == len(data)) << 24 for n, b in enumerate(data, 1)]
-            else:
-                out.append(self.unknown | len(piece) << 24)
-        return np.array(out, np.uint32).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        value = self.kept.get(word)
-        if value is None:
-            value = self.older.get(word)
-            if value is None:
-                value = self.packed(word)
-            if len(word) <= _LONGEST_KEPT:
-                if len(self.kept) >= _CACHE // 2:
-                    self.older, self.kept = self.kept, {}
-                self.kept[word] = value
-        return value
-
-    def encode(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The ids of a text and the bytes where their spans start and end."""
-        text = data.decode("utf-8", "cutline-one-by-one")
-        whole, begin = self.normalised(text)
-        if not whole:
-            return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return b"".join(map(self.numbers.__getitem__, self.merged(word)))
+
+    def encode(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The ids of each text, and the bytes where their spans begin, with the end of the last behind them: spans follow each
+        other."""
+        read = [data.decode("utf-8", "cutline-one-by-one") for data in texts]
+        normal = [self.normalised(text) for text in read]
+        words = [_WORDS.findall(whole) if self.by_words else [whole] * bool(whole) for whole, _ in normal]
+        distinct = set().union(*words)
+        self.seen.make_room(len(distinct))
+        self.learn({w for w in distinct if w not in self.seen and w not in self.seen.older})
+        return [self._spans(data, text, some, begin) for data, text, some, (_, begin) in zip(texts, read, words, normal, strict=True)]
+
+    def _spans(self, data: bytes, text: str, words: list[str], begin: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        if not words:
+            return np.zeros(0, np.int32), np.zeros(1, np.int32)
         if begin is None:
             begin = _edges(text, data)
             begin = np.concatenate([begin[:1], begin]) if self.prefix else begin
-        found = b"".join(map(self._word, _WORDS.findall(whole))) if self.by_words else self.packed(whole)
+        found = b"".join(map(self.seen.__getitem__, words))
         numbers = np.frombuffer(found, np.uint32)
-        ids, lengths = (numbers & _ID).astype(np.int32), (numbers >> _LENGTH).astype(np.int64)
+        ids, lengths = (numbers & _ID).view(np.int32), numbers >> _LENGTH
         if not self.bytes and self.unknown in ids:  # unknown neighbours are one piece
             same = np.concatenate([[False], (ids[1:] == self.unknown) & (ids[:-1] == self.unknown)])
             at = np.flatnonzero(~same)
             ids, lengths = ids[at], np.add.reduceat(lengths, at)
-        ends = np.cumsum(lengths)
-        return ids, begin[ends - lengths], begin[ends]
+        edges = np.zeros(len(ids) + 1, np.int32)
+        np.cumsum(lengths, out=edges[1:])
+        return ids, begin[edges]
 
     # Decoding
 
@@ -311,16 +396,16 @@ def _edges(text: str, data: bytes | None = None) -> np.ndarray:
     """Where each character of a text begins in its bytes, and the end. A character that replaces a wrong byte takes one."""
     data = text.encode() if data is None else data
     if len(data) == len(text):
-        return np.arange(len(data) + 1)
-    found = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
+        return np.arange(len(data) + 1, dtype=np.int32)
+    found = np.flatnonzero(np.frombuffer(data, np.int8) >= -64)  # all but the later bytes of a character
     if len(found) == len(text):
-        return np.append(found, len(data))
+        return np.append(found, len(data)).astype(np.int32)
     # Wrong bytes: measure characters one by one.
     out, at = [], 0
     for c in text:
         out.append(at)
         at += len(c.encode()) if data.startswith(c.encode(), at) else 1
-    return np.array([*out, at])
+    return np.array([*out, at], np.int32)
 
 
 class Model:
@@ -341,8 +426,7 @@ def _codec(shared: Broadcast) -> Codec:
     return _loaded[name]
 
 
-_ENCODED = T.StructType([T.StructField("id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())),
-                         T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.LongType()))])
+_ENCODED = T.StructType([T.StructField("id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("edges", T.ArrayType(T.IntegerType()))])
 
 
 def _by_size(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
@@ -359,21 +443,24 @@ def _by_size(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
 
 
 def encode(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", end: bool = False) -> DataFrame:
-    """id, ids, and the bytes of the text where each piece starts and ends, one row per document. With `end` the end id is last;
-    its span is empty. Whole texts are read; rows leave Python in parts of bounded size."""
+    """id, ids and edges, one row per document: piece i stands for the bytes edges[i] to edges[i + 1] of the text, so there is one
+    edge more than ids. With `end` the end id is last; its span is empty. Whole texts are read; rows leave Python in parts of
+    bounded size."""
     docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     shared = model.shared
-    types = [arrow_type(f.dataType) for f in _ENCODED.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
+        last = np.array([codec.end] * end, np.int32)
         for whole in batches:
             for batch in _by_size(whole, "text"):
-                found = [codec.encode(t) for t in utf8(batch.column("text"))]
-                if end:
-                    found = [(np.append(i, np.int32(codec.end)), np.append(a, n := len(t)), np.append(b, n)) for (i, a, b), t in zip(found, utf8(batch.column("text")), strict=True)]
-                edges = np.concatenate([[0], np.cumsum([len(f[0]) for f in found])])
-                columns = [lists(np.concatenate([f[k] for f in found]), edges, types[k + 1].value_type) for k in range(3)]
+                ids, edges = [], []
+                for found, spans in codec.encode(utf8(batch.column("text"))):
+                    ids += [found, last]
+                    edges += [spans, spans[-1:]] if end else [spans]
+                sizes = np.add.reduceat([len(x) for x in ids], np.arange(0, len(ids), 2))
+                flat = np.concatenate(ids), np.concatenate(edges)
+                columns = [lists(x, np.concatenate([[0], np.cumsum(sizes + more)]), pa.int32()) for more, x in enumerate(flat)]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], names=_ENCODED.fieldNames())
 
     return docs.mapInArrow(run, _ENCODED)

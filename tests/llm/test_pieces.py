@@ -46,10 +46,9 @@ def random_texts(letters: str, n: int, seed: int = 0) -> list[str]:
 def differences(content: bytes, texts: list[str]) -> list[str]:
     codec, model = pieces.Codec(content), sentencepiece.SentencePieceProcessor(model_proto=content)
     out = []
-    for text in texts:
-        ids, starts, ends = codec.encode(text.encode())
+    for text, (ids, edges) in zip(texts, codec.encode([t.encode() for t in texts]), strict=True):
         want = model.encode(text.encode(), return_type="proto").pieces
-        if ids.tolist() != [p.id for p in want] or list(zip(starts.tolist(), ends.tolist(), strict=True)) != [(p.begin, p.end) for p in want]:
+        if ids.tolist() != [p.id for p in want] or list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) != [(p.begin, p.end) for p in want]:
             out.append(text)
         elif codec.decode(np.append(ids, 2)) != model.decode([*ids.tolist(), 2]):
             out.append(text)
@@ -91,22 +90,21 @@ def test_bytes_that_are_no_text(library):
     codec = pieces.Codec(open(PATH, "rb").read())
     for data in (b"\xff\xfeab c\xc3", b"\xe2\x82 x"):
         want = library.encode(data, return_type="proto").pieces
-        ids, starts, ends = codec.encode(data)
-        assert [(p.id, p.begin, p.end) for p in want] == list(zip(ids.tolist(), starts.tolist(), ends.tolist(), strict=True))
+        ids, edges = codec.encode([data])[0]
+        assert [(p.id, p.begin, p.end) for p in want] == list(zip(ids.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True))
 
 
 def test_frames_with_nulls_repeats_ties_and_clashing_columns(spark, library):
     long = "word après " * 40_000
     given = [(1, "a b"), (1, "a b"), (None, "x"), (2, None), (3, ""), (4, long)]
-    docs = spark.createDataFrame([(i, t, "?", 1, 2) for i, t in given], "doc_id long, text string, id string, ids int, starts int")
+    docs = spark.createDataFrame([(i, t, "?", 1, 2) for i, t in given], "doc_id long, text string, id string, ids int, edges int")
     model = pieces.Model(spark, PATH)
     got = pieces.encode(docs, model, end=True).collect()
     want = sorted(((i, [*library.encode(t or ""), 2]) for i, t in given), key=repr)
     assert sorted(((r.id, r.ids) for r in got), key=repr) == want
     for r in got:
         data = (dict(given)[r.id] or "").encode()
-        assert r.starts[:1] in ([0], [len(data)]) and r.ends[-1] == len(data) and all(a <= b for a, b in zip(r.starts, r.ends, strict=True))
-        assert r.starts[1:] == r.ends[:-1]
+        assert len(r.edges) == len(r.ids) + 1 and r.edges[0] == 0 and r.edges == sorted(r.edges) and r.edges[-1] == r.edges[-2] == len(data)
     back = pieces.decode(pieces.encode(docs, model, end=True), model).collect()
     assert sorted(((r.id, r.text) for r in back), key=repr) == sorted(((i, t or "") for i, t in given), key=repr)
 
