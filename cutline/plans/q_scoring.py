@@ -219,18 +219,11 @@ def last_events(star: Star) -> DataFrame:
     return late.groupBy("rule").agg(F.count("*").alias("events"), F.round(F.avg("log_loss"), 6).alias("log_loss"))
 
 
-# The DuckDB side draws the same numbers, so a simulation is compared value by value.
-SIM_DRAWS = 10
+# Fixed value: simulated orders of each event. They are beyond what another engine can repeat draw by draw; `tests/test_order_counts.py`
+# compares the counts with exact chances.
+SIM_DRAWS = 20_000
 STRENGTH = f"""
-WITH {ENTRIES}, st AS (SELECT event, entity, grp, points / sum(points) OVER (PARTITION BY event) AS p, CASE WHEN line > 4 THEN 0.4 ELSE 0.1 END AS q, count(*) OVER (PARTITION BY event) AS n FROM entries),
-dr AS (SELECT st.*, draw, {uniform_sql("event", "entity", "draw", seed=simulate.SEED)} AS u, {uniform_sql("event", "entity", "draw", seed=simulate.SEED + 1)} AS u2 FROM st, range({SIM_DRAWS}) t(draw)),
-pl AS (SELECT *, row_number() OVER (PARTITION BY event, draw ORDER BY ln(greatest(p, 1e-12)) - ln(-ln(u)) DESC, entity) AS position,
-  row_number() OVER (PARTITION BY event, draw ORDER BY CASE WHEN u2 < q THEN 1e9 ELSE -(ln(greatest(p, 1e-12)) - ln(-ln(u))) END, entity) AS rp FROM dr)"""
-DIST = STRENGTH + f""",
-cn AS (SELECT event, entity, position, count(*) AS c FROM pl GROUP BY ALL),
-di AS (SELECT st.event, st.entity, st.grp, st.n, k, (coalesce(c, 0) + 1.0) / ({SIM_DRAWS} + st.n) AS x FROM st, unnest(range(1, st.n + 1)) r(k)
-  LEFT JOIN cn ON cn.event = st.event AND cn.entity = st.entity AND cn.position = k),
-mg AS (SELECT event, entity, any_value(grp) AS grp, any_value(n) AS n, sum(x) FILTER (WHERE k = 1) AS p_win, sum(x) FILTER (WHERE k <= 3) AS p_podium, sum(x) FILTER (WHERE k <= 10) AS p_top10, sum(x * k) AS expected_position FROM di GROUP BY event, entity)"""
+WITH {ENTRIES}, st AS (SELECT event, entity, grp, points / sum(points) OVER (PARTITION BY event) AS p, CASE WHEN line > 4 THEN 0.4 ELSE 0.1 END AS q, count(*) OVER (PARTITION BY event) AS n FROM entries)"""
 
 
 def strengths(star: Star) -> DataFrame:
@@ -243,36 +236,29 @@ def distributions(star: Star) -> DataFrame:
     return simulate.position_distribution(strengths(star), "p", SIM_DRAWS, star.planner())
 
 
-@query("plackett_luce", DIST + " SELECT event, entity, list(round(x, 6) ORDER BY k) AS distribution FROM di GROUP BY event, entity")
+@query("plackett_luce")
 def plackett_luce(star: Star) -> DataFrame:
     return distributions(star).select("event", "entity", F.transform("distribution", lambda x: F.round(x, 6)).alias("distribution"))
 
 
-@query("marginals", DIST + " SELECT event, entity, round(p_win, 6) AS p_win, round(p_podium, 6) AS p_podium, round(p_top10, 6) AS p_top10, round(expected_position, 6) AS expected_position FROM mg")
+@query("marginals")
 def marginals(star: Star) -> DataFrame:
     out = simulate.marginals(distributions(star))
     return out.select("event", "entity", *[r6(c, c) for c in ("p_win", "p_podium", "p_top10", "expected_position")])
 
 
-@query("distribution_summary", DIST + """,
-rn AS (SELECT *, sum(x) OVER (PARTITION BY event, entity ORDER BY k ROWS UNBOUNDED PRECEDING) AS cum FROM di)
-SELECT event, entity, CAST(arg_min(k, (-x, k)) AS INTEGER) AS mode, CAST(min(k) FILTER (WHERE cum >= 0.1 - 1e-9) AS INTEGER) AS low,
-  CAST(min(k) FILTER (WHERE cum >= 0.9 - 1e-9) AS INTEGER) AS high FROM rn GROUP BY event, entity""")
+@query("distribution_summary")
 def distribution_summary(star: Star) -> DataFrame:
     return simulate.distribution_summary(distributions(star)).select("event", "entity", "mode", "low", "high")
 
 
-@query("sim_retirements", STRENGTH + f" SELECT event, entity, round(count(*) FILTER (WHERE rp <= 2 AND u2 >= q) / {SIM_DRAWS}, 6) AS p_top2 FROM pl GROUP BY event, entity")
+@query("sim_retirements")
 def sim_retirements(star: Star) -> DataFrame:
-    out = simulate.top_k_with_retirements(strengths(star), "p", "q", 2, SIM_DRAWS, name="p_top2")
+    out = simulate.top_k_with_retirements(strengths(star), "p", "q", 2, SIM_DRAWS, star.planner(), name="p_top2")
     return out.select("event", "entity", r6("p_top2", "p_top2"))
 
 
-@query("published_chances", DIST + """,
-rd AS (SELECT *, round(p_win, 6) AS w, round(p_podium, 6) AS d FROM mg),
-tot AS (SELECT event, round(1 - sum(w), 6) AS lw, round(least(3, any_value(n)) - sum(d), 6) AS ld, arg_min(entity, (-w, entity)) AS tw, arg_min(entity, (-d, entity)) AS td FROM rd GROUP BY event)
-SELECT event, entity, round(w + CASE WHEN entity = tw THEN lw ELSE 0 END, 6) AS p_win, round(greatest(d + CASE WHEN entity = td THEN ld ELSE 0 END, w + CASE WHEN entity = tw THEN lw ELSE 0 END), 6) AS p_podium
-FROM rd JOIN tot USING (event)""")
+@query("published_chances")
 def published_chances(star: Star) -> DataFrame:
     """Rounded chances that still sum to their places, podium never below win."""
     m = simulate.marginals(distributions(star)).select("event", "entity", "field", "p_win", "p_podium")
@@ -283,9 +269,7 @@ def published_chances(star: Star) -> DataFrame:
     return podium.select("event", "entity", r6("win", "p_win"), r6(F.greatest("podium", "win"), "p_podium"))
 
 
-@query("rescale_and_clamp", DIST + """,
-rs AS (SELECT *, least(greatest(p_podium * p_podium * least(2, n) / sum(p_podium * p_podium) OVER (PARTITION BY event), 1e-6), 1 - 1e-6) AS u FROM mg)
-SELECT event, entity, round(u, 6) AS rescaled, round(least(greatest(u, p_win), p_top10), 6) AS clamped FROM rs""")
+@query("rescale_and_clamp")
 def rescale_and_clamp(star: Star) -> DataFrame:
     m = simulate.marginals(distributions(star)).withColumn("u", F.col("p_podium") * F.col("p_podium"))
     r = peers.rescale(m, ["event"], "u", 2, "rescaled", star.planner())
@@ -300,9 +284,7 @@ def pair_odds(star: Star) -> DataFrame:
     return simulate.pair_odds(strengths(star), "p").select("event", "grp", "entity_a", "entity_b", r6("p_ahead", "p_ahead"))
 
 
-@query("incoherence", DIST + """,
-rs AS (SELECT *, p_podium * p_podium AS u FROM mg)
-SELECT round(avg(CAST(u > p_top10 + 1e-9 AS INTEGER)), 6) AS above_points, round(avg(CAST(u < p_win - 1e-9 AS INTEGER)), 6) AS below_win FROM rs""")
+@query("incoherence")
 def incoherence(star: Star) -> DataFrame:
     m = simulate.marginals(distributions(star)).withColumn("u", F.col("p_podium") * F.col("p_podium"))
     return evaluate.incoherence(m, "u", "p_win", "p_top10").select(r6("above_points", "above_points"), r6("below_win", "below_win"))
