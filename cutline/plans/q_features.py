@@ -98,12 +98,12 @@ prac AS (SELECT a.event, a.entity, a.n AS practice_laps, b.b - min(b.b) OVER w A
 
 
 @query("long_runs", f"""
-WITH {SESSION_LAPS}, {practice_sql("slaps", 3)}
+WITH {SESSION_LAPS}, {practice_sql("slaps", 5)}
 SELECT event, entity, practice_laps, practice_best_gap_ms, practice_long_run_gap_ms, practice_long_run_laps,
   practice_compounds, practice_softest_long_run_gap_ms FROM prac
 """)
 def long_runs(star: Star) -> DataFrame:
-    return runs.practice_frame(star.session_laps(), star.planner("events"), min_laps=3)
+    return runs.practice_frame(star.session_laps(), star.planner("events"))
 
 
 ERA_SQL = ", ".join(f"({a}, {b if b else 'NULL'}, '{k}')" for a, b, k in ERAS)
@@ -131,7 +131,7 @@ def frame_sql(snapshot: str) -> str:
 plaps AS (SELECT l.* FROM laps l JOIN ev USING (event) JOIN field USING (event, entity) WHERE (NOT short OR session = 1) AND event % 10 <> 0)"""
     else:
         fieldsrc = f"{PREVIOUS}, field AS (SELECT p.event, e.entity, e.grp FROM prev p JOIN entries e ON e.event = p.previous WHERE e.code <> 'W')"
-    weekend_ctes = {P.POST: f", {LAPS}, {practice_sql('laps', 1)}", P.PRACTICE: f", {practice_sql('plaps', 1)}"}.get(snapshot, "")
+    weekend_ctes = {P.POST: f", {LAPS}, {practice_sql('laps', 5)}", P.PRACTICE: f", {practice_sql('plaps', 5)}"}.get(snapshot, "")
     weekend = """,
   coalesce(practice_laps, 0) AS practice_laps, practice_best_gap_ms, practice_long_run_gap_ms, coalesce(practice_long_run_laps, 0) AS practice_long_run_laps, practice_compounds, practice_softest_long_run_gap_ms,
   qq.position AS quali_position, qq.best - min(qq.best) OVER (PARTITION BY f.event) AS quali_gap_to_best_ms,
@@ -199,9 +199,7 @@ def rounded(df: DataFrame, snapshot: str) -> DataFrame:
 
 @query("feature_frame", frame_sql(P.POST))
 def feature_frame(star: Star) -> DataFrame:
-    from dataclasses import replace
-
-    return rounded(P.build(replace(star.feature_tables(), min_laps=1), P.POST), P.POST)
+    return rounded(P.build(star.feature_tables(), P.POST), P.POST)
 
 
 @query("feature_frame_pre_weekend", frame_sql(P.PRE))
@@ -215,7 +213,7 @@ def feature_frame_post_practice(star: Star) -> DataFrame:
     from dataclasses import replace
 
     t = star.feature_tables()
-    t = replace(t, min_laps=1, first_compound_season=COMPOUND_FROM, unusable_laps=t.events.where("event % 10 = 0"))
+    t = replace(t, first_compound_season=COMPOUND_FROM, unusable_laps=t.events.where("event % 10 = 0"))
     return rounded(P.build(t, P.PRACTICE), P.PRACTICE)
 
 

@@ -270,9 +270,9 @@ def value_status(star: Star) -> DataFrame:
     return diff.value_status(p.where(key % 10 != 3), seen, "p_partkey", "p_type")
 
 
-@query("correction_rules", """
+@query("refused_corrections", """
 SELECT CAST(o_orderkey AS VARCHAR) AS primary_key, CASE WHEN o_orderkey % 3 = 0 THEN 'no evidence source' ELSE 'unknown evidence type' END AS problem FROM orders WHERE o_orderkey % 3 = 0 OR o_orderstatus = 'P'""")
-def correction_rules(star: Star) -> DataFrame:
+def refused_corrections(star: Star) -> DataFrame:
     """Corrections without evidence, or with evidence of no agreed kind."""
     key = F.col("o_orderkey")
     rows = star.table("orders").select(

@@ -14,9 +14,11 @@ SQL: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
-    """Register a function of a `Star` under a name, with its SQL if it has one."""
+    """Register a function of a `Star` under a name of its own, with its SQL if it has one."""
 
     def register(build: Callable[[Star], DataFrame]):
+        if name in QUERIES:
+            raise ValueError(f"two queries are named {name}")
         QUERIES[name] = lambda spark, path: build(Star(spark, path))
         if sql is not None:
             SQL[name] = sql
@@ -68,9 +70,10 @@ quali AS (
 LAPS = """
 laps AS (
   SELECT l_orderkey AS event, l_suppkey AS entity, l_partkey % 3 + 1 AS session, CAST(l_linenumber AS BIGINT) AS stint,
-         CAST(floor(l_extendedprice * 10) AS BIGINT) AS lap_ms, l_returnflag <> 'N' AS accurate, l_linestatus = 'F' AS green,
+         CAST(floor(l_extendedprice * 10) AS BIGINT) + l_partkey * (lap + 1) % 500 AS lap_ms, (l_partkey + lap) % 13 <> 0 AS accurate,
+         l_linestatus = 'F' OR lap > 0 AS green,
          CASE l_partkey % 4 WHEN 0 THEN 'SOFT' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'HARD' ELSE 'WET' END AS compound
-  FROM lineitem
+  FROM (SELECT *, unnest(range(0, CAST(floor(l_quantity) AS BIGINT) % 9 + 1)) AS lap FROM lineitem)
 )"""
 SESSION_LAPS = """
 slaps AS (

@@ -124,14 +124,15 @@ class Star:
             F.when(F.col("position") <= 3, F.col("q3")).alias("q3"))
 
     def laps(self) -> DataFrame:
-        """Practice laps of an event: its raw lines, one lap each."""
-        return self.table("lineitem").select(
+        """Practice laps of an event: each raw line is a stint of one to nine laps, some of them inaccurate or not under green."""
+        lines = self.table("lineitem").select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor("l_quantity").cast("bigint") % 9)).alias("lap"))
+        return lines.select(
             F.col("l_orderkey").alias("event"), F.col("l_suppkey").alias("entity"),
             (F.col("l_partkey") % 3 + 1).alias("session"),
             F.col("l_linenumber").cast("bigint").alias("stint"),
-            F.floor(F.col("l_extendedprice") * 10).cast("bigint").alias("lap_ms"),
-            (F.col("l_returnflag") != "N").alias("accurate"),
-            (F.col("l_linestatus") == "F").alias("green"),
+            (F.floor(F.col("l_extendedprice") * 10).cast("bigint") + F.col("l_partkey") * (F.col("lap") + 1) % 500).alias("lap_ms"),
+            ((F.col("l_partkey") + F.col("lap")) % 13 != 0).alias("accurate"),
+            ((F.col("l_linestatus") == "F") | (F.col("lap") > 0)).alias("green"),
             F.when(F.col("l_partkey") % 4 == 0, "SOFT").when(F.col("l_partkey") % 4 == 1, "MEDIUM")
             .when(F.col("l_partkey") % 4 == 2, "HARD").otherwise("WET").alias("compound"),
         )

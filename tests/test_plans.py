@@ -253,3 +253,11 @@ def test_publishing_refuses_missing_inputs(spark):
         with pytest.raises(ValueError, match="inputs missing"):
             record.require_inputs(ok.withColumn(column, F.when(F.col("entity") > 10, None if column == "q" else None).otherwise(
                 F.col(column) if column == "q" else F.when(F.col("entity") < 3, 1.0))), "timed", ["q"])
+
+
+def test_a_name_is_registered_once():
+    from cutline import registry
+
+    registry.load_all()
+    with pytest.raises(ValueError):
+        registry.query("elo")(lambda star: None)
