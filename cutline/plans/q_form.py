@@ -201,6 +201,18 @@ def exact_median_by_venue(star: Star) -> DataFrame:
         laps.groupBy("venue").agg(F.count("*").alias("laps")), "venue")
 
 
+PERCENTILES = (0.01, 0.25, 0.5, 0.75, 0.99)
+
+
+@query("lap_percentiles", f"""
+WITH {EVENTS}, {LAPS}, g AS (SELECT venue, quantile_cont(lap_ms, {list(PERCENTILES)}) AS v FROM laps JOIN ev USING (event) GROUP BY venue)
+SELECT venue, CAST(unnest({list(PERCENTILES)}) AS DOUBLE) AS q, round(unnest(v), 6) AS lap_ms FROM g""")
+def lap_percentiles(star: Star) -> DataFrame:
+    """Percentiles of lap times by venue."""
+    laps = star.laps().join(star.events().select("event", "venue"), "event")
+    return peers.exact_quantiles(laps, ["venue"], "lap_ms", PERCENTILES, star.planner(times=9)).select("venue", "q", r6("quantile", "lap_ms"))
+
+
 @query("running_number", f"""
 WITH {ENTRIES}
 SELECT event, entity, CASE WHEN NOT retired THEN count(*) FILTER (WHERE NOT retired)

@@ -194,3 +194,19 @@ def test_a_new_value_must_fit_its_column(spark):
 def test_profile(spark):
     df = spark.createDataFrame([(1, None), (None, None)], "a int, b string")
     assert rows(profile.column_profile(df, "t"), "column", "nulls", "all_null") == [("a", 1, False), ("b", 2, True)]
+
+
+@pytest.mark.parametrize("accuracy", [2000, 20, 3])
+def test_quantiles_are_exact_in_every_group(spark, plan, accuracy):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    values = {"hot": rng.lognormal(0, 3, 3000), "ties": rng.integers(0, 3, 500).astype(float), "one": np.array([7.0]), "two": np.array([1.0, 2.0]), None: rng.normal(size=99)}
+    data = [(k, float(x)) for k, v in values.items() for x in v] + [("none", None), ("hot", None), ("hot", float("nan"))]
+    df = spark.createDataFrame(data, "k string, v double").repartition(6)
+    qs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+    got = {(r.k, r.q): r.x for r in peers.exact_quantiles(df, ["k"], "v", qs, plan, "x", accuracy).collect()}
+    assert got.keys() == {(k, q) for k in values for q in qs}
+    for (k, q), x in got.items():
+        assert x == pytest.approx(np.quantile(values[k], q), rel=1e-12, abs=1e-12)
+    assert peers.exact_quantiles(df.where("false"), ["k"], "v", qs, plan).count() == 0
