@@ -19,20 +19,45 @@ class Check:
     why: str = ""
 
 
-def run_checks(spark: SparkSession, checks: Sequence[Check]) -> DataFrame:
-    """One row per check. A check that cannot apply is listed as skipped, never left out."""
-    rows = []
+@dataclass(frozen=True)
+class RowCheck:
+    """Rows of a table for which `broken` holds. With `keys`, `broken` is a condition on aggregates of each group, and groups count."""
+
+    group: str
+    name: str
+    table: DataFrame
+    broken: Column
+    keys: tuple[str, ...] = ()
+
+
+def _reported(group: Column, name: Column, violations: Column) -> list[Column]:
+    return [group.alias("group"), name.alias("name"), F.when(violations == 0, "PASS").otherwise("FAIL").alias("status"), violations.alias("violations"), F.lit("").alias("detail")]
+
+
+def fused(checks: Sequence[RowCheck]) -> DataFrame:
+    """Checks of one table with the same keys, in one visit of it: a row per check. An unknown condition is no violation."""
+    table, keys = checks[0].table, checks[0].keys
+    broken = [F.coalesce(c.broken, F.lit(False)).alias(f"_b{i}") for i, c in enumerate(checks)]
+    rows = table.groupBy(*keys).agg(*broken) if keys else table.select(*broken)
+    counted = rows.agg(*[F.count_if(f"_b{i}").alias(f"_n{i}") for i in range(len(checks))])
+    listed = F.explode(F.array(*[F.struct(F.lit(c.group).alias("g"), F.lit(c.name).alias("n"), F.col(f"_n{i}").alias("v")) for i, c in enumerate(checks)])).alias("c")
+    return counted.select(listed).select(*_reported(F.col("c.g"), F.col("c.n"), F.col("c.v")))
+
+
+def run_checks(spark: SparkSession, checks: Sequence[Check | RowCheck]) -> DataFrame:
+    """One row per check. A check that cannot apply is listed as skipped, never left out. All row checks of a table, and all group
+    checks of a table with the same keys, share one visit of it."""
+    rows, together = [], {}
     for c in checks:
-        if c.violations is None:
+        if isinstance(c, RowCheck):
+            together.setdefault((id(c.table), c.keys), []).append(c)
+        elif c.violations is None:
             rows.append(spark.range(1).select(F.lit(c.group).alias("group"), F.lit(c.name).alias("name"),
                                               F.lit("SKIP").alias("status"), F.lit(0).cast("bigint").alias("violations"),
                                               F.lit(c.why).alias("detail")))
         else:
-            rows.append(c.violations.agg(F.count("*").alias("violations")).select(
-                F.lit(c.group).alias("group"), F.lit(c.name).alias("name"),
-                F.when(F.col("violations") == 0, "PASS").otherwise("FAIL").alias("status"), "violations",
-                F.lit("").alias("detail")))
-    return reduce(DataFrame.unionByName, rows)
+            rows.append(c.violations.agg(F.count("*").alias("_n")).select(*_reported(F.lit(c.group), F.lit(c.name), F.col("_n"))))
+    return reduce(DataFrame.unionByName, [*rows, *[fused(some) for some in together.values()]])
 
 
 def require(report: DataFrame) -> None:

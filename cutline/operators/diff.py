@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cutline.functions.scalars import number
+from cutline.session import stored
 
 
 def aligned(left: DataFrame, right: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -156,6 +157,73 @@ def verify_fingerprints(recorded: DataFrame, current: DataFrame) -> DataFrame:
     return both.select("table", state.alias("state"))
 
 
+def _row_digest(df: DataFrame, columns: Sequence[str]) -> Column:
+    """60 bits of a row's values, as a decimal, so that sums of any number of rows are exact."""
+    kinds = dict(df.dtypes)
+    shown = [F.coalesce((F.col(c).cast("decimal(38,6)") if kinds[c] in ("double", "float") else F.col(c)).cast("string"), F.lit("\\N")) for c in columns]
+    return F.conv(F.substring(F.md5(F.concat_ws("\x1f", *shown)), 1, 15), 16, 10).cast("decimal(38,0)")
+
+
+def digest_tree(df: DataFrame, key: str, columns: Sequence[str], low: int, width: int, levels: int, fanout: int = 16) -> DataFrame:
+    """(level, node, rows, digest): sums of row digests over ranges of a whole-number key. Level 0 is the whole table, each node has
+    `fanout` children, and a leaf is a range of `width` keys from `low` on. One pass; a node is the sum of its children. Rows without
+    a key are leaf -1 and its parents."""
+    leaf = F.coalesce(F.floor((F.col(key) - low) / F.lit(width)), F.lit(-1)).cast("long")
+    out = level = df.groupBy(leaf.alias("node")).agg(F.count("*").alias("rows"), F.sum(_row_digest(df, columns)).alias("digest")).select(F.lit(levels).alias("level"), "*")
+    for n in range(levels - 1, -1, -1):
+        parent = F.when(F.col("node") < 0, -1).otherwise(F.floor(F.col("node") / fanout)).cast("long")
+        level = level.groupBy(parent.alias("node")).agg(F.sum("rows").alias("rows"), F.sum("digest").alias("digest")).select(F.lit(n).alias("level"), "*")
+        out = out.unionByName(level)
+    return out
+
+
+def differing_leaves(old: DataFrame, new: DataFrame, levels: int, fanout: int = 16) -> DataFrame:
+    """(node): leaves of two trees that differ, found from the root down: only children of nodes that differ are compared."""
+    def at(tree: DataFrame, n: int, side: str) -> DataFrame:
+        return tree.where(F.col("level") == n).select("node", F.struct("rows", "digest").alias(side))
+
+    found = None
+    for n in range(levels + 1):
+        both = at(old, n, "a").join(at(new, n, "b"), "node", "full").where(~F.col("a").eqNullSafe(F.col("b"))).select("node")
+        if found is not None:
+            above = F.when(F.col("node") < 0, -1).otherwise(F.floor(F.col("node") / fanout)).cast("long")
+            both = both.withColumn("_above", above).join(found.withColumnRenamed("node", "_above"), "_above", "left_semi").select("node")
+        found = both
+    return found
+
+
+_RANGES = 64  # ranges that are written out as a filter, which file formats can skip by; more are joined
+
+
+def changed_keys(old: DataFrame, new: DataFrame, key: str, columns: Sequence[str], levels: int = 3, fanout: int = 16) -> DataFrame:
+    """(key, state): keys that were `added`, are `missing` or have other values (`changed`) in the new version of a table. Both
+    versions are summed up once as trees of digests over key ranges; then only the ranges that differ are read again and compared row
+    by row. A key of several rows is compared as a whole; rows without a key are one."""
+    ends = [df.agg(F.min(key).cast("long").alias("a"), F.max(key).cast("long").alias("b")).first() for df in (old, new)]
+    known = [e for e in ends if e.a is not None]
+    low, high = (min(e.a for e in known), max(e.b for e in known)) if known else (0, 0)
+    width = max(1, -(-(high - low + 1) // fanout**levels))
+    trees = [stored(digest_tree(df, key, columns, low, width, levels, fanout), "digest-tree") for df in (old, new)]
+    leaves = stored(differing_leaves(*trees, levels, fanout), "differing-leaves")
+    some = sorted(r.node for r in leaves.limit(_RANGES + 1).collect())
+
+    def near(df: DataFrame) -> DataFrame:
+        if len(some) > _RANGES:
+            node = F.coalesce(F.floor((F.col(key) - low) / F.lit(width)), F.lit(-1)).cast("long")
+            return df.withColumn("_node", node).join(leaves, F.col("_node") == F.col("node"), "left_semi").drop("_node")
+        inside = F.lit(False)
+        for n in some:
+            inside = inside | (F.col(key).isNull() if n < 0 else F.col(key).between(low + n * width, low + (n + 1) * width - 1))
+        return df.where(inside)
+
+    def whole(df: DataFrame, side: str) -> DataFrame:
+        return near(df).groupBy(F.col(key).alias(f"_{side}")).agg(F.struct(F.count("*").alias("rows"), F.sum(_row_digest(df, columns)).alias("digest")).alias(side))
+
+    both = whole(old, "old").join(whole(new, "new"), F.col("_old").eqNullSafe(F.col("_new")), "full")
+    state = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "missing").when(F.col("old") != F.col("new"), "changed")
+    return both.select(F.coalesce("_old", "_new").alias(key), state.alias("state")).where("state IS NOT NULL")
+
+
 def attribute_conflicts(known: DataFrame, seen: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """(key, column, known, seen): attributes of matched entities that two sources state differently, compared as text. What a
     source leaves out is no conflict."""

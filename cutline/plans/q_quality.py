@@ -262,6 +262,11 @@ def preferred_union(star: Star) -> DataFrame:
     return identity.preferred_union([("first", a), ("second", b)], ["id"])
 
 
+def dense_numbers(column: str):
+    """Whether the numbers of a group are not 1, 2, ... without a gap."""
+    return ~((F.min(column) == 1) & (F.max(column) == F.count("*")) & (F.count_distinct(column) == F.count("*")))
+
+
 @query("check_suite", f"""
 WITH {ENTRIES}, c AS (
   SELECT 'Structural' AS "group", 'event is unique' AS name, (SELECT count(*) FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1)) AS violations
@@ -286,19 +291,36 @@ def check_suite(star: Star) -> DataFrame:
         C.Check("Structural", "line numbers are unique in an event", C.not_unique(lines, ["l_orderkey", "l_linenumber"])),
         C.Check("Structural", "every line resolves to an event", C.orphans(lines, "l_orderkey", orders, "o_orderkey")),
         C.Check("Structural", "every line resolves to an entity", C.orphans(lines, "l_suppkey", supplier, "s_suppkey")),
-        C.Check("Structural", "finish is dense 1..N", C.not_dense(results, ["event"], "finish")),
-        C.Check("Structural", "line numbers are dense 1..N", C.not_dense(lines, ["l_orderkey"], "l_linenumber")),
+        C.RowCheck("Structural", "finish is dense 1..N", results, dense_numbers("finish"), ("event",)),
+        C.RowCheck("Structural", "line numbers are dense 1..N", lines, dense_numbers("l_linenumber"), ("l_orderkey",)),
         C.Check("Completeness", "every event has entries", C.uncovered(
             orders.select(F.col("o_orderkey").alias("event")), "event", lines.select(F.col("l_orderkey").alias("event")))),
         C.Check("Completeness", "every customer is used", C.unreferenced(
             star.table("customer"), "c_custkey", [(orders, "o_custkey")])),
-        C.Check("Sanity", "points within 1..50", C.outside(lines, "l_quantity", 1, 50)),
-        C.Check("Sanity", "entries per event within 1..6", C.group_sizes_outside(results, ["event"], 1, 6)),
-        C.Check("Sanity", "no negative price", lines.where("l_extendedprice < 0")),
+        C.RowCheck("Sanity", "points within 1..50", lines, ~F.col("l_quantity").between(1, 50)),
+        C.RowCheck("Sanity", "entries per event within 1..6", results, ~F.count("*").between(1, 6), ("event",)),
+        C.RowCheck("Sanity", "no negative price", lines, F.col("l_extendedprice") < 0),
         C.Check("Ground truth", "season 1990 matches", None, "season not in the data"),
     ])
 
 
+CHANGED_ORDERS = """
+WITH n AS (SELECT o_orderkey + CASE WHEN o_orderkey % 4001 = 0 THEN 10000000 ELSE 0 END AS o_orderkey, o_custkey,
+  CASE WHEN o_orderkey // 500 % 7 = 3 AND o_orderkey % 11 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders WHERE o_orderkey // 1000 % 5 <> 2 OR o_orderkey % 13 <> 0)
+SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, CASE WHEN o.o_orderkey IS NULL THEN 'added' WHEN n.o_orderkey IS NULL THEN 'missing' ELSE 'changed' END AS state
+FROM orders o FULL JOIN n ON n.o_orderkey = o.o_orderkey WHERE o.o_orderkey IS NULL OR n.o_orderkey IS NULL OR o.o_orderstatus <> n.o_orderstatus"""
+
+
+@query("changed_keys", CHANGED_ORDERS)
+def changed_keys(star: Star) -> DataFrame:
+    """Which orders of a later version of the table were added, are missing or changed."""
+    old, key = star.table("orders"), F.col("o_orderkey")
+    kept = old.where((F.floor(key / 1000) % 5 != 2) | (key % 13 != 0))
+    new = kept.select((key + F.when(key % 4001 == 0, 10_000_000).otherwise(0)).alias("o_orderkey"), "o_custkey",
+                      F.when((F.floor(key / 500) % 7 == 3) & (key % 11 == 0), "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"), "o_totalprice")
+    return diff.changed_keys(old, new, "o_orderkey", ["o_custkey", "o_orderstatus", "o_totalprice"])
+
+
 @query("recompute_totals", f"""
 WITH {ENTRIES}, t AS (SELECT season, grp, sum(points) AS computed FROM entries WHERE grp IS NOT NULL GROUP BY ALL),
 p AS (SELECT *, CASE WHEN grp = 3 AND season = 1997 THEN computed - 10 WHEN grp = 5 THEN computed - 2 WHEN grp = 7 AND season = 1995 THEN computed + 1 ELSE computed END AS published FROM t)

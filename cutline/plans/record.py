@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from cutline.operators.spans import Right, expanding, latest_before
 from cutline.plans.evaluate import defined_log_loss, score_events
@@ -223,6 +225,44 @@ def write_once(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 
 
+def publish(df: DataFrame, path: str, batch: str, guards: dict[str, Column]) -> int:
+    """Publish rows as a batch, or nothing: the guards (conditions that no row may meet) are counted by the write itself, in one visit
+    of the rows. The batch is listed, and so seen by `published`, only if none was met; else an error names those that were. An
+    unknown condition is not met. A batch that is listed already is refused. Returns the number of rows."""
+    spark, seen = df.sparkSession, Observation()
+    if not _listed(spark, path).where(F.col("batch") == batch).isEmpty():
+        raise ValueError(f"batch {batch} is published already")
+    counts = [F.count_if(F.coalesce(c, F.lit(False))).alias(f"g{i}") for i, c in enumerate(guards.values())]
+    attempt = uuid.uuid4().hex
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *counts).write.parquet(f"{path}/rows/attempt={attempt}")
+    found = seen.get
+    broken = {name: found[f"g{i}"] for i, name in enumerate(guards) if found[f"g{i}"]}
+    if broken:
+        raise ValueError(f"batch {batch} is not published: " + ", ".join(f"{n} ({k} rows)" for n, k in broken.items()))
+    spark.createDataFrame([(batch, attempt, found["rows"])], _BATCHES).coalesce(1).write.mode("append").parquet(f"{path}/batches")
+    return found["rows"]
+
+
+_BATCHES = "batch string, attempt string, rows bigint"
+
+
+def _listed(spark, path: str) -> DataFrame:
+    try:
+        return spark.read.schema(_BATCHES).parquet(f"{path}/batches")
+    except AnalysisException:  # nothing published yet
+        return spark.createDataFrame([], _BATCHES)
+
+
+def published(spark, path: str, schema) -> DataFrame:
+    """The rows of all published batches, with their batch. Rows of refused attempts are not read."""
+    listed = _listed(spark, path).collect()  # one row a batch
+    out = None
+    for r in listed:
+        rows = spark.read.schema(schema).parquet(f"{path}/rows/attempt={r.attempt}").withColumn("batch", F.lit(r.batch))
+        out = rows if out is None else out.unionByName(rows)
+    return spark.createDataFrame([], schema).withColumn("batch", F.lit("")) if out is None else out
+
+
 def require_inputs(features: DataFrame, timed: str, needed: Sequence[str], minimum: int = 10) -> None:
     """Refuse to publish events whose inputs are missing, instead of filling them in."""
     per = features.groupBy("event").agg(F.count("*").alias("n"), F.count(timed).alias("timed"),

@@ -210,3 +210,78 @@ def test_quantiles_are_exact_in_every_group(spark, plan, accuracy):
     for (k, q), x in got.items():
         assert x == pytest.approx(np.quantile(values[k], q), rel=1e-12, abs=1e-12)
     assert peers.exact_quantiles(df.where("false"), ["k"], "v", qs, plan).count() == 0
+
+
+def version(spark, data):
+    return spark.createDataFrame(data, "k long, a string, b double")
+
+
+def test_changed_keys_equal_a_full_comparison(spark, monkeypatch):
+    import random
+
+    draw = random.Random(5)
+    old = {k: (f"v{k % 9}", k / 7) for k in draw.sample(range(-5000, 60_000), 900)}
+    new = dict(old)
+    for k in draw.sample(sorted(old), 40):
+        new[k] = ("other", new[k][1])
+    for k in draw.sample(sorted(old), 30):
+        new.pop(k)
+    new |= {k: ("new", 0.0) for k in (-9000, 70_000, 70_001)}
+    want = {k: "added" if k not in old else "missing" if k not in new else "changed" for k in {*old, *new} if old.get(k) != new.get(k)}
+    frames = [version(spark, [(k, *v) for k, v in d.items()]) for d in (old, new)]
+    for ranges in (64, 3, 10_000):
+        monkeypatch.setattr(diff, "_RANGES", ranges)
+        assert {r.k: r.state for r in diff.changed_keys(*frames, "k", ["a", "b"]).collect()} == want
+    assert diff.changed_keys(frames[0], frames[0], "k", ["a", "b"]).count() == 0
+
+
+def test_changed_keys_of_null_repeated_and_no_rows(spark):
+    old = version(spark, [(None, "x", 1.0), (1, "x", 1.0), (1, "x", 1.0), (2, None, None)])
+    new = version(spark, [(None, "y", 1.0), (1, "x", 1.0), (2, None, None)])
+    assert {r.k: r.state for r in diff.changed_keys(old, new, "k", ["a", "b"]).collect()} == {None: "changed", 1: "changed"}
+    empty = version(spark, [])
+    assert {r.k: r.state for r in diff.changed_keys(empty, new, "k", ["a", "b"]).collect()} == {None: "added", 1: "added", 2: "added"}
+    assert diff.changed_keys(empty, empty, "k", ["a", "b"]).count() == 0
+
+
+def test_only_ranges_that_differ_are_read(spark, tmp_path):
+    rows = spark.range(100_000).select(F.col("id").alias("k"), F.lit("x").alias("a"), F.col("id").cast("double").alias("b"))
+    rows.write.parquet(str(tmp_path / "old"))
+    rows.withColumn("a", F.when(F.col("k") == 77_777, "y").otherwise(F.col("a"))).write.parquet(str(tmp_path / "new"))
+    found = diff.changed_keys(*[spark.read.parquet(str(tmp_path / n)) for n in ("old", "new")], "k", ["a", "b"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [" in plan and "GreaterThanOrEqual(k,77" in plan
+    assert [tuple(r) for r in found.collect()] == [(77_777, "changed")]
+
+
+def test_tree_adds_up(spark):
+    df = spark.range(1000).select(F.col("id").alias("k"), F.lit("x").alias("a"))
+    tree = diff.digest_tree(df, "k", ["k", "a"], 0, 4, 2).collect()
+    totals = {level: (sum(r.rows for r in tree if r.level == level), sum(r.digest for r in tree if r.level == level)) for level in range(3)}
+    assert totals[0] == totals[1] == totals[2] and totals[0][0] == 1000
+
+
+def test_row_checks_of_a_table_share_one_scan(spark, tmp_path):
+    spark.createDataFrame([(1, 5, None), (1, -1, 2), (2, 3, 3)], "g int, v int, w int").write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    checks = [C.RowCheck("a", "v is positive", t, F.col("v") <= 0), C.RowCheck("a", "w is known", t, F.col("w").isNull()), C.RowCheck("a", "w is small", t, F.col("w") > 9)]
+    report = C.run_checks(spark, checks)
+    assert report._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    assert {r["name"]: (r["status"], r["violations"]) for r in report.collect()} == {"v is positive": ("FAIL", 1), "w is known": ("FAIL", 1), "w is small": ("PASS", 0)}
+    both = C.run_checks(spark, [C.RowCheck("b", "pairs", t, F.count("*") != 2, ("g",)), C.RowCheck("b", "sum", t, F.sum("v") > 3, ("g",)), *checks])
+    assert {r["name"]: r["violations"] for r in both.collect()} == {"pairs": 1, "sum": 1, "v is positive": 1, "w is known": 1, "w is small": 0}
+
+
+def test_a_failed_guard_leaves_nothing_published(spark, tmp_path):
+    from cutline.plans import record
+
+    path, df = str(tmp_path / "p"), spark.createDataFrame([(1, 0.5), (2, None)], "id int, p double")
+    assert record.published(spark, path, df.schema).count() == 0
+    with pytest.raises(ValueError, match=r"chance is missing \(1 rows\)"):
+        record.publish(df, path, "one", {"chance is missing": F.col("p").isNull(), "above one": F.col("p") > 1})
+    assert record.published(spark, path, df.schema).count() == 0
+    assert record.publish(df, path, "one", {"above one": F.col("p") > 1}) == 2
+    assert record.publish(df.where("id = 1"), path, "two", {}) == 1
+    with pytest.raises(ValueError, match="published already"):
+        record.publish(df, path, "one", {})
+    assert rows(record.published(spark, path, df.schema).groupBy("batch").count()) == [("one", 2), ("two", 1)]
