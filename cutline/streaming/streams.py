@@ -3,6 +3,7 @@ what the batch operator gives on the same rows."""
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator, Sequence
 from itertools import groupby
@@ -37,12 +38,12 @@ STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def run_to_table(df: DataFrame, name: str, mode: str = "append", closing: tuple[str, DataFrame] | None = None) -> DataFrame:
+def run_to_table(df: DataFrame, name: str, mode: str = "append", closing: tuple[str, DataFrame] | list[tuple[str, DataFrame]] | None = None) -> DataFrame:
     """Run a stream over all input there is, into Parquet, and read it back. State is kept in RocksDB, on disk, which custom
     processors need and large state wants; the session's own choice of state store is restored.
 
     `closing`, a folder that the stream reads and rows to add to it at the end, ends the input: rows later than all others
-    move the watermark past them, so nothing stays open."""
+    move the watermark past them, so nothing stays open. A stream of several inputs has one for each."""
     spark = df.sparkSession
     folder = work_folder(spark, name)
     before = spark.conf.get(STATE_STORE, None)
@@ -50,7 +51,8 @@ def run_to_table(df: DataFrame, name: str, mode: str = "append", closing: tuple[
     try:
         for last in (False, True) if closing else (True,):
             if closing and last:
-                closing[1].write.mode("append").parquet(closing[0])
+                for into, rows in closing if isinstance(closing, list) else [closing]:
+                    rows.write.mode("append").parquet(into)
             q = df.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/out").option(
                 "checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
             q.awaitTermination()
@@ -117,6 +119,115 @@ def split_late(stream: DataFrame, arrived: str, happened: str, days: int, name:
     return read.parquet(f"{folder}/on_time"), read.parquet(f"{folder}/late")
 
 
+FINAL_OUT = "key bigint, kind string, arrived timestamp, row string"
+
+
+class Provisional(StatefulProcessor):
+    """A row per key that may be replaced until its window closes. The newest arrival within the window counts, whatever order rows
+    come in; a timer at the end of the window makes it final. Rows that arrived later are given as late; nothing is dropped."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.current = handle.getValueState("current", "arrived bigint, row string, closes bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = self.current.get() if self.current.exists() else None
+        best, out = None if held is None else (held[0], held[1]), []
+        closes = None if held is None else held[2]
+        for batch in rows:
+            for r in batch.itertuples(index=False):
+                at, end = int(pd.Timestamp(r.arrived).value // 1000), int(pd.Timestamp(r.closes).value // 1000)
+                if at > end:
+                    out.append((key[0], "late", r.arrived, r.row))
+                    continue
+                out.append((key[0], "provisional", r.arrived, r.row))
+                if best is None or (at, r.row) > best:
+                    best = (at, r.row)
+                if closes is None:
+                    closes = end
+                    self.handle.registerTimer(end // 1000 + 1)
+        if best is not None:
+            self.current.update((*best, closes))
+        if out:
+            yield pd.DataFrame(out, columns=["key", "kind", "arrived", "row"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.current.exists():
+            at, row, _ = self.current.get()
+            self.current.clear()
+            yield pd.DataFrame([(key[0], "final", pd.Timestamp(at * 1000), row)], columns=["key", "kind", "arrived", "row"])
+
+    def close(self) -> None:
+        pass
+
+
+def provisional(stream: DataFrame, key: str, arrived: str, closes: str, columns: Sequence[str], delay: str) -> DataFrame:
+    """(key, kind, arrived, row): every accepted version of a key's row as `provisional`, the one that stands when its window closes
+    as `final`, and what arrives after that as `late`. `row` is the columns as JSON; `closes` must be the same for all rows of a key.
+    The watermark follows `arrived`, so a window closes once nothing that arrived within it can still come."""
+    rows = stream.select(F.col(key).cast("bigint").alias("key"), F.col(arrived).cast("timestamp").alias("arrived"), F.col(closes).cast("timestamp").alias("closes"),
+                         F.to_json(F.struct(*columns)).alias("row"))
+    return rows.withWatermark("arrived", delay).groupBy("key").transformWithStateInPandas(Provisional(), FINAL_OUT, outputMode="Append", timeMode="EventTime")
+
+
+EFFECTIVE_OUT = "key bigint, revision bigint, made timestamp, deadline timestamp"
+
+
+class Effective(StatefulProcessor):
+    """Revisions and deadlines of a key, in any order of arrival. The deadline sent last counts; a timer at it gives the last revision
+    made before it, if there is one, and forgets the key's rows. A key is closed by its deadline once; revisions and deadlines that
+    come after that say nothing."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.made = handle.getMapState("made", "at bigint, revision bigint", "seen boolean")
+        self.deadline = handle.getValueState("deadline", "at bigint, sent bigint, given boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        at, sent, given = self.deadline.get() if self.deadline.exists() else (None, None, False)
+        before = at
+        for batch in rows:
+            for r in batch.itertuples(index=False):
+                made = int(pd.Timestamp(r.ts).value // 1000)
+                if given:
+                    continue
+                if not pd.isna(r.revision):
+                    self.made.updateValue((made, int(r.revision)), (True,))
+                elif not pd.isna(r.deadline):
+                    new = int(pd.Timestamp(r.deadline).value // 1000)
+                    if sent is None or (made, new) > (sent, at):
+                        at, sent = new, made
+        if at is not None and at != before:
+            if before is not None:
+                self.handle.deleteTimer(before // 1000 + 1)
+            self.handle.registerTimer(at // 1000 + 1)
+        if at is not None:
+            self.deadline.update((at, sent, given))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at, sent, given = self.deadline.get()
+        if given:
+            return
+        best = max(((k[1], k[0]) for k in self.made.keys() if k[0] < at), default=None)
+        self.made.clear()
+        self.deadline.update((at, sent, True))
+        if best is not None:
+            yield pd.DataFrame([(key[0], best[0], pd.Timestamp(best[1] * 1000), pd.Timestamp(at * 1000))], columns=["key", "revision", "made", "deadline"])
+
+    def close(self) -> None:
+        pass
+
+
+def effective_revisions(revisions: DataFrame, deadlines: DataFrame, key: str, time: str, delay: str) -> DataFrame:
+    """(key, revision, made, deadline), a row when a key's deadline has passed: the greatest of its revisions made before the deadline.
+    `revisions`: key, revision, time; `deadlines`: key, deadline and the same time, at which it was sent. Both are streams with
+    watermarks of their own, and the slower one is waited for; a deadline may be moved by a later one until it has passed."""
+    both = [s.select(F.col(key).cast("bigint").alias("key"), r.cast("bigint").alias("revision"), d.cast("timestamp").alias("deadline"), F.col(time).cast("timestamp").alias("ts")).withWatermark("ts", delay)
+            for s, r, d in ((revisions, F.col("revision"), F.lit(None)), (deadlines, F.lit(None), F.col("deadline")))]
+    return both[0].unionByName(both[1]).groupBy("key").transformWithStateInPandas(Effective(), EFFECTIVE_OUT, outputMode="Append", timeMode="EventTime")
+
+
 # -------------------------------------------------------------- on-time revisions
 def mark_stream(revisions: DataFrame, deadlines: DataFrame, keys: Sequence[str], time: str, delay: str) -> DataFrame:
     """Revisions marked late or not against static deadlines, repeats within the delay removed."""
@@ -149,15 +260,16 @@ RATING_OUT = StructType([StructField("event", LongType()), StructField("entity",
 class EventOrder(StatefulProcessor):
     """Rows of a key, taken in event-time order whatever order they arrive in.
 
-    Rows wait in a list until the watermark passes their time. One timer stands for the
-    earliest of them; when it fires, everything due is taken at once, so a batch costs one
-    read and one write of the list."""
+    Rows wait in a map keyed by their time, cut into slices of `slice_ms`; each slice has a timer, which fires when the watermark
+    has passed its end. Timers fire in order of time, so a timer takes one slice and nothing else is read: memory is one slice,
+    however long the history of a key is or however much of it one batch brings."""
 
-    fields = ""
+    def __init__(self, slice_ms: int = 1):
+        self.slice_ms = slice_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", f"at bigint, event bigint, entity bigint, {self.fields}")
+        self.waiting = handle.getMapState("waiting", "slice bigint", "rows string")
 
     def values(self, row) -> tuple:
         raise NotImplementedError
@@ -166,23 +278,24 @@ class EventOrder(StatefulProcessor):
         raise NotImplementedError
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [(int(pd.Timestamp(r.ts).value // 1_000_000), int(r.event), int(r.entity), *self.values(r))
-               for batch in rows for r in batch.itertuples(index=False)]
-        if new:
-            self.waiting.appendList(new)
-            self.handle.registerTimer(min(r[0] for r in new) + 1)
+        for batch in rows:
+            new: dict[int, list] = {}
+            for r in batch.itertuples(index=False):
+                at = int(pd.Timestamp(r.ts).value // 1_000_000)
+                new.setdefault(at // self.slice_ms, []).append([at, int(r.event), int(r.entity), *self.values(r)])
+            for slice_, some in new.items():
+                if self.waiting.containsKey((slice_,)):
+                    some = json.loads(self.waiting.getValue((slice_,))[0]) + some
+                else:
+                    self.handle.registerTimer((slice_ + 1) * self.slice_ms)
+                self.waiting.updateValue((slice_,), (json.dumps(some),))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        due, left = [r for r in held if r[0] < passed], [r for r in held if r[0] >= passed]
-        if due:
-            self.waiting.clear()
-            if left:
-                self.waiting.put(left)
-                self.handle.registerTimer(min(r[0] for r in left) + 1)
-            yield self.take(key, sorted(due))
+        slice_ = expiredTimerInfo.getExpiryTimeInMs() // self.slice_ms - 1
+        due = sorted(tuple(r) for r in json.loads(self.waiting.getValue((slice_,))[0]))
+        self.waiting.removeKey((slice_,))
+        yield self.take(key, due)
 
     def close(self) -> None:
         pass
@@ -196,9 +309,8 @@ def by_event(due: list[tuple]) -> Iterator[list[tuple]]:
 class PredictThenLearn(EventOrder):
     """Rate of success per slot: each event is predicted from the counts before it, then counted."""
 
-    fields = "won double"
-
-    def __init__(self, alpha: float = 1.0, places: int = 20):
+    def __init__(self, slice_ms: int = 1, alpha: float = 1.0, places: int = 20):
+        super().__init__(slice_ms)
         self.alpha, self.places = alpha, places
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -222,9 +334,8 @@ class PredictThenLearn(EventOrder):
 class RatingFold(EventOrder):
     """Ratings of one pool, updated event by event."""
 
-    fields = "finish bigint, retired boolean"
-
-    def __init__(self, k: float = 24.0, scale: float = 400.0, start: float = 1500.0):
+    def __init__(self, slice_ms: int = 1, k: float = 24.0, scale: float = 400.0, start: float = 1500.0):
+        super().__init__(slice_ms)
         self.k, self.scale, self.start = k, scale, start
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -249,15 +360,15 @@ class RatingFold(EventOrder):
         return pd.DataFrame(out, columns=["event", "entity", "rating"])
 
 
-def predict_then_learn(stream: DataFrame, slot: str, time: str, delay: str) -> DataFrame:
-    """`stream`: event, entity, slot, won and an event time that orders events strictly."""
+def predict_then_learn(stream: DataFrame, slot: str, time: str, delay: str, slice_ms: int = 1) -> DataFrame:
+    """`stream`: event, entity, slot, won and an event time that orders events strictly. Rows of `slice_ms` are taken together."""
     rows = stream.select("event", "entity", F.col(slot).cast("bigint").alias("slot"), "won", F.col(time).alias("ts"))
     return rows.withWatermark("ts", delay).groupBy("slot").transformWithStateInPandas(
-        PredictThenLearn(), RATE_OUT, outputMode="Append", timeMode="EventTime")
+        PredictThenLearn(slice_ms), RATE_OUT, outputMode="Append", timeMode="EventTime")
 
 
-def rating_stream(stream: DataFrame, pool: str, time: str, delay: str) -> DataFrame:
+def rating_stream(stream: DataFrame, pool: str, time: str, delay: str, slice_ms: int = 1) -> DataFrame:
     """`stream`: pool, event, entity, finish, retired and such an event time."""
     rows = stream.select(F.col(pool).alias("pool"), "event", "entity", "finish", "retired", F.col(time).alias("ts"))
     return rows.withWatermark("ts", delay).groupBy("pool").transformWithStateInPandas(
-        RatingFold(), RATING_OUT, outputMode="Append", timeMode="EventTime")
+        RatingFold(slice_ms), RATING_OUT, outputMode="Append", timeMode="EventTime")
