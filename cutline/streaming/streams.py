@@ -65,40 +65,89 @@ def run_to_table(df: DataFrame, name: str, mode: str = "append", closing: tuple[
 
 
 # ----------------------------------------------------------- incremental upsert
-def latest_rows(base: DataFrame, deltas: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """A table and the rows that replaced some of its own: the newest row per key."""
-    newest = deltas.groupBy(*keys).agg(F.max_by(F.struct(*base.columns), "batch_id").alias("_r")).select("_r.*")
-    return base.join(newest.select(*keys), list(keys), "left_anti").unionByName(newest)
-
-
-def upsert_changes(stream: DataFrame, current: DataFrame, keys: Sequence[str], columns: Sequence[str], name: str) -> tuple[DataFrame, DataFrame]:
+class Buckets:
+    """A table that is upserted: hash buckets of its key, each with a compacted part and the rows of later batches.
+
+    `compacted/upto=<batch>/bucket=<b>` holds a bucket as it was after a batch, `delta/batch_id=<batch>/bucket=<b>` the rows that a batch
+    brought. What stands in a bucket is the newest row of each key among its last compacted part and the deltas after it. A bucket
+    is compacted when `most` deltas lie on it; nothing is changed in place, so a batch that is repeated after a failure writes its
+    own folders again and reads none of them."""
+
+    def __init__(self, spark: SparkSession, folder: str, like: DataFrame, keys: Sequence[str], buckets: int, most: int):
+        self.spark, self.folder, self.keys, self.buckets, self.most = spark, folder, list(keys), buckets, most
+        self.columns, self.schema = like.columns, like.schema
+        self.upto = dict.fromkeys(range(buckets), -1)
+        self.pending = {b: set() for b in range(buckets)}
+
+    def bucket(self):
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int").alias("bucket")
+
+    def _read(self, kind: str, paths: list[str]) -> DataFrame:
+        """Folders of buckets, with the batch that wrote them."""
+        number = "upto" if kind == "compacted" else "batch_id"
+        schema = StructType([*self.schema.fields, StructField("bucket", LongType()), StructField(number, LongType())])
+        if not paths:
+            return self.spark.createDataFrame([], schema).withColumnRenamed(number, "_batch")
+        return self.spark.read.schema(schema).option("basePath", f"{self.folder}/{kind}").parquet(*paths).withColumnRenamed(number, "_batch")
+
+    def rows(self, buckets: Sequence[int], before: int | None = None) -> DataFrame:
+        """The newest row of each key of some buckets, before a batch or now, and no other file is read."""
+        compacted = [f"{self.folder}/compacted/upto={self.upto[b]}/bucket={b}" for b in buckets if (b, self.upto[b]) in self.written]
+        deltas = [f"{self.folder}/delta/batch_id={n}/bucket={b}" for b in buckets for n in sorted(self.pending[b]) if before is None or n < before]
+        both = self._read("compacted", compacted).unionByName(self._read("delta", deltas))
+        return both.groupBy(*self.keys).agg(F.max_by(F.struct(*self.columns), "_batch").alias("_r")).select("_r.*")
+
+    def _write(self, rows: DataFrame, path: str) -> list[int]:
+        """Write rows by bucket; which buckets have any."""
+        held = rows.withColumn("bucket", self.bucket())
+        held.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+        return sorted(r.bucket for r in self.spark.read.schema("bucket int").parquet(path).select("bucket").distinct().collect())  # at most `buckets`
+
+    def start(self, table: DataFrame) -> None:
+        self.written = {(b, -1) for b in self._write(table, f"{self.folder}/compacted/upto=-1")}
+
+    def add(self, rows: DataFrame, batch_id: int) -> list[int]:
+        """The rows of a batch, one per key; the buckets they lie in."""
+        touched = self._write(rows, f"{self.folder}/delta/batch_id={batch_id}")
+        for b in touched:
+            self.pending[b].add(batch_id)
+        return touched
+
+    def compact(self, batch_id: int) -> None:
+        """Write anew what has too many deltas, up to a batch."""
+        due = [b for b, some in self.pending.items() if len(some) >= self.most]
+        if due:
+            for b in self._write(self.rows(due), f"{self.folder}/compacted/upto={batch_id}"):
+                self.written.add((b, batch_id))
+            for b in due:
+                self.upto[b], self.pending[b] = batch_id, set()
+
+
+def upsert_changes(stream: DataFrame, current: DataFrame, keys: Sequence[str], columns: Sequence[str], name: str, buckets: int = 32, most: int = 8) -> tuple[DataFrame, DataFrame]:
     """Apply a stream of re-fetched rows to a table, logging every cell that changed.
 
-    A batch writes only the rows it brings; the table itself is not rewritten. Of several rows of a key in one batch the
-    greatest by the columns, in their order, counts. Each batch has its own folder, so a batch that is repeated after a
+    A batch reads and compacts only the buckets of the key that it touches (`Buckets`). Of several rows of a key in one batch the
+    greatest by the columns, in their order, counts. Each batch has its own folders, so a batch that is repeated after a
     failure replaces what it wrote.
     Returns the table after the stream, and the change log."""
     spark = stream.sparkSession
     folder = work_folder(spark, name)
-    delta_schema = current.limit(0).withColumn("batch_id", F.lit(0).cast("bigint")).schema
     log_schema = ", ".join(f"`{k}` {dict(current.dtypes)[k]}" for k in keys) + ", `column` string, `left` string, `right` string, batch_id bigint"
-    current.limit(0).write.parquet(f"{folder}/delta/batch_id=-1")
+    table = Buckets(spark, folder, current, keys, buckets, most)
+    table.start(current)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
         others = [c for c in current.columns if c not in keys]
         one = batch.groupBy(*keys).agg(F.max(F.struct(*others)).alias("_r")).select(*keys, "_r.*").select(*current.columns)
-        one.write.mode("overwrite").parquet(f"{folder}/delta/batch_id={batch_id}")
-        latest = session.read.schema(current.schema).parquet(f"{folder}/delta/batch_id={batch_id}")
-        earlier = session.read.schema(delta_schema).parquet(f"{folder}/delta").where(F.col("batch_id") < batch_id)
-        asked = latest.select(*keys)
-        before = latest_rows(current.join(asked, list(keys), "left_semi"), earlier.join(asked, list(keys), "left_semi"), keys)
+        touched = table.add(one, batch_id)
+        latest = spark.read.schema(current.schema).parquet(f"{folder}/delta/batch_id={batch_id}")
+        before = table.rows(touched, batch_id).join(latest.select(*keys), list(keys), "left_semi")
         diff_cells(before, latest, keys, columns).write.mode("overwrite").parquet(f"{folder}/log/batch_id={batch_id}")
+        table.compact(batch_id)
 
     q = stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     q.awaitTermination()
-    table = latest_rows(current, spark.read.schema(delta_schema).parquet(f"{folder}/delta"), keys)
-    return table, spark.read.schema(log_schema).parquet(f"{folder}/log")
+    return table.rows(range(buckets)), spark.read.schema(log_schema).parquet(f"{folder}/log")
 
 
 # ------------------------------------------------------------ provisional window

@@ -93,3 +93,44 @@ def test_streams_of_no_rows(spark, tmp_path):
     spark.createDataFrame([], schema).write.parquet(str(tmp_path / "in"))
     stream = streams.read_stream(spark, str(tmp_path / "in"), spark.read.schema(schema).parquet(str(tmp_path / "in")))
     assert streams.run_to_table(streams.provisional(stream, "k", "arrived", "closes", ["v"], "0 seconds"), "t").where(F.lit(True)).count() == 0
+
+
+def test_upserts_read_only_their_buckets_and_equal_a_plain_fold(spark, tmp_path, monkeypatch):
+    draw = random.Random(9)
+    table = {k: (f"v{k % 5}", k * 1.0) for k in range(200)}
+    batches = [{k: (draw.choice("ab"), float(draw.randrange(3))) for k in draw.sample(range(220), draw.choice([1, 2, 30]))} for _ in range(14)]
+    schema = "k bigint, a string, b double"
+    current = spark.createDataFrame([(k, *v) for k, v in table.items()], schema)
+    path, log, now = str(tmp_path / "in"), [], dict(table)
+    for some in batches:
+        spark.createDataFrame([(k, *v) for k, v in some.items()], schema).coalesce(1).write.mode("append").parquet(path)
+        for k, new in some.items():
+            log += [(k, c, str(o), str(n)) for c, o, n in zip("ab", now.get(k, new), new, strict=True) if o != n]
+            now[k] = new
+    read = []
+    plain = streams.Buckets.rows
+
+    def watched(self, buckets, before=None):
+        out = plain(self, buckets, before)
+        read.append((set(buckets), out.inputFiles(), len(self.pending[next(iter(buckets), 0)])))
+        return out
+
+    monkeypatch.setattr(streams.Buckets, "rows", watched)
+    stream = streams.read_stream(spark, path, current, files_per_batch=1)
+    after, changes = streams.upsert_changes(stream, current, ["k"], ["a", "b"], "t", buckets=16, most=3)
+    assert {r.k: (r.a, r.b) for r in after.collect()} == now
+    assert sorted((r.k, r.column, r.left, r.right) for r in changes.collect()) == sorted(log)
+    assert len(read) > 14
+    for buckets, files, deltas in read:
+        assert {int(f.split("bucket=")[1].split("/")[0]) for f in files} <= buckets and deltas <= 3
+
+
+def test_upserts_into_no_rows_and_of_no_rows(spark, tmp_path):
+    schema = "k bigint, a string"
+    none, one = spark.createDataFrame([], schema), spark.createDataFrame([(1, "x"), (1, "y")], schema)
+    one.write.parquet(str(tmp_path / "one"))
+    none.write.parquet(str(tmp_path / "none"))
+    table, _ = streams.upsert_changes(streams.read_stream(spark, str(tmp_path / "one"), one), none, ["k"], ["a"], "t")
+    assert [tuple(r) for r in table.collect()] == [(1, "y")]
+    table, _ = streams.upsert_changes(streams.read_stream(spark, str(tmp_path / "none"), none), one.where("a = 'x'"), ["k"], ["a"], "t")
+    assert [tuple(r) for r in table.collect()] == [(1, "x")]
