@@ -118,6 +118,15 @@ def tolerance_diff(left: DataFrame, right: DataFrame, keys: Sequence[str], value
     return both.withColumn("band", F.coalesce(side, tolerance_band(F.col("_a"), F.col("_b"), tolerance)))
 
 
+def worst_events(left: DataFrame, right: DataFrame, keys: Sequence[str], event: str, value: str, tolerance: float, n: int) -> DataFrame:
+    """The n events whose measurements differ most: (event, compared, over, largest). More differences above the tolerance come first,
+    then the larger one, then the smaller event. `event` is a column of the left side; what one side lacks is not compared."""
+    gap = F.abs(F.col("_a") - F.col("_b"))
+    both = left.select(*keys, F.col(event), F.col(value).alias("_a")).join(right.select(*keys, F.col(value).alias("_b")), list(keys)).where(gap.isNotNull())
+    per = both.groupBy(event).agg(F.count("*").alias("compared"), F.count_if(gap > tolerance).alias("over"), F.max(gap).alias("largest"))
+    return per.where("over > 0").orderBy(F.desc("over"), F.desc("largest"), event).limit(n)
+
+
 def convention_class(a: Column, b: Column, by_convention: Column) -> Column:
     """A difference that a known convention explains is told apart from a real one."""
     return F.when(a.eqNullSafe(b), "agree").when(F.coalesce(by_convention, F.lit(False)), "expected").otherwise("real")

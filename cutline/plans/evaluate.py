@@ -183,6 +183,21 @@ def select_candidate(scores: DataFrame, errors: DataFrame, run: str, reference:
                        (F.col("b.ece") > 2 * F.col("reference_ece")).alias("guard_tripped"))
 
 
+def scored_once(scores: DataFrame, events: DataFrame, run: str, reference: str, border: Column) -> DataFrame:
+    """Choose a run on the events before the border and score it once on those from it on, beside the reference: chosen, the events and
+    mean log loss of both parts, and whether it beats the reference in each. Only events that all runs scored count. `border` is a
+    condition on `events` that is true for the held out ones; they have no part in the choice."""
+    held = scores.join(events.select("event", border.alias("_held")), "event")
+    shared = held.join(common_events(scores, run), "event", "left_semi")
+    table = shared.groupBy(run).agg(*[x for name, part in (("selection", ~F.col("_held")), ("holdout", F.col("_held"))) for x in (
+        F.count_if(part).alias(f"{name}_events"), F.avg(F.when(part, F.col("log_loss"))).alias(f"{name}_log_loss"))])
+    row = F.struct(run, "selection_events", "selection_log_loss", "holdout_events", "holdout_log_loss")
+    best = table.agg(F.min_by(row, F.struct("selection_log_loss", run)).alias("b"), F.max(F.when(F.col(run) == reference, row)).alias("r"))
+    return best.select(F.col(f"b.{run}").alias("chosen"), "b.selection_events", "b.selection_log_loss", "b.holdout_events", "b.holdout_log_loss",
+                       F.col("r.selection_log_loss").alias("reference_selection"), F.col("r.holdout_log_loss").alias("reference_holdout"),
+                       (F.col("b.holdout_log_loss") < F.col("r.holdout_log_loss")).alias("beats_reference"))
+
+
 def incoherence(df: DataFrame, p: str, below: str, above: str, run: Sequence[str] = ()) -> DataFrame:
     """Shares of rows where a chance contradicts its neighbours."""
     return df.groupBy(*run).agg(

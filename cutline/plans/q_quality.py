@@ -81,6 +81,18 @@ def tolerance_diff(star: Star) -> DataFrame:
     return profile.value_counts(diff.tolerance_diff(left, right, ["o_orderkey", "season"], "o_totalprice", 1.0), "season", "band")
 
 
+@query("worst_differences", f"""
+WITH {SIDES}, b AS (SELECT l.o_custkey, abs(l.o_totalprice - r.o_totalprice) AS gap FROM lt l JOIN rt r USING (o_orderkey))
+SELECT o_custkey, count(*) AS compared, count(*) FILTER (gap > 0.4) AS "over", round(max(gap), 4) AS largest FROM b GROUP BY o_custkey HAVING count(*) FILTER (gap > 0.4) > 0
+ORDER BY count(*) FILTER (gap > 0.4) DESC, round(max(gap), 4) DESC, o_custkey LIMIT 20
+""")
+def worst_differences(star: Star) -> DataFrame:
+    """The customers whose prices differ most between two sources."""
+    left, right = [s.withColumn("o_totalprice", F.round(F.col("o_totalprice") * 10_000).cast("bigint")) for s in two_sources(star)]
+    worst = diff.worst_events(left, right, ["o_orderkey"], "o_custkey", "o_totalprice", 4000, 20)
+    return worst.select("o_custkey", "compared", "over", F.round(F.col("largest") / 10_000, 4).alias("largest"))
+
+
 @query("classified_difference", f"""
 WITH {ENTRIES} SELECT season, CASE WHEN grid = line THEN 'agree' WHEN grid = 0 THEN 'expected' ELSE 'real' END AS kind, count(*) AS rows
 FROM entries GROUP BY ALL

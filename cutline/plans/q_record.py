@@ -215,6 +215,55 @@ def serving_groups(star: Star) -> DataFrame:
     return spans.join(members, "grp")
 
 
+@query("schedule", f"""
+WITH {EVENTS}, h AS (SELECT DISTINCT l_orderkey AS event FROM lineitem), t AS (SELECT ev.*, h.event IS NOT NULL AS held, o_orderdate FROM ev LEFT JOIN h USING (event) JOIN orders ON o_orderkey = ev.event)
+SELECT event, CAST(CASE WHEN held THEN event ELSE -(season * 100000000 + round * 1000000 + row_number() OVER (PARTITION BY season, round, held ORDER BY ord)) END AS BIGINT) AS key, season, round, venue,
+  CASE WHEN held THEN 'completed' WHEN o_orderdate > TIMESTAMP '1999-06-01' THEN 'upcoming' ELSE 'missing' END AS state FROM t
+""")
+def schedule(star: Star) -> DataFrame:
+    """All events with the keys they are served under, as of a stated moment."""
+    starts = star.table("orders").select(F.col("o_orderkey").alias("event"), F.col("o_orderdate").alias("starts_at"))
+    held = star.table("lineitem").select(F.col("l_orderkey").alias("event"))
+    return record.schedule_rows(star.events().join(starts, "event"), held, F.lit("1999-06-01").cast("timestamp_ntz"))
+
+
+@query("pipeline_summary", f"""
+WITH {ENTRIES} SELECT 'entries' AS "table", count(*) AS rows, min(season) AS first_season, max(season) AS last_season FROM entries
+UNION ALL SELECT 'events', count(*), min(season), max(season) FROM ev UNION ALL SELECT 'entities', count(*), NULL, NULL FROM supplier UNION ALL SELECT 'lines', count(*), NULL, NULL FROM lineitem
+""")
+def pipeline_summary(star: Star) -> DataFrame:
+    return record.summary({"entries": star.entries(), "events": star.events(), "entities": star.table("supplier"), "lines": star.table("lineitem")})
+
+
+@query("full_documents", f"""
+WITH {SESSIONS}, {REVISIONS}, m AS (SELECT rev.*, generated_at >= deadline AS late FROM rev LEFT JOIN (SELECT * FROM deadlines WHERE snapshot = 'post_qualifying') d USING (event)),
+e AS (SELECT event, author, max(revision) FILTER (NOT late) AS effective FROM m GROUP BY ALL), days AS (SELECT DISTINCT event FROM rev),
+hi AS (SELECT event, author, list({{'revision': revision, 'late': late}} ORDER BY revision) AS l FROM m GROUP BY ALL),
+re AS (SELECT event, list({{'session': session}} ORDER BY session) AS l FROM (SELECT DISTINCT event, CASE t WHEN 'view' THEN 'Practice 1' WHEN 'click' THEN 'Practice 2' WHEN 'purchase' THEN 'Qualifying' WHEN 'error' THEN 'Sprint' WHEN 'signup' THEN 'Race' END AS session FROM ses) GROUP BY event),
+ab AS (SELECT y.event + 1 AS event, y.author FROM e y JOIN days d ON d.event = y.event + 1 LEFT JOIN e t ON t.event = y.event + 1 AND t.author = y.author WHERE t.author IS NULL)
+SELECT e.event, e.author, CAST(to_json(CASE WHEN effective IS NULL THEN NULL ELSE effective END) AS VARCHAR) AS effective, len(hi.l) AS revisions, len(coalesce(re.l, [])) AS sessions, (SELECT count(*) FROM ab WHERE ab.event = e.event) AS absent
+FROM e JOIN hi USING (event, author) LEFT JOIN re ON re.event = e.event
+""")
+def full_documents(star: Star) -> DataFrame:
+    """One document per day and author: the revision that counts, the history of all, the day's sessions, and who wrote the day before
+    but not on it; read back from the documents."""
+    final = record.deadlines(sessions(star)).where(F.col("snapshot") == P.POST)
+    base = revisions(star)
+    due = base.select("event", "author").distinct().join(final.select("event", "deadline"), "event", "left")
+    marked = stored(record.mark_revisions(base, due, ["event", "author"]).select("event", "author", "revision", "late", "effective"), "marked")
+    values = marked.groupBy("event", "author").agg(F.max(F.when(F.col("effective"), F.col("revision"))).alias("effective"))
+    held = sessions(star).where("session IS NOT NULL")
+    of_event = values.select("event", "author")
+    yesterday = of_event.select((F.col("event") + 1).alias("event"), F.col("author").alias("absent"))
+    here = of_event.select("event", F.col("author").alias("absent"))
+    absent = yesterday.join(here.select("event").distinct(), "event", "left_semi").join(here, ["event", "absent"], "left_anti")
+    docs = record.full_documents(["event", "author"], values, {
+        "history": (marked, ["revision", "late"]), "sessions": (of_event.join(held, "event"), ["session"]), "absences": (of_event.join(absent, "event"), ["absent"])})
+    parsed = F.from_json("document", "effective bigint, history array<struct<revision: bigint, late: boolean>>, sessions array<struct<session: string>>, absences array<struct<absent: bigint>>")
+    return docs.withColumn("d", parsed).select("event", "author", F.col("d.effective").cast("string").alias("effective"), F.size("d.history").cast("bigint").alias("revisions"),
+                                               F.size("d.sessions").cast("bigint").alias("sessions"), F.size("d.absences").cast("bigint").alias("absent"))
+
+
 @query("current_state", f"""
 WITH {EVENTS}, h AS (SELECT DISTINCT l_orderkey FROM lineitem) SELECT arg_max(event, ord) FILTER (WHERE l_orderkey IS NOT NULL) AS last_event,
   arg_min(event, ord) FILTER (WHERE l_orderkey IS NULL AND o_orderdate > TIMESTAMP '1999-06-01') AS next_event

@@ -211,6 +211,18 @@ def select_candidate(star: Star) -> DataFrame:
     return out.select("chosen", r6("log_loss", "log_loss"), r6("ece", "ece"), "events", r6("reference_ece", "reference_ece"), "guard_tripped")
 
 
+@query("holdout_once", f"""{RULES}, c AS (SELECT event FROM sc GROUP BY event HAVING count(DISTINCT rule) = (SELECT count(DISTINCT rule) FROM sc)),
+t AS (SELECT rule, count(*) FILTER (season < 2001) AS se, avg(log_loss) FILTER (season < 2001) AS sl, count(*) FILTER (season >= 2001) AS he, avg(log_loss) FILTER (season >= 2001) AS hl
+  FROM sc JOIN c USING (event) JOIN ev USING (event) GROUP BY rule), r AS (SELECT * FROM t WHERE rule = 'uniform')
+SELECT t.rule AS chosen, t.se AS selection_events, round(t.sl, 6) AS selection_log_loss, t.he AS holdout_events, round(t.hl, 6) AS holdout_log_loss,
+  round(r.sl, 6) AS reference_selection, round(r.hl, 6) AS reference_holdout, t.hl < r.hl AS beats_reference FROM t, r ORDER BY t.sl, t.rule LIMIT 1""")
+def holdout_once(star: Star) -> DataFrame:
+    """The rule chosen on the seasons before 2001, scored once on those from it on."""
+    scores = stored(rule_scores(star)[1], "scores")
+    out = evaluate.scored_once(scores, star.events(), "rule", "uniform", F.col("season") >= 2001)
+    return out.select(*[r6(c, c) if t == "double" else c for c, t in out.dtypes])
+
+
 @query("last_events", f"""{RULES}, l AS (SELECT event FROM (SELECT DISTINCT sc.event, ord FROM sc JOIN ev ON ev.event = sc.event) ORDER BY ord DESC LIMIT 50)
 SELECT rule, count(*) AS events, round(avg(log_loss), 6) AS log_loss FROM sc WHERE event IN (SELECT event FROM l) GROUP BY rule""")
 def last_events(star: Star) -> DataFrame:

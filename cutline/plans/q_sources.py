@@ -227,6 +227,13 @@ def position_basis(star: Star) -> DataFrame:
     return star.entries().select("event", "entity", *[(F.round(c, 6) if n == "q_log" else c).alias(n) for n, c in basis.items()])
 
 
+@query("position_one_hot", f"""
+WITH {ENTRIES} SELECT event, entity, {', '.join(f'CAST(least(greatest(grid, 0), 20) = {k} AS DOUBLE) AS q_{k}' for k in range(1, 21))} FROM entries""")
+def position_one_hot(star: Star) -> DataFrame:
+    """A column for each of twenty places, all 0 for an unknown one."""
+    return star.entries().select("event", "entity", *[c.alias(n) for n, c in S.one_hot_basis(F.col("grid")).items()])
+
+
 @query("preferred_by_key", """
 SELECT c_custkey, s_suppkey, s_acctbal FROM customer LEFT JOIN (SELECT * FROM supplier QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) = 1) s ON c_nationkey = s_nationkey""")
 def preferred_by_key(star: Star) -> DataFrame:

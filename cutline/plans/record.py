@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from cutline.operators.spans import Right, expanding, latest_before
 from cutline.plans.evaluate import defined_log_loss, score_events
@@ -193,6 +193,39 @@ def venue_facts(entries: DataFrame, events: DataFrame, plan_events) -> DataFrame
                       F.when(some, F.col("_f")).alias("front_events"), F.when(some, F.col("_w")).alias("front_wins"))
 
 
+def schedule_rows(events: DataFrame, results: DataFrame, as_of: Column) -> DataFrame:
+    """(event, key, season, round, venue, state): every event with the key it is served under. One that has results keeps its own; one that
+    has none yet gets a provisional key from its season and round, which no real event can have, and is `upcoming`, or `missing` if it
+    should have been held. Of several without results in one round each has a place of its own, by `ord`."""
+    held = results.select("event").distinct().withColumn("_held", F.lit(True))
+    tagged = events.join(held, "event", "left").withColumn("_held", F.coalesce("_held", F.lit(False)))
+    place = F.row_number().over(Window.partitionBy("season", "round", "_held").orderBy("ord"))  # events of one round
+    provisional = -(F.col("season") * 100_000_000 + F.col("round") * 1_000_000 + place)
+    state = F.when(F.col("_held"), "completed").when(F.col("starts_at") > as_of, "upcoming").otherwise("missing")
+    return tagged.select("event", F.when(F.col("_held"), F.col("event")).otherwise(provisional).cast("bigint").alias("key"), "season", "round", "venue", state.alias("state"))
+
+
+def summary(tables: dict[str, DataFrame], season: str = "season") -> DataFrame:
+    """(table, rows, first_season, last_season): one aggregate a table; seasons are null where a table has none."""
+    out = None
+    for name, df in tables.items():
+        of = F.col(season).cast("bigint") if season in df.columns else F.lit(None).cast("bigint")
+        row = df.agg(F.count("*").alias("rows"), F.min(of).alias("first_season"), F.max(of).alias("last_season")).select(F.lit(name).alias("table"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def full_documents(keys: Sequence[str], values: DataFrame, lists: dict[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:
+    """One JSON document per row of `values` (keys and single values), with lists of rows of other tables under their names, ordered by
+    their columns. A key without rows in a table has an empty list. A list is as long as what one document shows."""
+    out, singles = values, [c for c in values.columns if c not in keys]
+    for name, (df, columns) in lists.items():
+        gathered = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(f"_{name}"))
+        kind = gathered.schema[f"_{name}"].dataType.simpleString()
+        out = out.join(gathered, list(keys), "left").withColumn(name, F.coalesce(f"_{name}", F.array().cast(kind))).drop(f"_{name}")
+    return out.select(*keys, F.to_json(F.struct(*keys, *singles, *lists)).alias("document"))
+
+
 def current_state(events: DataFrame, results: DataFrame, as_of: Column) -> DataFrame:
     """One row: the last event with results and the next one still to run."""
     held = results.select("event").distinct().withColumn("_held", F.lit(True))
