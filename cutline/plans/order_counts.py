@@ -32,6 +32,15 @@ def sets(n: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     return out
 
 
+@lru_cache(maxsize=None)
+def _flat(n: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """For a field in which all finish: sets of two and more with what is left of them, the sets of one, and the cells (entry times n
+    plus place) of every choice in that order."""
+    steps = sets(n)
+    cells = [(members * n + n - members.shape[1]).ravel() for _, members, _ in steps]
+    return [(some, rest.ravel()) for some, _, rest in steps[:-1]], steps[-1][0], np.concatenate(cells)
+
+
 @lru_cache(maxsize=None)
 def retired_places(n: int) -> tuple[np.ndarray, np.ndarray]:
     """For each set of finishers, by (set, cell): where the others are, behind it in the order of the field; cells are entry times n
@@ -83,23 +92,31 @@ def by_sets(seed: int, events: np.ndarray, strength: np.ndarray, out: np.ndarray
             finishing = np.arange(1 << n)[:, None] >> np.arange(n) & 1 == 1
             finish = np.where(finishing, 1.0 - out[some][:, None, :], out[some][:, None, :]).prod(axis=2)
             finish /= finish.sum(axis=1, keepdims=True)
+        if out is None:
+            steps, single, cells = _flat(n)
+            for e, event in enumerate(events[some].tolist()):
+                numbers, left, chosen = keyed.of(event, 0) if n > 1 else None, np.zeros(1 << n, np.int64), []
+                left[-1] = draws
+                for (numbered, rest), share in zip(steps, shares[:-1], strict=True):
+                    next_ = numbers.multinomial(left[numbered], share[e]).ravel()
+                    left += np.bincount(rest, next_, 1 << n).astype(np.int64)
+                    chosen.append(next_)
+                chosen.append(left[single])
+                ended[start + e] = np.bincount(cells, np.concatenate(chosen), n * n)
+            continue
         for e, event in enumerate(events[some].tolist()):
             numbers = keyed.of(event, 0)
-            # Draws by set left; where some retire, by entries placed so far as well.
-            left = np.zeros((1 if out is None else n + 1, 1 << n), np.int64)
-            if out is None:
-                left[0, -1] = draws
-            else:
-                left[0] = numbers.multinomial(draws, finish[e])
-                which, cells = retired_places(n)
-                every[start + e] += np.bincount(cells, left[0][which], n * n).astype(np.int64)
+            left = np.zeros((n + 1, 1 << n), np.int64)  # draws by entries placed so far and set left
+            left[0] = numbers.multinomial(draws, finish[e])
+            which, cells = retired_places(n)
+            every[start + e] += np.bincount(cells, left[0][which], n * n).astype(np.int64)
             for (numbered, members, rest), share in zip(sets(n), shares, strict=True):
                 most = n - members.shape[1]
                 next_ = numbers.multinomial(left[:most + 1, numbered], share[e])
-                for k in range(1 if out is None else most + 1):
+                for k in range(most + 1):
                     weights = next_[k].ravel()
-                    left[0 if out is None else k + 1] += np.bincount(rest.ravel(), weights, 1 << n).astype(np.int64)
-                    ended[start + e, (most if out is None else k)::n] += np.bincount(members.ravel(), weights, n).astype(np.int64)
+                    left[k + 1] += np.bincount(rest.ravel(), weights, 1 << n).astype(np.int64)
+                    ended[start + e, k::n] += np.bincount(members.ravel(), weights, n).astype(np.int64)
     return (every + ended).reshape(-1, n, n), ended.reshape(-1, n, n)
 
 
