@@ -174,11 +174,11 @@ def _row_digest(df: DataFrame, columns: Sequence[str]) -> Column:
 
 
 def digest_tree(df: DataFrame, key: str, columns: Sequence[str], low: int, width: int, levels: int, fanout: int = 16) -> DataFrame:
-    """(level, node, rows, digest): sums of row digests over ranges of a whole-number key. Level 0 is the whole table, each node has
+    """(level, node, rows, digest): sums of digests of rows, key included, over ranges of a whole-number key. Level 0 is the whole table, each node has
     `fanout` children, and a leaf is a range of `width` keys from `low` on. One pass; a node is the sum of its children. Rows without
     a key are leaf -1 and its parents."""
     leaf = F.coalesce(F.floor((F.col(key) - low) / F.lit(width)), F.lit(-1)).cast("long")
-    out = level = df.groupBy(leaf.alias("node")).agg(F.count("*").alias("rows"), F.sum(_row_digest(df, columns)).alias("digest")).select(F.lit(levels).alias("level"), "*")
+    out = level = df.groupBy(leaf.alias("node")).agg(F.count("*").alias("rows"), F.sum(_row_digest(df, [key, *[c for c in columns if c != key]])).alias("digest")).select(F.lit(levels).alias("level"), "*")
     for n in range(levels - 1, -1, -1):
         parent = F.when(F.col("node") < 0, -1).otherwise(F.floor(F.col("node") / fanout)).cast("long")
         level = level.groupBy(parent.alias("node")).agg(F.sum("rows").alias("rows"), F.sum("digest").alias("digest")).select(F.lit(n).alias("level"), "*")

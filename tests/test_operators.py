@@ -235,6 +235,13 @@ def test_changed_keys_equal_a_full_comparison(spark, monkeypatch):
     assert diff.changed_keys(frames[0], frames[0], "k", ["a", "b"]).count() == 0
 
 
+def test_a_row_that_only_changed_its_key_is_found(spark):
+    old, new = version(spark, [(1, "x", 1.0), (2, "y", 2.0)]), version(spark, [(900_000, "x", 1.0), (2, "y", 2.0)])
+    assert {r.k: r.state for r in diff.changed_keys(old, new, "k", ["a", "b"]).collect()} == {1: "missing", 900_000: "added"}
+    swapped = version(spark, [(2, "x", 1.0), (1, "y", 2.0)])
+    assert {r.k: r.state for r in diff.changed_keys(old, swapped, "k", ["a", "b"]).collect()} == {1: "changed", 2: "changed"}
+
+
 def test_changed_keys_of_null_repeated_and_no_rows(spark):
     old = version(spark, [(None, "x", 1.0), (1, "x", 1.0), (1, "x", 1.0), (2, None, None)])
     new = version(spark, [(None, "y", 1.0), (1, "x", 1.0), (2, None, None)])
