@@ -1,17 +1,23 @@
 """Passages that repeat across documents, also with small changes: collinear chaining of shared k-mers.
 
-Each document gives seeds: every run of `short` words, as a passage of 50 words or more that is 80 % equal always has 4 equal
-words on end; and of every `window` consecutive runs of `k` words the one with the least hash, since short runs of a long equal
-stretch may all be found earlier elsewhere, each in another document. A seed's earliest document (by id) is its anchor; every later occurrence is
-matched with the anchor's first place, never with all others, so matches are as many as seeds. Matches of one pair of
+Every run of `k` words is a seed, with 16 bits of its surroundings: the least weighted hash among the 24 words before or behind
+it. A seed of a document is matched with the first place of the earliest document (by id) that has the run, and of the earliest
+that has it in the same surroundings, never with all others, so matches are at most two for each word. The second kind keeps a
+changed passage together whose runs also stand in unrelated earlier documents: about two of three runs in text that is 80 % equal
+have the same surroundings, and chance gives them to few others. Seeds are exchanged once, sorted and packed, about seven bytes a word.
+A document's matches count where `share` of some `least` words are in matched runs. Matches of one pair of
 documents on one diagonal make a fragment. Fragments are chained: a chain follows both documents forward and pays for the
 words it skips on either side; the best predecessor of each fragment is found in a Fenwick tree over the anchor's places.
-Chains, cut where they skip much, and each fragment of such a chain are aligned: ends are extended while words are equal, and
+Chains, cut where they skip much, and each fragment of such a chain are aligned, but for those inside another stretch of their
+document: ends are extended while words are equal, and
 the words in common (a longest common subsequence) must be at least `similarity` of the longer side. The parts of a stretch are
 judged by themselves as well: those whose equal words outweigh the words skipped between them, along the fragment's diagonal and
 along the common subsequence, and past changed words at their ends, so that an equal run is kept whatever stands near it. Aligned stretches of a document, whatever
 their anchors, are joined where they touch; those of at least `least` words are its repeated passages.
 
+An equal passage is always found, unless unrelated earlier documents have all its runs in the same surroundings. A changed one may be
+lost where less than 30 % of its words are in equal runs of four, which takes changes that avoid longer runs on purpose.
+
 Words are lower-cased runs of letters and digits. Null texts and null ids have no passages; shorter documents than `least`
 words have none. Repeats inside one document don't count. If one id has several rows, the one with the greatest text counts.
 Ties: the lowest place of the lowest id is the anchor."""
@@ -25,50 +31,180 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from cutline.llm.frames import among, lists, marked, per_batch, stored
-from cutline.llm.words import Block, blocks, shingles, signed, utf8
+from cutline.llm.words import Block, blocks, mix, shingles, utf8
 
 _LONGEST = 1024  # words of a fragment that are aligned at once
 _SKIP = 64  # words between two matches of one fragment, or two fragments of one stretch
 _PRICE = 0.25  # of a skipped word, in matched words
+_NEAR = 24  # words before or behind a seed that are its surroundings
+_SALT = np.uint64(0x9E3779B97F4A7C15)
+_HELD = 1 << 20  # seeds or matches that a task holds before it packs them
+_PART = 1 << 20  # words for each part of the seeds
 
 
-def seeds_of(block: Block, k: int, window: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Owner, place and hash of each seed of the block's texts of at least `least` words."""
+def seeds_of(block: Block, k: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner, place and hash of each run of k words of the block's texts of at least `least` words."""
     found = shingles(block.hashes, k)
-    width = min(window, max(1, least - k + 1))
-    if len(found) < width:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     owner, size = block.owners(), np.diff(block.offsets)
-    at = np.arange(len(found) - width + 1)
-    first = owner[at]
-    at = at[(first == owner[at + width + k - 2]) & (size[first] >= least)]
-    chosen = np.zeros(len(found), bool)
-    for part in range(0, len(at), 1 << 16):
-        p = at[part:part + (1 << 16)]
-        chosen[p + np.argmin(found[p[:, None] + np.arange(width)], axis=1)] = True
-    place = np.flatnonzero(chosen)
+    first = owner[:len(found)]
+    place = np.flatnonzero((first == owner[k - 1:k - 1 + len(found)]) & (size[first] >= least))
     return owner[place], place - block.offsets[owner[place]], found[place]
 
 
-def seeds(docs: DataFrame, kinds: list[tuple[int, int]], least: int) -> DataFrame:
-    """The seeds of each kind, (words of a run, window); a window of 1 takes every run."""
-    schema = T.StructType([T.StructField("seed", T.LongType()), T.StructField("id", T.LongType()), T.StructField("at", T.IntegerType())])
+def contexts(block: Block, owner: np.ndarray, place: np.ndarray, seed: np.ndarray, k: int) -> np.ndarray:
+    """16 bits for each seed that similar surroundings share: the least hash among the words before or behind it, which side
+    and by which function depends on the seed. Long words are more likely to be the least, as they say more."""
+    size = np.maximum(np.minimum(block.ends - block.starts, 12), 1).astype(np.float64)
+    padded = np.arange(len(block.hashes)) + _NEAR * (block.owners() + 1)  # no window reaches into another text
+    total = len(block.hashes) + _NEAR * (len(block) + 2)
+    at = block.offsets[owner] + place + _NEAR * (owner + 1)
+    at = np.where(seed & np.uint64(1), at + k, at - _NEAR)
+    kind = (seed >> np.uint64(1)) & np.uint64(3)
+    out = np.zeros(len(seed), np.uint64)
+    for n in range(4):
+        least = np.full(total, np.inf)
+        draw = mix(block.hashes + np.uint64(n + 1) * _SALT)
+        least[padded] = -np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / size**2
+        width = 1
+        while width * 2 <= _NEAR:
+            least = np.minimum(least, np.append(least[width:], np.full(width, np.inf)))
+            width *= 2
+        least = np.minimum(least, np.append(least[_NEAR - width:], np.full(_NEAR - width, np.inf)))
+        of = np.flatnonzero(kind == n)
+        out[of] = mix(least[at[of]].view(np.uint64)) & np.uint64(0xFFFF)
+    return out
+
 
-    def run(batch: pa.RecordBatch) -> dict:
-        ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
-        found = [(b.first, *seeds_of(b, k, window, least)) for b in blocks(utf8(batch.column("text"))) for k, window in kinds]
-        return {"seed": signed(np.concatenate([f[3] for f in found])), "id": ids[np.concatenate([f[0] + f[1] for f in found])],
-                "at": np.concatenate([f[2] for f in found]).astype(np.int32)}
+_PACKED = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("packed", T.BinaryType())])
 
-    return per_batch(docs, run, schema)
 
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers of one length, of which the first ascends, as compressed planes of bytes."""
+    columns = [np.diff(columns[0], prepend=columns[0].dtype.type(0)), *columns[1:]]
+    planes = [np.ascontiguousarray(c.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns]
+    return np.array([len(columns[0])], "<i8").tobytes() + pa.compress(b"".join(planes), codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes, columns: int) -> np.ndarray:
+    n = int(np.frombuffer(data[:8], "<i8")[0])
+    planes = np.frombuffer(pa.decompress(data[8:], n * 8 * columns, codec="zstd", asbytes=True), np.uint8).reshape(columns, 8, n)
+    out = np.ascontiguousarray(planes.transpose(2, 0, 1)).view("<i8").reshape(n, columns).astype(np.int64)
+    out[:, 0] = np.cumsum(out[:, 0])
+    return out
 
-def matches(found: DataFrame) -> DataFrame:
-    """(id, of, at, there): a seed of document id at a word, and where it is in its anchor."""
-    spread = found.groupBy("seed").agg(F.min("id").alias("of"), F.max("id").alias("last")).where("of < last").select("seed", "of")
-    shared = stored(found.join(spread, "seed"), "shared-seeds")
-    anchor = shared.where("id = of").groupBy("seed").agg(F.min("at").alias("there"))
-    return shared.where("id > of").join(anchor, "seed").select("id", "of", "at", "there")
+
+def _by_part(part: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    """Rows, sorted by part and first column, as one packed row for each part."""
+    at = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+    return pa.RecordBatch.from_arrays([pa.array(part[at[:-1]], pa.int32()), pa.array([pack(*rows[a:b].T) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=_PACKED.fieldNames())
+
+
+def _parts(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The packed rows of sorted parts one after the other."""
+    for batch in batches:
+        for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            yield part, unpack(data.as_py(), columns)
+
+
+def seeds(docs: DataFrame, k: int, least: int, bits: int, parts: int) -> DataFrame:
+    """Every run of k words of the texts as (upper bits of its hash, id, place, surroundings), packed by ranges of the hash."""
+
+    def emit(held: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate([np.zeros((0, 4), np.int64), *held])
+        rows = rows[np.argsort(rows[:, 0], kind="stable")]
+        return _by_part((rows[:, 0] * parts) >> bits, rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
+            for b in blocks(utf8(batch.column("text"))):
+                owner, place, seed = seeds_of(b, k, least)
+                if len(seed):
+                    held.append(np.stack([(seed >> np.uint64(64 - bits)).astype(np.int64), ids[b.first + owner], place, contexts(b, owner, place, seed, k).astype(np.int64)], axis=1))
+                    size += len(seed)
+                if size >= _HELD:
+                    yield emit(held)
+                    held, size = [], 0
+        yield emit(held)
+
+    return docs.mapInArrow(run, _PACKED)
+
+
+def meet(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Matches (id, of, diagonal, at) of seed rows (seed, id, place, surroundings): each with the first place of the earliest
+    document that has the seed, and of the earliest one that has it in the same surroundings. Also returns these first places,
+    which are all that later rows need to know."""
+    found, kept = [], []
+    for key in ((0,), (0, 3)):
+        order = np.lexsort((rows[:, 2], rows[:, 1], *(rows[:, c] for c in key[::-1])))
+        r = rows[order]
+        new = np.zeros(len(r), bool)
+        new[:1] = True
+        for c in key:
+            new[1:] |= r[1:, c] != r[:-1, c]
+        first = r[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(r) else r
+        on = r[:, 1] > first[:, 1]
+        found.append(np.stack([r[on, 1], first[on, 1], r[on, 2] - first[on, 2], r[on, 2]], axis=1))
+        kept.append(r[new])
+    return np.concatenate(found), np.unique(np.concatenate(kept), axis=0)
+
+
+def matches(found: DataFrame, parts: int) -> DataFrame:
+    """Matches of the seeds, packed by ranges of hashed ids. A part is read in pieces of bounded size; between them only the
+    first places are held."""
+
+    def emit(held: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate([np.zeros((0, 4), np.int64), *held])
+        part = (mix(rows[:, 0].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0], part))
+        rows, part = rows[order], part[order]
+        new = np.append(True, (np.diff(rows, axis=0) != 0).any(axis=1))[:len(rows)]  # both kinds may give one match
+        return _by_part(part[new], rows[new])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size, held, waiting, now = [], 0, [], 0, None
+        for part, rows in _parts(batches, 4):
+            if held and (part != now or waiting >= 2 * _HELD):
+                got, firsts = meet(np.concatenate(held))
+                out.append(got)
+                size += len(got)
+                held, waiting = ([firsts], 0) if part == now else ([], 0)
+            if size >= _HELD:
+                yield emit(out)
+                out, size = [], 0
+            now = part
+            held.append(rows)
+            waiting += len(rows)
+        if held:
+            out.append(meet(np.concatenate(held))[0])
+        yield emit(out)
+
+    return found.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, _PACKED)
+
+
+def dense(rows: np.ndarray, k: int, least: int, share: float) -> np.ndarray:
+    """Which of the matches (id, of, diagonal, at), sorted by id, lie in a window of `least` words of their document, `share`
+    of which are in matched runs of k words."""
+    order = np.lexsort((rows[:, 3], rows[:, 0]))
+    ids, at = rows[order, 0], rows[order, 3]
+    new = np.append(True, (ids[1:] != ids[:-1]) | (at[1:] != at[:-1]))[:len(ids)]
+    which = np.cumsum(new) - 1
+    ids, at = ids[new], at[new]
+    # Places of all documents on one line, far enough apart.
+    start = np.append(True, ids[1:] != ids[:-1])[:len(ids)]
+    jump = np.where(start, 2 * least + k, np.diff(at, prepend=0))
+    line = np.cumsum(jump)
+    gain = np.minimum(np.diff(line, prepend=-k), k)  # words that a run adds
+    total = np.append(0, np.cumsum(gain))
+    last = np.searchsorted(line, line + least - k, side="right")
+    full = total[last] - total[:-1] + (k - gain) >= share * least
+    edge = np.zeros(len(line) + 1, np.int64)
+    np.add.at(edge, np.flatnonzero(full), 1)
+    np.add.at(edge, last[full], -1)
+    out = np.zeros(len(rows), bool)
+    out[order] = (np.cumsum(edge[:-1]) > 0)[which]
+    return out
 
 
 class Fenwick:
@@ -158,26 +294,37 @@ def _stretches(rows: np.ndarray, k: int) -> np.ndarray:
     return np.stack([found[:, 0], found[:, 1], found[:, 2], found[:, 3] + k, found[:, 4], found[:, 5] + k], axis=1)
 
 
-def stretches(found: DataFrame, k: int) -> DataFrame:
-    """Chained matches. The rows of a pair of documents are at most the seeds of one document."""
+def outer(found: np.ndarray) -> np.ndarray:
+    """The stretches (id, of, start, end, ...) that don't lie wholly inside another of their document, of those with equal places one."""
+    order = np.lexsort((found[:, 1], -found[:, 3], found[:, 2], found[:, 0]))
+    found = found[order]
+    _, doc = np.unique(found[:, 0], return_inverse=True)
+    far = doc.astype(np.int64) << 40
+    reached = np.maximum.accumulate(far + found[:, 3])
+    return found[np.append(True, far[1:] + found[1:, 3] > reached[:-1])[:len(found)]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 4), np.int64)
 
-        def emit(rows: np.ndarray) -> pa.RecordBatch:
-            got = _stretches(rows, k) if len(rows) else np.zeros((0, 6), np.int64)
+def stretches(found: DataFrame, k: int, least: int, share: float, parts: int) -> DataFrame:
+    """Chained matches of the documents of a part, whose matches are at most two for each of their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def emit(held: list[np.ndarray]) -> pa.RecordBatch:
+            rows = np.concatenate([np.zeros((0, 4), np.int64), *held])
+            rows = rows[dense(rows, k, least, share)]
+            rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
+            got = outer(_stretches(rows, k)) if len(rows) else np.zeros((0, 6), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(got[:, i]) for i in range(6)], names=_STRETCH.fieldNames())
 
-        for batch in batches:
-            held = np.concatenate([held, np.stack([batch.column(i).to_numpy() for i in range(4)], axis=1).astype(np.int64)])
-            whole = np.flatnonzero((np.diff(held[:, :2], axis=0) != 0).any(axis=1))
-            if len(whole):
-                yield emit(held[:whole[-1] + 1])
-                held = held[whole[-1] + 1:]
+        held, now = [], None
+        for part, rows in _parts(batches, 4):
+            if held and part != now:
+                yield emit(held)
+                held = []
+            now = part
+            held.append(rows)
         yield emit(held)
 
-    ordered = found.select("id", "of", (F.col("at") - F.col("there")).cast("long").alias("diagonal"), F.col("at").cast("long").alias("at"))
-    return ordered.repartition("id", "of").sortWithinPartitions("id", "of", "diagonal", "at").mapInArrow(run, _STRETCH)
+    return found.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, _STRETCH)
 
 
 def common_words(a: np.ndarray, b: np.ndarray) -> int:
@@ -341,14 +488,17 @@ def aligned(found: DataFrame, docs: DataFrame, margin: int, similarity: float, s
     return per_batch(pairs, run, schema)
 
 
-def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 50, similarity: float = 0.8, k: int = 8,
-             window: int = 16, shortest: int = 12, gap: int = 3, short: int = 4) -> DataFrame:
+def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 50, similarity: float = 0.8, k: int = 4,
+             margin: int = 24, shortest: int = 12, gap: int = 3, share: float = 0.3) -> DataFrame:
     """One row per repeated passage: id, start and end (words), the ids of earlier documents that hold parts of it
     (`sources`), and the least similarity of its parts."""
     docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    # Seeds are as many as words: they are found twice, as they take more room than the texts.
-    chained = stored(stretches(matches(seeds(docs, [(k, window), (short, 1)], least)), min(k, short)), "stretches")
-    parts = aligned(chained, docs, k + window, similarity, shortest)
+    words = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 4
+    bits, parts = min(62, max(1, words).bit_length() + 12), min(1 << 16, max(1, -(-words // _PART)))  # about one seed of 4,096 meets another's hash
+    bits = min(bits, 62 - parts.bit_length())
+    packed = matches(seeds(docs, k, least, bits, parts), parts)
+    chained = stored(stretches(packed, k, least, share, parts), "stretches")
+    parts = aligned(chained, docs, margin, similarity, shortest)
     before = Window.partitionBy("id").orderBy("start", "end")
     reached = F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1))
     islands = (parts.withColumn("new", F.when(F.col("start") <= reached + gap, 0).otherwise(1))

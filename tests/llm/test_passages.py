@@ -110,6 +110,65 @@ def test_passages_with_changed_words_are_found(spark):
     assert all(min(w) >= 30 and max(w) < 50 + s for (i, s) in cases if (w := got[i]))
 
 
+def test_changed_passages_whose_runs_all_stand_in_earlier_documents(spark):
+    rng = random.Random(12)
+    texts, cases = {}, []
+    for step in (5, 8, 10):
+        for _ in range(10):
+            passage = prose(rng, 60)
+            edited = [f"new{rng.randrange(3000)}" if i % step == step - 1 else w for i, w in enumerate(passage)]
+            for i in range(0, 60, step):  # each equal run also in an unrelated document before both
+                texts[len(texts)] = prose(rng, 40) + passage[i:i + step - 1] + prose(rng, 40)
+            cases.append((passage, edited))
+    for passage, _ in cases:
+        texts[len(texts)] = prose(rng, 50) + passage + prose(rng, 50)
+    first = len(texts)
+    for _, edited in cases:
+        texts[len(texts)] = prose(rng, 40) + edited + prose(rng, 40)
+    got = covered(spark, texts)
+    found = [len(got[first + n] & set(range(40, 100))) >= 50 for n in range(30)]
+    assert sum(found) >= 28, found
+    assert not any(got[i] for i in range(first))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 5), st.integers(0, 6), st.integers(0, 2)), max_size=40, unique_by=lambda r: r[1:3]), st.integers(0, 40))
+def test_seeds_meet_the_earliest_documents_in_one_go_or_in_pieces(rows, cut):
+    def want(keys):
+        out = set()
+        for s, i, at, c in rows:
+            i0, at0 = min((r[1], r[2]) for r in rows if all(r[x] == (s, i, at, c)[x] for x in keys))
+            if i > i0:
+                out.add((i, i0, at - at0, at))
+        return out
+
+    given_rows = np.array(rows, np.int64).reshape(-1, 4)
+    got, _ = passages.meet(given_rows)
+    assert {tuple(r) for r in got.tolist()} == want((0,)) | want((0, 3))
+    _, firsts = passages.meet(given_rows[:cut])
+    _, both = passages.meet(np.concatenate([firsts, given_rows[cut:]]))
+    assert both.tolist() == passages.meet(given_rows)[1].tolist()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 1 << 50), st.integers(-(1 << 62), 1 << 62), st.integers(-5, 5)), max_size=30))
+def test_packed_columns_come_back(rows):
+    columns = np.array(sorted(rows), np.int64).reshape(-1, 3)
+    assert passages.unpack(passages.pack(*columns.T), 3).tolist() == columns.tolist()
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 60)), max_size=40))
+def test_dense_matches(places):
+    rows = np.array([(i, 0, 0, at) for i, at in sorted(places)], np.int64).reshape(-1, 4)
+    want = []
+    for i, _, _, at in rows.tolist():
+        starts = sorted({a for j, a in places if j == i})
+        # A window begins at a run and holds whole runs.
+        want.append(any(low <= at <= low + 16 and len({w for a in starts if low <= a <= low + 16 for w in range(a, a + 4)}) >= 0.3 * 20 for low in starts))
+    assert passages.dense(rows, 4, 20, 0.3).tolist() == want
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 5), max_size=40), st.lists(st.integers(0, 5), max_size=40))
 def test_parts_of_an_alignment(a, b):
