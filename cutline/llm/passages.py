@@ -8,8 +8,8 @@ have the same surroundings, and chance gives them to few others. Seeds are excha
 A document's matches count where `share` of some `least` words are in matched runs. Matches of one pair of
 documents on one diagonal make a fragment. Fragments are chained: a chain follows both documents forward and pays for the
 words it skips on either side; the best predecessor of each fragment is found in a Fenwick tree over the anchor's places.
-Chains, cut where they skip much, and each fragment of such a chain are aligned, but for those inside another stretch of their
-document: ends are extended while words are equal, and
+Pairs of documents with one match only have none. Chains, cut where they skip much, and each fragment of such a chain are aligned, but for what lies inside a run of
+another that skips single words only: ends are extended while words are equal, and
 the words in common (a longest common subsequence) must be at least `similarity` of the longer side. The parts of a stretch are
 judged by themselves as well: those whose equal words outweigh the words skipped between them, along the fragment's diagonal and
 along the common subsequence, and past changed words at their ends, so that an equal run is kept whatever stands near it. Aligned stretches of a document, whatever
@@ -63,7 +63,7 @@ def contexts(block: Block, owner: np.ndarray, place: np.ndarray, seed: np.ndarra
     out = np.zeros(len(seed), np.uint64)
     for n in range(4):
         least = np.full(total, np.inf)
-        draw = mix(block.hashes + np.uint64(n + 1) * _SALT)
+        draw = mix(block.hashes + np.uint64((n + 1) * int(_SALT) % (1 << 64)))
         least[padded] = -np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / size**2
         width = 1
         while width * 2 <= _NEAR:
@@ -135,7 +135,12 @@ def meet(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Matches (id, of, diagonal, at) of seed rows (seed, id, place, surroundings): each with the first place of the earliest
     document that has the seed, and of the earliest one that has it in the same surroundings. Also returns these first places,
     which are all that later rows need to know."""
-    found, kept = [], []
+    seed = np.ascontiguousarray(rows[:, 0])
+    order = np.argsort(seed, kind="stable")  # of a few sorted runs
+    same = np.diff(seed[order]) == 0
+    several = np.append(same, False) | np.append(False, same) if len(rows) else np.zeros(0, bool)
+    alone, rows = rows[order[~several]], rows[order[several]]
+    found, kept = [], [alone]
     for key in ((0,), (0, 3)):
         order = np.lexsort((rows[:, 2], rows[:, 1], *(rows[:, c] for c in key[::-1])))
         r = rows[order]
@@ -147,7 +152,7 @@ def meet(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         on = r[:, 1] > first[:, 1]
         found.append(np.stack([r[on, 1], first[on, 1], r[on, 2] - first[on, 2], r[on, 2]], axis=1))
         kept.append(r[new])
-    return np.concatenate(found), np.unique(np.concatenate(kept), axis=0)
+    return np.concatenate(found), np.concatenate(kept)
 
 
 def matches(found: DataFrame, parts: int) -> DataFrame:
@@ -294,14 +299,32 @@ def _stretches(rows: np.ndarray, k: int) -> np.ndarray:
     return np.stack([found[:, 0], found[:, 1], found[:, 2], found[:, 3] + k, found[:, 4], found[:, 5] + k], axis=1)
 
 
-def outer(found: np.ndarray) -> np.ndarray:
-    """The stretches (id, of, start, end, ...) that don't lie wholly inside another of their document, of those with equal places one."""
-    order = np.lexsort((found[:, 1], -found[:, 3], found[:, 2], found[:, 0]))
-    found = found[order]
-    _, doc = np.unique(found[:, 0], return_inverse=True)
-    far = doc.astype(np.int64) << 40
-    reached = np.maximum.accumulate(far + found[:, 3])
-    return found[np.append(True, far[1:] + found[1:, 3] > reached[:-1])[:len(found)]]
+def solid(rows: np.ndarray, k: int) -> np.ndarray:
+    """(id, of, start, end) of the runs of matches (id, of, diagonal, at), sorted, that skip no more than single words and have
+    at least 4k words: these are similar enough in any case."""
+    new = np.append(True, (np.diff(rows[:, :3], axis=0) != 0).any(axis=1) | (np.diff(rows[:, 3]) > k + 1))[:len(rows)]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(rows))[:len(first)] - 1
+    out = np.stack([rows[first, 0], rows[first, 1], rows[first, 3], rows[last, 3] + k], axis=1)
+    return out[out[:, 3] - out[:, 2] >= 4 * k]
+
+
+def outer(found: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """The stretches (id, of, start, end, ...) that don't lie inside a solid run of their document and
+    another earlier one."""
+    if not len(found) or not len(runs):
+        return found
+    runs = runs[np.lexsort((runs[:, 1], -runs[:, 3], runs[:, 2], runs[:, 0]))]
+    docs = np.unique(runs[:, 0])
+    far = np.searchsorted(docs, runs[:, 0]) << 40
+    ends = far + runs[:, 3]
+    best = np.maximum.accumulate(ends)
+    holder = np.maximum.accumulate(np.where(ends > np.append(-1, best[:-1]), np.arange(len(runs)), 0))
+    doc = np.minimum(np.searchsorted(docs, found[:, 0]), len(docs) - 1)
+    at = np.searchsorted(far + runs[:, 2], (doc << 40) + found[:, 2], side="right") - 1  # the last run that begins no later
+    by = runs[holder[np.maximum(at, 0)]]
+    inside = (at >= 0) & (by[:, 0] == found[:, 0]) & (by[:, 3] >= found[:, 3])
+    return found[~inside | (by[:, 1] == found[:, 1])]  # a long run is cut into several stretches
 
 
 def stretches(found: DataFrame, k: int, least: int, share: float, parts: int) -> DataFrame:
@@ -312,7 +335,9 @@ def stretches(found: DataFrame, k: int, least: int, share: float, parts: int) ->
             rows = np.concatenate([np.zeros((0, 4), np.int64), *held])
             rows = rows[dense(rows, k, least, share)]
             rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
-            got = outer(_stretches(rows, k)) if len(rows) else np.zeros((0, 6), np.int64)
+            same = (np.diff(rows[:, :2], axis=0) == 0).all(axis=1)  # a pair of documents with one match has no chain
+            rows = rows[(np.append(same, False) | np.append(False, same))[:len(rows)]]
+            got = outer(_stretches(rows, k), solid(rows, k)) if len(rows) else np.zeros((0, 6), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(got[:, i]) for i in range(6)], names=_STRETCH.fieldNames())
 
         held, now = [], None

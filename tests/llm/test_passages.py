@@ -110,6 +110,13 @@ def test_passages_with_changed_words_are_found(spark):
     assert all(min(w) >= 30 and max(w) < 50 + s for (i, s) in cases if (w := got[i]))
 
 
+def test_long_copies_are_found_whole(spark):
+    rng = random.Random(13)
+    long = prose(rng, 2500)
+    got = covered(spark, {0: long[:1068], 1: long[:1068], 2: long, 3: prose(rng, 30) + long[100:2500], 4: long[:1025], 5: long[1000:2100]})
+    assert [len(got[i]) for i in range(6)] == [0, 1068, 1068, 2400, 1025, 1100]
+
+
 def test_changed_passages_whose_runs_all_stand_in_earlier_documents(spark):
     rng = random.Random(12)
     texts, cases = {}, []
@@ -147,7 +154,16 @@ def test_seeds_meet_the_earliest_documents_in_one_go_or_in_pieces(rows, cut):
     assert {tuple(r) for r in got.tolist()} == want((0,)) | want((0, 3))
     _, firsts = passages.meet(given_rows[:cut])
     _, both = passages.meet(np.concatenate([firsts, given_rows[cut:]]))
-    assert both.tolist() == passages.meet(given_rows)[1].tolist()
+    assert np.unique(both, axis=0).tolist() == np.unique(passages.meet(given_rows)[1], axis=0).tolist()
+
+
+def test_stretches_inside_a_solid_run_of_another_document_go():
+    match = [(7, 1, 3, at) for at in range(10, 40)] + [(7, 2, 0, 20), (7, 2, 0, 30), (7, 3, 0, 38), (7, 3, 0, 45), (7, 4, 0, 60), (7, 5, 3, 9), (9, 2, 0, 20), (9, 2, 0, 30)]
+    rows = np.array(sorted(match), np.int64)
+    runs = passages.solid(rows, 4)
+    assert runs.tolist() == [[7, 1, 10, 43]]
+    found = np.array([(7, 1, 10, 43, 7, 40), (7, 2, 20, 34, 20, 34), (7, 3, 38, 49, 38, 49), (7, 4, 60, 64, 60, 64), (9, 2, 20, 34, 20, 34)], np.int64)
+    assert passages.outer(found, runs)[:, :3].tolist() == [[7, 1, 10], [7, 3, 38], [7, 4, 60], [9, 2, 20]]
 
 
 @settings(max_examples=60, deadline=None)
