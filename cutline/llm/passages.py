@@ -4,7 +4,7 @@ Every run of `k` words is a seed, with 16 bits of its surroundings: the least we
 it. A seed of a document is matched with the first place of the earliest document (by id) that has the run, and of the earliest
 that has it in the same surroundings, never with all others, so matches are at most two for each word. The second kind keeps a
 changed passage together whose runs also stand in unrelated earlier documents: about two of three runs in text that is 80 % equal
-have the same surroundings, and chance gives them to few others. Seeds are exchanged once, sorted and packed, about seven bytes a word.
+have the same surroundings, and chance gives them to few others. Seeds are exchanged once, sorted and packed, about eight bytes a word.
 A document's matches count where `share` of some `least` words are in matched runs. Matches of one pair of
 documents on one diagonal make a fragment. Fragments are chained: a chain follows both documents forward and pays for the
 words it skips on either side; the best predecessor of each fragment is found in a Fenwick tree over the anchor's places.
