@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and the benchmark; a cluster brings its own."""
@@ -43,10 +45,16 @@ def checkpoint_root(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a frame that several branches read into the shared folder and read it
     back: later plans start from a scan that prunes columns, and a lost executor
-    re-reads files."""
+    re-reads files. Files of its own exchanges are not needed any more and go at its
+    end; the session's own setting is restored."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/cutline-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
