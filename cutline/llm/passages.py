@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from cutline.llm.frames import among, lists, marked, per_batch, stored
+from cutline.llm.frames import among, arrow_type, few, lists, marked, not_among, per_batch, stored
 from cutline.llm.words import Block, blocks, mix, shingles, utf8
 
 _LONGEST = 1024  # words of a fragment that are aligned at once
@@ -40,6 +40,7 @@ _NEAR = 24  # words before or behind a seed that are its surroundings
 _SALT = np.uint64(0x9E3779B97F4A7C15)
 _HELD = 1 << 20  # seeds or matches that a task holds before it packs them
 _PART = 1 << 20  # words for each part of the seeds
+_OFTEN = 1024  # pairs for each copy of a document's words
 
 
 def seeds_of(block: Block, k: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -262,7 +263,8 @@ def chains(x0: np.ndarray, x1: np.ndarray, y0: np.ndarray, y1: np.ndarray, weigh
     return out
 
 
-_STRETCH = T.StructType([T.StructField(n, T.LongType()) for n in ("id", "of", "start", "end", "there", "there_end")])
+_SIDES = ("start", "end", "low", "high"), ("there", "there_end", "there_low", "there_high")
+_PAIR = T.StructType([T.StructField("id", T.LongType()), T.StructField("of", T.LongType()), *(T.StructField(n, T.ArrayType(T.IntegerType())) for side in _SIDES for n in side)])
 
 
 def _stretches(rows: np.ndarray, k: int) -> np.ndarray:
@@ -327,8 +329,35 @@ def outer(found: np.ndarray, runs: np.ndarray) -> np.ndarray:
     return found[~inside | (by[:, 1] == found[:, 1])]  # a long run is cut into several stretches
 
 
-def stretches(found: DataFrame, k: int, least: int, share: float, parts: int) -> DataFrame:
-    """Chained matches of the documents of a part, whose matches are at most two for each of their words."""
+def pieces(group: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Group, low and high of the ranges [low, high) of each group, ascending groups, joined where they overlap or touch."""
+    order = np.lexsort((low, group))
+    group, low, high = group[order], low[order], high[order]
+    reached = np.maximum.accumulate((group << 40) + high)
+    new = np.append(True, (group[1:] << 40) + low[1:] > reached[:-1])[:len(low)]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(low))[:len(first)] - 1
+    return group[first], low[first], reached[last] - (group[last] << 40)
+
+
+def _pairs(found: np.ndarray, margin: int) -> pa.RecordBatch:
+    """Stretches as one row for each pair of documents, with the ranges of words that they and their margins cover on either
+    side: stretches of a pair overlap much, and each word is sent once."""
+    found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
+    new = np.append(True, (np.diff(found[:, :2], axis=0) != 0).any(axis=1))[:len(found)]
+    first, group = np.flatnonzero(new), np.cumsum(new) - 1
+    columns = [pa.array(found[first, 0]), pa.array(found[first, 1])]
+    at = np.append(first, len(found))
+    for start in (2, 4):
+        of, low, high = pieces(group, np.maximum(found[:, start] - margin, 0), found[:, start + 1] + margin)
+        columns += [lists(found[:, c].astype(np.int32), at, pa.int32()) for c in (start, start + 1)]
+        between = np.searchsorted(of, np.arange(len(first) + 1))
+        columns += [lists(c.astype(np.int32), between, pa.int32()) for c in (low, high)]
+    return pa.RecordBatch.from_arrays(columns, names=_PAIR.fieldNames())
+
+
+def stretches(found: DataFrame, k: int, least: int, share: float, parts: int, margin: int) -> DataFrame:
+    """Chained matches of the documents of a part, whose matches are at most two for each of their words, by pairs of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -338,7 +367,7 @@ def stretches(found: DataFrame, k: int, least: int, share: float, parts: int) ->
             same = (np.diff(rows[:, :2], axis=0) == 0).all(axis=1)  # a pair of documents with one match has no chain
             rows = rows[(np.append(same, False) | np.append(False, same))[:len(rows)]]
             got = outer(_stretches(rows, k), solid(rows, k)) if len(rows) else np.zeros((0, 6), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(got[:, i]) for i in range(6)], names=_STRETCH.fieldNames())
+            return _pairs(got, margin)
 
         held, now = [], None
         for part, rows in _parts(batches, 4):
@@ -349,7 +378,7 @@ def stretches(found: DataFrame, k: int, least: int, share: float, parts: int) ->
             held.append(rows)
         yield emit(held)
 
-    return found.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, _STRETCH)
+    return found.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, _PAIR)
 
 
 def common_words(a: np.ndarray, b: np.ndarray) -> int:
@@ -412,11 +441,11 @@ def segments(x: np.ndarray, y: np.ndarray, similarity: float) -> list[tuple[int,
     score is above 0 only if its share is enough, and every equal run lies whole in one part (Ruzzo and Tompa)."""
     if not len(x):
         return []
-    skipped = np.maximum(np.diff(x), np.diff(y)) - 1
-    cut = np.flatnonzero(skipped > 0)
-    first, last = np.append(0, cut + 1), np.append(cut, len(x) - 1)
+    skipped = np.maximum(x[1:] - x[:-1], y[1:] - y[:-1]) - 1
+    cut = skipped.nonzero()[0]
+    ends = cut.tolist()
     total, parts, tie = 0.0, [], 1e-9
-    for f, n, price in zip(first.tolist(), last.tolist(), [0.0, *(similarity * skipped[cut]).tolist()], strict=True):
+    for f, n, price in zip([0, *(i + 1 for i in ends)], [*ends, len(x) - 1], [0.0, *(similarity * skipped[cut]).tolist()], strict=True):
         low = total - price
         total = low + (1 - similarity) * (n - f + 1)
         while True:
@@ -431,11 +460,15 @@ def segments(x: np.ndarray, y: np.ndarray, similarity: float) -> list[tuple[int,
     return [(int(x[f]), int(x[n]) + 1, int(y[f]), int(y[n]) + 1, n - f + 1) for f, n, _, _ in parts]
 
 
+def _in_common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many words of `a` are in `b`, at whatever place."""
+    return sum(map(set(b.tolist()).__contains__, a.tolist()))
+
+
 def parts_of(a: np.ndarray, b: np.ndarray, a0: int, a1: int, b0: int, b1: int, similarity: float, shortest: int) -> list[tuple[int, int, int, int, float]]:
     """The similar enough parts near a stretch, not too short, with their similarity: the whole of it if it is, what is similar
     along its diagonals, and the best of these together with what can be aligned before and behind it."""
-    there = set(b.tolist())
-    if sum(w in there for w in a.tolist()) < similarity * shortest:  # no part of that length can be similar enough
+    if _in_common(a, b) < similarity * shortest:  # no part of that length can be similar enough
         return []
     a0, a1, b0, b1, same = align(a, b, a0, a1, b0, b1, similarity)
     found = []
@@ -447,9 +480,12 @@ def parts_of(a: np.ndarray, b: np.ndarray, a0: int, a1: int, b0: int, b1: int, s
         found.append((a0, a1, b0, b1, same))
     if found:
         x0, x1, y0, y1, _ = max(found, key=lambda p: p[4])
-        ends = (0, x0, 0, y0), (x0, x1, y0, y1), (x1, len(a), y1, len(b))
+        # Behind a skipped word, only words in common that outweigh it make a part longer.
+        ends = [e for e in ((0, x0, 0, y0), (x1, len(a), y1, len(b)))
+                if _in_common(a[e[0]:e[1]], b[e[2]:e[3]]) * (1 - similarity) > similarity - 1e-9]
+        ends = sorted([*ends, (x0, x1, y0, y1)]) if ends else []
     else:
-        ends = ((0, len(a), 0, len(b)),)
+        ends = [(0, len(a), 0, len(b))]
     path = []
     for x0, x1, y0, y1 in ends:
         p, q = a[x0:x1], b[y0:y1]
@@ -458,7 +494,8 @@ def parts_of(a: np.ndarray, b: np.ndarray, a0: int, a1: int, b0: int, b1: int, s
         else:
             x, y = common_places(p, q)
         path.append((x0 + x, y0 + y))
-    found += segments(np.concatenate([x for x, _ in path]), np.concatenate([y for _, y in path]), similarity)
+    if path:
+        found += segments(np.concatenate([x for x, _ in path]), np.concatenate([y for _, y in path]), similarity)
     out, reached = [], -1
     for x0, x1, y0, y1, same in sorted(found, key=lambda p: (p[0], -p[1])):
         share = same / max(x1 - x0, y1 - y0)
@@ -481,36 +518,62 @@ def _word_arrays(docs: DataFrame) -> DataFrame:
     return per_batch(docs, run, schema, rows=500)
 
 
-def aligned(found: DataFrame, docs: DataFrame, margin: int, similarity: float, shortest: int, salts: int = 32) -> DataFrame:
+def _one_text(docs: DataFrame) -> DataFrame:
+    """The greatest text of each id; texts are dealt out only for ids that have several rows."""
+    several = stored(docs.groupBy("id").count().where("count > 1").select("id"), "several-rows")
+    if several.isEmpty():
+        return docs
+    return not_among(docs, several, "id", "id").unionByName(among(docs, several, "id", "id").groupBy("id").agg(F.max("text").alias("text")))
+
+
+def sliced(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """Two rows for each pair, one for each side, with the words that its ranges cover. Each document's words are dealt out once,
+    and once more for every `_OFTEN` pairs that it is in, so that an anchor of very many pairs is not read by one task."""
+    sides = [F.struct(F.col(doc).alias("doc"), F.lit(i).alias("side"), *(F.col(n).alias(m) for n, m in zip(names, _SIDES[0], strict=True)))
+             for i, (doc, names) in enumerate(zip(("id", "of"), _SIDES, strict=True))]
+    wanted = found.select("id", "of", F.explode(F.array(*sides)).alias("row")).select("id", "of", "row.*")
+    named = few(stored(wanted.groupBy("doc").agg(F.ceil(F.count("*") / _OFTEN).alias("copies")), "named"))
+    often = few(stored(named.where("copies > 1"), "often"))
+    words = _word_arrays(marked(_one_text(docs), named, "id", "doc").where("_may").select("id", "text")).withColumnRenamed("id", "doc")
+    words = words.join(often, "doc", "left").select("doc", "words", F.explode(F.sequence(F.lit(1), F.coalesce(F.col("copies"), F.lit(1)).cast("int"))).alias("copy"))
+    wanted = wanted.join(often, "doc", "left").withColumn("copy", F.pmod(F.xxhash64("id", "of"), F.coalesce("copies", F.lit(1))).cast("int") + 1)
+    covered = F.expr("flatten(transform(arrays_zip(low, high), r -> slice(words, r.low + 1, r.high - r.low)))")
+    return wanted.join(words, ["doc", "copy"]).select("id", "of", "side", *_SIDES[0], covered.alias("words"))
+
+
+def aligned(found: DataFrame, docs: DataFrame, margin: int, similarity: float, shortest: int) -> DataFrame:
     """The parts of the stretches, extended, that are similar enough and not too short, with their similarity."""
-    named = found.select("id").unionByName(found.select(F.col("of").alias("id"))).distinct()
-    words = stored(_word_arrays(among(docs, stored(named, "named"), "id", "id").groupBy("id").agg(F.max("text").alias("text"))), "word-arrays")
-    low, there_low = F.greatest(F.lit(0).cast("long"), F.col("start") - margin), F.greatest(F.lit(0).cast("long"), F.col("there") - margin)
-    left = (found.join(words, "id").withColumn("low", low)
-            .withColumn("a", F.slice("words", (F.col("low") + 1).cast("int"), (F.col("end") - F.col("low") + margin).cast("int"))).drop("words")
-            .withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts))))
-    # An anchor may be in very many stretches: its words are copied for each salt in use.
-    right = (found.select("of", F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt")).distinct()
-             .join(words.select(F.col("id").alias("of"), F.col("words").alias("of_words")), "of"))
-    pairs = (left.join(right, ["of", "salt"]).withColumn("there_low", there_low)
-             .withColumn("b", F.slice("of_words", (F.col("there_low") + 1).cast("int"), (F.col("there_end") - F.col("there_low") + margin).cast("int")))
-             .select("id", "of", "start", "end", "there", "there_end", "low", "there_low", "a", "b"))
-    schema = T.StructType([*_STRETCH.fields, T.StructField("similarity", T.DoubleType())])
+    schema = T.StructType([*(T.StructField(n, T.LongType()) for n in ("id", "of", "start", "end", "there", "there_end")), T.StructField("similarity", T.DoubleType())])
 
-    def run(batch: pa.RecordBatch) -> dict:
-        n = {c: batch.column(c).to_numpy() for c in ("id", "of", "start", "end", "there", "there_end", "low", "there_low")}
-        out = []
-        for side in "ab":
-            column = batch.column(side)
-            n[side] = (column.values.to_numpy(), column.offsets.to_numpy())
-        for i in range(batch.num_rows):
-            a, b = (n[s][0][n[s][1][i]:n[s][1][i + 1]] for s in "ab")
-            base, there = n["low"][i], n["there_low"][i]
-            for a0, a1, b0, b1, share in parts_of(a, b, n["start"][i] - base, n["end"][i] - base, n["there"][i] - there, n["there_end"][i] - there, similarity, shortest):
-                out.append((n["id"][i], n["of"][i], a0 + base, a1 + base, b0 + there, b1 + there, share))
-        return {name: [row[i] for row in out] for i, name in enumerate(schema.fieldNames())}
+    def near(side: dict) -> Iterator[tuple[np.ndarray, int, int, int]]:
+        """The words of each stretch with its margins, where they begin in the document, and the stretch among them."""
+        begins = np.append(0, np.cumsum(side["high"] - side["low"]))
+        at = np.searchsorted(side["low"], side["start"], side="right") - 1
+        low = np.maximum(side["start"] - margin, 0)
+        first = begins[at] + low - side["low"][at]
+        for f, n, base, s, e in zip(first.tolist(), (first + side["end"] + margin - low).tolist(), low.tolist(), (side["start"] - low).tolist(), (side["end"] - low).tolist(), strict=True):
+            yield side["words"][f:n], base, s, e
 
-    return per_batch(pairs, run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = None
+        for batch in batches:
+            ids, ofs, sides = (batch.column(c).to_pylist() for c in ("id", "of", "side"))
+            flat = {c: (batch.column(c).values.to_numpy(), batch.column(c).offsets.to_numpy()) for c in (*_SIDES[0], "words")}
+            out = []
+            for i, side in enumerate(sides):
+                row = {c: values[at[i]:at[i + 1]] if c == "words" else values[at[i]:at[i + 1]].astype(np.int64) for c, (values, at) in flat.items()}
+                if side == 0:
+                    here = (ids[i], ofs[i], row)
+                elif here and here[:2] == (ids[i], ofs[i]):
+                    for (a, base, s, e), (b, there, t, u) in zip(near(here[2]), near(row), strict=True):
+                        out += [(ids[i], ofs[i], a0 + base, a1 + base, b0 + there, b1 + there, share)
+                                for a0, a1, b0, b1, share in parts_of(a, b, s, min(e, len(a)), t, min(u, len(b)), similarity, shortest)]
+            if here:  # its other side may be in the next batch
+                here = (*here[:2], {c: v.copy() for c, v in here[2].items()})
+            yield pa.RecordBatch.from_pydict({f.name: [row[n] for row in out] for n, f in enumerate(schema.fields)}, schema=arrow)
+
+    arrow = pa.schema([(f.name, arrow_type(f.dataType)) for f in schema.fields])
+    return sliced(found, docs).repartition("id", "of").sortWithinPartitions("id", "of", "side").mapInArrow(run, schema)
 
 
 def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 50, similarity: float = 0.8, k: int = 4,
@@ -522,8 +585,8 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     bits, parts = min(62, max(1, words).bit_length() + 12), min(1 << 16, max(1, -(-words // _PART)))  # about one seed of 4,096 meets another's hash
     bits = min(bits, 62 - parts.bit_length())
     packed = matches(seeds(docs, k, least, bits, parts), parts)
-    chained = stored(stretches(packed, k, least, share, parts), "stretches")
-    parts = aligned(chained, docs, margin, similarity, shortest)
+    chained = stored(stretches(packed, k, least, share, parts, margin), "stretches")
+    parts = stored(aligned(chained, docs, margin, similarity, shortest), "aligned")
     before = Window.partitionBy("id").orderBy("start", "end")
     reached = F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1))
     islands = (parts.withColumn("new", F.when(F.col("start") <= reached + gap, 0).otherwise(1))
