@@ -468,14 +468,20 @@ def _in_common(a: np.ndarray, b: np.ndarray) -> int:
 def parts_of(a: np.ndarray, b: np.ndarray, a0: int, a1: int, b0: int, b1: int, similarity: float, shortest: int) -> list[tuple[int, int, int, int, float]]:
     """The similar enough parts near a stretch, not too short, with their similarity: the whole of it if it is, what is similar
     along its diagonals, and the best of these together with what can be aligned before and behind it."""
-    if _in_common(a, b) < similarity * shortest:  # no part of that length can be similar enough
-        return []
-    a0, a1, b0, b1, same = align(a, b, a0, a1, b0, b1, similarity)
-    found = []
+    found, near = [], []
     for d in {b0 - a0, b1 - a1}:
         low, high = max(0, -d), min(len(a), len(b) - d)
-        x = low + np.flatnonzero(a[low:high] == b[low + d:high + d])
-        found += segments(x, x + d, similarity)
+        x = (a[low:high] == b[low + d:high + d]).nonzero()[0]
+        near.append(len(x))
+        if len(x) == len(a) >= shortest:  # all of it is equal
+            return [(0, len(a), d, len(a) + d, 1.0)]
+        found += segments(x + low if low else x, x + (low + d), similarity)
+        if len(a) >= shortest and (found and found[-1][:2] == (0, len(a))):  # all of it is similar enough
+            x0, x1, y0, y1, same = found[-1]
+            return [(x0, x1, y0, y1, same / max(x1 - x0, y1 - y0))]
+    if max(near) < similarity * shortest and _in_common(a, b) < similarity * shortest:  # no part of that length can be similar enough
+        return []
+    a0, a1, b0, b1, same = align(a, b, a0, a1, b0, b1, similarity)
     if same >= similarity * max(a1 - a0, b1 - b0):
         found.append((a0, a1, b0, b1, same))
     if found:
