@@ -238,3 +238,20 @@ def test_removing_words_keeps_the_rest_as_it_is():
     assert passages.remove("One, two THREE!  four\nfive.", [1, 3], [2, 4]) == "One, THREE!  five."
     assert passages.remove("One two", [0], [2]) == ""
     assert passages.remove(None, [0], [1]) is None
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 60), st.integers(1, 20)), max_size=30))
+def test_pieces_cover_what_their_ranges_cover(ranges):
+    group, low, size = (np.array([r[i] for r in ranges], np.int64) for i in range(3))
+    found = list(zip(*(c.tolist() for c in passages.pieces(group, low, low + size)), strict=True))
+    assert {(g, w) for g, a, b in found for w in range(a, b)} == {(g, w) for g, a, n in ranges for w in range(a, a + n)}
+    assert sum(b - a for _, a, b in found) == len({(g, w) for g, a, n in ranges for w in range(a, a + n)})
+    assert found == sorted(found)
+
+
+def test_copies_of_an_anchor_in_many_pairs_change_nothing(spark, monkeypatch):
+    docs = spark.createDataFrame(planted()[0], "doc_id long, text string")
+    whole = sorted(map(tuple, passages.passages(docs).collect()))
+    monkeypatch.setattr(passages, "_OFTEN", 1)
+    assert sorted(map(tuple, passages.passages(docs).collect())) == whole and whole
