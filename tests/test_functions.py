@@ -75,6 +75,13 @@ def test_only_the_given_references_are_replaced_in_turn(spark):
     assert got == ' a&amp b&lt;\u00a0&&c&quot;d\x0b" © '
 
 
+def test_halves_are_rounded_by_their_binary_value(spark):
+    values = [1.3689045 / 3, 0.0955125 / 3, 0.3774315 / 3, 2.5, -2.5e-6, 0.0, -1.25, 1e300, None]
+    want = [0.456302, 0.031837, 0.12581, 2.5, -3e-6, 0.0, -1.25, 1e300, None]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").select(S.half_away(F.col("x"), 6)).collect()]
+    assert got == want
+
+
 def grid_of(spark, note, verified=()):
     pages = spark.createDataFrame([(1, PAGE % note)], "page_id int, html string").withColumn("text", X.page_text(F.col("html")))
     ok = spark.createDataFrame(list(verified), "page_id int, code string")
