@@ -9,6 +9,22 @@ from helpers import rows
 from cutline.sources import pages as G, sessions as Z, tables as B
 
 
+def test_pages_hold_few_rows_and_still_cut_events_apart(spark):
+    from cutline.plans.q_sources import paged
+    from cutline.sources.star import Star
+
+    held = spark.range(400).select(F.lit(1998).cast("bigint").alias("season"), F.floor(F.col("id") / 8).alias("event"), F.col("id").alias("entity"))
+    pages, _ = paged(Star(spark, ""), held, "driverstandings", F.struct(F.col("entity").cast("string").alias("position")), rows_a_page=10)
+    found = G.page_rows(pages, "driverstandings").select("round", "r.position").cache()
+    G.require_complete(pages, G.page_rows(pages, "driverstandings"))
+    sizes = [r[0] for r in pages.select(F.aggregate("events", F.lit(0), lambda n, e: n + F.size(e["DriverStandings"]))).collect()]
+    assert sum(sizes) == 400 and max(sizes) < 60
+    assert rows(found.select(F.col("position").cast("int"))) == sorted([(i,) for i in range(400)], key=repr)
+    assert pages.select("request").distinct().count() == 1
+    cut = pages.select(F.explode("events.round").alias("round")).groupBy("round").count().where("count > 1").count()
+    assert cut > 40
+
+
 def test_null_token_and_nullable_integers(spark, tmp_path):
     (tmp_path / "qualifying.csv").write_text('qualifyId,raceId,driverId,constructorId,number,position,q1,q2,q3\n'
                                              '1,18,1,1,22.0,1,"1:26.572","",\\N\n2,18,2,\\N,4,x,"a ""b"", c",1:25.0,\n')
