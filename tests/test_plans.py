@@ -261,3 +261,21 @@ def test_a_name_is_registered_once():
     registry.load_all()
     with pytest.raises(ValueError):
         registry.query("elo")(lambda star: None)
+
+
+def test_the_frame_is_built_in_stored_parts_of_which_the_last_stays(spark):
+    from pathlib import Path
+
+    from cutline.plans import features as P
+    from cutline.session import checkpoint_root
+    from cutline.sources.star import Star
+
+    def folders(name):
+        return set(Path(checkpoint_root(spark).removeprefix("file:")).glob(f"cutline-{name}-*"))
+
+    parts = ("frame-entity", "frame-group", "frame-venue", "frame-standing")
+    before = {p: folders(p) for p in parts}
+    df = P.build(Star(spark, "/root/testdata/sf0.001").feature_tables(), P.PRE)
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [len(folders(p) - before[p]) for p in parts] == [0, 0, 0, 1]
+    assert df.count() == df.select("event", "entity").distinct().count() > 0
