@@ -279,3 +279,21 @@ def test_the_frame_is_built_in_stored_parts_of_which_the_last_stays(spark):
     assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
     assert [len(folders(p) - before[p]) for p in parts] == [0, 0, 0, 1]
     assert df.count() == df.select("event", "entity").distinct().count() > 0
+
+
+def test_the_audit_builds_a_given_whole_frame_no_second_time(spark):
+    from types import SimpleNamespace
+
+    from cutline.plans import features as P
+
+    names, built = P.features_for(P.PRE), []
+    events = spark.createDataFrame([(1, 1998), (2, 1999)], "event bigint, season bigint")
+
+    def frame(t, snapshot, value=0.0):
+        built.append(t)
+        return t.events.select("event", F.lit(1).alias("entity"), *[F.lit(value).alias(n) for n in names])
+
+    t = SimpleNamespace(events=events, before=lambda cut: SimpleNamespace(events=events.where(F.col("season") < cut)))
+    whole = frame(t, P.PRE, 1.0)
+    found = P.leakage_audit(t, P.PRE, 1999, frame, whole=whole)
+    assert found.count() == len(names) and len(built) == 2
