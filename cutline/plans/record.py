@@ -226,6 +226,18 @@ def full_documents(keys: Sequence[str], values: DataFrame, lists: dict[str, tupl
     return out.select(*keys, F.to_json(F.struct(*keys, *singles, *lists)).alias("document"))
 
 
+_LIST_PART = 1000  # about as many items of a shared list lie in one document
+
+
+def shared_list_documents(keys: Sequence[str], items: DataFrame, name: str, columns: Sequence[str], part_items: int = _LIST_PART) -> DataFrame:
+    """(keys, part, document): a list that all documents of a key share, as documents of its own beside them instead of a copy in each.
+    A long list lies in several parts, so neither rows nor text grow with documents x items."""
+    sizes = items.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(part_items)).cast("int").alias("_parts"))
+    dealt = items.join(sizes, list(keys)).withColumn("part", F.pmod(F.xxhash64(*columns), F.col("_parts")).cast("int"))
+    gathered = dealt.groupBy(*keys, "part").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))  # about part_items
+    return gathered.select(*keys, "part", F.to_json(F.struct(*keys, "part", name)).alias("document"))
+
+
 def current_state(events: DataFrame, results: DataFrame, as_of: Column) -> DataFrame:
     """One row: the last event with results and the next one still to run."""
     held = results.select("event").distinct().withColumn("_held", F.lit(True))

@@ -297,3 +297,21 @@ def test_the_audit_builds_a_given_whole_frame_no_second_time(spark):
     whole = frame(t, P.PRE, 1.0)
     found = P.leakage_audit(t, P.PRE, 1999, frame, whole=whole)
     assert found.count() == len(names) and len(built) == 2
+
+
+def test_a_list_that_documents_share_is_written_once_and_in_parts(spark):
+    items = spark.createDataFrame([(1, i) for i in range(95)] + [(2, 7), (2, None)], "event bigint, absent bigint")
+    found = record.shared_list_documents(["event"], items, "absences", ["absent"], 10)
+    read = found.withColumn("d", F.from_json("document", "event bigint, absences array<struct<absent: bigint>>")).collect()
+    held = {e: sorted((x["absent"] for r in read if r["event"] == e for x in r["d"]["absences"]), key=str) for e in (1, 2)}
+    assert held == {1: sorted(range(95), key=str), 2: [7, None]}
+    assert max(len(r["d"]["absences"]) for r in read) < 40 and len([r for r in read if r["event"] == 1]) > 5
+
+
+def test_full_documents_gathers_no_absences_per_author(spark):
+    import __spark_entry__ as entry
+
+    path = "/root/testdata/sf0.001"
+    plan = entry.queries()["full_documents"](spark, path)._jdf.queryExecution().optimizedPlan().toString()
+    lists = [line for line in plan.splitlines() if "collect_list" in line and "absent" in line]
+    assert lists and not any("author" in line for line in lists)
