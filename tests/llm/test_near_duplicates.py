@@ -129,3 +129,27 @@ def test_a_large_group_of_near_copies_equals_brute_force(spark, monkeypatch):
     # Enough bands that every pair similar enough meets.
     got = sorted((tuple(r) for r in near_duplicates.classes(docs, bands=40, rows=3).collect()), key=repr)
     assert got == want
+
+
+def test_buckets_are_compared_whole_within_a_budget_of_pairs(spark):
+    members = spark.createDataFrame([(b, m) for b, m in [(1, 80)] * 80 + [(2, 100)] * 100 + [(3, 100)] * 100 + [(4, 500)] * 500], "bucket bigint, members bigint")
+    pairs = {80: 80 * 79 // 2, 100: 2 * 100 * 99 // 2}
+    assert near_duplicates._most_compared(members, 0) == 64
+    assert near_duplicates._most_compared(members, pairs[80]) == 80
+    assert near_duplicates._most_compared(members, pairs[80] + pairs[100] - 1) == 80
+    assert near_duplicates._most_compared(members, pairs[80] + pairs[100]) == 100
+
+
+def test_links_that_change_no_class_cost_no_round(spark, monkeypatch):
+    from cutline.llm import components as graph
+
+    written = []
+    real = near_duplicates.stored
+    for module in (near_duplicates, graph):
+        monkeypatch.setattr(module, "stored", lambda df, name, **k: written.append(name) or real(df, name, **k))
+    roots = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)], "vertex bigint, root bigint")
+    same = near_duplicates._joined(roots, spark.createDataFrame([(2, 3), (8, 7)], "a bigint, b bigint"))
+    assert same is roots and written == ["class-links"]
+    got = near_duplicates._joined(roots, spark.createDataFrame([(8, 3)], "a bigint, b bigint"))
+    assert sorted(map(tuple, got.collect())) == [(1, 1), (2, 1), (3, 1), (7, 1), (8, 1)]
+    assert written.count("large-star") == 1  # two classes joined: the first round changes nothing
