@@ -64,6 +64,23 @@ def test_intervals_bracket_the_mean_and_identical_runs_do_not_differ(spark):
     assert evaluate.paired_difference(worse, a, ["run"], "log_loss", 200).first()["significant"]
 
 
+def test_bootstrap_shares_weights_and_spreads_work(spark):
+    """Means of replicates as the weights give them, for runs of different events; few rows are still dealt over many tasks."""
+    from cutline.functions.chance import poisson_table
+
+    data = [(run, e, (e % 7) / 3 + len(run)) for e in range(300) for run in ("a", "bb", "ccc") if run != "bb" or e % 2]
+    scores = spark.createDataFrame([*data, ("a", 500, None)], "run string, event long, v double").coalesce(1)
+    means = evaluate.replicate_means(scores, ["run"], "v", "event", 40, 5)
+    got = {(r["run"], r["replicate"]): r["mean"] for r in means.collect()}
+    weights = poisson_table(np.arange(300), 40, 5).astype(int)
+    for run in ("a", "bb", "ccc"):
+        e, v = np.array([(e, v) for r, e, v in data if r == run]).T
+        want = (v @ weights[e.astype(int)]) / weights[e.astype(int)].sum(axis=0)
+        assert np.allclose([got[run, i] for i in range(40)], want)
+    plan = means._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "MapInArrow" in plan
+
+
 def entries(spark, n=40, field=6, seed=5):
     rng = np.random.default_rng(seed)
     out = []
