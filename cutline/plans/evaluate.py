@@ -37,9 +37,10 @@ def tie_fair(df: DataFrame, keys: Sequence[str], p: str, plan, **credits: int) -
 def score_events(preds: DataFrame, actual: DataFrame, plan, run: Sequence[str] = (), places: int = 3) -> DataFrame:
     """One row per (run, event): log loss, Brier, and the expected winner and podium hits.
 
-    `preds`: run columns, event, entity, p. `actual`: event, entity, won, podium (0/1).
-    Ties are settled by expectation. A winner outside the field costs a full Brier point."""
+    `preds`: run columns, event, entity, p. `actual`: event, entity, won, podium (0/1); where `preds` have these two as well, they are
+    not looked up again. Ties are settled by expectation. A winner outside the field costs a full Brier point."""
     keys = [*run, "event"]
+    told = {"won", "podium"} <= set(preds.columns)
     fair = tie_fair(preds, keys, "p", plan, _top=1, _place=places)
     # A field given nothing at all keeps nothing, and has no favourites.
     sized = with_totals(fair, keys, plan, _sum=F.sum("p"), _size=F.count("*"))
@@ -47,7 +48,7 @@ def score_events(preds: DataFrame, actual: DataFrame, plan, run: Sequence[str] =
     held = sized.withColumns({
         "p": F.coalesce(F.try_divide("p", "_sum"), F.lit(0.0)), "_top": F.when(some, F.col("_top")).otherwise(0.0),
         "_place": F.when(some | (F.col("_size") <= places), F.col("_place")).otherwise(0.0)})
-    joined = held.join(actual.select("event", "entity", "won", "podium"), ["event", "entity"], "left")
+    joined = held if told else held.join(actual.select("event", "entity", "won", "podium"), ["event", "entity"], "left")
     won, podium = F.coalesce("won", F.lit(0)), F.coalesce("podium", F.lit(0))
     scored = joined.groupBy(*keys).agg(
         F.sum(won).alias("_in_field"), F.sum(F.when(won == 1, F.col("p"))).alias("_p"),

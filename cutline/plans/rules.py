@@ -47,10 +47,11 @@ def position_prior(df: DataFrame, position: str, plan, plan_events, alpha: float
     slot, seen = _seen_by_place(df, position, plan, {"_wins": ("sum", F.col("won")), "_starts": ("sum", F.lit(1))})
     totals = slot.groupBy("event", "ord").agg(F.count("_slot").alias("_c")).withColumn("_all", F.lit(0))
     before = expanding(totals, plan_events(totals, ["_all"], "ord"), {"_every": ("sum", F.col("_c"))})
-    rate = F.when(F.col("_slot").isNotNull(), (F.col("_wins") + alpha) / (F.col("_starts") + alpha * PLACES)).otherwise(
-        alpha / (F.col("_every") + alpha))
-    return seen.join(before.select("event", "_every"), "event").withColumn(
-        name, F.greatest(rate, F.lit(FLOOR))).drop("_slot", "_wins", "_starts", "_every")
+    placed = seen.where("_slot IS NOT NULL").withColumn(name, (F.col("_wins") + alpha) / (F.col("_starts") + alpha * PLACES))
+    # Only rows of unknown place need the starts of all places.
+    unplaced = slot.where("_slot IS NULL").join(before.select("event", "_every"), "event").withColumn(name, alpha / (F.col("_every") + alpha))
+    columns = [*df.columns, F.greatest(name, F.lit(FLOOR)).alias(name)]
+    return placed.select(*columns).unionByName(unplaced.select(*columns))
 
 
 def position_rate(df: DataFrame, position: str, hit: Column, k: int, plan, name: str, alpha: float = 1.0) -> DataFrame:

@@ -332,3 +332,13 @@ def test_full_documents_gathers_no_absences_per_author(spark):
     plan = entry.queries()["full_documents"](spark, path)._jdf.queryExecution().optimizedPlan().toString()
     lists = [line for line in plan.splitlines() if "collect_list" in line and "absent" in line]
     assert lists and not any("author" in line for line in lists)
+
+
+def test_scores_read_outcomes_beside_the_chances(spark, plan):
+    """Outcomes that stand beside the chances are not joined again, and the scores are the same."""
+    data = [(e, i, (i + 1.0) / 10 if e != 3 else 0.0, int(i == e % 4), int(i < 3)) for e in range(8) for i in range(4)]
+    both = spark.createDataFrame(data, "event long, entity long, p double, won int, podium int")
+    actual = both.select("event", "entity", "won", "podium")
+    told = evaluate.score_events(both, actual, plan)
+    assert sorted(told.collect()) == sorted(evaluate.score_events(both.drop("won", "podium"), actual, plan).collect())
+    assert told._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import Window, functions as F
 
 from helpers import rows
-from cutline.operators.spans import Right, Spans, expanding, latest_before, numbered, plan_spans, trailing
+from cutline.operators.spans import LIMIT_KEY, Right, Spans, expanding, latest_before, numbered, plan_spans, trailing
 
 
 def hot(spark, n=600, seed=3):
@@ -79,3 +79,27 @@ def test_plain_plan_has_one_shuffle(spark, capsys):
         "m", F.avg("x").over(Window.partitionBy("key").orderBy("ord").rowsBetween(-2, 0)))
     out.explain()
     assert capsys.readouterr().out.count("Exchange hashpartitioning") == 1
+
+
+def test_even_source_keys_are_not_computed(spark, tmp_path):
+    """A frame grouped by an event is not computed to find its large groups where the source table has none; one whose source has
+    them, or that is grouped by something else, is."""
+    from cutline.sources.star import Star
+
+    even = [(i // 4, i % 7, 1.0) for i in range(400)]
+    for name, rows in (("even", even), ("uneven", even + [(5000, i, 1.0) for i in range(400)])):
+        spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_extendedprice double").write.parquet(f"{tmp_path}/{name}/lineitem.parquet")
+    before = spark.conf.get(LIMIT_KEY, None)
+    spark.conf.set(LIMIT_KEY, "100")
+    try:
+        star = Star(spark, f"{tmp_path}/even")
+        never = spark.range(500).select(F.raise_error(F.lit("computed")).cast("long").alias("event"), F.col("id").alias("season"), F.col("id").alias("ord"))
+        plan = star.planner()
+        assert star.spans(never, ["event"], "ord").cuts is None and not plan.looks(never, ["season", "event"])
+        assert plan.looks(never, ["season"])
+        big = Star(spark, f"{tmp_path}/uneven")
+        rows = big.table("lineitem").select(F.col("l_orderkey").alias("event"), F.col("l_suppkey").alias("ord"))
+        assert big.planner().looks(rows, ["event"])
+        assert [r["event"] for r in big.spans(rows, ["event"], "ord").cuts.collect()] == [5000]
+    finally:
+        spark.conf.unset(LIMIT_KEY) if before is None else spark.conf.set(LIMIT_KEY, before)
