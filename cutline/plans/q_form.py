@@ -184,12 +184,8 @@ SELECT event, count(*) AS laps, CAST(sum(CAST(lap_ms >= 3.0 * med AS INTEGER)) A
 FROM laps JOIN m USING (event) GROUP BY event
 """)
 def median_ratio_flag(star: Star) -> DataFrame:
-    laps = star.laps()
-    plan = star.planner()
-    flagged = peers.ratio_flag(laps, ["event"], "lap_ms", 3.0, "suspended", plan)
-    counts = flagged.groupBy("event").agg(F.count("*").alias("laps"), F.sum(F.col("suspended").cast("int")).alias("flagged"))
-    return counts.join(peers.exact_median(laps, ["event"], "lap_ms", plan, "median_ms"), "event").select(
-        "event", "laps", F.col("flagged").cast("bigint").alias("flagged"), "median_ms")
+    flagged = peers.ratio_flag(star.laps(), ["event"], "lap_ms", 3.0, "suspended", star.planner(times=9), "median_ms")
+    return flagged.groupBy("event").agg(F.count("*").alias("laps"), F.sum(F.col("suspended").cast("bigint")).alias("flagged"), F.max("median_ms").alias("median_ms"))
 
 
 @query("exact_median_by_venue", f"""
@@ -197,7 +193,7 @@ WITH {EVENTS}, {LAPS} SELECT venue, median(lap_ms) AS median_ms, count(*) AS lap
 """)
 def exact_median_by_venue(star: Star) -> DataFrame:
     laps = star.laps().join(star.events().select("event", "venue"), "event")
-    return peers.exact_median(laps, ["venue"], "lap_ms", star.planner(), "median_ms").join(
+    return peers.exact_median(laps, ["venue"], "lap_ms", star.planner(times=9), "median_ms").join(
         laps.groupBy("venue").agg(F.count("*").alias("laps")), "venue")
 
 

@@ -103,3 +103,27 @@ def test_even_source_keys_are_not_computed(spark, tmp_path):
         assert [r["event"] for r in big.spans(rows, ["event"], "ord").cuts.collect()] == [5000]
     finally:
         spark.conf.unset(LIMIT_KEY) if before is None else spark.conf.set(LIMIT_KEY, before)
+
+
+def test_counts_are_kept_where_the_plan_looks_at_them(spark, tmp_path):
+    """A median's counts are written once where its plan computes them to find large groups; lines are exchanged before they become laps."""
+    from cutline.operators import peers
+    from cutline.sources.star import Star
+
+    lines = [(i // 4, i % 7, i, 1, float(i % 9), float(i), "F") for i in range(400)]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    before = spark.conf.get(LIMIT_KEY, None)
+    spark.conf.set(LIMIT_KEY, "360")
+    try:
+        star = Star(spark, str(tmp_path))
+        laps = star.laps()
+        tree = laps._jdf.queryExecution().optimizedPlan().toString()
+        assert 0 <= tree.index("Generate") < tree.index("RepartitionByExpression")
+        kept = peers.exact_median(laps, ["compound"], "lap_ms", star.planner(times=9))
+        assert any("median-counts" in f for f in kept.inputFiles())
+        want = laps.groupBy("compound").agg(F.percentile("lap_ms", 0.5).alias("median"))
+        assert rows(kept) == rows(want)
+        flagged = peers.ratio_flag(laps, ["event"], "lap_ms", 3.0, "slow", star.planner(times=9), "m")
+        assert not any("median-counts" in f for f in flagged.inputFiles()) and "m" in flagged.columns
+    finally:
+        spark.conf.unset(LIMIT_KEY) if before is None else spark.conf.set(LIMIT_KEY, before)
