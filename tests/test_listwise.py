@@ -90,3 +90,13 @@ def test_too_few_events_and_no_rows(frame):
     ranker = listwise.fit(few, COLUMNS, [0, 50], plan)
     assert (ranker.beta[0] == 0).all() and listwise.chances(few, ranker, plan, min_events=6).count() == 0
     assert (listwise.fit(frame.where("event < 0"), COLUMNS, [5], plan).beta == 0).all()
+
+
+def test_events_that_lie_whole_make_no_products_by_entry(frame, monkeypatch):
+    def refused(*_):
+        raise AssertionError("a matrix for each entry")
+
+    expected = listwise.fit(frame, COLUMNS, [3995], plan, calibration_events=10)
+    monkeypatch.setattr(listwise, "_event_sums", refused)
+    ranker = listwise.fit(frame, COLUMNS, [1000, 3995], plan, calibration_events=10)
+    assert np.allclose(ranker.beta[1], expected.beta[0], atol=1e-9)
