@@ -134,3 +134,64 @@ def test_upserts_into_no_rows_and_of_no_rows(spark, tmp_path):
     assert [tuple(r) for r in table.collect()] == [(1, "y")]
     table, _ = streams.upsert_changes(streams.read_stream(spark, str(tmp_path / "none"), none), one.where("a = 'x'"), ["k"], ["a"], "t")
     assert [tuple(r) for r in table.collect()] == [(1, "x")]
+
+
+class Kept:
+    """A state map that counts what is written to it."""
+
+    def __init__(self):
+        self.held, self.written = {}, 0
+
+    def containsKey(self, key):
+        return key in self.held
+
+    def getValue(self, key):
+        return self.held[key]
+
+    def updateValue(self, key, value):
+        self.held[key] = value
+        self.written += len(str(value[0]))
+
+    def removeKey(self, key):
+        del self.held[key]
+
+
+def test_waiting_rows_are_not_written_again_when_more_arrive():
+    """Forty arrivals in one slice write about forty times what one does, not eight hundred times."""
+    import pandas as pd
+
+    class Handle:
+        maps, timers = {}, []
+
+        def getMapState(self, name, *_):
+            return self.maps.setdefault(name, Kept())
+
+        def getValueState(self, *_):
+            class One:
+                value = None
+                exists = lambda self: self.value is not None
+                get = lambda self: self.value
+
+                def update(self, value):
+                    self.value = value
+
+            return One()
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class Expired:
+        def getExpiryTimeInMs(self):
+            return 86_400_000
+
+    handle, state = Handle(), streams.PredictThenLearn(86_400_000)
+    state.init(handle)
+    sizes = []
+    for n in range(40):
+        some = pd.DataFrame({"event": range(100 + n, 110 + n), "entity": range(10), "slot": 1, "won": 1.0, "ts": pd.Timestamp(3_600_000_000_000)})
+        list(state.handleInputRows((1,), iter([some]), None))
+        sizes.append(handle.maps["waiting"].written)
+    assert handle.timers == [86_400_000] and sizes[-1] < 45 * sizes[0]
+    (out,) = state.handleExpiredTimer((1,), None, Expired())
+    assert len(out) == 400 and out.event.is_monotonic_increasing and not handle.maps["waiting"].held
+    assert out.p.iloc[0] == 1 / 20 and out[out.event == 101].p.tolist() == [2 / 21] * 2
