@@ -342,3 +342,41 @@ def test_scores_read_outcomes_beside_the_chances(spark, plan):
     told = evaluate.score_events(both, actual, plan)
     assert sorted(told.collect()) == sorted(evaluate.score_events(both.drop("won", "podium"), actual, plan).collect())
     assert told._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_histories_of_the_frame_are_cut_as_the_entries_are_and_not_computed_for_it(spark):
+    from types import SimpleNamespace
+
+    from cutline.operators.spans import Spans
+    from cutline.plans import features as P
+
+    asked = []
+
+    def plan(df, keys, order):
+        asked.append((df, tuple(keys), order))
+        return Spans(tuple(keys), order)
+
+    entries = spark.createDataFrame([(1, 1, 1, 5)], "event bigint, entity bigint, grp bigint, ord bigint")
+    of_frame = P._history_plan(SimpleNamespace(plan=plan, entries=entries))
+    summed = entries.groupBy("grp", "ord").count()
+    for df in (entries, summed, summed):
+        assert of_frame(df, ["grp"], "ord").keys == ("grp",)
+    of_frame(summed, ["event", "grp"], "ord")
+    assert [(df is entries, keys) for df, keys, _ in asked] == [(True, ("grp",)), (False, ("event", "grp"))]
+
+
+def test_standings_that_must_be_looked_at_are_computed_once(spark, monkeypatch):
+    from cutline.operators import dense, peers
+    from cutline.operators.spans import Spans
+
+    kept = []
+    monkeypatch.setattr(peers, "stored", lambda df, name: kept.append(name) or df)
+
+    def plan(df, keys, order):
+        return Spans(tuple(keys), order)
+
+    plan.looks = lambda df, keys: True
+    entries = spark.createDataFrame([(1, 1, 7, 3.0, "1"), (1, 1, 8, 1.0, "2"), (1, 2, 8, 4.0, "1")], "season bigint, round bigint, entity bigint, points double, code string")
+    got = dense.standings(entries, entries.select("season", "round"), "entity", plan)
+    assert {(r["round"], r["entity"]): (r["standing_points"], r["standing_position"]) for r in got.collect()} == {(1, 7): (3.0, 1), (1, 8): (1.0, 2), (2, 7): (3.0, 2), (2, 8): (5.0, 1)}
+    assert kept == ["standings-cells"]
