@@ -153,3 +153,17 @@ def test_links_that_change_no_class_cost_no_round(spark, monkeypatch):
     got = near_duplicates._joined(roots, spark.createDataFrame([(8, 3)], "a bigint, b bigint"))
     assert sorted(map(tuple, got.collect())) == [(1, 1), (2, 1), (3, 1), (7, 1), (8, 1)]
     assert written.count("large-star") == 1  # two classes joined: the first round changes nothing
+
+
+def test_members_meet_again_only_by_the_shingles_that_fewest_of_them_have(spark):
+    """Three members lack the same shingle of the leader and each has seven that nobody else has: two of its own would have to be
+    in a similar text, so the one that they share can't make them similar. Two that share two of theirs do meet."""
+    leader = list(range(1000, 1022))
+    own = {i: [-9, *range(10_000 * i, 10_000 * i + 7)] for i in (1, 2, 3)}
+    own[4] = own[5] = [-8, -7, *range(90_000, 90_006)]
+    sets = spark.createDataFrame([(0, leader), *[(i, leader + some) for i, some in own.items()]], "id bigint, elements array<bigint>")
+    rest = spark.createDataFrame([(i, 0, 30, 1, i) for i in own], "id bigint, leader bigint, n bigint, centre bigint, root bigint")
+    met = {}
+    for r in near_duplicates._still_possible(rest, sets, 0.8).collect():
+        met.setdefault(r["bucket"], set()).add(r["id"])
+    assert {frozenset(some) for some in met.values()} == {frozenset((4, 5))}
