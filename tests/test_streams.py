@@ -67,6 +67,20 @@ def test_rows_become_final_whatever_their_order(spark, tmp_path):
     assert sorted(got) == sorted(want)
 
 
+def test_keys_share_the_states_that_make_rows_final(spark, tmp_path, monkeypatch):
+    """No state is kept for each key: few of them are asked, however many keys there are; a key may come again in a later part."""
+    monkeypatch.setattr(streams, "_HELD_ROWS", 7)
+    rows = [(k, v, at(5 * v + k % 3), at(12 if k % 2 else 13)) for v in range(4) for k in range(60)]
+    schema = "k bigint, v bigint, arrived timestamp, closes timestamp"
+    path = str(tmp_path / "in")
+    stream = in_files(spark, rows, schema, 3, path)
+    end = spark.createDataFrame([(-1, -1, at(10**6), at(0))], schema)
+    found = streams.provisional(stream, "k", "arrived", "closes", ["v"], "60 hours", shares=4)
+    out = streams.run_to_table(found, "shared", closing=(path, end)).where("key >= 0").collect()
+    assert {r.key: r.row for r in out if r.kind == "final"} == {k: f'{{"v":{max(v for kk, v, a, c in rows if kk == k and a <= c)}}}' for k in range(60)}
+    assert sum(r.kind == "final" for r in out) == 60 and sum(r.kind == "late" for r in out) == sum(a > c for _, _, a, c in rows)
+
+
 def test_the_effective_revision_waits_for_its_deadline_and_moves_with_it(spark, tmp_path):
     draw = random.Random(5)
     revisions = sorted(((k, n, at(5 * n + draw.uniform(0, 4))) for k in range(10) for n in range(draw.randrange(1, 9))), key=lambda r: r[2])
